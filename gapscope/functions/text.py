@@ -16,6 +16,12 @@ from gapscope.config import (
     Thresholds,
 )
 
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also inside nested lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 # Unicode white space, spelt out so that every regex engine means the same by it.
 WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 LINE_BREAK = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
@@ -97,14 +103,16 @@ def strip_email_noise(c: Column) -> Column:
 def is_boilerplate(
     c: Column, signatures: Sequence[Sequence[str]] = BOILERPLATE_SIGNATURES
 ) -> Column:
-    low = F.lower(F.coalesce(c, F.lit("")))
-    found = F.lit(False)
-    for group in signatures:
-        every = F.lit(True)
-        for phrase in group:
-            every = every & low.contains(phrase)
-        found = found | every
-    return found
+    def matches(low: Column) -> Column:
+        found = F.lit(False)
+        for group in signatures:
+            every = F.lit(True)
+            for phrase in group:
+                every = every & low.contains(phrase)
+            found = found | every
+        return found
+
+    return let(F.lower(F.coalesce(c, F.lit(""))), matches)
 
 
 def is_generic_subject(c: Column) -> Column:
@@ -113,9 +121,11 @@ def is_generic_subject(c: Column) -> Column:
 
 
 def is_email_dominated(c: Column, share: float = Thresholds.email_share) -> Column:
-    kept = lines(F.coalesce(c, F.lit("")))
-    headers = F.filter(kept, lambda s: s.rlike(HEADER_LINE))
-    return (F.size(kept) >= 3) & (F.size(headers) / F.size(kept) > share)
+    def dominated(kept: Column) -> Column:
+        headers = F.filter(kept, lambda s: s.rlike(HEADER_LINE))
+        return (F.size(kept) >= 3) & (F.size(headers) / F.size(kept) > share)
+
+    return let(lines(F.coalesce(c, F.lit(""))), dominated)
 
 
 def has_resolution(c: Column, min_chars: int = 30) -> Column:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gapscope.functions.text import let
+
 NORM_FLOOR = 1e-10
 
 
@@ -30,13 +32,15 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
 
 
-def scale_by(v: Column, length: Column) -> Column:
-    """Divide by ``length``; a zero vector stays as it is."""
-    return F.when(v.isNotNull(), F.transform(v, lambda x: x / F.when(length > 0, length).otherwise(1.0)))
+def normalise(v: Column) -> Column:
+    """Scale to length one; a zero vector stays as it is."""
 
+    def scaled(u: Column) -> Column:
+        return let(
+            F.when(norm(u) > 0, norm(u)).otherwise(1.0), lambda n: F.transform(u, lambda x: x / n)
+        )
 
-def normalise(v: Column) -> Column:
-    return scale_by(v, norm(v))
+    return let(v, scaled)
 
 
 def mix(a: Column, b: Column, wa: float, wb: float) -> Column:
@@ -48,14 +52,13 @@ def combine(a: Column, b: Column, wa: float = 0.4, wb: float = 0.6) -> Column:
 
     If the two cancel out, the first is returned.
     """
-    mixed = mix(a, b, wa, wb)
-    length = norm(mixed)
-    return (
-        F.when(a.isNull(), b)
-        .when(b.isNull(), a)
-        .when(length < NORM_FLOOR, a)
-        .otherwise(F.transform(mixed, lambda x: x / length))
-    )
+    def blend(mixed: Column) -> Column:
+        return let(
+            norm(mixed),
+            lambda n: F.when(n < NORM_FLOOR, a).otherwise(F.transform(mixed, lambda x: x / n)),
+        )
+
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(let(mix(a, b, wa, wb), blend))
 
 
 def incident_problem_vector(generic: Column, subject: Column, detail: Column) -> Column:
