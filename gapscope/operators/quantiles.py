@@ -2,7 +2,8 @@
 
 Similarities are whole numbers of 10^-9 between -1 and 1. The rank looked for is
 narrowed down digit group by digit group: each pass counts rows per bucket (with
-map-side counting), and only rows of the bucket holding the rank go on.
+map-side counting), and only rows of the bucket holding the rank go on. The rows
+are read once per pass, so they should be a stored table.
 """
 
 from __future__ import annotations
@@ -38,34 +39,18 @@ def similarity_percentile(
         .withColumn("__rank", F.col("__goal"))
         .withColumn("__prefix", F.lit(0).cast("long"))
     )
-    seen = 64
-    for shift in SHIFTS:
-        prefix = F.shiftright("__key", seen) if seen < 64 else F.lit(0).cast("long")
-        inside = keyed.withColumn("__prefix", prefix)
-        if seen < 64:
-            inside = inside.join(
-                targets.select(*by, "__prefix").distinct(), [*by, "__prefix"], "left_semi"
-            )
-        counts = inside.groupBy(*by, "__prefix", F.shiftright("__key", shift).alias("__next")).agg(
-            F.count("*").alias("__c")
-        )
-        w = Window.partitionBy(*by, "__prefix").orderBy("__next")
-        counts = counts.withColumn("__upto", F.sum("__c").over(w))
-        hit = (F.col("__rank") >= F.col("__upto") - F.col("__c")) & (
-            F.col("__rank") < F.col("__upto")
-        )
+    w = Window.partitionBy(*by, "__goal").orderBy("__next")
+    for above, shift in zip((62, *SHIFTS), SHIFTS):
+        inside = keyed.withColumn("__prefix", F.shiftright("__key", above)).join(targets, [*by, "__prefix"])
+        counts = inside.groupBy(
+            *by, "__part", "__goal", "__rank", F.shiftright("__key", shift).alias("__next")
+        ).agg(F.count("*").alias("__c"))
+        before = F.col("__upto") - F.col("__c")
         targets = (
-            targets.join(counts, [*by, "__prefix"])
-            .where(hit)
-            .select(
-                *by,
-                "__part",
-                "__goal",
-                (F.col("__rank") - F.col("__upto") + F.col("__c")).alias("__rank"),
-                F.col("__next").alias("__prefix"),
-            )
+            counts.withColumn("__upto", F.sum("__c").over(w))
+            .where((F.col("__rank") >= before) & (F.col("__rank") < F.col("__upto")))
+            .select(*by, "__part", "__goal", (F.col("__rank") - before).alias("__rank"), F.col("__next").alias("__prefix"))
         )
-        seen = shift
     found = (F.col("__prefix") - SCALE) / SCALE
     low, high = F.min(found), F.max(found)
     return targets.groupBy(*by).agg((low + F.max("__part") * (high - low)).alias(name))

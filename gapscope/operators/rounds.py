@@ -3,24 +3,35 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; a session without one gets its own."""
+    named = spark.conf.get(CHECKPOINT_SETTING, None)
+    if named:
+        return named
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isEmpty():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gapscope-checkpoint-"))
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return current.get()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it from there.
+    """Write ``df`` as a table in the shared folder and go on from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    session without any such folder, as in tests, gets a folder of its own.
+    The rows are computed once, survive lost executors, and come back with sizes the
+    optimiser can use and columns it can prune.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    named = spark.conf.get(CHECKPOINT_SETTING, None)
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gapscope-checkpoint-"))
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/gapscope-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def differs(new: DataFrame, old: DataFrame) -> bool:

@@ -132,7 +132,7 @@ def scorecard(rows: DataFrame) -> DataFrame:
 
 
 def _fixed(c: str, digits: int):
-    return F.format_string(f"%.{digits}f", F.col(c))
+    return F.format_string(f"%.{digits}f", F.bround(c, digits))
 
 
 def to_review(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("texts", "coverage")
+MODULES = ("texts", "coverage", "gaps")
 
 
 def load() -> None:

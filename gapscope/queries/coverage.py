@@ -213,7 +213,7 @@ def cluster_sides(t: Tables):
     return raw.select("ticket_id", checksum("mixed").alias("mixed_sum"), checksum("answer").alias("answer_sum"))
 
 
-UNIT_SIDES = f"SELECT ticket_id, cluster_id, {q.unit('mixed')} AS mixed, {q.unit('answer')} AS answer FROM r_sides"
+UNIT_SIDES = f"SELECT ticket_id, source, cluster_id, {q.unit('mixed')} AS mixed, {q.unit('answer')} AS answer FROM r_sides"
 CENTROIDS = f"""SELECT cluster_id, list(m ORDER BY i) AS mixed, list(a ORDER BY i) AS answer FROM (
     SELECT cluster_id, i, avg(mixed[i]) AS m, avg(answer[i]) AS a FROM ({UNIT_SIDES}), range(1, 65) AS g(i) GROUP BY cluster_id, i) GROUP BY cluster_id"""
 

@@ -45,6 +45,8 @@ def with_roles(sql: str) -> str:
     if not order:
         return sql
     ctes = ",\n".join(f"{r} AS (\n{ROLES[r].strip()}\n)" for r in order)
+    if sql.lower().startswith("with recursive "):
+        return f"WITH RECURSIVE {ctes},\n{sql[15:]}"
     if sql.lower().startswith("with "):
         return f"WITH {ctes},\n{sql[5:]}"
     return f"WITH {ctes}\n{sql}"
