@@ -82,13 +82,14 @@ def personal_findings(articles: DataFrame, fields: Sequence[str] = ("title", "pr
         "run_id", "article_id", "cluster_id",
         F.explode(F.array(*[F.struct(F.lit(f).alias("field"), text(f).alias("value")) for f in fields])).alias("f"),
     )
-    hits = F.concat(*[
-        F.transform(
-            F.regexp_extract_all("f.value", F.lit(p), F.lit(0)),
-            lambda m, kind=kind, level=level: F.struct(F.lit(kind).alias("pii_type"), F.lit(level).alias("severity"), m.alias("match")),
+
+    def tagged(kind: str, pattern: str, level: str):
+        found = F.regexp_extract_all("f.value", F.lit(pattern), F.lit(0))
+        return F.transform(
+            found, lambda m: F.struct(F.lit(kind).alias("pii_type"), F.lit(level).alias("severity"), m.alias("match"))
         )
-        for kind, p, level in PERSONAL_DATA
-    ])
+
+    hits = F.concat(*[tagged(*p) for p in PERSONAL_DATA])
     return held.select("run_id", "article_id", "cluster_id", "f.field", F.explode(hits).alias("h")).select(
         "run_id", "article_id", "cluster_id", "field", "h.pii_type", "h.severity", "h.match"
     )

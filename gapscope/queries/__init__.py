@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("texts", "coverage", "gaps")
+MODULES = ("texts", "coverage", "gaps", "articles", "reports")
 
 
 def load() -> None:
