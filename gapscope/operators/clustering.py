@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapscope.config import SEED, SIM_DIGITS, Thresholds
+from gapscope.config import SEED, Thresholds
 from gapscope.functions.vectors import dot, normalise
-from gapscope.operators.similarity import Cell, Side, compare, top_k
+from gapscope.operators.rounds import cut
+from gapscope.operators.similarity import Cell, Side, compare, nearest, top_k
 
 FEATURES = "__features"
 CENTRE_BYTES = 512 << 20
@@ -116,39 +117,70 @@ def oversize_bound(
 
 def split_oversize(
     df: DataFrame,
+    key: str,
     vector: str,
     *,
     floor: int = Thresholds.split_floor,
     target: int = Thresholds.split_target,
-    tries: int = 5,
+    max_iter: int = 10,
+    seed: int = SEED,
+    **layout,
 ) -> DataFrame:
-    """Split every cluster above the bound once; parts get ids past the last, then renumber.
+    """Split every cluster above the bound once into ``ceil(size / target)`` parts.
 
-    Only the list of oversize clusters (never tickets) reaches the driver. Each split
-    is a distributed fit, so one cluster holding most rows is no special case.
+    All oversize clusters are split side by side: centres are rows of a table keyed by
+    cluster, and each round is one nearest-centre pass within clusters and one grouped
+    mean. Neither the number of parts nor a cluster holding most rows reaches the driver
+    or a single task. The first part keeps the id, the others follow past the last id,
+    then ids are renumbered.
     """
     sizes = cluster_sizes(df)
-    bound = oversize_bound(sizes, floor).first()["max_size"]
-    big = sizes.where(F.col("size") > bound).orderBy("cluster_id").collect()
-    if not big:
+    big = cut(
+        sizes.where(F.col("size") > oversize_bound(sizes, floor).scalar()).select(
+            "cluster_id", "size", F.greatest(F.lit(2), F.ceil(F.col("size") / target)).alias("__parts")
+        )
+    )
+    if big.isEmpty():
         return renumber(df)
-    next_id = df.agg(F.max("cluster_id")).first()[0] + 1
-    parts = [df.where(~F.col("cluster_id").isin([r["cluster_id"] for r in big]))]
-    for r in big:
-        members = df.where(F.col("cluster_id") == r["cluster_id"])
-        inner = max(2, -(-r["size"] // target))
-        split = kmeans(
-            members.withColumnRenamed("cluster_id", "__parent"), vector, inner, tries=tries, max_iter=200
+    members = cut(df.join(big, "cluster_id").select(
+        "cluster_id", key, "size", "__parts", normalise(F.col(vector).cast("array<double>")).alias("__unit")
+    ))
+    # A hashed draw a little larger than needed; only its ids are ranked.
+    draw = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 31)) / (1 << 31)
+    margin = F.col("__parts") + 4 * F.sqrt("__parts") + 8
+    w = Window.partitionBy("cluster_id").orderBy("__draw", key)
+    drawn = (
+        members.select("cluster_id", key, "size", "__parts", draw.alias("__draw"))
+        .where(F.col("__draw") < margin / F.col("size"))
+        .withColumn("__part", F.row_number().over(w) - 1)
+        .where(F.col("__part") < F.col("__parts"))
+        .select("cluster_id", key, "__part")
+    )
+    rows = members.select("cluster_id", key, "__unit")
+    centres = cut(rows.join(drawn, ["cluster_id", key]).select("cluster_id", "__part", F.col("__unit").alias("__centre")))
+    before = None
+    for _ in range(max_iter):
+        placed = cut(
+            nearest(Side(rows, "__unit", [key]), Side(centres, "__centre", ["__part"]), by=["cluster_id"], **layout)
         )
-        fresh = F.when(F.col("cluster_id") == 0, F.col("__parent")).otherwise(
-            F.col("cluster_id") + F.lit(next_id - 1)
+        fit = placed.agg(F.avg("sim")).first()[0]
+        if before is not None and fit - before < 1e-4:
+            break
+        before = fit
+        centres = cut(
+            centroids(rows.join(placed, ["cluster_id", key]), "__unit", ["cluster_id", "__part"], "__centre")
         )
-        parts.append(split.withColumn("cluster_id", fresh.cast(df.schema["cluster_id"].dataType)).drop("__parent"))
-        next_id += inner - 1
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return renumber(out)
+    split = df.join(placed.select("cluster_id", key, "__part"), ["cluster_id", key], "left").withColumn(
+        "__part", F.coalesce("__part", F.lit(0))
+    )
+    ids = split.select("cluster_id", "__part").distinct()
+    lead = F.row_number().over(Window.partitionBy("cluster_id").orderBy("__part")) > 1
+    order = Window.orderBy("__late", "cluster_id", "__part")
+    ids = ids.withColumn("__late", lead).withColumn("__new", F.row_number().over(order) - 1).drop("__late")
+    kind = df.schema["cluster_id"].dataType
+    return split.join(ids, ["cluster_id", "__part"]).select(
+        *[F.col("__new").cast(kind).alias(c) if c == "cluster_id" else F.col(c) for c in df.columns]
+    )
 
 
 def renumber(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -157,7 +189,10 @@ def renumber(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     w = Window.partitionBy(*by).orderBy("cluster_id")
     ids = ids.withColumn("__new", F.dense_rank().over(w) - 1)
     kind = df.schema["cluster_id"].dataType
-    return df.join(ids, [*by, "cluster_id"]).withColumn("cluster_id", F.col("__new").cast(kind)).drop("__new")
+    joined = df.join(ids, [*by, "cluster_id"])
+    return joined.select(
+        *[F.col("__new").cast(kind).alias(c) if c == "cluster_id" else F.col(c) for c in df.columns]
+    )
 
 
 def enough_tickets(df: DataFrame, minimum: int = Thresholds.min_cluster_tickets) -> bool:
@@ -239,8 +274,8 @@ def euclidean_silhouette(df: DataFrame, key: str, vector: str, **layout) -> Data
 
 def sampled_silhouette(df: DataFrame, key: str, vector: str, rows: int = 10000, **layout) -> DataFrame:
     """Mean silhouette of up to ``rows`` rows picked by hash of the key."""
-    picked = df.orderBy(F.xxhash64(F.col(key), F.lit(SEED)), key).limit(rows)
-    return euclidean_silhouette(picked, key, vector, **layout).agg(
+    picked = df.select(key).orderBy(F.xxhash64(F.col(key), F.lit(SEED)), key).limit(rows)
+    return euclidean_silhouette(df.join(picked, key), key, vector, **layout).agg(
         F.avg("silhouette").alias("silhouette"), F.count("*").alias("rows")
     )
 
@@ -297,7 +332,3 @@ def approximate_top_k(
     ).drop("rank", "__list")
     w = Window.partitionBy(queries.columns[0]).orderBy(F.desc("sim"), F.col(index.columns[0]))
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def round_similarity(name: str):
-    return F.round(F.col(name), SIM_DIGITS)

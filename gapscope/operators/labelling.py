@@ -49,8 +49,11 @@ def term_counts(
     text = F.col(problem) if resolution is None else join_texts(F.col(problem), F.col(resolution))
     held = docs.select(key, *carry, tokens(text, stop_words, terms).alias("__tokens")).repartition(key)
     words = held.withColumn("__tokens", with_pairs(F.col("__tokens")))
+    # An inner explode makes Spark test the array's size before the shuffle, which would
+    # take the tokens of every text twice.
     return (
-        words.select(key, *carry, F.explode("__tokens").alias("term"))
+        words.select(key, *carry, F.explode_outer("__tokens").alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy(key, *carry, "term")
         .agg(F.count("*").alias("tf"))
     )

@@ -28,10 +28,14 @@ def ticket_coverage(
     partial: float = Thresholds.partial,
     **layout,
 ) -> DataFrame:
-    """Closest article of every ticket and its class; no shuffle while the articles fit a broadcast."""
+    """Closest article of every ticket and its class; no shuffle while the articles fit a broadcast.
+
+    Cosines do not depend on length, so the resolution (or problem) vector goes in as stored.
+    """
     lead = keys[0]
+    answers = tickets.withColumn("__answer", F.coalesce("res_vec", "problem_vec"))
     hits = nearest(
-        Side(tickets, "kb_side_vec", list(keys)), Side(articles, "kb_vec", ["kb_id", "title"]), **layout
+        Side(answers, "__answer", list(keys)), Side(articles, "kb_vec", ["kb_id", "title"]), **layout
     )
     return classify(hits, covered, partial).select(
         lead, *keys[1:], F.col("sim").alias("max_kb_sim"), F.col("kb_id").alias("best_kb_id"),

@@ -167,7 +167,7 @@ def kb_side(t: Tables, *extra: str) -> sm.Side:
 
 
 def ticket_side(t: Tables) -> sm.Side:
-    return sm.Side(sides(t), "kb_side_vec", ["ticket_id"])
+    return sm.Side(t.ticket_vectors().withColumn("answer", F.coalesce("res_vec", "problem_vec")), "answer", ["ticket_id"])
 
 
 ALL_SIMS = f"SELECT s.ticket_id, k.kb_id, k.title, {q.cosine('s.answer', 'k.kb_vec')} AS sim FROM r_sides s, r_kb k"
@@ -292,7 +292,7 @@ COVERAGE = f"SELECT ticket_id, sim AS max_kb_sim, kb_id AS best_kb_id, substr(ti
 
 
 def ticket_coverage_table(t: Tables):
-    return cv.ticket_coverage(sides(t), t.kb(), ("ticket_id",), r.COVERED, r.PARTIAL)
+    return cv.ticket_coverage(t.ticket_vectors(), t.kb(), ("ticket_id",), r.COVERED, r.PARTIAL)
 
 
 @query("cov_ticket_coverage", COVERAGE)
@@ -434,13 +434,13 @@ def oversize_bound(t: Tables):
 @query("clu_split_oversize")
 def split_oversize(t: Tables):
     start = sides(t).withColumn("cluster_id", F.when(F.col("cluster_id") >= 5, 5).otherwise(F.col("cluster_id")).cast("int"))
-    out = cl.split_oversize(start, "cluster_vec", floor=50, target=40, tries=1)
+    out = cl.split_oversize(start, "ticket_id", "cluster_vec", floor=50, target=40)
     return out.select("ticket_id", F.col("cluster_id").cast("long").alias("cluster_id"))
 
 
-@query("clu_renumber", "SELECT run_id, source_id, dense_rank() OVER (PARTITION BY run_id ORDER BY cluster_id) - 1 AS cluster_id FROM r_assign WHERE source = 'workorder'")
+@query("clu_renumber", "SELECT run_id, source_id, dense_rank() OVER (PARTITION BY run_id ORDER BY cluster_id) - 1 AS cluster_id FROM r_assign")
 def renumber(t: Tables):
-    a = t.assignments().where("source = 'workorder'")
+    a = t.assignments().withColumn("cluster_id", F.col("cluster_id") * 3 + 1)
     return cl.renumber(a, ["run_id"]).select("run_id", "source_id", "cluster_id")
 
 

@@ -12,9 +12,6 @@ from gapscope.plans.roles import STOP_WORDS, Tables
 from gapscope.queries import sql_roles as q
 from gapscope.queries.registry import query
 
-T = F.col("text")
-
-
 def listed(c):
     """A list as one text, so that both engines hash the same."""
     return F.array_join(c, " | ")
@@ -22,7 +19,7 @@ def listed(c):
 
 @query("txt_evidence_tier", f"SELECT text_id, {q.tier('text')} AS tier FROM r_texts")
 def evidence_tier(t: Tables):
-    return t.texts().select("text_id", tx.evidence_tier(T).alias("tier"))
+    return t.texts().select("text_id", tx.evidence_tier(F.col("text")).alias("tier"))
 
 
 @query(
@@ -31,13 +28,13 @@ def evidence_tier(t: Tables):
     FROM (SELECT text_id, {q.strip_email('text')} AS clean FROM r_texts)""",
 )
 def strip_email_noise(t: Tables):
-    clean = t.texts().select("text_id", tx.strip_email_noise(T).alias("clean"))
+    clean = t.texts().select("text_id", tx.strip_email_noise(F.col("text")).alias("clean"))
     return clean.select("text_id", F.md5("clean").alias("clean_md5"), F.length("clean").alias("clean_length"))
 
 
 @query("txt_boilerplate", f"SELECT text_id, {q.boilerplate('text')} AS boilerplate FROM r_texts")
 def boilerplate(t: Tables):
-    return t.texts().select("text_id", tx.is_boilerplate(T).alias("boilerplate"))
+    return t.texts().select("text_id", tx.is_boilerplate(F.col("text")).alias("boilerplate"))
 
 
 @query(
@@ -45,7 +42,7 @@ def boilerplate(t: Tables):
     f"SELECT text_id, {q.generic_subject('split_part(text, chr(10), 1)')} AS generic FROM r_texts",
 )
 def generic_subject(t: Tables):
-    return t.texts().select("text_id", tx.is_generic_subject(F.split(T, "\n", 2)[0]).alias("generic"))
+    return t.texts().select("text_id", tx.is_generic_subject(F.split("text", "\n", 2)[0]).alias("generic"))
 
 
 @query(
@@ -53,12 +50,12 @@ def generic_subject(t: Tables):
     f"SELECT text_id, {q.email_dominated('text', Thresholds.email_share)} AS dominated FROM r_texts",
 )
 def email_dominated(t: Tables):
-    return t.texts().select("text_id", tx.is_email_dominated(T).alias("dominated"))
+    return t.texts().select("text_id", tx.is_email_dominated(F.col("text")).alias("dominated"))
 
 
 @query("txt_word_count", f"SELECT text_id, len({q.words('text')}) AS words FROM r_texts")
 def word_count(t: Tables):
-    return t.texts().select("text_id", tx.word_count(T).alias("words"))
+    return t.texts().select("text_id", tx.word_count(F.col("text")).alias("words"))
 
 
 @query(
@@ -78,7 +75,7 @@ def has_resolution(t: Tables):
     FROM (SELECT text_id, {q.sanitise('text')} AS clean FROM r_texts)""",
 )
 def sanitise(t: Tables):
-    clean = t.texts().select("text_id", tx.sanitise(T).alias("clean"))
+    clean = t.texts().select("text_id", tx.sanitise(F.col("text")).alias("clean"))
     return clean.select("text_id", F.md5("clean").alias("clean_md5"), F.length("clean").alias("clean_length"))
 
 
@@ -87,7 +84,7 @@ def sanitise(t: Tables):
     f"SELECT text_id, md5({q.normalise_terms('text')}) AS text_md5 FROM r_texts",
 )
 def normalise_terms(t: Tables):
-    return t.texts().select("text_id", F.md5(tx.normalise_terms(T)).alias("text_md5"))
+    return t.texts().select("text_id", F.md5(tx.normalise_terms(F.col("text"))).alias("text_md5"))
 
 
 @query(
@@ -124,7 +121,7 @@ SNIPPETS = (100, 200, 300, 350, 400, 500, 600, 8000)
     "SELECT text_id, " + ", ".join(f"md5(substr(text, 1, {n})) AS s{n}" for n in SNIPPETS) + " FROM r_texts",
 )
 def snippets(t: Tables):
-    return t.texts().select("text_id", *[F.md5(tx.snippet(T, n)).alias(f"s{n}") for n in SNIPPETS])
+    return t.texts().select("text_id", *[F.md5(tx.snippet(F.col("text"), n)).alias(f"s{n}") for n in SNIPPETS])
 
 
 @query("txt_gap_class", f"SELECT o_orderkey, {q.gap_class('price / 500000', 0.9, 0.87)} AS gap FROM r_tickets")
@@ -201,7 +198,7 @@ def parse_list(t: Tables):
     lambda s: {q.strip('s')}), lambda s: s <> ''), ' | ')) AS items_md5 FROM r_texts WHERE text <> ''""",
 )
 def parse_lines(t: Tables):
-    return t.texts().where(T != "").select("text_id", F.md5(listed(tx.parse_lines(T))).alias("items_md5"))
+    return t.texts().where("text <> ''").select("text_id", F.md5(listed(tx.parse_lines(F.col("text")))).alias("items_md5"))
 
 
 @query(
@@ -332,7 +329,7 @@ def fallback_verdict(t: Tables):
 )
 def accept_label(t: Tables):
     return t.texts().select(
-        "text_id", F.md5(tx.accept_label(F.split(T, "\n", 2)[0], F.col("text_id"))).alias("label_md5")
+        "text_id", F.md5(tx.accept_label(F.split("text", "\n", 2)[0], F.col("text_id"))).alias("label_md5")
     )
 
 
@@ -354,5 +351,5 @@ def reply_keys(t: Tables):
 )
 def label_tokens(t: Tables):
     assert set(TICKET_STOP_WORDS) <= set(STOP_WORDS)
-    w = t.texts().select("text_id", lb.tokens(T, STOP_WORDS).alias("w"))
+    w = t.texts().select("text_id", lb.tokens(F.col("text"), STOP_WORDS).alias("w"))
     return w.select("text_id", F.size("w").alias("tokens"), F.md5(F.array_join("w", " ")).alias("tokens_md5"))

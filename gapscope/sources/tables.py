@@ -13,7 +13,8 @@ from gapscope.functions.vectors import as_doubles, combine, normalise, parse_vec
 
 
 def _struct(**fields: str) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in fields.items()))
+    kinds = {"string": T.StringType(), "timestamp": T.TimestampType(), "boolean": T.BooleanType()}
+    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in fields.items()])
 
 
 INCIDENTS = _struct(
