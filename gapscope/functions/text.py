@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -24,6 +25,10 @@ def let(value: Column, body) -> Column:
 
 # Unicode white space, spelt out so that every regex engine means the same by it.
 WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# The same characters one by one, for trimming without a pattern.
+WS_CHARS = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
 LINE_BREAK = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 EDGE_SPACE = f"^{WS}+|{WS}+$"
 SEPARATOR = "-{3,}|_{10,}"
@@ -34,6 +39,8 @@ QUOTED_LINE = rf"^>+{WS}"
 OUTLOOK_LINE = rf"(?i)^{WS}*Get{WS}+Outlook{WS}+for{WS}+(iOS|Android|Mac|Windows)"
 SENT_FROM_LINE = rf"(?i)^{WS}*Sent{WS}+from{WS}+my{WS}+"
 NOISE_LINES = (HEADER_LINE, REDACTED_LINE, REPLY_LINE, QUOTED_LINE, OUTLOOK_LINE, SENT_FROM_LINE)
+# One pattern for all of them, so that a line is looked at once.
+NOISE_LINE = "(?i)" + "|".join(f"(?:{re.sub('^[(][?]i?s?[)]', '', p)})" for p in NOISE_LINES)
 GENERIC_SUBJECT = "(?i)^(" + "|".join(GENERIC_SUBJECT_OPENINGS).replace(r"\s", WS) + ")"
 REDACTED_TOKEN = r"^\*+[-.*]*$"
 ERROR_CODE_LINE = rf"^[0-9]{{3}}{WS}+\*+"
@@ -51,7 +58,7 @@ def personal_line(headers: Sequence[str] = PERSONAL_FIELDS) -> str:
 
 def strip(c: Column) -> Column:
     """Drop white space, of any kind, at both ends."""
-    return F.regexp_replace(c, EDGE_SPACE, "")
+    return F.trim(c, F.lit(WS_CHARS))
 
 
 def words(c: Column) -> Column:
@@ -91,13 +98,7 @@ def strip_email_noise(c: Column) -> Column:
     """Text of the newest message without headers, quotes, signatures and redacted lines."""
     newest = F.split(F.coalesce(c, F.lit("")), SEPARATOR, 2)[0]
 
-    def keep(line: Column) -> Column:
-        noise = F.lit(False)
-        for pattern in NOISE_LINES:
-            noise = noise | line.rlike(pattern)
-        return ~noise
-
-    return F.array_join(F.filter(lines(newest), keep), " ")
+    return F.array_join(F.filter(lines(newest), lambda line: ~line.rlike(NOISE_LINE)), " ")
 
 
 def is_boilerplate(
@@ -136,21 +137,25 @@ def sanitise(c: Column, headers: Sequence[str] = PERSONAL_FIELDS) -> Column:
     """Drop personal, redacted and machine lines; mask addresses, phones and id numbers."""
     personal = personal_line(headers)
 
+    def redacted(line: Column) -> Column:
+        marks = lambda tokens: F.size(F.filter(tokens, lambda t: t.rlike(REDACTED_TOKEN))) / F.size(tokens)
+        return line.contains("*") & (let(words(line), marks) > 0.5)
+
     def keep(line: Column) -> Column:
-        tokens = words(line)
-        redacted = F.filter(tokens, lambda t: t.rlike(REDACTED_TOKEN))
         return ~(
-            line.rlike(personal)
-            | (F.size(redacted) / F.size(tokens) > 0.5)
-            | line.startswith("{")
+            line.startswith("{")
             | line.startswith('"error"')
+            | line.rlike(personal)
             | line.rlike(ERROR_CODE_LINE)
+            | redacted(line)
         )
 
+    # Cheap tests decide whether a pattern can match at all.
     def mask(line: Column) -> Column:
-        line = F.regexp_replace(line, MAIL_ADDRESS, "[email]")
-        line = F.regexp_replace(line, PHONE_NUMBER, "[phone]")
-        return F.regexp_replace(line, ID_NUMBER, "[id]")
+        line = F.when(line.contains("@"), F.regexp_replace(line, MAIL_ADDRESS, "[email]")).otherwise(line)
+        digits = line.rlike("[0-9]{3}")
+        masked = F.regexp_replace(F.regexp_replace(line, PHONE_NUMBER, "[phone]"), ID_NUMBER, "[id]")
+        return F.when(digits, masked).otherwise(line)
 
     parts = F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), strip)
     parts = F.filter(parts, lambda s: s != "")

@@ -228,10 +228,13 @@ def summary_samples(members: DataFrame, n: int = 20, chars: int = 300, seed: int
     long_enough = members.where(F.length("problem_text") > 20).select("run_id", "cluster_id", *key)
     picked = sample_members(long_enough, ["run_id", "cluster_id"], key, n, seed)
     texts = members.select("run_id", *key, "problem_text")
+    # Filtering inside the array keeps Spark from sanitising a text once to test it and
+    # once more to return it.
+    clean = F.filter(F.array(snippet(sanitise(F.col("problem_text")), chars)), lambda s: F.length(s) > 20)
     rows = picked.join(texts, ["run_id", *key]).select(
-        "run_id", "cluster_id", "pick", snippet(sanitise(F.col("problem_text")), chars).alias("snippet")
+        "run_id", "cluster_id", "pick", F.explode_outer(clean).alias("snippet")
     )
-    return rows.where(F.length("snippet") > 20)
+    return rows.where(F.col("snippet").isNotNull())
 
 
 def summary_prompts(clusters: DataFrame, samples: DataFrame, by: Sequence[str] = RUN) -> DataFrame:

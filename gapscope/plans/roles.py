@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gapscope.functions.text import gap_class
 from gapscope.functions.vectors import as_doubles
 from gapscope.operators.labelling import TICKET_STOP_WORDS
+from gapscope.sources.tables import spread
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 # Bounds that give every class some rows on these 64-number vectors.
@@ -36,6 +37,10 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def documents(self) -> DataFrame:
+        """Documents spread over the cores, for work on their texts."""
+        return spread(self.raw("documents"), "doc_id")
+
     # --- vectors -------------------------------------------------------------
 
     def vectors(self) -> DataFrame:
@@ -173,15 +178,15 @@ class Tables:
 
     def texts(self) -> DataFrame:
         """Every text of the given tables: text_id, text"""
-        doc = self.raw("documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("text_id"), "text")
-        page = self.raw("pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("text_id"), F.col("html").alias("text"))
+        doc = self.documents().select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("text_id"), "text")
+        page = spread(self.raw("pages"), "page_id").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("text_id"), F.col("html").alias("text"))
         item = self.raw("benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("text_id"), "text")
         mail = self.mails().select(F.concat(F.lit("m"), F.col("id")).alias("text_id"), F.col("mail").alias("text"))
         return doc.unionByName(page).unionByName(item).unionByName(mail)
 
     def mails(self) -> DataFrame:
         """One mail per conversation turn: id, conv_id, turn, role, text, mail"""
-        c = self.raw("conversations")
+        c = spread(self.raw("conversations"), "conv_id", "turn")
         opening = F.when(F.col("role") == "system", "Please see related REQ for any additional information\n").otherwise("")
         number = F.col("conv_id").cast("string")
         body = F.concat(

@@ -467,7 +467,7 @@ TOP_TERMS = f"""SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY we
 
 
 def label_docs(t: Tables):
-    return t.raw("documents").select("doc_id", F.substring("source", 4, 9).cast("long").alias("cluster_id"), "text")
+    return t.documents().select("doc_id", F.substring("source", 4, 9).cast("long").alias("cluster_id"), "text")
 
 
 def label_counts(t: Tables):

@@ -53,6 +53,18 @@ def read_parquet(
     return df.select(*columns) if columns else df
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Spread a plain scan of fewer splits than cores over the cores.
+
+    Work per text is heavy on the processor, and one unsplittable file would keep it on
+    one core. A scan with enough splits, as any large table has, is left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, *keys)
+
+
 def read_jdbc(
     spark: SparkSession,
     url: str,
