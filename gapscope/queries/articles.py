@@ -134,7 +134,24 @@ def list_order(t: Tables):
     return scored_articles(t).select("run_id", "article_id", "position")
 
 
-@query("art_mark_duplicates")
+DUPLICATE_WALK = f"""WITH RECURSIVE a AS (SELECT *, {SCORE_SQL} AS q, row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN gap_flag = 'CRITICAL' THEN 0 ELSE 1 END,
+      length(problem_statement) DESC, cluster_id) AS place FROM r_articles),
+    p AS (SELECT x.run_id, x.place AS i, y.place AS j, x.q AS qi, y.q AS qj, row_number() OVER (PARTITION BY x.run_id ORDER BY x.place, y.place) AS n
+      FROM a x JOIN a y ON x.run_id = y.run_id AND x.place < y.place AND x.article_embedding IS NOT NULL AND y.article_embedding IS NOT NULL
+      AND {q.cosine('x.article_embedding', 'y.article_embedding')} > 0.2),
+    walk AS (SELECT DISTINCT run_id, 0::BIGINT AS n, 0::BIGINT AS i, false AS skip, []::BIGINT[] AS dups, []::BIGINT[] AS kept FROM p
+      UNION ALL SELECT run_id, n, i, skip, CASE WHEN acts THEN list_append(dups, CASE WHEN qi >= qj THEN j ELSE i END) ELSE dups END,
+        CASE WHEN acts THEN list_append(kept, CASE WHEN qi >= qj THEN i ELSE j END) ELSE kept END
+      FROM (SELECT *, NOT skip AND NOT list_contains(dups, j) AS acts FROM (
+        SELECT w.run_id, p.n, p.i, p.j, p.qi, p.qj, w.dups, w.kept, CASE WHEN p.i = w.i THEN w.skip ELSE list_contains(w.dups, p.i) END AS skip
+        FROM walk w JOIN p ON p.run_id = w.run_id AND p.n = w.n + 1))),
+    e AS (SELECT run_id, arg_max(dups, n) AS dups, arg_max(kept, n) AS kept FROM walk GROUP BY run_id),
+    u AS (SELECT run_id, unnest(dups) AS d, unnest(kept) AS k, unnest(range(len(dups))) AS seq FROM e),
+    f AS (SELECT run_id, d, arg_max(k, seq) AS k FROM u GROUP BY ALL)
+    SELECT a.run_id, a.article_id, a.cluster_id, b.cluster_id AS duplicate_of FROM a LEFT JOIN f ON f.run_id = a.run_id AND f.d = a.place LEFT JOIN a b ON b.run_id = f.run_id AND b.place = f.k"""
+
+
+@query("art_mark_duplicates", DUPLICATE_WALK)
 def mark_duplicates(t: Tables):
     a = dr.mark_duplicates(cut(scored_articles(t)), bound=0.2)
     return a.select("run_id", "article_id", "cluster_id", "duplicate_of")

@@ -410,17 +410,20 @@ def largest_share(t: Tables):
     return s.withColumn("max_share", F.round("max_share", 6))
 
 
-@query("clu_silhouette", """WITH u AS (SELECT vec_id, label, vec FROM r_vec),
+SILHOUETTE = """WITH u AS (SELECT vec_id, label, vec FROM r_vec),
     d AS (SELECT a.vec_id, a.label, b.label AS other, sum(sqrt(greatest(0, 2 - 2 * round(list_cosine_similarity(a.vec, b.vec), 9)))) AS total, count(*) AS n FROM u a, u b GROUP BY ALL),
     s AS (SELECT vec_id, label, max(total / nullif(n - 1, 0)) FILTER (other = label) AS a, min(total / n) FILTER (other <> label) AS b FROM d GROUP BY ALL)
-    SELECT vec_id, round((b - a) / greatest(a, b), 6) AS silhouette FROM s""")
+    SELECT """
+
+
+@query("clu_silhouette", SILHOUETTE + "vec_id, round((b - a) / greatest(a, b), 6) AS silhouette FROM s")
 def silhouette(t: Tables):
     v = t.vectors().withColumnRenamed("label", "cluster_id")
     s = cl.euclidean_silhouette(v, "vec_id", "vec")
     return s.select("vec_id", F.round("silhouette", 6).alias("silhouette"))
 
 
-@query("clu_sampled_silhouette")
+@query("clu_sampled_silhouette", SILHOUETTE + "round(avg((b - a) / greatest(a, b)), 6) AS silhouette, count(*) AS rows FROM s")
 def sampled_silhouette(t: Tables):
     v = t.vectors().withColumnRenamed("label", "cluster_id")
     return cl.sampled_silhouette(v, "vec_id", "vec", 10000).withColumn("silhouette", F.round("silhouette", 6))

@@ -161,7 +161,21 @@ def accepted_pairs(t: Tables):
     return gp.accepted_pairs(prompts, canned_replies(REPLIES))
 
 
-@query("gap_greedy_merges")
+MERGE_WALK = f"""WITH RECURSIVE c AS (SELECT run_id, cluster_id, size, centroid FROM ({RUN_CENTROIDS})),
+    p AS (SELECT a.run_id, a.cluster_id AS a, b.cluster_id AS b, {q.cosine('a.centroid', 'b.centroid')} AS sim,
+      CASE WHEN a.size >= b.size THEN a.cluster_id ELSE b.cluster_id END AS stays, CASE WHEN a.size >= b.size THEN b.cluster_id ELSE a.cluster_id END AS goes
+      FROM c a JOIN c b ON a.run_id = b.run_id AND a.cluster_id < b.cluster_id AND {q.cosine('a.centroid', 'b.centroid')} > 0),
+    o AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY sim DESC, a, b) AS n FROM p),
+    walk AS (SELECT DISTINCT run_id, 0::BIGINT AS n, []::BIGINT[] AS gone, []::BIGINT[] AS kept FROM o
+      UNION ALL SELECT w.run_id, o.n,
+        CASE WHEN list_contains(w.gone, o.a) OR list_contains(w.gone, o.b) THEN w.gone ELSE list_append(w.gone, o.goes) END,
+        CASE WHEN list_contains(w.gone, o.a) OR list_contains(w.gone, o.b) THEN w.kept ELSE list_append(w.kept, o.stays) END
+      FROM walk w JOIN o ON o.run_id = w.run_id AND o.n = w.n + 1)
+    SELECT run_id, unnest(gone) AS cluster_id, unnest(kept) AS merged_into, 'close' AS reason
+    FROM (SELECT run_id, arg_max(gone, n) AS gone, arg_max(kept, n) AS kept FROM walk GROUP BY run_id)"""
+
+
+@query("gap_greedy_merges", MERGE_WALK)
 def greedy_merges(t: Tables):
     """Closest cluster pairs of a run as accepted pairs, over all ticket clusters."""
     c = run_clusters(t)
@@ -197,7 +211,25 @@ def merge_clusters(t: Tables):
     return mg.merge_clusters(t.clusters(), moved, merges(t)).select("run_id", "cluster_id", "size", "gap_flag")
 
 
-@query("gap_repair_priority")
+# Sizes and scores of a run as lists in cluster order, one merge after another.
+REPAIR_WALK = f"""WITH RECURSIVE g AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY cluster_id) AS i FROM r_gaps),
+    m AS (SELECT d.run_id, d.i AS d, k.i AS k, row_number() OVER (PARTITION BY d.run_id ORDER BY d.cluster_id) AS n
+      FROM g d JOIN g k ON k.run_id = d.run_id AND k.cluster_id = d.merged_into WHERE d.gap_flag = 'DUPLICATE'),
+    walk AS (SELECT run_id, 0::BIGINT AS n, list(size::DOUBLE ORDER BY i) AS sizes, list(priority_score ORDER BY i) AS scores FROM g GROUP BY run_id
+      UNION ALL SELECT run_id, n, list_transform(grown, lambda x, j: CASE WHEN j = d THEN 0.0::DOUBLE ELSE x END),
+        list_transform(scores, lambda x, j: CASE WHEN j = k THEN round(x
+          - 0.35 * coalesce((sizes[k] - list_min(sizes)) / nullif(list_max(sizes) - list_min(sizes), 0), 0)
+          + 0.35 * coalesce((grown[k] - list_min(grown)) / nullif(list_max(grown) - list_min(grown), 0), 0), 4) ELSE x END)
+      FROM (SELECT w.run_id, m.n, m.d, m.k, w.sizes, w.scores,
+          list_transform(w.sizes, lambda x, j: CASE WHEN j = m.k THEN x + w.sizes[m.d] ELSE x END) AS grown
+        FROM walk w JOIN m ON m.run_id = w.run_id AND m.n = w.n + 1)),
+    e AS (SELECT run_id, arg_max(sizes, n) AS sizes, arg_max(scores, n) AS scores FROM walk GROUP BY run_id)
+    SELECT g.run_id, g.cluster_id, e.sizes[g.i]::BIGINT AS size, e.scores[g.i] AS priority_score, g.gap_flag,
+      CASE WHEN g.gap_flag = 'DUPLICATE' THEN 'DUPLICATE: Merged into cluster ' || g.merged_into || '. Tickets physically reassigned.' ELSE g.recommendation END AS recommendation
+    FROM g JOIN e USING (run_id)"""
+
+
+@query("gap_repair_priority", REPAIR_WALK)
 def repair_priority(t: Tables):
     return mg.repair_priority(t.gaps(), merges(t)).select("run_id", "cluster_id", "size", "priority_score", "gap_flag", "recommendation")
 
