@@ -49,15 +49,25 @@ def fit_kmeans(df: DataFrame, k: int, *, tries: int = 15, max_iter: int = 500, s
     for attempt in range(tries):
         model = KMeans(k=k, seed=seed + attempt, maxIter=max_iter, featuresCol=FEATURES,
                        predictionCol="cluster_id").fit(df)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
+        # The last digits of a cost depend on the order of additions; they must not decide.
+        if best is None or model.summary.trainingCost < best.summary.trainingCost * (1 - 1e-9):
             best = model
     return best
 
 
 def kmeans(df: DataFrame, vector: str, k: int, **fit) -> DataFrame:
-    """``df`` with a ``cluster_id`` per row."""
+    """``df`` with a ``cluster_id`` per row.
+
+    Ids follow the order of the centres, so that they do not hang on the order in which
+    the fit happened to find them.
+    """
     featured = _featured(df, vector)
-    return fit_kmeans(featured, k, **fit).transform(featured).drop(FEATURES)
+    model = fit_kmeans(featured, k, **fit)
+    centres = [tuple(np.round(c, 6)) for c in model.clusterCenters()]
+    place = {old: new for new, old in enumerate(sorted(range(len(centres)), key=centres.__getitem__))}
+    ids = F.array(*[F.lit(place[i]) for i in range(len(centres))])
+    placed = model.transform(featured).drop(FEATURES)
+    return placed.withColumn("cluster_id", F.get(ids, F.col("cluster_id")))
 
 
 def sweep(

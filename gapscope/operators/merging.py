@@ -6,7 +6,7 @@ until it stops changing, so no run is gathered in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from gapscope.config import Thresholds
 from gapscope.operators.rounds import cut, differs
-from gapscope.operators.similarity import Cell, Side, compare
+from gapscope.operators.similarity import SIM, Cell, Side, compare
 
 RUN = ("run_id",)
 
@@ -65,6 +65,81 @@ def greedy_merges(
         gone = new
 
 
+def merge_by_asking(
+    clusters: DataFrame,
+    decide: Callable[[DataFrame], DataFrame],
+    bound: float = Thresholds.duplicate_candidate,
+    *,
+    batch: int = 4,
+    by: Sequence[str] = RUN,
+    **layout,
+) -> DataFrame:
+    """``greedy_merges`` over all pairs of ``clusters`` above ``bound``, asking as few as needed.
+
+    ``clusters`` has ``by``, cluster_id, size and centroid; ``decide`` turns pairs
+    ``(by, a, b, sim)`` into the accepted ones with a ``reason``. A cluster can only be
+    merged by its pairs with larger clusters, and only the first that holds counts. So
+    each round every cluster not merged yet brings its next few such pairs in turn order
+    (twice as many each round); a merged one brings no more. The result is that of asking
+    about every pair, yet a crowd of alike clusters never makes all its pairs.
+    """
+    by = list(by)
+    base = cut(clusters.where(F.col("centroid").isNotNull()).select(
+        *by, F.col("cluster_id").cast("long").alias("cluster_id"), F.col("size").cast("long").alias("size"), "centroid"
+    ))
+    mates = base.select(*by, F.col("cluster_id").alias("mate"), F.col("size").alias("mate_size"), "centroid")
+    far_back = {"last_s": F.lit(-9.0), "last_a": F.lit(-1).cast("long"), "last_b": F.lit(-1).cast("long")}
+    state = base.withColumns({**far_back, "done": F.lit(False), "live": F.lit(True)})
+    accepted = None
+    while not (live := state.where("live").drop("done", "live")).isEmpty():
+
+        def next_pairs(cell: Cell, n: int = batch):
+            v, u = cell.left_values("cluster_id")[:, None], cell.right_values("mate")[None, :]
+            size, mate_size = cell.left_values("size")[:, None], cell.right_values("mate_size")[None, :]
+            s, lo, hi = -cell.sim, np.minimum(u, v), np.maximum(u, v)
+            ls, la, lb = (cell.left_values(c)[:, None] for c in ("last_s", "last_a", "last_b"))
+            later = (s > ls) | ((s == ls) & ((lo > la) | ((lo == la) & (hi > lb))))
+            larger = (mate_size > size) | ((mate_size == size) & (u < v))
+            li, ri = np.nonzero((cell.sim > bound) & larger & later)
+            rank = np.lexsort((hi[li, ri], lo[li, ri], s[li, ri], li))
+            li, ri = li[rank], ri[rank]
+            keep = np.arange(len(li)) - np.searchsorted(li, li, side="left") < n
+            return li[keep], ri[keep], {"sim": cell.sim[li[keep], ri[keep]]}
+
+        left = Side(live, "centroid", ["cluster_id", "size", "last_s", "last_a", "last_b"])
+        hits = compare(left, Side(mates, "centroid", ["mate", "mate_size"]), next_pairs, SIM, by=by, **layout).rows
+        turns = hits.select(
+            *by, "cluster_id", (-F.col("sim")).alias("s"), F.least("cluster_id", "mate").alias("a"),
+            F.greatest("cluster_id", "mate").alias("b"), "sim",
+        )
+        w = Window.partitionBy(*by, "cluster_id").orderBy("s", "a", "b")
+        fresh = cut(turns.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= batch))
+        if fresh.isEmpty():
+            break
+        news = decide(fresh.select(*by, "a", "b", "sim")).select(*by, "a", "b", "sim", "reason")
+        accepted = cut(news if accepted is None else accepted.unionByName(news))
+        # Merges found so far may fall again when their larger side turns out to be gone
+        # earlier, so every cluster keeps its place and goes on from there.
+        gone = greedy_merges(accepted, base, by).select(*by, "cluster_id", F.lit(True).alias("__gone"))
+        reached = fresh.groupBy(*by, "cluster_id").agg(
+            F.count("*").alias("__n"), F.max(F.struct("s", "a", "b")).alias("__last")
+        )
+        done = F.col("done") | (F.col("live") & (F.coalesce("__n", F.lit(0)) < batch))
+        state = cut(
+            state.join(reached, [*by, "cluster_id"], "left").join(gone, [*by, "cluster_id"], "left").select(
+                *by, "cluster_id", "size", "centroid",
+                *[F.coalesce(f"__last.{c}", f"last_{c}").alias(f"last_{c}") for c in ("s", "a", "b")],
+                done.alias("done"), (~done & F.col("__gone").isNull()).alias("live"),
+            )
+        )
+        batch *= 2
+    if accepted is None:
+        accepted = base.select(
+            *by, F.col("cluster_id").alias("a"), F.col("cluster_id").alias("b"), F.lit(0.0).alias("sim"), F.lit("").alias("reason")
+        ).limit(0)
+    return greedy_merges(accepted, base, by)
+
+
 def resolve_chains(merges: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
     """Follow every pointer to its end; the reach doubles each round."""
     by = list(by)

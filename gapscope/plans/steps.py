@@ -138,9 +138,8 @@ def gap_analysis(
         members = assignments.join(tickets.select("source", "source_id", "problem_text"), ["source", "source_id"])
         asked = gp.summary_prompts(ranked, gp.summary_samples(members))
         ranked = cut(ranked.join(gp.summaries(asked, chat_fn), key, "left"))
-        pairs = cut(gp.duplicate_candidates(ranked, t.duplicate_candidate))
-        accepted = cut(gp.accepted_pairs(gp.pair_prompts(pairs, ranked), chat_fn))
-        merges = mg.greedy_merges(accepted, ranked)
+        decide = lambda pairs: gp.accepted_pairs(gp.pair_prompts(pairs, ranked), chat_fn)
+        merges = mg.merge_by_asking(ranked.where("gap_flag = 'CRITICAL'"), decide, t.duplicate_candidate)
     else:
         ranked = ranked.withColumn("summary", F.lit(None).cast("string"))
     ends = mg.resolve_chains(merges)

@@ -183,6 +183,13 @@ def greedy_merges(t: Tables):
     return mg.greedy_merges(pairs, c)
 
 
+@query("gap_merge_by_asking", MERGE_WALK)
+def merge_by_asking(t: Tables):
+    """The same merges, with pairs brought forward a few at a time."""
+    yes = lambda pairs: pairs.withColumn("reason", F.lit("close"))
+    return mg.merge_by_asking(run_clusters(t), yes, 0.0, batch=1)
+
+
 def merges(t: Tables):
     return t.clusters().where("gap_flag = 'DUPLICATE'").select("run_id", "cluster_id", "merged_into")
 

@@ -47,6 +47,40 @@ def test_star_of_copies_and_chain(spark):
     assert {r["cluster_id"]: r["merged_into"] for r in got if r["run_id"] == "c"} == want
 
 
+@pytest.mark.parametrize("seed, layout", [(1, {}), (2, {"broadcast_bytes": 0, "block_rows": 7}), (3, {"batch": 1})])
+def test_merge_by_asking_equals_asking_about_all(spark, seed, layout):
+    rng = np.random.default_rng(seed)
+    rows, want, every = [], {}, 0
+    for run in "pqrstuvw":
+        n = 24
+        v = rng.normal(size=(n, 3))
+        if run in "pq":
+            v[4:16] = v[3]  # a crowd of copies
+        size = {i: int(x) for i, x in enumerate(rng.integers(1, 5, n))}
+        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+        sim = np.round(unit @ unit.T, 9)
+        pairs = {(i, j): sim[i, j] for i in range(n) for j in range(i + 1, n) if sim[i, j] > 0.3}
+        every += len(pairs)
+        held = {p: s for p, s in pairs.items() if (p[0] * 7 + p[1] * 3) % 4}
+        want.update({(run, d): k for d, k in sequential_merges(held, size).items()})
+        rows += [(run, i, size[i], [float(x) for x in v[i]]) for i in range(n)]
+    asked = []
+
+    def decide(found):
+        asked.extend(tuple(r) for r in found.select("run_id", "a", "b").collect())
+        return found.where((F.col("a") * 7 + F.col("b") * 3) % 4 != 0).withColumn("reason", F.lit("x"))
+
+    df = spark.createDataFrame(rows, "run_id string, cluster_id long, size long, centroid array<double>")
+    got = mg.merge_by_asking(df, decide, 0.3, **layout)
+    assert {(r["run_id"], r["cluster_id"]): r["merged_into"] for r in got.collect()} == want
+    assert len(asked) == len(set(asked)) and len(asked) < every
+
+
+def test_merge_by_asking_without_pairs(spark):
+    df = spark.createDataFrame([("r", 1, 1, [1.0, 0.0]), ("r", 2, 1, [0.0, 1.0])], "run_id string, cluster_id long, size long, centroid array<double>")
+    assert mg.merge_by_asking(df, lambda found: found, 0.5).isEmpty()
+
+
 def test_resolve_chains(spark):
     m = spark.createDataFrame([("r", i, i + 1) for i in range(9)] + [("q", 1, 5)], "run_id string, cluster_id long, merged_into long")
     got = {(r["run_id"], r["cluster_id"]): r["merged_into"] for r in mg.resolve_chains(m).collect()}
