@@ -299,7 +299,8 @@ def filter_existing(t: Tables):
 
 # --- table maintenance -------------------------------------------------------
 
-# The stored state is that of the dear tickets, the new write that of recent years.
+# The stored state is that of the dear tickets, the new write that of the cheap ones.
+# A merge gives the content of the runs that occur in the new write.
 OLD, NEW = "price >= 100000", "price < 300000"
 
 
@@ -331,7 +332,7 @@ def sink_cluster_sweep(t: Tables):
     return sk.upsert_table("cluster_sweep", s, s.where("is_best_k").withColumn("inertia", F.col("inertia") + 1))
 
 
-@query("sink_clusters", "SELECT run_id, cluster_id, CASE WHEN size >= 15 THEN upper(cluster_label) ELSE cluster_label END AS cluster_label, CASE WHEN size >= 15 THEN size + 1 ELSE size END AS size, gap_flag, summary AS top_terms FROM r_clusters")
+@query("sink_clusters", "SELECT run_id, cluster_id, CASE WHEN size >= 15 THEN upper(cluster_label) ELSE cluster_label END AS cluster_label, CASE WHEN size >= 15 THEN size + 1 ELSE size END AS size, gap_flag, summary AS top_terms FROM r_clusters WHERE run_id IN (SELECT run_id FROM r_clusters WHERE size >= 15)")
 def sink_clusters(t: Tables):
     none = F.lit(None).cast("double")
     c = t.clusters().select(
@@ -358,7 +359,7 @@ def sink_cluster_kb_sim(t: Tables):
     return sk.upsert_table("cluster_kb_sim", new.withColumn("similarity", F.lit(0.0)), new).select("run_id", "cluster_id", F.col("kb_idx").cast("long").alias("kb_idx"), "kb_title", "similarity")
 
 
-@query("sink_gap_analysis", "SELECT run_id, cluster_id, size, CASE WHEN size >= 15 THEN 'PARTIAL' ELSE gap_flag END AS gap_flag, priority_score FROM r_gaps")
+@query("sink_gap_analysis", "SELECT run_id, cluster_id, size, CASE WHEN size >= 15 THEN 'PARTIAL' ELSE gap_flag END AS gap_flag, priority_score FROM r_gaps WHERE run_id IN (SELECT run_id FROM r_gaps WHERE size >= 15)")
 def sink_gap_analysis(t: Tables):
     g = t.gaps().select("run_id", "cluster_id", "cluster_label", "size", "gap_flag", "priority_score", "recommendation", "best_kb_title")
     new = g.where("size >= 15").withColumn("gap_flag", F.lit("PARTIAL"))
