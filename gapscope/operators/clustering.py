@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from gapscope.config import SEED, Thresholds
 from gapscope.functions.vectors import dot, normalise
-from gapscope.operators.rounds import cut
+from gapscope.operators.rounds import cut, numbered
 from gapscope.operators.similarity import Cell, Side, compare, nearest, top_k
 
 FEATURES = "__features"
@@ -185,8 +185,7 @@ def split_oversize(
     )
     ids = split.select("cluster_id", "__part").distinct()
     lead = F.row_number().over(Window.partitionBy("cluster_id").orderBy("__part")) > 1
-    order = Window.orderBy("__late", "cluster_id", "__part")
-    ids = ids.withColumn("__late", lead).withColumn("__new", F.row_number().over(order) - 1).drop("__late")
+    ids = numbered(ids.withColumn("__late", lead), ["__late", "cluster_id", "__part"], "__new").drop("__late")
     kind = df.schema["cluster_id"].dataType
     return split.join(ids, ["cluster_id", "__part"]).select(
         *[F.col("__new").cast(kind).alias(c) if c == "cluster_id" else F.col(c) for c in df.columns]
@@ -194,10 +193,13 @@ def split_oversize(
 
 
 def renumber(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Cluster ids 0..K-1 in id order. The window runs over the distinct ids only."""
+    """Cluster ids 0..K-1 in id order, ranked over the distinct ids only."""
     ids = df.select(*by, "cluster_id").distinct()
-    w = Window.partitionBy(*by).orderBy("cluster_id")
-    ids = ids.withColumn("__new", F.dense_rank().over(w) - 1)
+    if by:
+        w = Window.partitionBy(*by).orderBy("cluster_id")
+        ids = ids.withColumn("__new", F.row_number().over(w) - 1)
+    else:
+        ids = numbered(ids, ["cluster_id"], "__new")
     kind = df.schema["cluster_id"].dataType
     joined = df.join(ids, [*by, "cluster_id"])
     return joined.select(

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -36,3 +38,20 @@ def cut(df: DataFrame) -> DataFrame:
 
 def differs(new: DataFrame, old: DataFrame) -> bool:
     return not new.exceptAll(old).isEmpty() or not old.exceptAll(new).isEmpty()
+
+
+def numbered(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """``name`` = place from 0 in the order of ``keys``, ranked range by range.
+
+    Rows are split into ranges of the keys; only the number of rows per range passes
+    through one task.
+    """
+    ranged = cut(df.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("__range").agg(F.count("*").alias("__c")).select(
+        "__range", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__start")
+    )
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*keys)) - 1
+    return ranged.withColumn("__inside", inside).join(starts, "__range").select(
+        *df.columns, (F.col("__start") + F.col("__inside")).alias(name)
+    )

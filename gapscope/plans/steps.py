@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapscope.config import Thresholds
@@ -16,7 +16,7 @@ from gapscope.models import ChatFn, EmbedFn
 from gapscope.operators import clustering as cl
 from gapscope.operators import labelling as lb
 from gapscope.operators import merging as mg
-from gapscope.operators.rounds import cut
+from gapscope.operators.rounds import cut, numbered
 from gapscope.operators.similarity import Side, full_matrix
 from gapscope.plans import coverage as cv
 from gapscope.plans import drafting as dr
@@ -33,9 +33,7 @@ Frames = Mapping[str, DataFrame]
 def articles_of(tables: Frames) -> DataFrame:
     """Existing articles as kb_id, kb_idx, title, issue, solution, kb_vec."""
     kb = tb.kb_articles(tables["knowledge_base_articles"]).withColumnRenamed("id", "kb_id")
-    order = Window.orderBy("kb_id")
-    place = kb.select("kb_id").withColumn("kb_idx", F.row_number().over(order) - 1)
-    return kb.join(place, "kb_id")
+    return kb.join(numbered(kb.select("kb_id"), ["kb_id"], "kb_idx"), "kb_id")
 
 
 def preprocess(tables: Frames, run_id: str, embed_fn: EmbedFn, t: Thresholds = Thresholds()) -> dict[str, DataFrame]:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gapscope.operators import merging as mg
-from gapscope.operators.rounds import cut
+from gapscope.operators.rounds import cut, numbered
 
 
 def sequential_merges(pairs, size):
@@ -169,3 +169,12 @@ def test_cut_keeps_rows_and_types(spark):
     df = spark.range(5).select("id", F.array(F.lit(1.5)).alias("v"), F.struct("id").alias("s"))
     again = cut(df)
     assert again.dtypes == df.dtypes and again.count() == 5
+
+
+def test_numbered_is_the_place_in_key_order(spark):
+    rnd = random.Random(4)
+    keys = rnd.sample(range(1000), 300)
+    df = spark.createDataFrame([(k % 7, k) for k in keys], "a long, b long").repartition(5)
+    want = {k: i for i, k in enumerate(sorted(keys, key=lambda k: (k % 7, k)))}
+    assert {r["b"]: r["n"] for r in numbered(df, ["a", "b"], "n").collect()} == want
+    assert numbered(df.limit(0), ["a"], "n").isEmpty()
