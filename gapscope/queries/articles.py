@@ -200,7 +200,7 @@ def validated(t: Tables):
 
 LABEL_CENTROIDS = """SELECT run_id, label, list(m ORDER BY i) AS centroid FROM (SELECT d.lang AS run_id, v.label, i, avg(v.vec[i]) AS m
     FROM r_vec v JOIN documents d ON d.doc_id = v.vec_id, range(1, 65) AS g(i) GROUP BY ALL) GROUP BY ALL"""
-REPLIED = """SELECT article_id, quality * 4.0 + 3 AS score, article_label >= 5 AS confirmed,
+REPLIED = """SELECT article_id, (quality * 4 + 3)::DOUBLE AS score, article_label >= 5 AS confirmed,
     CASE WHEN article_label >= 7 THEN 'VALIDATED' WHEN article_label >= 3 THEN 'PARTIAL' ELSE 'INSUFFICIENT' END AS verdict FROM r_articles WHERE toxic = 0"""
 VALIDATION = f"""SELECT *, {VERDICT_SQL} AS validation_status FROM (
     SELECT n.run_id, n.article_id, n.gap_flag AS flag, p.score AS review_coverage_score, n.novel, coalesce(c.s >= {r.ALIGNED}, false) AS aligned,
@@ -215,7 +215,7 @@ VALIDATION = f"""SELECT *, {VERDICT_SQL} AS validation_status FROM (
     LEFT JOIN ({REPLIED}) p USING (article_id))"""
 
 
-@query("val_critiques", """SELECT article_id, quality * 4.0 + 3 AS coverage_score, article_label >= 5 AS gap_confirmed,
+@query("val_critiques", """SELECT article_id, (quality * 4 + 3)::DOUBLE AS coverage_score, article_label >= 5 AS gap_confirmed,
     CASE WHEN article_label >= 7 THEN 'VALIDATED' WHEN article_label >= 3 THEN 'PARTIAL' ELSE 'INSUFFICIENT' END AS verdict
     FROM r_articles WHERE toxic = 0 AND article_embedding IS NOT NULL""")
 def val_critiques(t: Tables):
