@@ -141,8 +141,8 @@ def incident_problem(t: Tables):
 
 
 WO_CLEAN = f"SELECT *, {q.strip_email('detailed_description')} AS clean FROM r_wo"
-WO_FACTS = f"""SELECT *, len({q.words('clean')}) AS clean_words, {q.boilerplate('clean')} AS boilerplate,
-    len({q.words('activity_logs_text')}) AS res_word_count, {q.email_dominated('activity_logs_text', Thresholds.email_share)} AS email_dominated,
+WO_FACTS = f"""SELECT *, len({q.words('clean')})::INTEGER AS clean_words, {q.boilerplate('clean')} AS boilerplate,
+    len({q.words('activity_logs_text')})::INTEGER AS res_word_count, {q.email_dominated('activity_logs_text', Thresholds.email_share)} AS email_dominated,
     {q.tier('activity_logs_text')} AS evidence_tier FROM ({WO_CLEAN})"""
 WO_MASKED = f"SELECT *, clean_words >= 22 AND NOT boilerplate AS to_embed, CASE WHEN clean_words >= 22 AND NOT boilerplate THEN e_clean END AS e_detail FROM ({WO_FACTS})"
 WO_PROBLEM = f"""SELECT *, CASE WHEN e_description IS NOT NULL AND e_detail IS NOT NULL THEN {q.combine('e_description', 'e_detail')}
@@ -325,7 +325,7 @@ def cluster_summary(t: Tables):
 
 INC_JUDGED = f"""SELECT *, CASE WHEN problem_vec IS NULL OR e_resolution_summary IS NULL THEN 'no-vector'
     WHEN res_word_count < 5 THEN 'short' END AS drop_reason FROM (
-    SELECT *, {INC_PROBLEM} AS problem_vec, len({q.words("coalesce(resolution_summary, '')")}) AS res_word_count, {q.tier('resolution_summary')} AS evidence_tier FROM r_inc)"""
+    SELECT *, {INC_PROBLEM} AS problem_vec, len({q.words("coalesce(resolution_summary, '')")})::INTEGER AS res_word_count, {q.tier('resolution_summary')} AS evidence_tier FROM r_inc)"""
 WO_JUDGED = f"""SELECT *, CASE WHEN problem_vec IS NULL OR e_activity_logs IS NULL THEN 'no-vector' WHEN res_word_count < 30 THEN 'short'
     WHEN NOT to_embed THEN 'no-detail' WHEN boilerplate THEN 'boilerplate' WHEN email_dominated THEN 'email' END AS drop_reason FROM ({WO_PROBLEM})"""
 
@@ -384,7 +384,7 @@ def sweep(t: Tables):
 
 
 @query("clu_choose_k", """WITH sized AS (SELECT run_id, year(o_orderdate) AS y, service_type AS s, count(*) AS n FROM r_tickets JOIN orders USING (o_orderkey) GROUP BY ALL),
-    swept AS (SELECT month(reported_date) AS k, run_id, avg(price) / 1000000 AS silhouette, count(*) / (sum(count(*)) OVER (PARTITION BY run_id)) AS max_share FROM r_tickets GROUP BY 1, 2),
+    swept AS (SELECT month(reported_date)::INTEGER AS k, run_id, avg(price) / 1000000 AS silhouette, count(*) / (sum(count(*)) OVER (PARTITION BY run_id)) AS max_share FROM r_tickets GROUP BY 1, 2),
     scored AS (SELECT *, round(silhouette - 2 * greatest(0, max_share - 0.10), 6) AS score FROM swept)
     SELECT run_id, k, round(silhouette, 6) AS silhouette, round(max_share, 6) AS max_share, score,
     row_number() OVER (PARTITION BY run_id ORDER BY score DESC, k) = 1 AS is_best_k FROM scored""")

@@ -112,7 +112,7 @@ def tickets_of_clusters(t: Tables):
 
 
 SWEPT = """SELECT run_id, k, inertia, silhouette, row_number() OVER (PARTITION BY run_id ORDER BY round(silhouette - 2 * greatest(0, max_share - 0.10), 9) DESC, k) = 1 AS is_best_k FROM (
-    SELECT run_id, month(reported_date) AS k, round(sum(price) / 1000, 1) AS inertia, round(avg(price) / 1000000, 6) AS silhouette, 0.05 AS max_share FROM r_tickets GROUP BY ALL)"""
+    SELECT run_id, month(reported_date)::INTEGER AS k, round(sum(price) / 1000, 1) AS inertia, round(avg(price) / 1000000, 6) AS silhouette, 0.05 AS max_share FROM r_tickets GROUP BY ALL)"""
 
 
 def swept(t: Tables):

@@ -24,7 +24,7 @@ def evidence_tier(t: Tables):
 
 @query(
     "txt_strip_email_noise",
-    f"""SELECT text_id, md5(clean) AS clean_md5, length(clean) AS clean_length
+    f"""SELECT text_id, md5(clean) AS clean_md5, length(clean)::INTEGER AS clean_length
     FROM (SELECT text_id, {q.strip_email('text')} AS clean FROM r_texts)""",
 )
 def strip_email_noise(t: Tables):
@@ -53,7 +53,7 @@ def email_dominated(t: Tables):
     return t.texts().select("text_id", tx.is_email_dominated(F.col("text")).alias("dominated"))
 
 
-@query("txt_word_count", f"SELECT text_id, len({q.words('text')}) AS words FROM r_texts")
+@query("txt_word_count", f"SELECT text_id, len({q.words('text')})::INTEGER AS words FROM r_texts")
 def word_count(t: Tables):
     return t.texts().select("text_id", tx.word_count(F.col("text")).alias("words"))
 
@@ -71,7 +71,7 @@ def has_resolution(t: Tables):
 
 @query(
     "txt_sanitise",
-    f"""SELECT text_id, md5(clean) AS clean_md5, length(clean) AS clean_length
+    f"""SELECT text_id, md5(clean) AS clean_md5, length(clean)::INTEGER AS clean_length
     FROM (SELECT text_id, {q.sanitise('text')} AS clean FROM r_texts)""",
 )
 def sanitise(t: Tables):
@@ -345,7 +345,7 @@ def reply_keys(t: Tables):
 
 @query(
     "txt_label_tokens",
-    f"""SELECT text_id, len(w) AS tokens, md5(array_to_string(w, ' ')) AS tokens_md5 FROM (
+    f"""SELECT text_id, len(w)::INTEGER AS tokens, md5(array_to_string(w, ' ')) AS tokens_md5 FROM (
       SELECT text_id, list_filter(regexp_extract_all({q.normalise_terms('text')}, '[a-zA-Z]{{3,}}'),
         lambda s: s NOT IN ({', '.join(q.lit(s) for s in STOP_WORDS)})) AS w FROM r_texts)""",
 )
