@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapscope.llm import bpe, packing
+from gapscope.llm import bpe, langid, packing, quality
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -36,12 +36,26 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op2_language")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    found = langid.predict(F.col("text"), langid.learn(docs)).alias("p")
+    return docs.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), found).select("doc_id", "held_out", "p.*")
+
+
 @query("op4_bpe")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return docs.select("doc_id", bpe.digests(F.col("text"), vocabulary()).alias("d")).select("doc_id", "d.*")
 
 
+@query("op6_quality")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    field = quality.learn(docs, table(spark, folder, "labels"))
+    return docs.select("doc_id", quality.judge(F.col("text"), field).alias("q")).select("doc_id", "q.*")
+
+
 @query("op8_packing")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents").select("doc_id", "text"), vocabulary())
