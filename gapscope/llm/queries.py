@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapscope.llm import bpe, langid, packing, quality
+from gapscope.llm import bpe, langid, linededup, packing, quality
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -59,3 +59,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_packing")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents").select("doc_id", "text"), vocabulary())
+
+
+@query("op10_line_dedup", linededup.SQL)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return linededup.dedup(table(spark, folder, "documents").select("doc_id", "text"))
