@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapscope.llm import bpe, langid, linededup, packing, quality
+from gapscope.llm import bpe, langid, linededup, packing, quality, sharding
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -56,6 +56,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", quality.judge(F.col("text"), field).alias("q")).select("doc_id", "q.*")
 
 
+@query("op7_sharding")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.assign(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query("op8_packing")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents").select("doc_id", "text"), vocabulary())
