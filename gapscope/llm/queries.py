@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapscope.llm import bpe, langid, linededup, packing, quality, sharding, warc
+from gapscope.llm import bpe, htmltext, langid, linededup, packing, quality, sharding, warc
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -48,6 +48,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), found).select("doc_id", "held_out", "p.*")
 
 
+@query("op3_main_text")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return htmltext.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
 @query("op4_bpe")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
