@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapscope.llm import bpe, htmltext, langid, linededup, packing, quality, sharding, warc
+from gapscope.llm import bpe, htmltext, langid, linededup, ngramjoin, packing, quality, sharding, warc
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -76,6 +76,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents").select("doc_id", "text"), vocabulary())
 
 
+@query("op9_ngram_join", ngramjoin.SQL)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return ngramjoin.join(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query("op10_line_dedup", linededup.SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.dedup(table(spark, folder, "documents").select("doc_id", "text"))
