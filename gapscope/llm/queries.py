@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapscope.llm import bpe, htmltext, langid, linededup, ngramjoin, packing, quality, sharding, warc
+from gapscope.llm import bpe, htmltext, langid, linededup, ngramjoin, packing, quality, sharding, vectordedup, warc
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -59,6 +59,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", bpe.digests(F.col("text"), vocabulary()).alias("d")).select("doc_id", "d.*")
 
 
+@query("op5_vector_dedup", vectordedup.SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return vectordedup.dedup(table(spark, folder, "embeddings").select("vec_id", "embedding", "label"))
+
+
 @query("op6_quality")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
