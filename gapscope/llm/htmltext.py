@@ -169,7 +169,7 @@ def scan(html: str, low: frozenset[str] = frozenset(), seen: Counter | None = No
         path = f"{up.path}/{'.'.join([tag, *classes])}" if len(stack) <= DEEPEST else up.path
         out = up.out or hidden or tag in OUT_TAGS or role in OUT_ROLES or named or (tag == "header" and not up.inside) or path in low
         up.children.append(tag)
-        if tag in BLOCK or out and not up.out:
+        if tag in BLOCK:
             flush()
         if tag in VOID:
             if tag in ("br", "hr") and not out:
