@@ -29,6 +29,8 @@ from gapscope.llm.common import worker_store
 SPACE = "\t-\r \x85\xa0  -     　"
 NOT_SPACE_HERE = "\x1c\x1d\x1e\x1f"
 LONG_WORD = 256
+ID_BITS = 32
+ID_MASK = (1 << ID_BITS) - 1
 MEMO_CHUNKS = 300_000
 MEMO_CHARS = 48
 
@@ -56,13 +58,14 @@ class WordBpe:
         pattern = next(p for p in whole["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.words = regex.compile(pattern.replace(r"\s", SPACE)).findall
         self.chunks = regex.compile(f"[^{SPACE}]+").findall
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        # A merge's rank with the new part's id in its low bits: one number to compare and to use.
+        self.merges: dict[tuple[int, int], int] = {}
         for rank, (a, b) in enumerate(m.split(" ") if isinstance(m, str) else m for m in model["merges"]):
-            self.merges.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
+            self.merges.setdefault((self.vocab[a], self.vocab[b]), rank << ID_BITS | self.vocab[a + b])
         letters = byte_characters()
         self.inner = [self.vocab[c] for c in letters]
         self.last = [self.vocab[c + self.end] for c in letters]
-        self.none = (len(model["merges"]), -1)
+        self.none = len(model["merges"]) << ID_BITS
         self.known: dict[str, list[int]] = {}
 
     def split(self, text: str) -> list[str]:
@@ -79,10 +82,10 @@ class WordBpe:
         ranks = [look(p, none) for p in zip(parts, parts[1:])]
         while ranks:
             best = min(ranks)
-            if best is none:
+            if best == none:
                 break
             i = ranks.index(best)
-            parts[i] = best[1]
+            parts[i] = best & ID_MASK
             del parts[i + 1], ranks[i]
             if i:
                 ranks[i - 1] = look((parts[i - 1], parts[i]), none)
@@ -93,19 +96,19 @@ class WordBpe:
     def long_word(self, parts: list[int]) -> list[int]:
         after, before = [*range(1, len(parts)), -1], [*range(-1, len(parts) - 1)]
         look = self.merges.get
-        heap = [(m[0], i, m[1], a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (m := look((a, b)))]
+        heap = [(m, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (m := look((a, b))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, new, a, b = heapq.heappop(heap)
+            best, i, a, b = heapq.heappop(heap)
             j = after[i]
             if j < 0 or parts[i] != a or parts[j] != b:
                 continue
-            parts[i], parts[j], after[i] = new, -1, after[j]
+            parts[i], parts[j], after[i] = best & ID_MASK, -1, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right >= 0 and (m := look((parts[left], parts[right]))):
-                    heapq.heappush(heap, (m[0], left, m[1], parts[left], parts[right]))
+                if left >= 0 and right >= 0 and (m := look((parts[left], parts[right]))) is not None:
+                    heapq.heappush(heap, (m, left, parts[left], parts[right]))
         return [p for p in parts if p >= 0]
 
     def chunk(self, chunk: str) -> list[int]:
@@ -114,8 +117,9 @@ class WordBpe:
             return self.known_word(chunk.lower())
         if self.split_special and "<" in chunk and len(pieces := self.split_special.split(chunk)) > 1:
             return [i for p in pieces for i in ([self.special[p]] if p in self.special else self.chunk(p) if p else [])]
-        # Lower case letter by letter: a final sigma stays an ordinary one.
-        plain = chunk.lower() if chunk.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", chunk))
+        plain = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)
+        # Lower case goes letter by letter, so a final sigma is an ordinary one.
+        plain = "".join(c.lower() for c in plain) if "\u03a3" in plain else plain.lower()
         return [i for word in self.words(plain) for i in self.known_word(word)]
 
     def known_word(self, word: str) -> list[int]:
@@ -139,27 +143,27 @@ class WordBpe:
 class Memo(dict):
     """Remembers what ``make`` gives for a chunk; starts anew when it is full."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, chunk: str):
         out = self.make(chunk)
         if len(chunk) <= MEMO_CHARS:
-            if len(self) >= MEMO_CHUNKS:
+            if len(self) >= self.most:
                 self.clear()
             self[chunk] = out
         return out
 
 
-def encoder(path: str) -> WordBpe:
-    return worker_store(f"bpe {path}", lambda: WordBpe(path))
+def encoder(path: str, kind: type[WordBpe] = WordBpe) -> WordBpe:
+    return worker_store(f"{kind.__name__} {path}", lambda: kind(path))
 
 
-def memo(path: str, kind: str, form) -> Memo:
+def memo(path: str, name: str, form, kind: type[WordBpe] = WordBpe, most: int = MEMO_CHUNKS) -> Memo:
     """``form`` of each chunk's ids, kept by the worker."""
-    bpe = encoder(path)
-    return worker_store(f"{kind} {path}", lambda: Memo(lambda chunk: form(bpe, bpe.chunk(chunk))))
+    bpe = encoder(path, kind)
+    return worker_store(f"{name} {path}", lambda: Memo(lambda chunk: form(bpe, bpe.chunk(chunk)), most))
 
 
 def digests(text: Column, path: str) -> Column:

@@ -1,6 +1,6 @@
 """Large-item matching: packs token sequences into as few bins as it can.
 
-1. Texts become ids (plus one separator id). Ids of more than ``capacity`` are cut into full
+1. Texts become ids (plus one separator id); the tokenizers library merges each new word. Ids of more than ``capacity`` are cut into full
    pieces and a rest; nothing else is cut. One row per piece stays: its length and checksum.
 2. The lengths are at most ``capacity`` different numbers, so their histogram is small
    whatever the corpus, and one exact plan for all pieces is made from it on the driver.
@@ -17,6 +17,7 @@ ids and repeated rows are packed like any others. An empty table gives no rows.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_left, insort
 
@@ -25,20 +26,38 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapscope.llm.bpe import encoder, memo
+from gapscope.llm.bpe import WordBpe, byte_characters, encoder, memo
 from gapscope.llm.common import cut
 
 PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 
 
+#: Chunks of text whose ids a worker remembers.
+MEMO_CHUNKS = 600_000
+
+
+class LibraryBpe(WordBpe):
+    """Splits texts as WordBpe does and leaves the merges of each new word to the tokenizers library."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__(path)
+        self.model, self.letters = Tokenizer.from_file(path).model, byte_characters()
+
+    def word(self, word: str) -> list[int]:
+        plain = word if word.isascii() and word.isprintable() else "".join(self.letters[b] for b in word.encode())
+        return [t.id for t in self.model.tokenize(plain)]
+
+
 def pieces(text: Column, path: str, capacity: int, separator: int) -> Column:
     """Per text the pieces of its ids and the separator id after them."""
     ending = np.uint32(separator).astype("<u4").tobytes()
 
     @F.pandas_udf(PIECES)
     def encode(texts: pd.Series) -> pd.Series:
-        bpe = encoder(path)
-        known = memo(path, "bytes", lambda b, ids: np.array(ids, "<u4").tobytes())
+        bpe = encoder(path, LibraryBpe)
+        known = memo(path, "bytes", lambda _, ids: struct.pack(f"<{len(ids)}I", *ids), LibraryBpe, MEMO_CHUNKS)
         out = []
         for t in texts:
             data = b"".join(map(known.__getitem__, bpe.split(t or ""))) + ending
