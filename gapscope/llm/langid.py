@@ -15,9 +15,7 @@ teach nothing. Repeated rows count as often as they occur and are judged alike.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -26,88 +24,107 @@ from pyspark.sql import functions as F
 
 from gapscope.llm.common import worker_store
 
-LETTERS = re.compile(r"[^\W\d_]+")
-MEMO_CHUNKS = 200_000
-MEMO_GRAMS = 1_000_000
 PROFILE_SIZE = 300
 LONGEST = 4
-
-
-class Grams:
-    """Numbers n-grams and remembers those of each chunk of text between white space."""
-
-    def __init__(self, known: list[str], longest: int):
-        self.known, self.longest = known, longest
-        self.reset()
-
-    def reset(self) -> None:
-        self.ids: dict[str, int] = {g: i for i, g in enumerate(self.known)}
-        self.chunks: dict[str, np.ndarray] = {}
-
-    def of_chunk(self, chunk: str) -> np.ndarray:
-        ids, longest, out = self.ids, self.longest, []
-        for word in LETTERS.findall(chunk.lower()):
-            padded = f"_{word}_"
-            size = len(padded)
-            grams = [padded[i : i + n] for n in range(1, longest + 1) for i in range(size - n + 1)]
-            grams.remove("_")
-            grams.remove("_")
-            out += [ids.setdefault(g, len(ids)) for g in grams]
-        found = np.array(out, np.int32)
-        if len(chunk) <= 48:
-            self.chunks[chunk] = found
-        return found
-
-    def count(self, chunks: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the n-grams of the chunks and how often each occurs."""
-        if len(self.chunks) > MEMO_CHUNKS or len(self.ids) > MEMO_GRAMS:
-            self.reset()
-        get, of_chunk = self.chunks.get, self.of_chunk
-        arrays = [of_chunk(c) if (a := get(c)) is None else a for c in chunks]
-        if not arrays:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        sizes = np.fromiter(map(len, arrays), np.int64, len(arrays))
-        weights = np.repeat(np.fromiter(chunks.values(), np.int64, len(arrays)), sizes)
-        ids, at = np.unique(np.concatenate(arrays), return_inverse=True)
-        return ids, np.bincount(at, weights, len(ids)).astype(np.int64)
+#: Characters whose n-grams are held at once, and n-grams that a task sums before it hands them on.
+SLICE_CHARS = 1 << 20
+MOST_GRAMS = 1 << 20
+EDGE = 1  # stands for the padding; no letter has this code
+
+
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(k).isalpha() for k in range(0x110000)), bool, 0x110000)
+
+
+def grams(texts: Sequence[str], longest: int = LONGEST) -> list[np.ndarray]:
+    """Per text all its n-grams of 1 to ``longest`` (at most 4) characters, in no order.
+
+    A word is a run of letters with an edge on either side; an n-gram lies in one word with
+    its edges and holds a letter. It is packed into 64 bits, 16 for each character; characters
+    beyond the basic plane are folded to 16 bits.
+    """
+    known = worker_store("letters", letters)
+    parts = [np.frombuffer(t.lower().encode("utf-32-le", "replace"), "<u4") for t in texts]
+    edge = np.array([EDGE], np.uint32)
+    codes = np.concatenate([x for part in parts for x in (edge, part)] + [edge])
+    # A text's windows begin between its own edge and the next text's.
+    starts = np.cumsum([0] + [len(part) + 1 for part in parts])
+    letter = known[codes]
+    letter[starts] = False
+    chars = np.where(letter, codes & 0xFFFF, EDGE).astype(np.uint64)
+    found, inner, packed = [], None, None
+    for n in range(1, longest + 1):
+        if n == 1:
+            packed, valid = chars, letter
+        else:
+            packed = (packed[:-1] << np.uint64(16)) | chars[n - 1 :]
+            if n == 2:
+                valid = letter[:-1] | letter[1:]
+            else:
+                inner = letter[1:-1] if n == 3 else inner[:-1] & letter[n - 2 : -1]
+                valid = inner
+        at = np.flatnonzero(valid)
+        found.append((packed[at].view(np.int64), np.searchsorted(at, starts)))
+    return [np.concatenate([values[cuts[k] : cuts[k + 1]] for values, cuts in found]) for k in range(len(texts))]
+
+
+def slices(texts: Sequence[str]) -> Iterator[list[str]]:
+    """The texts in groups of bounded size; a longer text is a group of its own."""
+    held: list[str] = []
+    size = 0
+    for t in texts:
+        if held and size + len(t) > SLICE_CHARS:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
+
+
+def counted(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, sorted, and how often (or with what weight) each occurs."""
+    if weights is None:
+        values = np.sort(values)
+        first = np.concatenate(([0], np.flatnonzero(values[1:] != values[:-1]) + 1)) if len(values) else np.empty(0, np.int64)
+        return values[first], np.diff(np.append(first, len(values)))
+    distinct, at = np.unique(values, return_inverse=True)
+    return distinct, np.bincount(at, weights, len(distinct)).astype(np.int64)
 
 
 def gram_counts(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
     """(lang, gram, n) over all rows with a text and a language."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams = worker_store(f"grams {longest}", lambda: Grams([], longest))
-        sums: dict[str, Counter] = {}
+        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
-        def rows() -> pd.DataFrame:
-            return pd.DataFrame([(k, g, n) for k, c in sums.items() for g, n in c.items()], columns=["lang", "gram", "n"])
+        def rows() -> Iterator[pd.DataFrame]:
+            for lang, (gram, n) in sums.items():
+                yield pd.DataFrame({"lang": lang, "gram": gram, "n": n})
+            sums.clear()
 
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
-                chunks: Counter = Counter()
-                for text in texts:
-                    chunks.update(text.split())
-                ids, n = grams.count(chunks)
-                names = list(grams.ids)
-                own = sums.setdefault(lang, Counter())
-                for i, k in zip(ids.tolist(), n.tolist()):
-                    own[names[i]] += k
-            if sum(map(len, sums.values())) > MEMO_GRAMS:
-                yield rows()
-                sums.clear()
-        yield rows()
+                for some in slices(list(texts)):
+                    new = counted(np.concatenate(grams(some, longest)))
+                    old = sums.get(lang)
+                    sums[lang] = new if old is None else counted(*(np.concatenate(pair) for pair in zip(old, new)))
+            if sum(len(g) for g, _ in sums.values()) > MOST_GRAMS:
+                yield from rows()
+        yield from rows()
 
     taught = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text")
-    return taught.mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return taught.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def profiles(counts: DataFrame, size: int = PROFILE_SIZE) -> dict[str, dict[str, float]]:
-    """Per language the middle rank of each of its ``size`` most frequent n-grams (ties to the lower text)."""
+def profiles(counts: DataFrame, size: int = PROFILE_SIZE) -> dict[str, dict[int, float]]:
+    """Per language the middle rank of each of its ``size`` most frequent n-grams (ties to the lower number)."""
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= size).drop("__r")
-    out: dict[str, dict[str, float]] = {}
+    out: dict[str, dict[int, float]] = {}
     for lang, rows in top.toPandas().sort_values(["lang", "n", "gram"], ascending=[True, False, True]).groupby("lang"):
-        out[lang] = dict(zip(rows["gram"], middle_ranks(rows["n"].to_numpy()).tolist()))
+        out[lang] = dict(zip(rows["gram"].tolist(), middle_ranks(rows["n"].to_numpy()).tolist()))
     return out
 
 
@@ -120,38 +137,39 @@ def middle_ranks(counts: np.ndarray) -> np.ndarray:
 class Detector:
     """Compares documents with profiles; built once per worker."""
 
-    def __init__(self, profiles: dict[str, dict[str, float]], size: int, longest: int):
-        self.names, self.size = sorted(profiles), size
-        known = sorted({g for p in profiles.values() for g in p})
-        self.grams = Grams(known, longest)
-        place = {g: i for i, g in enumerate(known)}
-        self.ranks = np.full((len(self.names), len(known)), np.nan)
+    def __init__(self, profiles: dict[str, dict[int, float]], size: int, longest: int):
+        self.names, self.size, self.longest = sorted(profiles), size, longest
+        self.known = np.array(sorted({g for p in profiles.values() for g in p}), np.int64)
+        self.ranks = np.full((len(self.names), len(self.known)), np.nan)
         for k, name in enumerate(self.names):
-            for gram, rank in profiles[name].items():
-                self.ranks[k, place[gram]] = rank
+            own = profiles[name]
+            self.ranks[k, np.searchsorted(self.known, np.array(list(own), np.int64))] = list(own.values())
 
-    def detect(self, text: str | None) -> tuple[str, float]:
-        ids, counts = self.grams.count(Counter(text.split())) if text and self.names else ((), ())
-        if not len(ids):
+    def detect(self, found: np.ndarray) -> tuple[str, float]:
+        """Language and score of a document, given all its n-grams."""
+        if not len(found) or not self.names:
             return "und", 0.0
+        distinct, counts = counted(found)
         ranks = middle_ranks(counts)
         first = ranks < self.size
-        ids, ranks = ids[first], ranks[first]
-        known = ids < self.ranks.shape[1]
-        apart = np.abs(self.ranks[:, ids[known]] - ranks[known])
+        distinct, ranks = distinct[first], ranks[first]
+        at = np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)
+        known = self.known[at] == distinct
+        apart = np.abs(self.ranks[:, at[known]] - ranks[known])
         costs = np.where(np.isnan(apart), self.size, np.minimum(apart, self.size)).sum(axis=1) + self.size * (~known).sum()
         best = int(np.argmin(costs))
-        return self.names[best], float(1 - costs[best] / (self.size * len(ids)))
+        return self.names[best], float(1 - costs[best] / (self.size * len(distinct)))
 
 
-def predict(text: Column, profiles: dict[str, dict[str, float]], size: int = PROFILE_SIZE, longest: int = LONGEST) -> Column:
+def predict(text: Column, profiles: dict[str, dict[int, float]], size: int = PROFILE_SIZE, longest: int = LONGEST) -> Column:
     """Per text a struct of lang_pred and score."""
     stamp = f"detector {hash(repr(sorted((k, sorted(v.items())) for k, v in profiles.items())))} {size} {longest}"
 
     @F.pandas_udf("lang_pred string, score double")
     def detect(texts: pd.Series) -> pd.DataFrame:
         found = worker_store(stamp, lambda: Detector(profiles, size, longest))
-        return pd.DataFrame([found.detect(t) for t in texts], columns=["lang_pred", "score"])
+        rows = [found.detect(g) for some in slices([t or "" for t in texts]) for g in grams(some, longest)]
+        return pd.DataFrame(rows, columns=["lang_pred", "score"])
 
     return detect(text)
 
@@ -161,6 +179,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame) -> dict[str, dict[str, float]]:
+def learn(docs: DataFrame) -> dict[str, dict[int, float]]:
     """Profiles from the documents that are not held out."""
     return profiles(gram_counts(docs.where(~held_out(F.col("doc_id")))))
