@@ -85,14 +85,23 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.round(a @ b.T, SIM_DIGITS) + 0.0
 
 
-def _emit(cell: Cell, kernel: Kernel, left_cols, right_cols, schema: pa.Schema) -> pa.Table:
+AT, MATE = "__at", "__mate"
+
+
+def _emit(cell: Cell, kernel: Kernel, left_cols, right_cols, schema: pa.Schema, first: int | None = None) -> pa.Table:
+    """What the kernel keeps. ``first`` is the place of the block's first right row: with it,
+    each row also tells which left row of the block and which right row it stems from."""
     li, ri, values = kernel(cell)
     data = {c: cell.left[c].take(pa.array(li)) for c in left_cols}
     if ri is not None:
         data.update({c: cell.right[c].take(pa.array(ri)) for c in right_cols})
     data.update(values)
-    return pa.table([pa.array(data[f.name], f.type) if isinstance(data[f.name], np.ndarray)
-                     else data[f.name].cast(f.type) for f in schema], schema=schema)
+    out = pa.table([pa.array(data[f.name], f.type) if isinstance(data[f.name], np.ndarray)
+                    else data[f.name].cast(f.type) for f in schema], schema=schema)
+    if first is None:
+        return out
+    mates = np.zeros(len(li), np.int64) if ri is None else np.asarray(ri) + first
+    return out.append_column(AT, pa.array(np.asarray(li, np.int64))).append_column(MATE, pa.array(mates))
 
 
 def _group_rows(table: pa.Table, by: Sequence[str]) -> dict[tuple, np.ndarray]:
@@ -164,13 +173,13 @@ def compare(
                             pick = mates[j : j + block_rows]
                             sim = _cosines(l_unit, matrix[pick])
                             cell = Cell(l_rows, whole.take(pa.array(pick)), sim)
-                            parts.append(_emit(cell, kernel, left_cols, right_cols, arrow))
+                            part = _emit(cell, kernel, left_cols, right_cols, arrow, None if fold is None else j)
                             if fold is None:
-                                yield from parts.pop().to_batches()
-                        if len(parts) > 1:
-                            parts = [fold(pa.concat_tables(parts)).cast(arrow)]
-                        for part in parts:
-                            yield from part.to_batches()
+                                yield from part.to_batches()
+                            else:
+                                parts.append(part)
+                        if parts:
+                            yield from fold(pa.concat_tables(parts)).drop_columns([AT, MATE]).cast(arrow).to_batches()
 
         return Comparison(lf.mapInArrow(stream, out), fold is not None)
 
@@ -279,19 +288,16 @@ def nearest(left: Side, right: Side, *, by: Sequence[str] = (), **layout) -> Dat
 def top_k(left: Side, right: Side, k: int, *, by: Sequence[str] = (), **layout) -> DataFrame:
     """The ``k`` best right rows of every left row with their rank from 1."""
     keys = list(dict.fromkeys([*by, *left.columns]))
-    lead, mate = left.columns[0], right.columns[0]
+    mate = right.columns[0]
 
     def fold(table: pa.Table) -> pa.Table:
-        table = table.sort_by(
-            [(lead, "ascending"), ("sim", "descending"), (mate, "ascending")]
-        )
-        owner = table[lead].combine_chunks().dictionary_encode().indices.to_numpy()
-        fresh = np.r_[True, owner[1:] != owner[:-1]]
-        start = np.maximum.accumulate(np.where(fresh, np.arange(len(owner)), 0))
-        place = np.arange(len(owner)) - start
-        return table.filter(pa.array(place < k)).set_column(
-            table.schema.get_field_index("rank"), "rank", pa.array(place[place < k] + 1)
-        )
+        at, sim, other = (table[c].to_numpy() for c in (AT, "sim", MATE))
+        order = np.lexsort((other, -sim, at))
+        own = at[order]
+        place = np.arange(len(own)) - np.searchsorted(own, own, side="left")
+        keep = place < k
+        ranked = table.take(pa.array(order[keep]))
+        return ranked.set_column(table.schema.get_field_index("rank"), "rank", pa.array(place[keep] + 1))
 
     hits = compare(
         left, right, _best if k == 1 else _best_k(k), RANKED, by=by, fold=fold, **layout

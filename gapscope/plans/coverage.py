@@ -31,12 +31,19 @@ def ticket_coverage(
     """Closest article of every ticket and its class; no shuffle while the articles fit a broadcast.
 
     Cosines do not depend on length, so the resolution (or problem) vector goes in as stored.
+    Where there is no article at all, every ticket is as far from one as can be.
     """
     lead = keys[0]
     answers = tickets.withColumn("__answer", F.coalesce("res_vec", "problem_vec"))
     hits = nearest(
         Side(answers, "__answer", list(keys)), Side(articles, "kb_vec", ["kb_id", "title"]), **layout
     )
+    # Either every ticket meets an article or none does; only the latter adds rows here.
+    some = articles.where(F.col("kb_vec").isNotNull()).select(F.lit(1).alias("n")).limit(1).agg(F.count("*")).scalar()
+    alone = answers.where(F.col("__answer").isNotNull() & (some == 0)).select(
+        *keys, *[F.lit(None).cast(articles.schema[c].dataType).alias(c) for c in ("kb_id", "title")], F.lit(0.0).alias("sim")
+    )
+    hits = hits.select(*alone.columns).union(alone)
     return classify(hits, covered, partial).select(
         lead, *keys[1:], F.col("sim").alias("max_kb_sim"), F.col("kb_id").alias("best_kb_id"),
         snippet(F.col("title"), 500).alias("best_kb_title"), "coverage",
@@ -129,8 +136,11 @@ def label_prompts(clusters: DataFrame, samples: DataFrame) -> DataFrame:
 
 def model_labels(clusters: DataFrame, prompts: DataFrame, chat_fn: ChatFn) -> DataFrame:
     """``cluster_label`` from the model where it is usable, else the term label."""
-    asked = prompts.withColumn("reply", ask(F.array("prompt"), chat_fn)).select(
-        "cluster_id", F.get_json_object("reply", "$.label").alias("__l")
-    )
-    joined = clusters.join(asked, "cluster_id", "left")
+    return use_labels(clusters, prompts.select("cluster_id", ask(F.array("prompt"), chat_fn).alias("reply")))
+
+
+def use_labels(clusters: DataFrame, replies: DataFrame) -> DataFrame:
+    """``replies`` has cluster_id and the model's JSON."""
+    found = replies.select("cluster_id", F.get_json_object("reply", "$.label").alias("__l"))
+    joined = clusters.join(found, "cluster_id", "left")
     return joined.withColumn("cluster_label", accept_label(F.col("__l"), F.col("cluster_label"))).drop("__l")

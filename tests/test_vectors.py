@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from gapscope.functions import vectors as vc
 from gapscope.operators import similarity as sm
 from gapscope.operators.quantiles import similarity_percentile
+from gapscope.plans import coverage as cv
+from gapscope.plans import review as rv
 
 LAYOUTS = ({}, {"block_rows": 7}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "block_rows": 7})
 
@@ -49,6 +51,45 @@ def test_top_k_equals_brute_force(sets, layout, grouped):
         assert {t: [v[i] for i in sorted(v)] for t, v in got.items()} == brute(sim, k, grouped)
 
 
+@pytest.mark.parametrize("layout", LAYOUTS)
+@pytest.mark.parametrize("k", [1, 4])
+def test_top_k_with_struct_and_repeated_leads(sets, layout, k):
+    left, right, sim = sets
+    both = left.withColumn("c", F.struct((F.col("t") % 5).alias("r"), "g")).withColumn("other", F.col("t").cast("string"))
+    got = {}
+    hits = sm.top_k(sm.Side(both, "v", ["c", "other"]), sm.Side(right, "v", ["k"]), k, **layout)
+    for r in hits.collect():
+        assert r["c"]["r"] == int(r["other"]) % 5
+        got.setdefault(int(r["other"]), {})[r["rank"]] = r["k"]
+    assert {t: [v[i] for i in sorted(v)] for t, v in got.items()} == brute(sim, k, False)
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_plans_agree_in_every_layout(spark, sets, layout):
+    left, right, sim = sets
+    tickets = left.select(F.col("t").alias("ticket_id"), F.lit(None).cast("array<double>").alias("res_vec"), F.col("v").alias("problem_vec"))
+    kb = right.select(F.col("k").alias("kb_id"), F.concat(F.lit("title "), "k").alias("title"), F.lit("text").alias("solution"), F.col("v").alias("kb_vec"))
+    found = {r["ticket_id"]: r["best_kb_id"] for r in cv.ticket_coverage(tickets, kb, **layout).collect()}
+    assert found == {t: v[0] for t, v in brute(sim, 1, False).items()}
+    clusters = left.select(F.lit("run").alias("run_id"), F.col("t").alias("cluster_id"), F.col("v").alias("centroid"))
+    got = {}
+    for r in rv.candidates(clusters, kb, **layout).collect():
+        got.setdefault(r["cluster_id"], {})[r["rank"]] = r["kb_id"]
+    assert {t: [v[i] for i in sorted(v)] for t, v in got.items()} == brute(sim, 10, False)
+    members = left.select("t", (F.col("t") % 7).alias("cluster_id"), F.col("v").alias("cluster_vec"), F.col("v").alias("kb_side_vec")).where("v is not null")
+    assert sorted(map(tuple, cv.cluster_summary(members, kb, **layout).drop("centroid", "kb_centroid").collect())) == sorted(
+        map(tuple, cv.cluster_summary(members, kb).drop("centroid", "kb_centroid").collect())
+    )
+
+
+def test_coverage_without_articles(sets):
+    left, right, _ = sets
+    tickets = left.select(F.col("t").alias("ticket_id"), F.col("v").alias("res_vec"), F.col("v").alias("problem_vec"))
+    kb = right.where("k < 0").select(F.col("k").alias("kb_id"), F.lit("t").alias("title"), F.col("v").alias("kb_vec"))
+    out = cv.ticket_coverage(tickets, kb).collect()
+    assert len(out) == 59 and {(r["max_kb_sim"], r["best_kb_id"], r["best_kb_title"], r["coverage"]) for r in out} == {(0.0, None, None, "UNCOVERED")}
+
+
 @pytest.mark.parametrize("block", [5, 1000])
 def test_pairs_above_equals_brute_force(sets, block):
     _, right, _ = sets
