@@ -13,15 +13,22 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a session without one gets its own."""
+    """The folder the cluster names for checkpoints.
+
+    Only a session whose tasks run on the driver's own machine may go without: it gets a
+    temporary folder. On a cluster other machines would not see that, so it is an error.
+    """
     named = spark.conf.get(CHECKPOINT_SETTING, None)
     if named:
         return named
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gapscope-checkpoint-"))
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return current.get()
+    if current.isDefined():
+        return current.get()
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that driver and executors share")
+    spark.conf.set(CHECKPOINT_SETTING, tempfile.mkdtemp(prefix="gapscope-checkpoint-"))
+    return spark.conf.get(CHECKPOINT_SETTING)
 
 
 def cut(df: DataFrame) -> DataFrame:
