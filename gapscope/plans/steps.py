@@ -1,7 +1,8 @@
 """The six steps of a run. Each takes tables and gives back tables to store.
 
 Steps hand over through stored tables only, so each can be run again by itself:
-``store`` replaces the run's partition of every table a step returns.
+``store`` replaces the run's partition of every table a step returns, and drops it from
+those that the step fills but returned nothing for (``FILLS``).
 """
 
 from __future__ import annotations
@@ -28,6 +29,11 @@ from gapscope.sources import sinks as sk
 from gapscope.sources import tables as tb
 
 Frames = Mapping[str, DataFrame]
+#: Tables whose rows of a run a step replaces as a whole, returned or not.
+FILLS = {
+    "preprocess": ("ticket_embeddings",),
+    "clustering": sk.CLUSTER_STEP_TABLES,
+}
 
 
 def articles_of(tables: Frames) -> DataFrame:
@@ -124,9 +130,10 @@ def gap_analysis(
     scored = gp.coverage_scores(matrix, covered=t.covered, partial=t.partial)
     base = clusters.select("run_id", "cluster_id", "cluster_label", "size", "top_terms", "centroid")
     key = ["run_id", "cluster_id"]
+    # A cluster that met no article is as uncovered as can be.
+    met = base.join(scored, key, "left").fillna(0, ["max_kb_sim", "avg_top3_sim", "n_above_p75", "coverage_score"]).fillna("CRITICAL", ["gap_flag"])
     signals = (
-        scored.join(base, key)
-        .join(gp.recent_counts(assignments, tables["incidents_processed"], as_of), key, "left")
+        met.join(gp.recent_counts(assignments, tables["incidents_processed"], as_of), key, "left")
         .join(gp.evidence_quality(assignments, tb.of_run(tables["ticket_embeddings"], run_id)), key, "left")
     )
     ranked = cut(gp.priorities(signals, weights=t.priority_weights))
@@ -147,6 +154,8 @@ def gap_analysis(
     flags = clusters.drop("summary").join(ranked.select(*key, "summary"), key)
     use = gp.kb_utilization(matrix, scored, partial=t.partial, over_relied=t.over_relied)
     index = sk.existing_entries(kb.withColumnRenamed("kb_id", "id"), clusters.select("run_id"))
+    if "kb_search_index" in tables:  # generated entries of an earlier pass stay
+        index = sk.upsert_table("kb_search_index", tb.of_run(tables["kb_search_index"], run_id), index)
     top = base.select(*key, "top_terms")
     return {
         "clusters": mg.merge_clusters(flags, moved, ends),
@@ -186,7 +195,12 @@ def drafting(
     ordered = cut(dr.list_order(assembled))
     articles = dr.resolve_duplicates(dr.mark_duplicates(ordered, t.article_duplicate)).drop("position", "kb_issue", "kb_solution")
     index = sk.replace_generated(tb.of_run(tables["kb_search_index"], run_id), ordered)
-    return {"generated_kb_articles": articles, "kb_search_index": index}
+    out = {"generated_kb_articles": articles, "kb_search_index": index}
+    if "kb_validation_results" in tables and "generated_kb_articles" in tables:
+        # Results about articles that are replaced go with them.
+        gone = tb.of_run(tables["generated_kb_articles"], run_id)
+        out["kb_validation_results"] = sk.replace_articles(gone, tb.of_run(tables["kb_validation_results"], run_id), gone)[1]
+    return out
 
 
 def validation(
@@ -202,18 +216,29 @@ def validation(
     existing = index.select("run_id", F.col("source_id").alias("kb_id"), F.col("title").alias("kb_title"), F.col("embedding").alias("kb_vec"))
     centroids = tb.of_run(tables["clusters"], run_id, "run_id", "cluster_id", "centroid")
     rows = cut(va.validation_rows(live, existing, centroids, critiqued, t))
+    metrics = va.scorecard(rows)
+    if "evaluation_results" in tables:  # those of other categories stay
+        metrics = sk.replace_metrics(tb.of_run(tables["evaluation_results"], run_id), metrics)
     return {
         "kb_validation_results": rows,
-        "evaluation_results": va.scorecard(rows),
+        "evaluation_results": metrics,
         "generated_kb_articles": sk.flag_for_review(articles, va.to_review(rows)),
     }
 
 
-def store(outputs: Frames, folder: str) -> None:
-    """Write every table of a step into its place, run by run.
+def store(outputs: Frames, folder: str, run_id: str | None = None, step: str | None = None) -> None:
+    """Put every table of a step into its place.
 
-    Results that read a table they replace are finished before any is replaced.
+    All are written beside their places before any is moved, so results may read the tables
+    they replace, and a step that fails while writing changes nothing. With ``run_id`` the
+    run is replaced even where a table has no rows for it, and ``step`` names the step whose
+    other tables of that run are dropped.
     """
-    ready = {name: cut(df) for name, df in outputs.items()}
-    for name, df in ready.items():
-        sk.write_runs(df, f"{folder}/{name}")
+    runs = None if run_id is None else [run_id]
+    spark = next(iter(outputs.values())).sparkSession
+    staged = {name: sk.stage(df, f"{folder}/{name}") for name, df in outputs.items()}
+    for name in FILLS.get(step, ()) if runs else ():
+        if name not in staged:
+            sk.put(spark, None, f"{folder}/{name}", runs)
+    for name, at in staged.items():
+        sk.put(spark, at, f"{folder}/{name}", runs)

@@ -1,16 +1,19 @@
 """Per-run tables on partitioned Parquet: merge by key, replace, delete.
 
 Each operator computes the new content of the touched runs; ``write_runs`` puts it
-in place. With dynamic overwrite only partitions that occur in the frame are
-replaced, so other runs are neither read nor rewritten.
+in place. The new partitions are written under another name first and then moved, run
+by run, so a failed write leaves the table as it was; a run without rows is removed.
+Other runs are neither read nor rewritten.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapscope.functions.article_rules import index_content
@@ -94,9 +97,47 @@ def upsert_table(name: str, current: DataFrame, incoming: DataFrame) -> DataFram
     return upsert(current, incoming, rule.keys, rule.updates)
 
 
-def write_runs(df: DataFrame, path: str) -> None:
-    """Replace the partitions of the runs in ``df``; other runs stay."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+def _folders(spark: SparkSession, path: str):
+    """The store's file system and the partition folders of a table by run."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.listStatus(place) if files.exists(place) else []
+    return files, {unquote(f.getPath().getName().removeprefix("run_id=")): f.getPath() for f in found if f.getPath().getName().startswith("run_id=")}
+
+
+def stage(df: DataFrame, path: str) -> str:
+    """Write ``df`` beside the table at ``path``; ``put`` moves it there."""
+    staged = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    df.write.partitionBy("run_id").parquet(staged)
+    return staged
+
+
+def put(spark: SparkSession, staged: str | None, path: str, runs: Sequence[str] | None = None) -> None:
+    """Replace the partitions of ``runs`` (by default the staged ones) by what was staged."""
+    files, old = _folders(spark, path)
+    new = _folders(spark, staged)[1] if staged else {}
+    files.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(path))
+    for run in runs if runs is not None else new:
+        if run in old:
+            files.delete(old[run], True)
+        if run in new:
+            files.rename(new[run], spark._jvm.org.apache.hadoop.fs.Path(path, new[run].getName()))
+    if staged:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(staged), True)
+
+
+def write_runs(df: DataFrame, path: str, runs: Sequence[str] | None = None) -> None:
+    """Replace the partitions of ``runs``, by default those in ``df``; other runs stay.
+
+    A run that is named and has no rows in ``df`` is removed from the store.
+    """
+    put(df.sparkSession, stage(df, path), path, runs)
+
+
+def drop_run(spark: SparkSession, folder: str, names: Sequence[str], run_id: str) -> None:
+    """Remove a run from the stored tables, in the given order."""
+    for name in names:
+        put(spark, None, f"{folder}/{name}", [run_id])
 
 
 def sweep_rows(swept: DataFrame) -> DataFrame:

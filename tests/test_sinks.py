@@ -59,10 +59,33 @@ def test_patch_and_review(spark):
     assert {r["article_id"]: r["needs_review"] for r in flagged.collect()} == {"A1": True, "A2": True}
 
 
-def test_jdbc_reader_is_declared_without_a_connection():
-    import inspect
-
-    assert {"url", "table", "split_on", "splits", "bounds"} <= set(inspect.signature(tb.read_jdbc).parameters)
+def test_text_ranges_select_every_id_once(spark):
+    ids = ["", "0", "00ff", "3a", "9", "f", "ffff", "g", "Z", " ", None, "a0", "9f-1"]
+    df = spark.createDataFrame([(i,) for i in ids], "id string")
+    for length in (1, 2):
+        ranges = tb.text_ranges("id", length)
+        assert len(ranges) == 16**length + 1
+        assert [df.select(sum(F.coalesce(F.expr(r), F.lit(False)).cast("int") for r in ranges).alias("n")).where("n <> 1").count()] == [0]
+
+
+def test_runs_on_disk(spark, current, tmp_path):
+    path = str(tmp_path / "t")
+    odd = current.where("run_id = 'r2'").withColumn("run_id", F.lit("a/b: c%"))
+    sk.write_runs(current.unionByName(odd), path)
+    read = lambda: rows(spark.read.schema(current.schema).parquet(path).select("run_id", "source_id"))
+    assert read() == {("r1", "1"), ("r1", "2"), ("r2", "1"), ("a/b: c%", "1")}
+    sk.write_runs(current.where("run_id = 'none'"), path, ["r1"])
+    assert read() == {("r2", "1"), ("a/b: c%", "1")}
+    sk.drop_run(spark, str(tmp_path), ["t", "missing"], "a/b: c%")
+    assert read() == {("r2", "1")} and [p.name for p in tmp_path.iterdir() if p.name.startswith("t-")] == []
+
+
+def test_failed_write_changes_nothing(spark, current, tmp_path):
+    path = str(tmp_path / "t")
+    sk.write_runs(current, path)
+    with pytest.raises(Exception):
+        sk.write_runs(current.withColumn("cluster_label", F.raise_error(F.lit("stop")).cast("string")), path)
+    assert spark.read.parquet(path).count() == 3
 
 
 def test_kb_entries_once_per_article(spark):

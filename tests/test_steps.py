@@ -3,14 +3,16 @@
 import json
 import sys
 from dataclasses import replace
+from glob import glob
 
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from gapscope.config import Thresholds
-from gapscope.models import hashed_bag_of_words
 from gapscope.plans import steps
 from gapscope.plans.roles import STOP_WORDS, Tables
+from gapscope.sources.sinks import RUN_TABLES, drop_run
+from tests.standins import hashed_bag_of_words
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks cannot import this file
 
@@ -54,20 +56,23 @@ def test_all_steps(spark, tmp_path):
     given = sources(spark)
     stored = {}
 
-    def keep(out):
-        steps.store(out, folder)
+    def keep(out, step=None):
+        steps.store(out, folder, "run1", step)
         for name in out:
+            if not glob(f"{folder}/{name}/run_id=*"):  # no rows are left
+                stored.pop(name, None)
+                continue
             stored[name] = spark.read.parquet(f"{folder}/{name}").withColumn("run_id", F.col("run_id").cast("string"))
 
     def tables():
         return {**given, **stored}
 
-    keep(steps.preprocess(tables(), "run1", hashed_bag_of_words(), LIMITS))
+    keep(steps.preprocess(tables(), "run1", hashed_bag_of_words(), LIMITS), "preprocess")
     te = stored["ticket_embeddings"]
     assert te.count() == 200 + 87 and te.where("quality_pass").count() > 150
     assert te.where("quality_pass AND (problem_vec IS NULL OR res_vec IS NULL)").isEmpty()
 
-    keep(steps.clustering(tables(), "run1", LIMITS, chat_fn=chat, stop_words=list(STOP_WORDS), tries=1))
+    keep(steps.clustering(tables(), "run1", LIMITS, chat_fn=chat, stop_words=list(STOP_WORDS), tries=1), "clustering")
     passed = te.where("quality_pass").count()
     assert stored["ticket_coverage"].count() == passed == stored["cluster_assignments"].count()
     clusters = stored["clusters"].collect()
@@ -97,3 +102,21 @@ def test_all_steps(spark, tmp_path):
     keep(steps.validation(tables(), "run1", chat, LIMITS))
     assert stored["kb_validation_results"].count() == live and stored["evaluation_results"].count() == 6
     assert stored["generated_kb_articles"].count() == open_gaps
+
+    # Again from step 4: generated entries survive it, results about replaced articles go with them.
+    keep(steps.gap_analysis(tables(), "run1", "2024-01-02", LIMITS, chat_fn=chat))
+    assert stored["kb_search_index"].where("is_generated").count() == open_gaps
+    other = stored["evaluation_results"].limit(1).withColumn("category", F.lit("other"))
+    steps.store({"evaluation_results": stored["evaluation_results"].unionByName(other)}, folder, "run1")
+    keep(steps.drafting(tables(), "run1", chat, hashed_bag_of_words(), LIMITS))
+    assert "kb_validation_results" not in stored
+    stored["evaluation_results"] = spark.read.parquet(f"{folder}/evaluation_results")
+    keep(steps.validation(tables(), "run1", chat, LIMITS))
+    assert stored["evaluation_results"].where("category = 'other'").count() == 1 and stored["evaluation_results"].count() == 7
+
+    # Too few tickets: only the coverage is left of the clustering step's tables.
+    few = {**tables(), "ticket_embeddings": te.limit(3)}
+    steps.store(steps.clustering(few, "run1", LIMITS, stop_words=[]), folder, "run1", "clustering")
+    assert glob(f"{folder}/ticket_coverage/run_id=run1") and not glob(f"{folder}/cl*/run_id=run1")
+    drop_run(spark, folder, RUN_TABLES, "run1")
+    assert not glob(f"{folder}/*/run_id=run1")
