@@ -7,13 +7,10 @@ parallel calls by coalescing the frame first.
 
 from __future__ import annotations
 
-import hashlib
-import json
-import math
-import re
 import time
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,30 +23,47 @@ class Refused(Exception):
     """The model will not answer this prompt; a shorter one may pass."""
 
 
+def text_pieces(text: Column, max_chars: int) -> Column:
+    """The whole text in pieces of at most ``max_chars`` characters; null and blank texts have none."""
+    n = F.ceil(F.length(text) / max_chars).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * max_chars + 1, F.lit(max_chars)))
+    return F.when(F.trim(F.translate(text, "\t\n\r", "   ")) != "", cut)
+
+
 def embed(
     text: Column, embed_fn: EmbedFn, *, batch: int = 16, attempts: int = 4, max_chars: int = 8000, pause: float = 0.0
 ) -> Column:
-    """Vector of each text; null for blank texts and for calls that keep failing."""
+    """Vector of each text; null for blank texts and for calls that keep failing.
+
+    A text longer than the model takes goes in pieces; its vector is their mean by length.
+    """
 
     @F.pandas_udf("array<double>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            out = pd.Series([None] * len(part), dtype=object)
-            todo = [i for i, t in enumerate(part) if t is not None and t.strip()]
+            todo = [(i, piece) for i, pieces in enumerate(part) if pieces is not None for piece in pieces]
+            sums: dict[int, np.ndarray] = {}
+            failed = set()
             for at in range(0, len(todo), batch):
                 group = todo[at : at + batch]
                 for attempt in range(attempts):
                     try:
-                        vectors = embed_fn([part.iloc[i][:max_chars] for i in group])
+                        vectors = embed_fn([piece for _, piece in group])
                     except Exception:
                         time.sleep(pause * 2**attempt)
                         continue
-                    for i, v in zip(group, vectors):
-                        out.iloc[i] = [float(x) for x in v]
+                    for (i, piece), v in zip(group, vectors):
+                        sums[i] = sums.get(i, 0.0) + np.asarray(v, float) * len(piece)
                     break
+                else:
+                    failed |= {i for i, _ in group}
+            out = pd.Series([None] * len(part), dtype=object)
+            for i, total in sums.items():
+                if i not in failed:
+                    out.iloc[i] = (total / sum(len(piece) for piece in part.iloc[i])).tolist()
             yield out
 
-    return run(text)
+    return run(text_pieces(text, max_chars))
 
 
 def ask(prompts: Column, chat_fn: ChatFn, *, attempts: int = 3, pause: float = 0.0) -> Column:
@@ -75,29 +89,3 @@ def _reply(prompts, chat_fn: ChatFn, attempts: int, pause: float) -> str | None:
             except Exception:
                 time.sleep(pause * 2**attempt)
     return None
-
-
-def hashed_bag_of_words(dim: int = 64) -> EmbedFn:
-    """Stand-in embedding for tests: words hashed into ``dim`` buckets, length one."""
-
-    def run(texts: Sequence[str]) -> list[list[float]]:
-        out = []
-        for text in texts:
-            v = [0.0] * dim
-            for word in re.findall(r"\w+", text.lower()):
-                v[int(hashlib.md5(word.encode()).hexdigest(), 16) % dim] += 1.0
-            length = math.sqrt(sum(x * x for x in v)) or 1.0
-            out.append([x / length for x in v])
-        return out
-
-    return run
-
-
-def canned_replies(replies: Sequence[dict | str]) -> ChatFn:
-    """Stand-in chat model for tests: the prompt's hash picks one of the replies."""
-    ready = [r if isinstance(r, str) else json.dumps(r) for r in replies]
-
-    def run(prompt: str) -> str:
-        return ready[int(hashlib.md5(prompt.encode()).hexdigest(), 16) % len(ready)]
-
-    return run

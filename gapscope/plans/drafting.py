@@ -11,6 +11,7 @@ from gapscope.functions.text import has_resolution, snippet
 from gapscope.models import ChatFn, EmbedFn, ask, embed
 from gapscope.operators.labelling import draw
 from gapscope.operators.merging import duplicate_articles
+from gapscope.operators.rounds import numbered
 from gapscope.plans.gaps import tier_weight
 
 RUN_CLUSTER = ("run_id", "cluster_id")
@@ -159,8 +160,13 @@ def draft_prompts(gaps: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def draft(prompts: DataFrame, chat_fn: ChatFn) -> DataFrame:
     """Gaps with the drafted article's fields; a reply that does not parse gives no row."""
-    asked = prompts.withColumn("reply", ask(F.col("prompts"), chat_fn)).withColumn("a", F.from_json("reply", ARTICLE_TYPE))
-    return asked.where(F.col("a.title").isNotNull()).drop("prompts", "reply").select("*", "a.*").drop("a")
+    return parse_drafts(prompts.withColumn("reply", ask(F.col("prompts"), chat_fn)).drop("prompts"))
+
+
+def parse_drafts(replies: DataFrame) -> DataFrame:
+    """Rows whose ``reply`` is an article with a title, with its fields as columns."""
+    parsed = replies.withColumn("a", F.from_json("reply", ARTICLE_TYPE))
+    return parsed.where(F.col("a.title").isNotNull()).drop("reply").select("*", "a.*").drop("a")
 
 
 def assemble(drafted: DataFrame) -> DataFrame:
@@ -187,11 +193,16 @@ def embed_articles(assembled: DataFrame, embed_fn: EmbedFn) -> DataFrame:
 
 
 def list_order(articles: DataFrame) -> DataFrame:
-    """``position`` in a run: CRITICAL drafts first, by priority, then cluster id."""
-    w = Window.partitionBy("run_id").orderBy(
-        F.when(F.col("gap_flag") == "CRITICAL", 0).otherwise(1), F.desc("priority_score"), "cluster_id"
-    )
-    return articles.withColumn("position", F.row_number().over(w).cast("long"))
+    """``position`` in a run from 1: CRITICAL drafts first, by priority, then cluster id.
+
+    Ids alone are ranked, range by range, so no run with its texts is one task's work.
+    """
+    first = F.when(F.col("gap_flag") == "CRITICAL", 0).otherwise(1)
+    ids = articles.select("run_id", "cluster_id", "article_id", first.alias("__f"), (-F.col("priority_score")).alias("__p"))
+    ranked = numbered(ids, ["run_id", "__f", "__p", "cluster_id", "article_id"], "__n")
+    starts = ranked.groupBy("run_id").agg(F.min("__n").alias("__s"))
+    places = ranked.join(starts, "run_id").select("run_id", "article_id", (F.col("__n") - F.col("__s") + 1).alias("position"))
+    return articles.join(places, ["run_id", "article_id"])
 
 
 def mark_duplicates(articles: DataFrame, bound: float = Thresholds.article_duplicate, **layout) -> DataFrame:

@@ -162,11 +162,12 @@ def pair_prompts(pairs: DataFrame, clusters: DataFrame, by: Sequence[str] = RUN)
 
 def accepted_pairs(prompts: DataFrame, chat_fn: ChatFn) -> DataFrame:
     """Pairs the model calls duplicates with HIGH confidence."""
-    asked = prompts.withColumn("reply", ask(F.array("prompt"), chat_fn)).drop("prompt")
-    return accept(asked.withColumn("r", F.from_json("reply", "is_duplicate boolean, confidence string, reason string")))
+    return accept(prompts.withColumn("reply", ask(F.array("prompt"), chat_fn)).drop("prompt"))
 
 
-def accept(decided: DataFrame) -> DataFrame:
+def accept(replied: DataFrame) -> DataFrame:
+    """Rows whose ``reply`` is sure of a duplicate, with its reason."""
+    decided = replied.withColumn("r", F.from_json("reply", "is_duplicate boolean, confidence string, reason string"))
     sure = F.coalesce(F.col("r.is_duplicate") & (F.upper("r.confidence") == "HIGH"), F.lit(False))
     return decided.where(sure).withColumn("reason", F.coalesce("r.reason", F.lit(""))).drop("r", "reply")
 

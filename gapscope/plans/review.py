@@ -46,7 +46,7 @@ def candidate_prompts(clusters: DataFrame, found: DataFrame) -> DataFrame:
     keys = [c for c in RUN_CLUSTER if c in clusters.columns]
     block = F.format_string(
         "%d. Title: %s\n   Vector similarity: %s\n   Content: %s",
-        F.col("rank"), F.col("title"), F.col("sim").cast("string"),
+        F.col("rank"), F.col("title"), F.format_string("%.4f", "sim"),
         F.when(F.col("snippet") == "", "(no content)").otherwise(F.replace("snippet", F.lit("\n"), F.lit(" "))),
     )
     listed = found.withColumn("__b", block).groupBy(*keys).agg(
@@ -67,9 +67,14 @@ def candidate_prompts(clusters: DataFrame, found: DataFrame) -> DataFrame:
 
 def opinions(prompts: DataFrame, chat_fn: ChatFn) -> DataFrame:
     """Replies as columns; a reply that does not parse or lacks a key gives no row."""
-    asked = prompts.withColumn("reply", ask(F.array("prompt"), chat_fn)).where(has_keys(F.col("reply"), REPLY_KEYS))
-    keys = [c for c in RUN_CLUSTER if c in prompts.columns]
-    return asked.withColumn("r", F.from_json("reply", REPLY_TYPE)).select(*keys, "r.*")
+    return parse_opinions(prompts.withColumn("reply", ask(F.array("prompt"), chat_fn)))
+
+
+def parse_opinions(replies: DataFrame) -> DataFrame:
+    """``replies`` has the cluster's keys and the model's JSON."""
+    keys = [c for c in RUN_CLUSTER if c in replies.columns]
+    whole = replies.where(has_keys(F.col("reply"), REPLY_KEYS))
+    return whole.withColumn("r", F.from_json("reply", REPLY_TYPE)).select(*keys, "r.*")
 
 
 def store_opinions(clusters: DataFrame, found: DataFrame) -> DataFrame:

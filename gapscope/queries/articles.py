@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from gapscope.config import Thresholds
 from gapscope.functions import article_rules as ar
-from gapscope.models import canned_replies, hashed_bag_of_words
 from gapscope.operators import clustering as cl
 from gapscope.operators.rounds import cut
 from gapscope.plans import audits as au
@@ -88,26 +87,45 @@ def evidence_scores(t: Tables):
     return s.select("run_id", "cluster_id", "evidence_count", F.round("ev_quality", 6).alias("ev_quality"))
 
 
-def drafted(t: Tables):
-    gaps = t.gaps().withColumn("top_terms", F.col("cluster_label"))
+def open_gaps(t: Tables):
+    gaps = t.gaps().withColumn("top_terms", F.when(F.col("cluster_id") % 4 != 0, F.col("cluster_label")))
+    none = F.lit(None).cast("string")
+    critical_ones = dr.critical_gaps(gaps, t.assignments()).drop("service_type").withColumn("kb_issue", none).withColumn("kb_solution", none)
+    return critical_ones.unionByName(dr.partial_gaps(gaps, t.kb()))
+
+
+ITEMS = f"""SELECT run_id, cluster_id, list('<item>' || chr(10) || '<problem>' || substr(coalesce(problem_text, ''), 1, 400) || '</problem>' || chr(10) || '<resolution>' || substr(resolution_text, 1, 600)
+    || '</resolution>' || chr(10) || '</item>' ORDER BY pick) AS items FROM ({EVIDENCE}) GROUP BY ALL"""
+
+
+@query("art_prompts", f"""WITH g AS (SELECT g.*, k.issue AS kb_issue, k.solution AS kb_solution, coalesce(i.items, []) AS items FROM r_gaps g LEFT JOIN r_kb k ON k.kb_id = g.best_kb_id AND g.gap_flag = 'PARTIAL'
+      LEFT JOIN ({ITEMS}) i ON i.run_id = g.run_id AND i.cluster_id = g.cluster_id WHERE g.gap_flag IN ('CRITICAL', 'PARTIAL')),
+    tries AS (SELECT *, unnest(list_distinct([len(items), greatest(len(items) - 2, 0), 0])) AS shown FROM g)
+    SELECT run_id, cluster_id, shown::BIGINT AS shown, md5('Write a help-desk article for this gap.' || chr(10) || 'Topic: ' || cluster_label || chr(10) || 'Tickets: ' || format('{{:,}}', size) || chr(10) || 'Terms: '
+      || CASE WHEN cluster_id % 4 <> 0 THEN cluster_label ELSE 'N/A' END || chr(10) || 'Priority: ' || round(priority_score::DECIMAL(18, 4), 2)::VARCHAR
+      || CASE WHEN gap_flag = 'PARTIAL' THEN chr(10) || 'This article covers part of it; write only what it leaves out.' || chr(10) || 'Title: ' || coalesce(best_kb_title, '') || chr(10)
+        || 'Issue: ' || substr(coalesce(kb_issue, ''), 1, 400) || chr(10) || 'Solution: ' || substr(coalesce(kb_solution, ''), 1, 600) || chr(10) ELSE '' END
+      || chr(10) || 'Evidence:' || chr(10) || CASE WHEN shown > 0 THEN array_to_string(items[1:shown], chr(10)) ELSE '(none: write a general article)' END || chr(10) || chr(10)
+      || 'Reply with one JSON object: title, category, keywords, problem_statement, affected_systems, resolution_steps, additional_notes, escalation_trigger, confidence.') AS prompt_md5 FROM tries""")
+def draft_prompts(t: Tables):
+    """Every prompt that may be tried, by the number of evidence items in it."""
     e = cut(evidence(t))
-    todo = dr.critical_gaps(gaps, t.assignments()).drop("service_type").withColumn("kb_issue", F.lit(None).cast("string")).withColumn(
-        "kb_solution", F.lit(None).cast("string")
-    ).unionByName(dr.partial_gaps(gaps, t.kb()))
-    prompts = dr.draft_prompts(dr.evidence_scores(todo, e), e)
-    article = {
-        "title": "Reset a password", "category": "Account Access", "keywords": ["password"], "problem_statement": "The password no longer works. " * 3,
-        "affected_systems": ["login"], "resolution_steps": ["Open the page", "Choose reset", "Sign in"], "additional_notes": "None",
-        "escalation_trigger": "Second failure", "confidence": 0.95,
-    }
-    thin = {**article, "title": "Join the wifi", "resolution_steps": ["Join"], "confidence": 0.5}
-    return dr.draft(prompts, canned_replies([article, thin, {**article, "title": "Order a laptop"}, "no json"]))
+    p = dr.draft_prompts(dr.evidence_scores(open_gaps(t), e), e).select("run_id", "cluster_id", F.posexplode("prompts").alias("at", "prompt"))
+    n = e.groupBy("run_id", "cluster_id").agg(F.count("*").alias("n"))
+    # The tries are the distinct ones of: all items, two less, none.
+    tries = F.array_distinct(F.array(F.coalesce("n", F.lit(0)), F.greatest(F.coalesce("n", F.lit(0)) - 2, F.lit(0)), F.lit(0)))
+    shown = F.get(tries, F.col("at")).cast("long")
+    return p.join(n, ["run_id", "cluster_id"], "left").select("run_id", "cluster_id", shown.alias("shown"), F.md5("prompt").alias("prompt_md5"))
 
 
-@query("art_drafts")
-def drafts(t: Tables):
-    a = dr.assemble(drafted(t))
-    return a.select("run_id", "cluster_id", "title", "quality_score", listed(F.col("quality_issues")).alias("issues"), "needs_review", "additional_notes", "ev_quality", "evidence_count")
+@query("art_replies", """SELECT run_id, cluster_id, title, len(resolution_steps) AS steps, confidence::DOUBLE AS confidence, escalation_trigger, md5(problem_statement) AS problem_md5
+    FROM r_articles WHERE quality = 1 AND title IS NOT NULL""")
+def draft_replies(t: Tables):
+    """Replies made from the documents: whole articles, some without a title, some that are no JSON."""
+    fields = ["category", "problem_statement", "resolution_steps", "additional_notes", "escalation_trigger", "confidence"]
+    reply = F.when(F.col("quality") == 1, F.to_json(F.struct("title", *fields))).when(F.col("toxic") == 1, F.to_json(F.struct(*fields))).otherwise("no answer")
+    a = dr.parse_drafts(t.articles().select("run_id", "cluster_id", reply.alias("reply")))
+    return a.select("run_id", "cluster_id", "title", F.size("resolution_steps").cast("long").alias("steps"), "confidence", "escalation_trigger", F.md5("problem_statement").alias("problem_md5"))
 
 
 @query("art_assemble", f"""SELECT article_id, {SCORE_SQL} AS quality_score, {SCORE_SQL} < 6 OR ev < 0.2 AS needs_review, round(ev, 3) AS ev_quality,
@@ -163,11 +181,20 @@ def resolve_duplicates(t: Tables):
     return dr.resolve_duplicates(a).select("article_id", "is_duplicate_of")
 
 
-@query("art_embed_articles")
-def embed_articles(t: Tables):
-    a = dr.assemble(t.articles().drop("article_embedding").withColumn("ev_quality", F.lit(1.0)))
-    e = dr.embed_articles(a, hashed_bag_of_words())
-    return e.select("article_id", F.size("article_embedding").alias("dim"))
+# A document's text is read as the one ticket behind its draft.
+@query("val_prompts", """SELECT run_id, article_id, md5(CASE WHEN gap_flag = 'PARTIAL' THEN 'The article supplements a known one; overlap is expected. Judge only what it adds.'
+      ELSE 'No known article covers this topic. Judge whether the draft settles it.' END || chr(10) || chr(10) || 'Title: ' || coalesce(title, '') || chr(10) || 'Problem: ' || coalesce(problem_statement, '')
+    || chr(10) || 'Steps:' || chr(10) || coalesce(array_to_string(resolution_steps, chr(10)), '') || chr(10) || 'Escalation: ' || coalesce(escalation_trigger, '') || chr(10) || chr(10) || 'Evidence:' || chr(10)
+    || CASE WHEN toxic = 0 THEN '<item>' || chr(10) || '<problem>' || substr(coalesce(problem_statement, ''), 1, 350) || '</problem>' || chr(10) || '<resolution>' || substr(title, 1, 500) || '</resolution>'
+      || chr(10) || '</item>' ELSE '(no ticket evidence available)' END || chr(10) || chr(10) || 'Verdict rule: '
+    || CASE WHEN gap_flag = 'PARTIAL' THEN 'VALIDATED from 7 on, PARTIAL from 4 to 6, INSUFFICIENT below 4' ELSE 'VALIDATED from 7 on with gap_confirmed, PARTIAL from 4 to 6, INSUFFICIENT below 4' END
+    || chr(10) || 'Reply with one JSON object: coverage_score, gap_confirmed, missing_elements, verdict, critique.') AS prompt_md5 FROM r_articles""")
+def critique_prompts(t: Tables):
+    a = t.articles()
+    proof = a.where("toxic = 0").select(
+        "run_id", "cluster_id", F.col("problem_statement").alias("problem_text"), F.col("title").alias("resolution_text"), F.lit(1).alias("pick")
+    )
+    return va.critique_prompts(a, proof).select("run_id", "article_id", F.md5("prompt").alias("prompt_md5"))
 
 
 # --- validation --------------------------------------------------------------
@@ -258,14 +285,6 @@ def to_review(t: Tables):
     return va.to_review(validated(t))
 
 
-@query("val_model_critiques")
-def model_critiques(t: Tables):
-    a = t.articles()
-    proof = a.select("run_id", "cluster_id", F.col("problem_statement").alias("problem_text"), F.col("title").alias("resolution_text"), F.lit(1).alias("pick"))
-    chat = canned_replies([{"coverage_score": 8, "gap_confirmed": True, "verdict": "validated", "critique": "good"}, {"verdict": "odd"}, "broken"])
-    return va.critiques(va.critique_prompts(a, proof), chat).select("article_id", "coverage_score", "gap_confirmed", "verdict", "critique")
-
-
 # --- retrieval ---------------------------------------------------------------
 
 HITS = f"""SELECT conv_id, run_id, source || ':' || source_id AS entry, rank, greatest(0, sim) AS similarity, title, category, {q.strip('substr(content, 1, 400)')} AS snippet, is_generated FROM (

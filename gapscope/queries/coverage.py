@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gapscope.config import Thresholds
 from gapscope.functions import vectors as vc
+from gapscope.models import text_pieces
 from gapscope.operators import clustering as cl
 from gapscope.operators import labelling as lb
 from gapscope.operators import similarity as sm
@@ -278,12 +279,12 @@ def project_centroids(t: Tables):
     return cl.project_2d(c).select("cluster_id", F.round("pca_x", 6).alias("pca_x"), F.round("pca_y", 6).alias("pca_y"))
 
 
-@query("vec_embed_texts")
-def embed_texts(t: Tables):
-    from gapscope.models import embed, hashed_bag_of_words
-
-    v = t.texts().withColumn("v", embed(F.col("text"), hashed_bag_of_words()))
-    return v.select("text_id", F.round(vc.norm(F.col("v")), 6).alias("norm"))
+@query("vec_text_pieces", r"""SELECT text_id, i AS piece, md5(substr(text, i * 1000 + 1, 1000)) AS piece_md5 FROM (
+    SELECT *, unnest(range(CAST(ceil(length(text) / 1000) AS BIGINT))) AS i FROM r_texts WHERE trim(translate(text, chr(9) || chr(10) || chr(13), '   ')) <> '')""")
+def embedded_pieces(t: Tables):
+    """What is sent to the embedding model: all of every text, piece by piece."""
+    pieces = t.texts().select("text_id", F.posexplode(text_pieces(F.col("text"), 1000)).alias("piece", "p"))
+    return pieces.select("text_id", F.col("piece").cast("long").alias("piece"), F.md5("p").alias("piece_md5"))
 
 
 # --- coverage ----------------------------------------------------------------
@@ -528,23 +529,40 @@ def members(t: Tables):
 FLAT = lambda c: q.strip(f"replace(coalesce({c}, ''), chr(10), ' ')")
 
 
-@query("lbl_samples", f"""SELECT cluster_id, md5(string_agg(n || '. ' || b, chr(10) ORDER BY n)) AS samples_md5 FROM (
+SAMPLES = f"""SELECT cluster_id, string_agg(n || '. ' || b, chr(10) ORDER BY n) AS samples FROM (
     SELECT cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY pick) AS n, b FROM (
       SELECT cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY md5('42|' || source || '|' || source_id), source, source_id) AS pick,
         concat_ws('  ', CASE WHEN p <> '' THEN 'Problem: ' || p END, CASE WHEN r <> '' THEN 'Resolution: ' || r END) AS b
       FROM (SELECT a.cluster_id, u.source, u.source_id, substr({FLAT('problem_text')}, 1, 100) AS p, substr({FLAT('resolution_text')}, 1, 100) AS r
-            FROM r_assign a JOIN r_unified u USING (source, source_id))) WHERE pick <= 5 AND b <> '') GROUP BY cluster_id""")
+            FROM r_assign a JOIN r_unified u USING (source, source_id))) WHERE pick <= 5 AND b <> '') GROUP BY cluster_id"""
+
+
+@query("lbl_samples", f"SELECT cluster_id, md5(samples) AS samples_md5 FROM ({SAMPLES})")
 def label_samples(t: Tables):
     s = cv.label_samples(members(t))
     return s.select("cluster_id", F.md5("samples").alias("samples_md5"))
 
 
-@query("lbl_model_labels")
-def model_labels(t: Tables):
-    from gapscope.models import canned_replies
+def named_clusters(t: Tables):
+    c = t.clusters().groupBy("cluster_id").agg(F.min("cluster_label").alias("cluster_label"), F.sum("size").alias("size"))
+    return c.withColumn("top_terms", F.when(F.col("cluster_id") % 4 != 0, F.col("cluster_label")))
+
+
+NAMED = """SELECT cluster_id, min(cluster_label) AS cluster_label, sum(size)::BIGINT AS size, CASE WHEN cluster_id % 4 <> 0 THEN min(cluster_label) END AS top_terms
+    FROM r_clusters GROUP BY cluster_id"""
+
+
+@query("lbl_prompts", f"""SELECT cluster_id, md5({q.lit("Name this group of support tickets in three to six words, title case.")} || chr(10) || 'Tickets: ' || size || chr(10) || 'Terms: '
+    || coalesce(top_terms, '') || chr(10) || 'Samples:' || chr(10) || samples || chr(10) || chr(10) || {q.lit('Reply with JSON: {"label": "..."}')}) AS prompt_md5
+    FROM ({NAMED}) JOIN ({SAMPLES}) USING (cluster_id)""")
+def label_prompts(t: Tables):
+    return cv.label_prompts(named_clusters(t), cv.label_samples(members(t))).select("cluster_id", F.md5("prompt").alias("prompt_md5"))
+
 
-    named = t.clusters().groupBy("cluster_id").agg(F.first("cluster_label").alias("cluster_label"), F.sum("size").alias("size"))
-    named = named.withColumn("top_terms", F.col("cluster_label"))
-    prompts = cv.label_prompts(named, cv.label_samples(members(t)))
-    chat = canned_replies([{"label": "Password Reset Trouble"}, {"label": "Wifi"}, "not json", {"other": 1}])
-    return cv.model_labels(named, prompts, chat).select("cluster_id", "cluster_label", "size")
+@query("lbl_replies", f"""SELECT cluster_id, CASE WHEN cluster_id % 3 = 0 THEN 'About ' || cluster_label ELSE cluster_label END AS cluster_label, size FROM ({NAMED})""")
+def label_replies(t: Tables):
+    """Replies made from the clusters: good ones, short ones, some without the key, some that are no JSON."""
+    c = named_clusters(t)
+    label, kind = F.concat(F.lit("About "), "cluster_label"), F.col("cluster_id") % 3
+    reply = F.when(kind == 0, F.to_json(F.struct(label.alias("label")))).when(kind == 1, F.to_json(F.struct(label.alias("name")))).otherwise(label)
+    return cv.use_labels(c, c.select("cluster_id", reply.alias("reply"))).select("cluster_id", "cluster_label", "size")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gapscope.models import canned_replies
 from gapscope.operators import clustering as cl
 from gapscope.operators import merging as mg
 from gapscope.operators import similarity as sm
@@ -150,15 +149,34 @@ def duplicate_candidates(t: Tables):
     return gp.duplicate_candidates(flagged_clusters(t), -0.2)
 
 
-YES = {"is_duplicate": True, "confidence": "HIGH", "reason": "same article"}
-REPLIES = (YES, YES, {"is_duplicate": True, "confidence": "MEDIUM", "reason": "close"}, {"is_duplicate": False}, "no json")
+def pair_side(name: str) -> str:
+    return f"""'CLUSTER {name.upper()} (ID=' || {name}.cluster_id || ', ' || {name}.size || ' tickets)' || chr(10) || 'Label: Cluster_' || {name}.cluster_id || chr(10) || 'Terms: ' || chr(10)
+      || 'Summary: Cluster_' || {name}.cluster_id"""
 
 
-@query("gap_accepted_pairs")
-def accepted_pairs(t: Tables):
+PAIR_PROMPTS = f"""SELECT p.run_id, p.a AS a, p.b AS b, p.sim, 'Would one and the same article settle the tickets of both clusters?' || chr(10) || chr(10) || {pair_side('a')} || chr(10) || chr(10) || {pair_side('b')}
+      || chr(10) || chr(10) || 'Similarity: ' || format('{{:.4f}}', p.sim) || chr(10) || {q.lit('Reply with JSON: {"is_duplicate": bool, "confidence": "HIGH|MEDIUM|LOW", "reason": "..."}')} AS prompt
+    FROM ({CANDIDATES}) p JOIN ({RUN_CENTROIDS}) a ON a.run_id = p.run_id AND a.cluster_id = p.a JOIN ({RUN_CENTROIDS}) b ON b.run_id = p.run_id AND b.cluster_id = p.b"""
+
+
+@query("gap_pair_prompts", f"SELECT run_id, a, b, sim, md5(prompt) AS prompt_md5 FROM ({PAIR_PROMPTS})")
+def pair_prompts(t: Tables):
     c = flagged_clusters(t)
-    prompts = gp.pair_prompts(gp.duplicate_candidates(c, -0.2), c)
-    return gp.accepted_pairs(prompts, canned_replies(REPLIES))
+    p = gp.pair_prompts(gp.duplicate_candidates(c, -0.2), c)
+    return p.select("run_id", "a", "b", "sim", F.md5("prompt").alias("prompt_md5"))
+
+
+@query("gap_decisions", f"SELECT run_id, a, b, sim, CASE WHEN (a + b) % 4 = 0 THEN '' ELSE 'pair ' || a || '-' || b END AS reason FROM ({CANDIDATES}) WHERE sim > 0 AND (a + b) % 4 IN (0, 1)")
+def decisions(t: Tables):
+    """Replies made from the pairs: sure (in either spelling, with a reason or without), unsure, negative, no JSON."""
+    pairs = gp.duplicate_candidates(flagged_clusters(t), -0.2)
+    kind, yes = (F.col("a") + F.col("b")) % 4, (F.col("sim") > 0).alias("is_duplicate")
+    why = F.concat(F.lit("pair "), "a", F.lit("-"), "b").alias("reason")
+    reply = (
+        F.when(kind == 0, F.to_json(F.struct(yes, F.lit("high").alias("confidence")))).when(kind == 1, F.to_json(F.struct(yes, F.lit("HIGH").alias("confidence"), why)))
+        .when(kind == 2, F.to_json(F.struct(yes, F.lit("MEDIUM").alias("confidence"), why))).otherwise("no answer")
+    )
+    return gp.accept(pairs.withColumn("reply", reply)).select("run_id", "a", "b", "sim", "reason")
 
 
 MERGE_WALK = f"""WITH RECURSIVE c AS (SELECT run_id, cluster_id, size, centroid FROM ({RUN_CENTROIDS})),
@@ -268,36 +286,83 @@ def kb_utilization(t: Tables):
     return gp.kb_utilization(m, scored(t, m), partial=r.CLUSTER_PARTIAL, over_relied=3)
 
 
-@query("gap_summary_samples", f"""SELECT run_id, cluster_id, pick, md5(s) AS snippet_md5 FROM (SELECT run_id, cluster_id, pick, substr({q.sanitise('problem_text')}, 1, 300) AS s FROM (
+SNIPPETS = f"""SELECT run_id, cluster_id, pick, s FROM (SELECT run_id, cluster_id, pick, substr({q.sanitise('problem_text')}, 1, 300) AS s FROM (
     SELECT a.run_id, a.cluster_id, u.problem_text, row_number() OVER (PARTITION BY a.run_id, a.cluster_id ORDER BY md5('42|' || u.source || '|' || u.source_id), u.source, u.source_id) AS pick
-    FROM r_assign a JOIN r_unified u USING (source, source_id) WHERE length(u.problem_text) > 20) WHERE pick <= 20) WHERE length(s) > 20""")
+    FROM r_assign a JOIN r_unified u USING (source, source_id) WHERE length(u.problem_text) > 20) WHERE pick <= 20) WHERE length(s) > 20"""
+
+
+@query("gap_summary_samples", f"SELECT run_id, cluster_id, pick, md5(s) AS snippet_md5 FROM ({SNIPPETS})")
 def summary_samples(t: Tables):
     s = gp.summary_samples(members(t))
     return s.select("run_id", "cluster_id", F.col("pick").cast("long").alias("pick"), F.md5("snippet").alias("snippet_md5"))
 
 
-@query("gap_summaries")
-def summaries(t: Tables):
-    prompts = gp.summary_prompts(t.clusters().withColumn("top_terms", F.col("cluster_label")), gp.summary_samples(members(t)))
-    return gp.summaries(prompts, canned_replies(["**Problem Type:** access", "**Problem Type:** network"]))
+FEWER = "CASE WHEN {c} > 5 THEN greatest(5, {c} // 2) ELSE {c} END"
+SUMMARY_HEAD = "Summarise this cluster of support tickets in five labelled sections: problem type, affected users, systems and tools, failure patterns, typical resolution."
+
+
+@query("gap_summary_prompts", f"""WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY run_id, cluster_id ORDER BY pick) AS k, count(*) OVER (PARTITION BY run_id, cluster_id) AS n FROM ({SNIPPETS})),
+    halved AS (SELECT *, {FEWER.format(c='n')} AS n2 FROM numbered), tries AS (SELECT *, unnest(list_distinct([n, n2, {FEWER.format(c='n2')}])) AS shown FROM halved)
+    SELECT run_id, cluster_id, shown, md5({q.lit(SUMMARY_HEAD)} || chr(10) || 'Tickets: ' || any_value(c.size) || chr(10) || 'Gap status: ' || any_value(c.gap_flag) || chr(10) || 'Terms: '
+      || any_value(c.cluster_label) || chr(10) || 'Samples:' || chr(10) || string_agg(k || '. ' || s, chr(10) ORDER BY k)) AS prompt_md5
+    FROM tries JOIN r_clusters c USING (run_id, cluster_id) WHERE k <= shown GROUP BY run_id, cluster_id, shown""")
+def summary_prompts(t: Tables):
+    """Every prompt that may be tried, by the number of samples in it."""
+    p = gp.summary_prompts(t.clusters().withColumn("top_terms", F.col("cluster_label")), gp.summary_samples(members(t)))
+    each = p.select("run_id", "cluster_id", F.explode("prompts").alias("prompt"))
+    shown = F.size(F.split(F.substring_index("prompt", "\nSamples:\n", -1), r"\n", -1)).cast("long")
+    return each.select("run_id", "cluster_id", shown.alias("shown"), F.md5("prompt").alias("prompt_md5"))
 
 
 # --- second opinion ----------------------------------------------------------
 
 
-@query("rev_candidates", f"""SELECT run_id, cluster_id, rank, m.kb_id, title, md5(substr({q.strip("coalesce(solution, '')")}, 1, 500)) AS snippet_md5, round(sim, 4) AS sim FROM (
-    SELECT *, row_number() OVER (PARTITION BY run_id, cluster_id ORDER BY sim DESC, kb_id) AS rank FROM ({MATRIX})) m JOIN (SELECT kb_id, title, solution FROM r_kb) k USING (kb_id) WHERE rank <= 10""")
+REVIEWED = f"""SELECT run_id, cluster_id, size, rank, m.kb_id, title, substr({q.strip("coalesce(solution, '')")}, 1, 500) AS snippet, round(sim, 4) AS sim FROM (
+    SELECT *, row_number() OVER (PARTITION BY run_id, cluster_id ORDER BY sim DESC, kb_id) AS rank FROM ({MATRIX})) m JOIN (SELECT kb_id, title, solution FROM r_kb) k USING (kb_id) WHERE rank <= 10"""
+
+
+@query("rev_candidates", f"SELECT run_id, cluster_id, rank, kb_id, title, md5(snippet) AS snippet_md5, sim FROM ({REVIEWED})")
 def candidates(t: Tables):
     c = rv.candidates(run_clusters(t), t.kb())
     return c.select("run_id", "cluster_id", F.col("rank").cast("long").alias("rank"), "kb_id", "title", F.md5("snippet").alias("snippet_md5"), "sim")
 
 
-@query("rev_opinions")
-def opinions(t: Tables):
+@query("rev_candidates_tiled", f"SELECT run_id, cluster_id, rank, kb_id, sim FROM ({REVIEWED})")
+def candidates_tiled(t: Tables):
+    c = rv.candidates(run_clusters(t), t.kb(), broadcast_bytes=0, block_rows=64)
+    return c.select("run_id", "cluster_id", F.col("rank").cast("long").alias("rank"), "kb_id", "sim")
+
+
+@query("rev_candidates_blocks", f"SELECT run_id, cluster_id, rank, kb_id, sim FROM ({REVIEWED})")
+def candidates_blocks(t: Tables):
+    c = rv.candidates(run_clusters(t), t.kb(), block_rows=16)
+    return c.select("run_id", "cluster_id", F.col("rank").cast("long").alias("rank"), "kb_id", "sim")
+
+
+REVIEW_ITEM = """rank || '. Title: ' || title || chr(10) || '   Vector similarity: ' || format('{:.4f}', sim) || chr(10) || '   Content: '
+      || CASE WHEN snippet = '' THEN '(no content)' ELSE replace(snippet, chr(10), ' ') END"""
+
+
+@query("rev_prompts", f"""SELECT run_id, cluster_id, md5('A cluster of support tickets found no article close enough by vector.' || chr(10) || 'Decide whether one of the candidates settles it all the same.' || chr(10) || chr(10)
+    || 'Label: Cluster_' || cluster_id || chr(10) || 'Top terms: ' || chr(10) || 'Tickets: ' || any_value(size) || chr(10) || 'Summary: Cluster_' || cluster_id || chr(10) || chr(10) || 'Candidates:' || chr(10)
+    || string_agg({REVIEW_ITEM}, chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Reply with one JSON object with the keys match_found, matched_kb_id, matched_kb_title, confidence, reasoning.') AS prompt_md5
+    FROM ({REVIEWED}) GROUP BY run_id, cluster_id""")
+def review_prompts(t: Tables):
     c = run_clusters(t)
-    full = {"match_found": True, "matched_kb_id": "1", "matched_kb_title": "KB 1", "confidence": "HIGH", "reasoning": "fits"}
-    chat = canned_replies([full, {**full, "match_found": False}, {"match_found": True}, "broken"])
-    return rv.opinions(rv.candidate_prompts(c, rv.candidates(c, t.kb())), chat)
+    return rv.candidate_prompts(c, rv.candidates(c, t.kb())).select("run_id", "cluster_id", F.md5("prompt").alias("prompt_md5"))
+
+
+@query("rev_replies", """SELECT run_id, cluster_id, max_kb_sim < 0.49 AS match_found, cluster_id::VARCHAR AS matched_kb_id, CASE WHEN size % 2 = 0 THEN cluster_label END AS matched_kb_title, 'HIGH' AS confidence,
+    'because' AS reasoning FROM r_clusters WHERE cluster_id % 3 = 0""")
+def review_replies(t: Tables):
+    """Replies made from the clusters: whole ones, some without a key, some that are no JSON."""
+    match, kb = (F.col("max_kb_sim") < 0.49).alias("match_found"), F.col("cluster_id").cast("string").alias("matched_kb_id")
+    title = F.when(F.col("size") % 2 == 0, F.col("cluster_label")).alias("matched_kb_title")
+    rest = [F.lit("HIGH").alias("confidence"), F.lit("because").alias("reasoning")]
+    whole = F.to_json(F.struct(match, kb, title, *rest), {"ignoreNullFields": "false"})
+    kind = F.col("cluster_id") % 3
+    reply = F.when(kind == 0, whole).when(kind == 1, F.to_json(F.struct(match, kb, title))).otherwise("no answer")
+    return rv.parse_opinions(t.clusters().select("run_id", "cluster_id", reply.alias("reply")))
 
 
 FOUND = """SELECT run_id, cluster_id, max_kb_sim < 0.49 AS match_found, CASE WHEN place = 1 THEN '' ELSE cluster_label END AS matched_kb_title,
