@@ -346,17 +346,27 @@ def coverage_delta(t: Tables):
     return au.coverage_delta(t.clusters(), after)
 
 
-@query("audit_bias_statistic", """WITH o AS (SELECT a.run_id, service_type, gap_flag, count(*) AS o FROM r_assign a JOIN r_gaps g USING (run_id, cluster_id) GROUP BY ALL),
+BIAS = """WITH o AS (SELECT a.run_id, service_type, gap_flag, count(*) AS o FROM r_assign a JOIN r_gaps g USING (run_id, cluster_id) GROUP BY ALL),
     e AS (SELECT *, sum(o) OVER (PARTITION BY run_id, service_type) AS row, sum(o) OVER (PARTITION BY run_id, gap_flag) AS col, sum(o) OVER (PARTITION BY run_id) AS n FROM o)
-    SELECT run_id, round(sum(o * o / (row * col / n)) - any_value(n), 6) AS statistic, (count(DISTINCT service_type) - 1) * (count(DISTINCT gap_flag) - 1) AS degrees_of_freedom,
-    arg_max(service_type, (round(o - row * col / n, 6), service_type)) FILTER (gap_flag = 'CRITICAL') AS most_affected FROM e GROUP BY run_id""")
+    SELECT run_id, sum(o * o / (row * col / n)) - any_value(n) AS statistic, (count(DISTINCT service_type) - 1) * (count(DISTINCT gap_flag) - 1) AS degrees_of_freedom,
+    arg_max(service_type, (round(o - row * col / n, 6), service_type)) FILTER (gap_flag = 'CRITICAL') AS most_affected FROM e GROUP BY run_id"""
+
+
+@query("audit_bias_statistic", f"SELECT run_id, round(statistic, 6) AS statistic, degrees_of_freedom, most_affected FROM ({BIAS})")
 def bias_statistic(t: Tables):
     return au.bias_statistic(t.assignments(), t.gaps()).withColumn("statistic", F.round("statistic", 6))
 
 
-@query("audit_bias_p_value")
+# The tail of chi-square as 1 less the series of the incomplete gamma function, term by term from lgamma.
+TAIL = """1 - list_sum([exp(d / 2.0 * ln(x / 2.0) - x / 2.0 - lgamma(d / 2.0 + n + 1) + n * ln(x / 2.0)) FOR n IN range(0, CAST(ceil(x) AS BIGINT) + 200)])"""
+
+
+@query("audit_bias_p_value", f"""SELECT run_id, 'chi2_contingency' AS test_name, round(x, 6) AS statistic, d AS degrees_of_freedom, round(p, 9) AS p_value, p < 0.05 AS bias_detected FROM (
+    SELECT *, CASE WHEN d <= 0 OR x <= 0 THEN 1.0 WHEN x > d + 100 THEN 0.0 ELSE greatest(0.0, {TAIL}) END AS p FROM (SELECT run_id, statistic AS x, degrees_of_freedom AS d FROM ({BIAS})))""")
 def bias_p_value(t: Tables):
-    return au.bias_p_value(t.assignments(), t.gaps())
+    p = au.bias_p_value(t.assignments(), t.gaps())
+    return p.withColumn("statistic", F.round("statistic", 6)).withColumn("p_value", F.round("p_value", 9))
+
 
 
 def findings_sql() -> str:
