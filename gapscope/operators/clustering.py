@@ -79,7 +79,7 @@ def sweep(
     max_iter: int = 300,
 ) -> DataFrame:
     """Inertia, silhouette and largest share of every K; K at or above the row count is void."""
-    featured = _featured(df, vector).select(FEATURES).persist()
+    featured = _featured(cut(df.select(F.col(vector).cast("array<double>").alias(vector))), vector).select(FEATURES)
     total = featured.count()
     rows = []
     for k in k_values:
@@ -92,7 +92,6 @@ def sweep(
             featuresCol=FEATURES, predictionCol="cluster_id", distanceMeasure="squaredEuclidean"
         ).evaluate(model.transform(featured)) if sum(n > 0 for n in sizes) > 1 else -1.0
         rows.append((k, float(model.summary.trainingCost), float(score), max(sizes) / total))
-    featured.unpersist()
     return df.sparkSession.createDataFrame(rows, SWEEP_SCHEMA)
 
 
@@ -208,7 +207,7 @@ def renumber(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def enough_tickets(df: DataFrame, minimum: int = Thresholds.min_cluster_tickets) -> bool:
-    return df.limit(minimum).count() >= minimum
+    return df.count() >= minimum
 
 
 def centroids(df: DataFrame, vector: str, by: Sequence[str], name: str = "centroid") -> DataFrame:
@@ -284,7 +283,36 @@ def euclidean_silhouette(df: DataFrame, key: str, vector: str, **layout) -> Data
     return scored.select(key, "cluster_id", value.alias("silhouette"))
 
 
-def sampled_silhouette(df: DataFrame, key: str, vector: str, rows: int = 10000, **layout) -> DataFrame:
+def squared_silhouette(df: DataFrame, key: str, vector: str, **layout) -> DataFrame:
+    """Silhouette of every row from mean squared distances between unit vectors.
+
+    The mean squared distance of ``x`` to a cluster is ``2 - 2 x . mean``, so each row meets
+    the clusters' means instead of all other rows; a row's own place is taken out of its
+    cluster by ``n / (n - 1)``.
+    """
+    units = df.where(F.col(vector).isNotNull()).select("cluster_id", normalise(F.col(vector).cast("array<double>")).alias("__unit"))
+    sizes = units.groupBy("cluster_id").agg(F.count("*").alias("members"))
+    means = centroids(units, "__unit", ["cluster_id"], "__mean").join(sizes, "cluster_id").select(
+        F.col("cluster_id").alias("other"), "members", F.sqrt(dot(F.col("__mean"), F.col("__mean"))).alias("length"), "__mean"
+    )
+
+    def kernel(cell: Cell):
+        apart = 2.0 - 2.0 * cell.sim * cell.right_values("length")
+        n = cell.right_values("members")
+        own = cell.left_values("cluster_id")[:, None] == cell.right_values("other")
+        inner = np.where(own & (n > 1), apart * n / np.maximum(n - 1, 1), -np.inf).max(axis=1)
+        outer = np.where(own, np.inf, apart).min(axis=1)
+        return np.arange(len(own)), None, {"a": inner, "b": outer}
+
+    values = T.StructType([T.StructField(c, T.DoubleType()) for c in ("a", "b")])
+    met = compare(Side(df, vector, [key, "cluster_id"]), Side(means, "__mean", ["other", "members", "length"]), kernel, values, per_left=True, **layout)
+    scored = met.rows.groupBy(key, "cluster_id").agg(F.max("a").alias("a"), F.min("b").alias("b"))
+    s = (F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0))
+    alone = F.isnan(F.col("a") - F.col("a")) | F.isnan(F.col("b") - F.col("b"))  # without a mate, or without another cluster
+    return scored.select(key, "cluster_id", F.when(alone, 0.0).otherwise(F.coalesce(s, F.lit(0.0))).alias("silhouette"))
+
+
+def sampled_silhouette(df: DataFrame, key: str, vector: str, rows: int, **layout) -> DataFrame:
     """Mean silhouette of up to ``rows`` rows picked by hash of the key."""
     picked = df.select(key).orderBy(F.xxhash64(F.col(key), F.lit(SEED)), key).limit(rows)
     return euclidean_silhouette(df.join(picked, key), key, vector, **layout).agg(

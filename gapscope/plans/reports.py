@@ -33,15 +33,17 @@ def run_list(
     hidden: Sequence[str] = (),
     include_hidden: bool = False,
     require_clusters: bool = True,
+    most: int | None = 20,
 ) -> DataFrame:
-    """Runs with clusters, complete ones first, then newest; hidden ones dropped or marked."""
+    """The first ``most`` runs with clusters (all if None), complete ones first, then newest; hidden ones dropped or marked."""
     listed = runs.join(clusters.select("run_id"), "run_id", "left_semi") if require_clusters else runs
     mark = F.col("run_id").isin(*hidden) if hidden else F.lit(False)
     listed = listed.select("run_id", "started_at", "status", mark.alias("hidden"))
     if not include_hidden:
         listed = listed.where(~F.col("hidden"))
     order = F.when(F.col("status") == "complete", 0).when(F.col("status") == "running", 1).otherwise(2)
-    return listed.orderBy(order, F.desc("started_at"), "run_id").limit(200 if include_hidden else 20)
+    ordered = listed.orderBy(order, F.desc("started_at"), "run_id")
+    return ordered if most is None else ordered.limit(most)
 
 
 def latest_run(runs: DataFrame, needed: DataFrame) -> DataFrame:

@@ -15,8 +15,6 @@ def retrieve(questions: DataFrame, index: DataFrame, k: int = 4, **layout) -> Da
 
     ``questions`` has conv_id, run_id, query_vec. Entry texts join the hits afterwards.
     """
-    if not 1 <= k <= 10:
-        raise ValueError("k is 1 to 10")
     entries = index.withColumn("entry", F.concat_ws(":", "source", "source_id"))
     hits = top_k(
         Side(questions, "query_vec", ["conv_id"]), Side(entries, "embedding", ["entry"]), k, by=["run_id"], **layout

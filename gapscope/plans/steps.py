@@ -69,6 +69,7 @@ def clustering(
     stop_words: list[str] | None = None,
     min_docs: int = 5,
     tries: int = 5,
+    final_tries: int = 15,
 ) -> dict[str, DataFrame]:
     tickets = tb.unified_tickets(tables["incidents_processed"], tables["workorders_processed"])
     held = cut(cv.working_vectors(tb.run_tickets(tables["ticket_embeddings"], tickets, run_id)).withColumn(
@@ -84,7 +85,7 @@ def clustering(
         swept = cut(cl.choose_k(cl.sweep(held, "cluster_vec", t.k_values, tries=tries)))
         out["cluster_sweep"] = sk.sweep_rows(swept.withColumn("run_id", F.lit(run_id)))
         best_k = swept.where("is_best_k").first()["k"]
-    first = cut(cl.kmeans(held, "cluster_vec", best_k, tries=tries).withColumn("cluster_id", F.col("cluster_id").cast("long")))
+    first = cut(cl.kmeans(held, "cluster_vec", best_k, tries=final_tries).withColumn("cluster_id", F.col("cluster_id").cast("long")))
     grouped = cut(cl.split_oversize(first, "ticket_id", "cluster_vec", floor=t.split_floor, target=t.split_target))
     summary = cut(cv.cluster_summary(grouped, kb, ("cluster_id",), t.covered, t.partial))
 
@@ -97,7 +98,7 @@ def clustering(
         samples = cv.label_samples(grouped.drop("run_id"))
         named = cv.model_labels(named, cv.label_prompts(named, samples), chat_fn)
     named = cut(cl.project_2d(named))
-    quality = cl.sampled_silhouette(grouped, "ticket_id", "cluster_vec").select("silhouette").scalar()
+    quality = cl.squared_silhouette(grouped, "ticket_id", "cluster_vec").agg(F.avg("silhouette")).scalar()
     out["clusters"] = named.withColumn("run_id", F.lit(run_id)).withColumn("silhouette", quality).withColumn(
         "summary", F.lit(None).cast("string")
     ).withColumn("threshold_partial", F.lit(t.partial)).withColumn("threshold_covered", F.lit(t.covered))

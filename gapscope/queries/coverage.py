@@ -424,6 +424,15 @@ def silhouette(t: Tables):
     return s.select("vec_id", F.round("silhouette", 6).alias("silhouette"))
 
 
+@query("clu_squared_silhouette", """WITH d AS (SELECT a.vec_id, a.label, b.label AS other, sum(2 - 2 * list_cosine_similarity(a.vec, b.vec)) AS total, count(*) AS n
+      FROM r_vec a JOIN r_vec b ON true GROUP BY ALL),
+    s AS (SELECT vec_id, label, max(total / nullif(n - 1, 0)) FILTER (other = label) AS a, min(total / n) FILTER (other <> label) AS b FROM d GROUP BY ALL)
+    SELECT vec_id, round((b - a) / greatest(a, b), 6) AS silhouette FROM s""")
+def squared_silhouette(t: Tables):
+    s = cl.squared_silhouette(t.vectors().withColumnRenamed("label", "cluster_id"), "vec_id", "vec")
+    return s.select("vec_id", F.round("silhouette", 6).alias("silhouette"))
+
+
 @query("clu_sampled_silhouette", SILHOUETTE + "round(avg((b - a) / greatest(a, b)), 6) AS silhouette, count(*) AS rows FROM s")
 def sampled_silhouette(t: Tables):
     v = t.vectors().withColumnRenamed("label", "cluster_id")

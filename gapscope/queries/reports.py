@@ -28,7 +28,7 @@ def runs(t: Tables):
 
 @query("dash_runs_hidden", f"SELECT run_id, started_at, status, run_id = '1999' AS hidden FROM r_runs ORDER BY {ORDER} LIMIT 200")
 def runs_hidden(t: Tables):
-    return rp.run_list(t.runs(), t.clusters(), hidden=["1999"], include_hidden=True, require_clusters=False)
+    return rp.run_list(t.runs(), t.clusters(), hidden=["1999"], include_hidden=True, require_clusters=False, most=200)
 
 
 @query("dash_latest_run", "SELECT * FROM r_runs WHERE run_id IN (SELECT run_id FROM r_gaps WHERE gap_flag = 'COVERED') ORDER BY started_at DESC LIMIT 1")

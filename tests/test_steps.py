@@ -72,7 +72,7 @@ def test_all_steps(spark, tmp_path):
     assert te.count() == 200 + 87 and te.where("quality_pass").count() > 150
     assert te.where("quality_pass AND (problem_vec IS NULL OR res_vec IS NULL)").isEmpty()
 
-    keep(steps.clustering(tables(), "run1", LIMITS, chat_fn=chat, stop_words=list(STOP_WORDS), tries=1), "clustering")
+    keep(steps.clustering(tables(), "run1", LIMITS, chat_fn=chat, stop_words=list(STOP_WORDS), tries=1, final_tries=2), "clustering")
     passed = te.where("quality_pass").count()
     assert stored["ticket_coverage"].count() == passed == stored["cluster_assignments"].count()
     clusters = stored["clusters"].collect()
