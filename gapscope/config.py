@@ -80,7 +80,7 @@ UNSTATED_SERVICES: tuple[str, ...] = ("", "Unknown", "N/A", "None", "none")
 # Words too common in tickets to name a cluster. Site names, product
 # names and the like are added through the ``stop_words`` argument.
 TICKET_STOP_WORDS: tuple[str, ...] = (
-    "https", "edu", "http", "www", "ithelp", "com", "net", "org", "gov",
+    "https", "edu", "http", "www", "com", "net", "org", "gov",
     "called", "calling", "assisted", "assistance", "confirmed", "checked",
     "provided", "instructions", "instruction", "helped", "resolved", "issue",
     "came", "picked", "dropped", "customer", "user", "follow", "sent", "available",
@@ -91,7 +91,7 @@ TICKET_STOP_WORDS: tuple[str, ...] = (
     "set", "does", "non", "details", "detail", "task", "comment", "comments",
     "noted", "note", "subject", "email", "fwd", "thank", "thanks", "attached",
     "form", "hello", "image", "dear", "please", "request", "regards", "number",
-    "new", "smartit", "date", "day", "days", "time", "week", "month", "year",
+    "new", "date", "day", "days", "time", "week", "month", "year",
     "role", "roles", "staff", "member", "team", "group", "department", "division",
     "office", "via", "per", "able", "let", "just", "know", "use", "used", "update",
     "updated", "access", "account", "poc",
@@ -101,6 +101,4 @@ TICKET_STOP_WORDS: tuple[str, ...] = (
 # through the ``terms`` argument.
 TERM_REPLACEMENTS: dict[str, str] = {
     "sspr": "password self service reset",
-    "aadsts": "azure login error",
-    "ithelp": "",
 }

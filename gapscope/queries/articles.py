@@ -11,9 +11,9 @@ from gapscope.operators.rounds import cut
 from gapscope.plans import audits as au
 from gapscope.plans import drafting as dr
 from gapscope.plans import retrieval as rt
-from gapscope.plans import roles as r
+from gapscope.queries import roles as r
 from gapscope.plans import validation as va
-from gapscope.plans.roles import Tables
+from gapscope.queries.roles import Tables
 from gapscope.queries import sql_roles as q
 from gapscope.queries.gaps import TIER
 from gapscope.queries.registry import query

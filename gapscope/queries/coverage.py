@@ -12,8 +12,8 @@ from gapscope.operators import labelling as lb
 from gapscope.operators import similarity as sm
 from gapscope.plans import coverage as cv
 from gapscope.plans import preprocess as pp
-from gapscope.plans import roles as r
-from gapscope.plans.roles import Tables
+from gapscope.queries import roles as r
+from gapscope.queries.roles import Tables
 from gapscope.queries import sql_roles as q
 from gapscope.queries.registry import query
 from gapscope.sources import tables as tb

@@ -12,8 +12,8 @@ from gapscope.operators.rounds import cut
 from gapscope.plans import coverage as cv
 from gapscope.plans import gaps as gp
 from gapscope.plans import review as rv
-from gapscope.plans import roles as r
-from gapscope.plans.roles import Tables
+from gapscope.queries import roles as r
+from gapscope.queries.roles import Tables
 from gapscope.queries import sql_roles as q
 from gapscope.queries.coverage import UNIT_SIDES, members
 from gapscope.queries.registry import query

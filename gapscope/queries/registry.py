@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gapscope.plans.roles import Tables
+from gapscope.queries.roles import Tables
 from gapscope.queries.sql_roles import ROLES
 
 Plan = Callable[[Tables], DataFrame]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gapscope.operators.clustering import choose_k
 from gapscope.plans import reports as rp
-from gapscope.plans.roles import Tables
+from gapscope.queries.roles import Tables
 from gapscope.queries import sql_roles as q
 from gapscope.queries.articles import VALIDATION, scored_articles, validated
 from gapscope.queries.coverage import checksum

@@ -1,9 +1,9 @@
-"""The roles of ``gapscope.plans.roles`` in SQL, and SQL spellings of shared rules."""
+"""The roles of ``gapscope.queries.roles`` in SQL, and SQL spellings of shared rules."""
 
 from __future__ import annotations
 
 from gapscope.functions import text as rules
-from gapscope.plans import roles
+from gapscope.queries import roles
 
 
 def lit(s: str) -> str:

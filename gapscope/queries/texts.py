@@ -8,7 +8,7 @@ from gapscope.config import TICKET_STOP_WORDS, Thresholds
 from gapscope.functions import article_rules as ar
 from gapscope.functions import text as tx
 from gapscope.operators import labelling as lb
-from gapscope.plans.roles import STOP_WORDS, Tables
+from gapscope.queries.roles import STOP_WORDS, Tables
 from gapscope.queries import sql_roles as q
 from gapscope.queries.registry import query
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gapscope.config import Thresholds
 from gapscope.plans import steps
-from gapscope.plans.roles import STOP_WORDS, Tables
+from gapscope.queries.roles import STOP_WORDS, Tables
 from gapscope.sources.sinks import RUN_TABLES, drop_run
 from tests.standins import hashed_bag_of_words
 
