@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapscope.config import SEED, TICKET_STOP_WORDS
-from gapscope.functions.text import join_texts, normalise_terms
+from gapscope.functions.text import join_texts, let, normalise_terms
+from gapscope.operators.rounds import cut
 
 TOKEN = "[a-zA-Z]{3,}"
 
@@ -45,18 +46,28 @@ def term_counts(
     terms: Mapping[str, str] | None = None,
     carry: Sequence[str] = ("cluster_id",),
 ) -> DataFrame:
-    """``(key, carry.., term, tf)``: one shuffle by document; later steps reuse it."""
+    """``(key, carry.., term, tf)``, a stored table; ``docs`` has one row per document.
+
+    Terms are counted inside the row, so nothing is shuffled and no repeated token leaves it.
+    """
     text = F.col(problem) if resolution is None else join_texts(F.col(problem), F.col(resolution))
-    held = docs.select(key, *carry, tokens(text, stop_words, terms).alias("__tokens")).repartition(key)
-    words = held.withColumn("__tokens", with_pairs(F.col("__tokens")))
-    # An inner explode makes Spark test the array's size before the shuffle, which would
-    # take the tokens of every text twice.
-    return (
-        words.select(key, *carry, F.explode_outer("__tokens").alias("term"))
-        .where(F.col("term").isNotNull())
-        .groupBy(key, *carry, "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    counted = let(tokens(text, stop_words, terms), lambda t: let(with_pairs(t), term_runs))
+    # An inner explode would make Spark test the array's size first and take the tokens twice.
+    rows = docs.select(key, *carry, F.explode_outer(counted).alias("__t")).select(key, *carry, "__t.term", "__t.tf")
+    return cut(rows.where(F.col("term").isNotNull()))
+
+
+def term_runs(terms: Column) -> Column:
+    """(term, tf) of an array: sorted, then one entry per run of equal terms."""
+
+    def runs(s: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(at, lambda starts: F.transform(
+            starts,
+            lambda x, k: F.struct(F.get(s, x).alias("term"), (F.coalesce(F.get(starts, k + 1), F.size(s)) - x).cast("long").alias("tf")),
+        ))
+
+    return F.when(F.size(terms) > 0, let(F.array_sort(terms), runs))
 
 
 def vocabulary(

@@ -19,6 +19,7 @@ from gapscope.functions.text import (
 from gapscope.models import ChatFn, ask
 from gapscope.operators.labelling import sample_members
 from gapscope.operators.quantiles import similarity_percentile
+from gapscope.operators.rounds import cut
 from gapscope.operators.similarity import pairs_above
 
 RUN = ("run_id",)
@@ -116,13 +117,15 @@ def priorities(
     """``priority_score`` from size, recent_count, coverage_score and evidence_quality."""
     w = weights or Thresholds().priority_weights
     by = list(by)
-    filled = signals.fillna(0, ["recent_count", "evidence_quality"])
+    # Bounds and maxima each read the signals again: a row per cluster, stored once.
+    filled = cut(signals.fillna(0, ["recent_count", "evidence_quality"]))
     scaled = min_max(filled, ["size", "recent_count", "coverage_score", "evidence_quality"], by)
     raw = scaled.withColumn(
         "__raw",
         w["volume"] * F.col("size_scaled") + w["recency"] * F.col("recent_count_scaled")
         + w["gap"] * (1.0 - F.col("coverage_score_scaled")) + w["evidence"] * F.col("evidence_quality_scaled"),
     )
+    raw = cut(raw)
     top = raw.groupBy(*by).agg(F.greatest(F.max("__raw"), F.lit(1e-9)).alias("__top"))
     return raw.join(top, by).withColumn("priority_score", F.col("__raw") / F.col("__top")).drop(
         "__raw", "__top", "size_scaled", "recent_count_scaled", "coverage_score_scaled", "evidence_quality_scaled"

@@ -91,14 +91,18 @@ def cluster_list(
 
 
 def tickets_of(assignments: DataFrame, tickets: DataFrame, clusters: Sequence[int] | None = None) -> DataFrame:
-    """Ticket details of the given clusters (or all), by cluster, source, number."""
+    """Ticket details of the given clusters, by cluster, source, number; of all, in no order.
+
+    Sorting every ticket with its texts would move them all for an order no one reads.
+    """
     kept = assignments.where(F.col("cluster_id").isin(*clusters)) if clusters else assignments
     texts = tickets.select("source", "source_id", "problem_text", F.coalesce("resolution_text", F.lit("")).alias("resolution_text"))
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    return kept.join(texts, ["source", "source_id"]).select(
+    details = kept.join(texts, ["source", "source_id"]).select(
         "run_id", "cluster_id", "source", blank("ticket_number"), blank("service_type"), blank("assigned_group"),
         "problem_text", "resolution_text",
-    ).orderBy("run_id", "cluster_id", "source", "ticket_number")
+    )
+    return details.orderBy("run_id", "cluster_id", "source", "ticket_number") if clusters else details
 
 
 def sweep_rows(swept: DataFrame) -> DataFrame:
