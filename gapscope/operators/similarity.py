@@ -6,8 +6,9 @@ what the caller's kernel keeps. Two layouts, chosen by a measured size:
 
 * the right side fits the broadcast bound: every task streams its left batches
   past the broadcast blocks, with no shuffle of the left side;
-* it does not: both sides are cut into hashed tiles of bounded size and each
-  (left tile, right tile) cell is one co-grouped task input. Large ``by`` groups
+* it does not: both sides are cut into hashed tiles and each (left tile, right tile)
+  cell is one co-grouped task input. Right tiles are as large as a task may hold, since
+  every left row is sent once per right tile; left tiles are blocks. Large ``by`` groups
   become more tiles, so a hot group spreads over the cluster.
 """
 
@@ -30,6 +31,7 @@ from gapscope.functions.vectors import dot, normalise
 
 BLOCK_ROWS = 2048
 BROADCAST_BYTES = 64 << 20
+CHUNK_BYTES = 128 << 20
 VECTOR = "__vec"
 
 
@@ -130,6 +132,7 @@ def compare(
     fold: Callable[[pa.Table], pa.Table] | None = None,
     block_rows: int = BLOCK_ROWS,
     broadcast_bytes: int = BROADCAST_BYTES,
+    chunk_bytes: int = CHUNK_BYTES,
 ) -> Comparison:
     """Run ``kernel`` on every block of left rows against every block of right rows.
 
@@ -153,7 +156,8 @@ def compare(
     by = list(by)
     l_lead, lead = left.columns[0], right.columns[0]
 
-    if not symmetric and _bytes_of(rf) <= broadcast_bytes:
+    size, row_bytes = _bytes_of(rf)
+    if not symmetric and size <= broadcast_bytes:
         table = rf.toArrow().sort_by([(c, "ascending") for c in dict.fromkeys([*by, lead])])
         held = rf.sparkSession.sparkContext.broadcast(table)
 
@@ -183,8 +187,9 @@ def compare(
 
         return Comparison(lf.mapInArrow(stream, out), fold is not None)
 
-    n_left = _tile_counts(lf, by, block_rows, "__lt_n")
-    n_right = _tile_counts(rf, by, block_rows, "__rt_n")
+    chunk_rows = max(block_rows, chunk_bytes // max(1, row_bytes))
+    n_left = _tile_counts(lf, by, chunk_rows if symmetric else block_rows, "__lt_n")
+    n_right = _tile_counts(rf, by, chunk_rows, "__rt_n")
     tiles_l = _tiles(lf, n_left, by, l_lead, "__lt_n", "__lt")
     tiles_r = _tiles(rf, n_right, by, lead, "__rt_n", "__rt")
     first_rt = F.col("__lt") if symmetric else F.lit(0)
@@ -204,8 +209,13 @@ def compare(
         if same:
             l_rows = l_rows.sort_by(l_lead)
         r_rows = r_rows.sort_by(lead)
-        cell = Cell(l_rows, r_rows, _cosines(_unit_rows(l_rows), _unit_rows(r_rows)), same)
-        return _emit(cell, kernel, left_cols, right_cols, arrow)
+        l_unit, r_unit, parts = _unit_rows(l_rows), _unit_rows(r_rows), []
+        for i in range(0, l_rows.num_rows, block_rows):
+            for j in range(i if same else 0, r_rows.num_rows, block_rows):
+                sim = _cosines(l_unit[i : i + block_rows], r_unit[j : j + block_rows])
+                cell = Cell(l_rows.slice(i, block_rows), r_rows.slice(j, block_rows), sim, same and i == j)
+                parts.append(_emit(cell, kernel, left_cols, right_cols, arrow))
+        return pa.concat_tables(parts)
 
     # New column identities: both sides may stem from one table.
     cells_r = cells_r.select(*[F.col(c).alias(c) for c in cells_r.columns if c != "__lt_n"])
@@ -213,9 +223,16 @@ def compare(
     return Comparison(cells.applyInArrow(cell_rows, out), False)
 
 
-def _bytes_of(df: DataFrame) -> int:
-    size = df.agg(F.count("*").alias("n"), F.max(F.size(VECTOR)).alias("dim")).first()
-    return size["n"] * (8 * (size["dim"] or 0) + 64 * (len(df.columns) - 1))
+def _bytes_of(df: DataFrame) -> tuple[int, int]:
+    """Bytes of a side and of its average row; texts count by their length."""
+    texts = [c for c, kind in df.dtypes if kind == "string"]
+    row = df.agg(
+        F.count("*").alias("n"), F.max(F.size(VECTOR)).alias("dim"),
+        *[F.sum(F.octet_length(c)).alias(f"__{i}") for i, c in enumerate(texts)],
+    ).first()
+    fixed = 8 * (row["dim"] or 0) + 64 * (len(df.columns) - 1)
+    size = row["n"] * fixed + sum(row[f"__{i}"] or 0 for i in range(len(texts)))
+    return size, size // max(1, row["n"])
 
 
 def _tile_counts(df: DataFrame, by: Sequence[str], block_rows: int, name: str) -> DataFrame | int:

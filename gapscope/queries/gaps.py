@@ -329,7 +329,7 @@ def candidates(t: Tables):
 
 @query("rev_candidates_tiled", f"SELECT run_id, cluster_id, rank, kb_id, sim FROM ({REVIEWED})")
 def candidates_tiled(t: Tables):
-    c = rv.candidates(run_clusters(t), t.kb(), broadcast_bytes=0, block_rows=64)
+    c = rv.candidates(run_clusters(t), t.kb(), broadcast_bytes=0, block_rows=64, chunk_bytes=0)
     return c.select("run_id", "cluster_id", F.col("rank").cast("long").alias("rank"), "kb_id", "sim")
 
 

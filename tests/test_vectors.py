@@ -8,7 +8,9 @@ from gapscope.operators.quantiles import similarity_percentile
 from gapscope.plans import coverage as cv
 from gapscope.plans import review as rv
 
-LAYOUTS = ({}, {"block_rows": 7}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "block_rows": 7})
+LAYOUTS = (
+    {}, {"block_rows": 7}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "block_rows": 7}, {"broadcast_bytes": 0, "block_rows": 7, "chunk_bytes": 0},
+)
 
 
 @pytest.fixture(scope="module")
@@ -91,12 +93,13 @@ def test_coverage_without_articles(sets):
 
 
 @pytest.mark.parametrize("block", [5, 1000])
-def test_pairs_above_equals_brute_force(sets, block):
+@pytest.mark.parametrize("chunk", [0, 1500, 1 << 20])
+def test_pairs_above_equals_brute_force(sets, block, chunk):
     _, right, _ = sets
     rows = {r["k"]: np.array(r["v"]) for r in right.collect() if r["v"]}
     cos = lambda x, y: round(float(x @ y / np.linalg.norm(x) / np.linalg.norm(y)), 9)
     want = {(i, j) for i in rows for j in rows if i < j and cos(rows[i], rows[j]) > 0.5}
-    assert {(r["a"], r["b"]) for r in sm.pairs_above(right, "k", "v", 0.5, block_rows=block).collect()} == want
+    assert {(r["a"], r["b"]) for r in sm.pairs_above(right, "k", "v", 0.5, block_rows=block, chunk_bytes=chunk).collect()} == want
 
 
 def test_empty_right_side(sets):
