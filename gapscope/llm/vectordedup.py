@@ -245,7 +245,7 @@ def dedup(vectors: DataFrame, least: float = 0.98, block: int = BLOCK) -> DataFr
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(sound(v), F.lit(False))
     bare = F.transform(v, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x.cast("double")))  # one zero
     marked = vectors.select("vec_id", F.col("label").cast("long").alias("label"), F.when(usable, bare).alias("vector"))
-    keyed = marked.select("*", F.when(F.col("vector").isNotNull(), F.struct("label", F.xxhash64("vector").alias("a"), F.xxhash64("vector", F.lit(1)).alias("b"))).alias("key"))
+    keyed = marked.select("*", F.when(F.col("vector").isNotNull(), F.struct("label", F.xxhash64("vector").alias("a"), F.xxhash64(F.lit(1), "vector").alias("b"))).alias("key"))
     keyed = cut(keyed)
     found = keyed.where(F.col("key").isNotNull())
     # Copies of a vector: how many there are, and the smallest id.
