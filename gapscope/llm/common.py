@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gapscope.operators.rounds import cut, shared_folder
 
-__all__ = ["ASCII_SPACE", "crc32", "cut", "drop_table", "shared_folder", "text_key", "worker_store"]
+__all__ = ["ASCII_SPACE", "crc32", "cut", "drop_table", "shared_folder", "small_batches", "text_key", "worker_store"]
 
 ASCII_SPACE = "\t\n\x0b\x0c\r "
 
@@ -24,6 +24,18 @@ def worker_store(name: str, make: Callable[[], object]) -> object:
     return getattr(module, name)
 
 
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Python tasks get at most ``BATCH_BYTES`` of rows at a time; a smaller setting stays.
+
+    Whole texts travel in these batches, and a worker holds a batch as bytes and as strings.
+    """
+    if int(spark.conf.get(BATCH_SETTING).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def drop_table(spark: SparkSession, *tables: DataFrame | None) -> None:
     """Delete tables that ``cut`` wrote, once nothing reads them any more."""
     for table in tables:

@@ -6,9 +6,12 @@ text is one shingle; no words, no set). Two sets are linked when their overlap i
 of the two sets share tokens, the more the closer the sizes are. So:
 
 1. Equal sets are one class from the start; its smallest doc_id stands for it.
-2. Each task counts its tokens and reports those it meets often; the ``hot`` most reported go
-   to the end of every order. (Any choice here is right; it only decides how well prefixes
-   tell documents apart. The list is bounded, so it can be sent to all tasks.)
+2. Each task counts its words and tokens and reports those it meets often. Tokens with a word
+   that was not reported come first in every order, tokens of reported words after them by
+   the count of their rarest word, and reported tokens last. (Any choice is right here; it
+   decides how well prefixes tell documents apart. Both lists keep a bounded number of the
+   most reported, so they can be sent to all tasks.) Within a class, a hash orders tokens,
+   another one in each order.
 3. Order A makes candidates: sets that share a token of their A-prefixes. Orders B and C are
    intersected with it: both prefixes must share as many tokens as the sizes demand.
 4. What is left is verified on the words themselves.
@@ -35,13 +38,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapscope.llm.common import cut, drop_table
+from gapscope.llm.common import cut, drop_table, small_batches
 from gapscope.llm.components import components
 
-HOT_TOKENS = 1 << 16
-BLOCK_TOKENS = 1 << 22
-LEAST_REPORTED = 4
-FIRST_HUBS, MORE_HUBS = 1, 16
+HOT_TOKENS = HOT_WORDS = 1 << 16
+BLOCK_TOKENS = 1 << 21
+LEAST_TOKENS, LEAST_WORDS = 4, 32
+#: Hubs of a token in the first round, in the second, and how many times as many in each later one.
+FIRST_HUBS, MORE_HUBS, HUB_GROWTH = 1, 32, 8
 #: Ids that are sent to all tasks at most; above it the join is left to be a shuffle.
 SENT_IDS = 2_000_000
 ODD = 0x9E3779B97F4A7C15
@@ -55,18 +59,24 @@ def mixed(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """Sorted tokens of the set."""
+def word_hashes(text: str | None) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    size = min(width, len(words))
-    n = len(words) - size + 1
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def windows(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The token of every run of ``width`` words, or of all words if there are fewer."""
+    size = min(width, len(hashes))
+    n = len(hashes) - size + 1 if size else 0
     out = np.full(n, np.uint64(size))
     for k in range(size):
         out = mixed(out + hashes[k : k + n], 7)
-    return np.unique(out)
+    return out
+
+
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Sorted tokens of the set."""
+    return np.unique(windows(word_hashes(text), width))
 
 
 def least_overlap(percent: int, both: int) -> int:
@@ -80,70 +90,105 @@ def prefix_sizes(n: int, percent: int) -> tuple[int, int]:
 
 
 class Orders:
-    """Global orders of tokens: those in ``hot`` last, the rest by a hash that differs by order."""
+    """Global orders of tokens: a class by how often words and tokens were reported, then a hash.
+
+    A token's place in an order is a number: its class in the highest byte, its hash below.
+    """
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: np.ndarray):
+        at = np.argsort(words)
+        self.words, self.counts, self.tokens = words[at], counts[at], np.sort(tokens)
+
+    def classes(self, hashes: np.ndarray, found: np.ndarray, width: int) -> np.ndarray:
+        """Class of the token at each window of a text's words."""
+        level = np.zeros(len(hashes), np.uint64)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+            level = np.where(self.words[at] == hashes, np.ceil(np.log2(self.counts[at])) + 1, 0).astype(np.uint64)
+        n = len(found)
+        out = level[:n].copy()
+        for k in range(1, len(hashes) - n + 1):
+            np.minimum(out, level[k : n + k], out=out)
+        if len(self.tokens):
+            at = np.minimum(np.searchsorted(self.tokens, found), len(self.tokens) - 1)
+            out[self.tokens[at] == found] = 255
+        return out
 
-    def __init__(self, hot: np.ndarray):
-        self.hot = np.sort(hot)
 
-    def prefix(self, tokens: np.ndarray, size: int, order: int) -> np.ndarray:
-        last = np.zeros(len(tokens), bool)
-        if len(self.hot):
-            at = np.minimum(np.searchsorted(self.hot, tokens), len(self.hot) - 1)
-            last = self.hot[at] == tokens
-        keys = mixed(tokens, order)
-        return tokens[np.lexsort((keys, last))[:size]]
+def places(tokens: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
+    return classes << np.uint64(56) | mixed(tokens, order) >> np.uint64(8)
 
 
-SCAN = "doc_id long, n_shingles long, class string, token long, seen long"
+def smallest(values: np.ndarray, size: int) -> np.ndarray:
+    return np.partition(values, size - 1)[:size] if size < len(values) else values
+
+
+SCAN = "doc_id long, n_shingles long, class string, kind string, item long, seen long"
 
 
 def scan(docs: DataFrame, width: int) -> DataFrame:
-    """One pass over the texts: a row per document with its set's size and class, and rows of often met tokens."""
+    """One pass over the texts: a row per document with its set's size and class, and rows of often met words and tokens."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block: list[np.ndarray] = []
+        blocks: dict[str, list[np.ndarray]] = {"word": [], "token": []}
 
-        def report() -> pd.DataFrame:
-            tokens, seen = np.unique(np.concatenate(block) if block else np.empty(0, np.uint64), return_counts=True)
-            often = seen >= LEAST_REPORTED
-            block.clear()
-            return pd.DataFrame({"doc_id": None, "n_shingles": None, "class": None, "token": tokens[often].view(np.int64), "seen": seen[often]})
+        def report() -> Iterator[pd.DataFrame]:
+            for kind, least in (("word", LEAST_WORDS), ("token", LEAST_TOKENS)):
+                items, seen = np.unique(np.concatenate(blocks[kind]) if blocks[kind] else np.empty(0, np.uint64), return_counts=True)
+                blocks[kind].clear()
+                often = seen >= least
+                yield pd.DataFrame({"doc_id": None, "n_shingles": None, "class": None, "kind": kind, "item": items[often].view(np.int64), "seen": seen[often]})
 
         for batch in batches:
-            sizes, classes = [], []
+            sizes, names = [], []
             for text in batch["text"]:
-                tokens = shingles(text, width)
+                hashes = word_hashes(text)
+                tokens = np.unique(windows(hashes, width))
                 sizes.append(len(tokens))
-                classes.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).hexdigest() if len(tokens) else None)
-                block.append(tokens)
-            yield pd.DataFrame({"doc_id": pd.array(batch["doc_id"], "Int64"), "n_shingles": sizes, "class": classes, "token": None, "seen": None})
-            if sum(map(len, block)) > BLOCK_TOKENS:
-                yield report()
-        yield report()
+                names.append(class_name(tokens))
+                blocks["word"].append(hashes)
+                blocks["token"].append(tokens)
+                if len(names) % 512 == 0 and sum(map(len, blocks["token"])) > BLOCK_TOKENS:
+                    yield from report()
+            # Ids come as text: beside nulls they would become floats.
+            ids = pd.array([None if x is None else int(x) for x in batch["doc_id"]], "Int64")
+            yield pd.DataFrame({"doc_id": ids, "n_shingles": sizes, "class": names, "kind": None, "item": None, "seen": None})
+        yield from report()
+
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(read, SCAN)
 
-    # Ids as text on the way: beside nulls they would become floats.
-    plain = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    return plain.mapInPandas(lambda it: read(b.assign(doc_id=[None if x is None else int(x) for x in b["doc_id"]]) for b in it), SCAN)
 
+def class_name(tokens: np.ndarray) -> str | None:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).hexdigest() if len(tokens) else None
 
-def prefixes(docs: DataFrame, width: int, percent: int, hot: np.ndarray) -> Column:
-    """Per text a struct: a (order A, index part first), n_index, and shortened tokens of B and C."""
-    orders = docs.sparkSession.sparkContext.broadcast(hot)
 
-    @F.pandas_udf("class string, n int, n_index int, a array<long>, b array<int>, c array<int>, lost int")
+def often_met(read: DataFrame, kind: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` items with the highest reported counts, and the counts."""
+    summed = read.where(F.col("kind") == kind).groupBy("item").agg(F.sum("seen").alias("seen"))
+    top = summed.orderBy(F.desc("seen"), "item").limit(most).toPandas()
+    return top["item"].to_numpy(np.int64).view(np.uint64), top["seen"].to_numpy(np.int64)
+
+
+def prefixes(docs: DataFrame, width: int, percent: int, often: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Column:
+    """Per text a struct: the prefix of order A, 8 bytes a token (its first n_index are the index part), and those of B and C, 4 bytes a token."""
+    known = docs.sparkSession.sparkContext.broadcast(often)
+
+    @F.pandas_udf("class string, n int, n_index int, a binary, b binary, c binary, lost int")
     def find(texts: pd.Series) -> pd.DataFrame:
-        order, rows = Orders(orders.value), []
+        order, rows = Orders(*known.value), []
         for text in texts:
-            tokens = shingles(text, width)
+            hashes = word_hashes(text)
+            tokens, at = np.unique(found := windows(hashes, width), return_index=True)
             if not len(tokens):
-                rows.append((None, 0, 0, [], [], [], 0))
+                rows.append((None, 0, 0, b"", b"", b"", 0))
                 continue
+            kinds = order.classes(hashes, found, width)[at]
             size, n_index = prefix_sizes(len(tokens), percent)
-            short = [(order.prefix(tokens, size, k) >> np.uint64(32)).astype(np.uint32).view(np.int32) for k in (2, 3)]
+            short = [np.unique(smallest(places(tokens, kinds, k), size).astype("<u4")) for k in (2, 3)]
             # Shortening may make tokens equal; how many are lost is allowed for later.
-            lost = max(size - len(np.unique(s)) for s in short)
-            name = hashlib.blake2b(tokens.tobytes(), digest_size=16).hexdigest()
-            rows.append((name, len(tokens), n_index, order.prefix(tokens, size, 1).view(np.int64), *short, lost))
+            lost = size - min(map(len, short))
+            first = np.sort(smallest(places(tokens, kinds, 1), size)).astype("<u8")
+            rows.append((class_name(tokens), len(tokens), n_index, first.tobytes(), *(s.tobytes() for s in short), lost))
         return pd.DataFrame(rows, columns=["class", "n", "n_index", "a", "b", "c", "lost"])
 
     return find(F.col("text"))
@@ -158,11 +203,19 @@ def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y) whose B- and C-prefixes share as many tokens as their sizes demand."""
     mine = sets.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("b").alias("bx"), F.col("c").alias("cx"), "lost")
     other = sets.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("b").alias("by"), F.col("c").alias("cy"))
-    overlap = F.ceil(F.lit(percent) * (F.col("nx") + F.col("ny")) / F.lit(100 + percent))
-    size = lambda n: n + 1 - F.ceil(F.lit(percent) * n / 100)
-    need = F.least(*[size(F.col(n)) - F.col(n) + overlap for n in ("nx", "ny")]) - F.col("lost")
-    shared = F.least(F.size(F.array_intersect("bx", "by")), F.size(F.array_intersect("cx", "cy")))
-    return pairs.join(mine, "x").join(other, "y").where(shared >= need).select("x", "y").distinct()
+
+    @F.pandas_udf("boolean")
+    def share(nx: pd.Series, ny: pd.Series, lost: pd.Series, bx: pd.Series, by: pd.Series, cx: pd.Series, cy: pd.Series) -> pd.Series:
+        out = []
+        for m, n, less, *pairs in zip(nx, ny, lost, zip(bx, by), zip(cx, cy)):
+            overlap = least_overlap(percent, m + n)
+            # Prefixes of these sizes have so many tokens in common, whatever the order.
+            need = min(prefix_sizes(k, percent)[0] - k + overlap for k in (m, n)) - less
+            out.append(all(len(np.intersect1d(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), assume_unique=True)) >= need for x, y in pairs))
+        return pd.Series(out, dtype=bool)
+
+    both = pairs.join(mine, "x").join(other, "y")
+    return both.where(share("nx", "ny", "lost", "bx", "by", "cx", "cy")).select("x", "y").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -185,62 +238,73 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return both.where(linked("tx", "ty")).select("x", "y")
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, component_id) after the components that new links (x, y) touch are merged."""
+    ends = links
+    for c in ("x", "y"):
+        ends = ends.join(labels.select(F.col("node").alias(c), F.col("component_id").alias(f"c{c}")), c)
+    merged = components(ends.select(F.col("cx").alias("a"), F.col("cy").alias("b")))
+    new = merged.select(F.col("node").alias("old"), F.col("component_id").alias("new"))
+    return cut(labels.join(new, F.col("component_id") == F.col("old"), "left").select("node", F.coalesce("new", "component_id").alias("component_id")))
+
+
 def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per document."""
     spark = docs.sparkSession
+    small_batches(spark)
     read = cut(scan(docs, width))
     members = read.where(F.col("n_shingles").isNotNull()).select("doc_id", "n_shingles", "class")
     classes = cut(members.where(F.col("class").isNotNull() & F.col("doc_id").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("rep")))
-    often = read.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(HOT_TOKENS)
-    hot = often.toPandas()["token"].to_numpy(np.int64).view(np.uint64)
+    often = (*often_met(read, "word", HOT_WORDS), often_met(read, "token", HOT_TOKENS)[0])
 
-    named = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), prefixes(docs, width, percent, hot).alias("p")).select("id", "p.*").where(F.col("n") > 0)
-    whole = cut(named)
+    found = prefixes(docs, width, percent, often)
+    whole = cut(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), found.alias("p")).select("id", "p.*").where(F.col("n") > 0))
     sets = cut(whole.join(classes, (whole["id"] == classes["rep"]) & (whole["class"] == classes["class"]), "left_semi"))
     drop_table(spark, whole)
 
-    postings = sets.select("id", "n", "n_index", F.posexplode("a").alias("at", "token")).select("token", "n", "id", (F.col("at") < F.col("n_index")).alias("index"))
+    tokens = F.transform(F.sequence(F.lit(1), F.octet_length("a") - 7, F.lit(8)), lambda i: F.substring(F.col("a"), i, F.lit(8)))
+    postings = sets.select("id", "n", "n_index", F.posexplode(tokens).alias("at", "token")).select("token", "n", "id", (F.col("at") < F.col("n_index")).alias("index"))
     shared = cut(postings.groupBy("token").agg(F.count("*").alias("k"), F.max("index").alias("index")).where((F.col("k") > 1) & F.col("index")).select("token"))
     open_ = cut(postings.join(shared, "token", "left_semi"))
     ids = cut(open_.select("id").distinct())
-    texts = cut(docs.select(F.col("doc_id").alias("id"), "text").join(sent(ids, ids.count()), "id", "left_semi"))
+    n_ids = ids.count()
+    texts = cut(docs.select(F.col("doc_id").alias("id"), "text").join(sent(ids, n_ids), "id", "left_semi"))
+    whole, sets = sets, cut(sets.drop("a").join(sent(ids, n_ids), "id", "left_semi"))
+    drop_table(spark, whole)
 
     by_size = F.struct("n", "id")
-    links = tried = labels = None
+    tried = None
+    labels = cut(ids.select(F.col("id").alias("node"), F.col("id").alias("component_id")))
+    open_ = open_.withColumn("component", F.col("id"))
     hubs = FIRST_HUBS
     while not open_.isEmpty():
         # The next hubs of each token: its smallest sets that are indexed under it.
         order = Window.partitionBy("token").orderBy("n", "id")
-        heads = cut(open_.where("index").withColumn("r", F.row_number().over(order)).where(F.col("r") <= hubs).select("token", by_size.alias("hub")))
-        near = open_.join(heads, "token").where((by_size > F.col("hub")) & (100 * F.col("hub.n") >= percent * F.col("n")))
-        if labels is not None:
-            other = labels.select(F.col("node").alias("hub_node"), F.col("component_id").alias("hub_component"))
-            near = near.join(other, F.col("hub.id") == F.col("hub_node"), "left").where(
-                F.coalesce("component", "id") != F.coalesce("hub_component", "hub.id")
-            )
-        pairs = near.select(F.col("hub.id").alias("x"), F.col("id").alias("y")).where(F.col("x") != F.col("y")).distinct()
+        indexed = open_.where("index").withColumn("r", F.row_number().over(order)).where(F.col("r") <= hubs)
+        heads = cut(indexed.select("token", F.struct("n", "id").alias("hub"), F.col("component").alias("hub_component")))
+        near = open_.join(heads, "token").where(
+            (by_size > F.col("hub")) & (100 * F.col("hub.n") >= percent * F.col("n")) & (F.col("component") != F.col("hub_component"))
+        )
+        pairs = near.select(F.col("hub.id").alias("x"), F.col("id").alias("y")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["x", "y"], "left_anti")
         pairs = cut(pairs)
         found = cut(verified(cut(likely(pairs, sets, percent)), texts, width, percent))
-        tried = pairs if tried is None else cut(tried.union(pairs))
-        links = found if links is None else cut(links.union(found))
-        labels = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        labels = joined(labels, found)
         # Whatever has been a hub is decided; the rest of a token goes on unless it is one component.
         last = heads.groupBy("token").agg(F.max("hub").alias("last"))
         rest = open_.select("token", "n", "id", "index").join(last, "token").where(by_size > F.col("last")).drop("last")
-        rest = cut(rest.join(labels, F.col("id") == F.col("node"), "left").select("token", "n", "id", "index", F.col("component_id").alias("component")))
-        own = F.coalesce("component", "id")
-        still = rest.groupBy("token").agg(F.min(own).alias("low"), F.max(own).alias("high"), F.max("index").alias("index")).where((F.col("low") < F.col("high")) & F.col("index"))
-        open_ = cut(rest.join(cut(still.select("token")), "token", "left_semi"))
-        hubs = MORE_HUBS if hubs == FIRST_HUBS else 2 * hubs
-
-    if labels is None:
-        labels = classes.select(F.col("rep").alias("node"), F.col("rep").alias("component_id"))
+        rest = cut(rest.join(labels, F.col("id") == F.col("node")).select("token", "n", "id", "index", F.col("component_id").alias("component")))
+        still = rest.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("index").alias("index"))
+        open_ = cut(rest.join(cut(still.where((F.col("low") < F.col("high")) & F.col("index")).select("token")), "token", "left_semi"))
+        drop_table(spark, rest)
+        tried = pairs if tried is None else cut(tried.union(pairs))
+        hubs = MORE_HUBS if hubs == FIRST_HUBS else HUB_GROWTH * hubs
+
     grouped = cut(classes.join(labels, F.col("rep") == F.col("node"), "left").select("class", F.coalesce("component_id", "rep").alias("component_id")))
-    joined = members.join(grouped, "class", "left")
+    out = members.join(grouped, "class", "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
-    return joined.select("doc_id", "n_shingles", own.cast("long").alias("component_id"))
+    return out.select("doc_id", "n_shingles", own.cast("long").alias("component_id"))
 
 
 #: The same by comparing every two sets.

@@ -210,6 +210,7 @@ def brute_join(rows, width, percent):
 @pytest.mark.parametrize("width,percent,hot", [(3, 90, 1 << 16), (5, 80, 1 << 16), (2, 60, 4)])
 def test_join_against_brute_force(spark, monkeypatch, width, percent, hot):
     monkeypatch.setattr(ngramjoin, "HOT_TOKENS", hot)
+    monkeypatch.setattr(ngramjoin, "LEAST_WORDS", 4)
     rng = random.Random(width)
     common = [f"c{k}" for k in range(30)]
     rows = []
