@@ -214,7 +214,10 @@ def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out.append(all(len(np.intersect1d(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), assume_unique=True)) >= need for x, y in pairs))
         return pd.Series(out, dtype=bool)
 
-    both = pairs.join(mine, "x").join(other, "y")
+    # Only the sets that the pairs name are moved.
+    rows = pairs.count()
+    needed = other.join(sent(pairs.select("y").distinct(), rows), "y", "left_semi")
+    both = sent(pairs, rows).join(mine, "x").join(needed, "y")
     return both.where(share("nx", "ny", "lost", "bx", "by", "cx", "cy")).select("x", "y").distinct()
 
 
@@ -234,7 +237,9 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
     rows = pairs.count()
     with_y = sent(pairs, rows).join(texts.select(F.col("id").alias("y"), F.col("text").alias("ty")), "y")
-    both = with_y.join(texts.select(F.col("id").alias("x"), F.col("text").alias("tx")), "x")
+    # Only the texts that the pairs name are moved.
+    needed = texts.select(F.col("id").alias("x"), F.col("text").alias("tx")).join(sent(pairs.select("x").distinct(), rows), "x", "left_semi")
+    both = with_y.join(needed, "x")
     return both.where(linked("tx", "ty")).select("x", "y")
 
 
