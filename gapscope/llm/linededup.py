@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapscope.llm.common import cut, text_key
+from gapscope.llm.common import cut
 
 MIN_WORDS = 50
 WORD = r"[^\x20\x09-\x0D]"
@@ -39,7 +39,8 @@ def split_lines(text: Column) -> Column:
 
 
 def document(doc_id: Column, text: Column) -> Column:
-    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), text_key(text))
+    """Key of a document, as short as can be: 16 bytes of the text's digest, then the id; null for a null text."""
+    return F.concat(F.unhex(F.md5(text.cast("binary"))), F.coalesce(doc_id.cast("string"), F.lit("-")).cast("binary"))
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def line_table(docs: DataFrame) -> DataFrame:
     lines = texts.select("doc", "id", F.posexplode(split_lines(F.col("text"))).alias("pos", "raw"))
     bare = lines.select("doc", "id", "pos", F.regexp_replace("raw", OUTER, "").alias("line"))
     words = F.when(F.col("line") == "", 0).otherwise(F.size(F.split("line", GAP, -1)))
-    hashed = bare.select("doc", "id", "pos", words.alias("words"), F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(1)).alias("b"))
+    hashed = bare.select("doc", "id", "pos", words.alias("words"), F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
     return hashed.dropDuplicates(["doc", "pos"]).withColumn("upto", F.sum("words").over(Window.partitionBy("doc").orderBy("pos")))
 
 
@@ -79,7 +80,7 @@ def windows(lines: DataFrame, min_words: int) -> DataFrame:
     return each.select(
         "doc", "id", "w.first", "w.last",
         F.struct("w.low.a", "w.low.b").alias("low"),
-        F.struct(F.xxhash64("w.held").alias("a"), F.xxhash64("w.held", F.lit(1)).alias("b")).alias("full"),
+        F.struct(F.xxhash64("w.held").alias("a"), F.xxhash64(F.lit(1), "w.held").alias("b")).alias("full"),
     )
 
 
