@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gapscope.llm import langid, linededup, ngramjoin, packing, quality
-from gapscope.llm.common import cut
+from gapscope.llm.common import cut, small_batches
 from gapscope.llm.queries import vocabulary
 
 #: Below this score a text is out of place in every language that was learned.
@@ -24,12 +24,14 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the corpus teaches."""
+    small_batches(spark)
     found = docs.withColumn("__found", langid.predict(F.col("text"), langid.learn(docs)))
     return found.where((F.col("__found.lang_pred") != "und") & (F.col("__found.score") >= LEAST_SCORE)).select(docs.columns)
 
 
 def good_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
+    small_batches(spark)
     field = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.withColumn("__judged", quality.judge(F.col("text"), field)).where("__judged.kept").select(docs.columns)
 

@@ -31,7 +31,7 @@ NOT_SPACE_HERE = "\x1c\x1d\x1e\x1f"
 LONG_WORD = 256
 ID_BITS = 32
 ID_MASK = (1 << ID_BITS) - 1
-MEMO_CHUNKS = 300_000
+MEMO_CHUNKS, MEMO_WORDS = 300_000, 150_000
 MEMO_CHARS = 48
 
 
@@ -127,7 +127,7 @@ class WordBpe:
         if ids is None:
             ids = self.word(word)
             if len(word) <= MEMO_CHARS:
-                if len(self.known) >= MEMO_CHUNKS:
+                if len(self.known) >= MEMO_WORDS:
                     self.known.clear()
                 self.known[word] = ids
         return ids
@@ -157,13 +157,13 @@ class Memo(dict):
 
 
 def encoder(path: str, kind: type[WordBpe] = WordBpe) -> WordBpe:
-    return worker_store(f"{kind.__name__} {path}", lambda: kind(path))
+    return worker_store("bpe", f"{kind.__name__} {path}", lambda: kind(path))
 
 
 def memo(path: str, name: str, form, kind: type[WordBpe] = WordBpe, most: int = MEMO_CHUNKS) -> Memo:
     """``form`` of each chunk's ids, kept by the worker."""
     bpe = encoder(path, kind)
-    return worker_store(f"{name} {path}", lambda: Memo(lambda chunk: form(bpe, bpe.chunk(chunk)), most))
+    return worker_store("bpe", f"{name} {path}", lambda: Memo(lambda chunk: form(bpe, bpe.chunk(chunk)), most))
 
 
 def digests(text: Column, path: str) -> Column:

@@ -16,12 +16,20 @@ __all__ = ["ASCII_SPACE", "crc32", "cut", "drop_table", "shared_folder", "small_
 ASCII_SPACE = "\t\n\x0b\x0c\r "
 
 
-def worker_store(name: str, make: Callable[[], object]) -> object:
-    """An object that lives as long as the Python worker, so later tasks find it warm."""
+def worker_store(owner: str, name: str, make: Callable[[], object]) -> object:
+    """An object that lives as long as the Python worker, so later tasks find it warm.
+
+    Objects of one owner are kept at a time: a worker that goes on with another operator
+    drops what the former one remembered.
+    """
     module = sys.modules.setdefault("_task_local_store", types.ModuleType("_task_local_store"))
-    if name not in module.__dict__:
-        setattr(module, name, make())
-    return getattr(module, name)
+    held = module.__dict__.setdefault("held", {})
+    if module.__dict__.get("owner") != owner:
+        held.clear()
+        module.owner = owner
+    if name not in held:
+        held[name] = make()
+    return held[name]
 
 
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20

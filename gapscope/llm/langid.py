@@ -44,7 +44,7 @@ def grams(texts: Sequence[str], longest: int = LONGEST) -> list[np.ndarray]:
     its edges and holds a letter. It is packed into 64 bits, 16 for each character; characters
     beyond the basic plane are folded to 16 bits.
     """
-    known = worker_store("letters", letters)
+    known = worker_store("langid", "letters", letters)
     parts = [np.frombuffer(t.lower().encode("utf-32-le", "replace"), "<u4") for t in texts]
     edge = np.array([EDGE], np.uint32)
     codes = np.concatenate([x for part in parts for x in (edge, part)] + [edge])
@@ -167,7 +167,7 @@ def predict(text: Column, profiles: dict[str, dict[int, float]], size: int = PRO
 
     @F.pandas_udf("lang_pred string, score double")
     def detect(texts: pd.Series) -> pd.DataFrame:
-        found = worker_store(stamp, lambda: Detector(profiles, size, longest))
+        found = worker_store("langid", stamp, lambda: Detector(profiles, size, longest))
         rows = [found.detect(g) for some in slices([t or "" for t in texts]) for g in grams(some, longest)]
         return pd.DataFrame(rows, columns=["lang_pred", "score"])
 

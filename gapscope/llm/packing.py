@@ -27,13 +27,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapscope.llm.bpe import WordBpe, byte_characters, encoder, memo
-from gapscope.llm.common import cut
+from gapscope.llm.common import cut, small_batches
 
 PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 
 
 #: Chunks of text whose ids a worker remembers.
-MEMO_CHUNKS = 600_000
+MEMO_CHUNKS = 400_000
 
 
 class LibraryBpe(WordBpe):
@@ -136,6 +136,7 @@ def ranked_in_length(table: DataFrame, order: list[str], name: str) -> DataFrame
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048, separator: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece."""
+    small_batches(docs.sparkSession)
     cutup = docs.select("doc_id", F.explode(pieces(F.col("text"), path, capacity, separator)).alias("p")).select("doc_id", "p.*")
     table = cut(cutup)
     counts = {int(r["length"]): int(r["n"]) for r in table.groupBy("length").agg(F.count("*").alias("n")).collect()}

@@ -83,7 +83,7 @@ def repeated_words(words: list[bytes], width: int = 5) -> int:
 
 
 def read(text: str) -> Reading:
-    kinds = worker_store("character kinds", character_kinds)
+    kinds = worker_store("quality", "character kinds", character_kinds)
     codes = np.frombuffer(f"{text}\n".encode("utf-32-le", "surrogatepass"), "<u4")
     flags = kinds[np.minimum(codes, TABLE_SIZE - 1)]
     ends = np.flatnonzero(codes == 10)
