@@ -6,10 +6,10 @@ import sys
 import types
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from gapscope.operators.rounds import cut, shared_folder
+from gapscope.operators.rounds import cut, drop_table, shared_folder
 
 __all__ = ["ASCII_SPACE", "crc32", "cut", "drop_table", "shared_folder", "small_batches", "text_key", "worker_store"]
 
@@ -44,14 +44,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, BATCH_BYTES)
 
 
-def drop_table(spark: SparkSession, *tables: DataFrame | None) -> None:
-    """Delete tables that ``cut`` wrote, once nothing reads them any more."""
-    for table in tables:
-        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()} if table is not None else ():
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def crc32(text):
     """CRC-32 of the UTF-8 text, unsigned; null counts as empty."""
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))

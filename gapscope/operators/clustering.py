@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
@@ -14,13 +15,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapscope.config import SEED, Thresholds
+from gapscope.config import SEED, SIM_DIGITS, Thresholds
 from gapscope.functions.vectors import dot, normalise
-from gapscope.operators.rounds import cut, numbered
-from gapscope.operators.similarity import Cell, Side, compare, nearest, top_k
+from gapscope.operators.rounds import cut, drop_table, numbered
+from gapscope.operators.similarity import AT, MATE, SIM, Cell, Side, compare, nearest, top_k
 
 FEATURES = "__features"
 CENTRE_BYTES = 512 << 20
+# A fit that rises by no more than the digits similarities are rounded to stands still.
+LEAST_RISE = 10.0**-SIM_DIGITS
 SWEEP_SCHEMA = T.StructType(
     [
         T.StructField("k", T.IntegerType()),
@@ -124,6 +127,33 @@ def oversize_bound(
     )
 
 
+def _best_of_starts(rows: Side, centres: Side, **layout) -> DataFrame:
+    """Best centre of every row in each start of its cluster; ties go to the lowest part."""
+
+    def kernel(cell: Cell):
+        starts, at = cell.right_values("__start"), np.arange(cell.sim.shape[0])
+        picks = []
+        for start in np.unique(starts):
+            cols = np.flatnonzero(starts == start)
+            picks.append(cols[cell.sim[:, cols].argmax(axis=1)])
+        li, ri = np.tile(at, len(picks)), np.concatenate(picks)
+        return li, ri, {"sim": cell.sim[li, ri]}
+
+    def fold(table: pa.Table) -> pa.Table:
+        at, start, sim, other = (table[c].to_numpy() for c in (AT, "__start", "sim", MATE))
+        order = np.lexsort((other, -sim, start, at))
+        own = np.stack([at[order], start[order]])
+        return table.take(pa.array(order[np.r_[True, (own[:, 1:] != own[:, :-1]).any(axis=0)]]))
+
+    hits = compare(rows, centres, kernel, SIM, by=["cluster_id"], fold=fold, **layout)
+    if hits.whole:
+        return hits.rows
+    best = F.min_by(F.struct("__part", "sim"), F.struct((-F.col("sim")).alias("s"), F.col("__part").alias("i")))
+    return hits.rows.groupBy("cluster_id", *rows.columns, "__start").agg(best.alias("__b")).select(
+        "cluster_id", *rows.columns, "__start", "__b.__part", "__b.sim"
+    )
+
+
 def split_oversize(
     df: DataFrame,
     key: str,
@@ -131,17 +161,19 @@ def split_oversize(
     *,
     floor: int = Thresholds.split_floor,
     target: int = Thresholds.split_target,
-    max_iter: int = 10,
+    tries: int = 5,
+    max_iter: int = 200,
     seed: int = SEED,
     **layout,
 ) -> DataFrame:
     """Split every cluster above the bound once into ``ceil(size / target)`` parts.
 
-    All oversize clusters are split side by side: centres are rows of a table keyed by
-    cluster, and each round is one nearest-centre pass within clusters and one grouped
-    mean. Neither the number of parts nor a cluster holding most rows reaches the driver
-    or a single task. The first part keeps the id, the others follow past the last id,
-    then ids are renumbered.
+    All oversize clusters are split side by side, each from ``tries`` draws: centres are
+    rows of a table keyed by cluster and start, and each round is one nearest-centre pass
+    within clusters and one grouped mean. A start takes part until its own fit stops rising,
+    ``max_iter`` rounds at most; the start of best fit splits the cluster. Neither the number
+    of parts nor a cluster holding most rows reaches the driver or a single task. The first
+    part keeps the id, the others follow past the last id, then ids are renumbered.
     """
     sizes = cluster_sizes(df)
     big = cut(
@@ -155,30 +187,49 @@ def split_oversize(
         "cluster_id", key, "size", "__parts", normalise(F.col(vector).cast("array<double>")).alias("__unit")
     ))
     # A hashed draw a little larger than needed; only its ids are ranked.
-    draw = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 31)) / (1 << 31)
+    draw = F.pmod(F.xxhash64(key, F.col("__start") + F.lit(seed)), F.lit(1 << 31)) / (1 << 31)
     margin = F.col("__parts") + 4 * F.sqrt("__parts") + 8
-    w = Window.partitionBy("cluster_id").orderBy("__draw", key)
+    one = ["cluster_id", "__start"]
+    w = Window.partitionBy(*one).orderBy("__draw", key)
+    starts = F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("__start")
     drawn = (
-        members.select("cluster_id", key, "size", "__parts", draw.alias("__draw"))
+        members.select("cluster_id", key, "size", "__parts", starts)
+        .withColumn("__draw", draw)
         .where(F.col("__draw") < margin / F.col("size"))
         .withColumn("__part", F.row_number().over(w) - 1)
         .where(F.col("__part") < F.col("__parts"))
-        .select("cluster_id", key, "__part")
+        .select("cluster_id", key, "__start", "__part")
     )
     rows = members.select("cluster_id", key, "__unit")
-    centres = cut(rows.join(drawn, ["cluster_id", key]).select("cluster_id", "__part", F.col("__unit").alias("__centre")))
-    before = None
+    columns = [*one, "__part", "__centre", "__fit", "__live"]
+    state = cut(rows.join(drawn, ["cluster_id", key]).select(
+        *one, "__part", F.col("__unit").alias("__centre"), F.lit(float("-inf")).alias("__fit"), F.lit(True).alias("__live")
+    ))
     for _ in range(max_iter):
-        placed = cut(
-            nearest(Side(rows, "__unit", [key]), Side(centres, "__centre", ["__part"]), by=["cluster_id"], **layout)
-        )
-        fit = placed.agg(F.avg("sim")).first()[0]
-        if before is not None and fit - before < 1e-4:
+        live = state.where("__live")
+        if live.isEmpty():
             break
-        before = fit
-        centres = cut(
-            centroids(rows.join(placed, ["cluster_id", key]), "__unit", ["cluster_id", "__part"], "__centre")
+        placed = _best_of_starts(Side(rows, "__unit", [key]), Side(live, "__centre", ["__part", "__start"]), **layout)
+        moved = cut(
+            _featured(rows.join(placed, ["cluster_id", key]), "__unit").groupBy(*one, "__part").agg(
+                vector_to_array(Summarizer.mean(F.col(FEATURES))).alias("__centre"), F.sum("sim").alias("__sum"), F.count("*").alias("__n")
+            )
         )
+        fits = moved.groupBy(*one).agg((F.sum("__sum") / F.sum("__n")).alias("__fit"))
+        before = live.groupBy(*one).agg(F.first("__fit").alias("__before"))
+        judged = fits.join(before, one).withColumn("__live", F.col("__fit") - F.col("__before") > LEAST_RISE).drop("__before")
+        after = cut(moved.join(judged, one).select(columns).unionByName(state.where(~F.col("__live"))))
+        drop_table(df.sparkSession, state, moved)
+        state = after
+    fits = state.groupBy(*one).agg(F.first("__fit").alias("__fit"))
+    best = fits.groupBy("cluster_id").agg(
+        F.min_by("__start", F.struct((-F.round("__fit", SIM_DIGITS)).alias("f"), F.col("__start").alias("s"))).alias("__start")
+    )
+    centres = cut(state.join(best, one).select("cluster_id", "__part", "__centre"))
+    drop_table(df.sparkSession, state)
+    placed = cut(
+        nearest(Side(rows, "__unit", [key]), Side(centres, "__centre", ["__part"]), by=["cluster_id"], **layout)
+    )
     split = df.join(placed.select("cluster_id", key, "__part"), ["cluster_id", key], "left").withColumn(
         "__part", F.coalesce("__part", F.lit(0))
     )

@@ -56,6 +56,32 @@ def test_split_oversize(blobs, layout):
     assert cl.split_oversize(one, "id", "v", floor=100, target=40).agg(F.max("cluster_id")).first()[0] == 4
 
 
+def parts_and_fit(spark, vectors, parts, **fit):
+    """Similarities to the parts' means, own parts and mean similarity; two clusters of one row keep the bound low."""
+    rows = [(i, 0, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(-1, 1, [-1.0] * len(vectors[0])), (-2, 2, [-1.0] * len(vectors[0]))]
+    df = spark.createDataFrame(rows, "id long, cluster_id long, v array<double>").coalesce(1)
+    out = [r for r in cl.split_oversize(df, "id", "v", floor=20, target=len(vectors) / parts, **fit).collect() if r["id"] >= 0]
+    v, (names, own) = np.array([r["v"] for r in out]), np.unique([r["cluster_id"] for r in out], return_inverse=True)
+    means = np.array([v[own == i].mean(axis=0) for i in range(len(names))])
+    sims = v @ (means / np.linalg.norm(means, axis=1, keepdims=True)).T
+    return sims, own, sims[np.arange(len(own)), own].mean()
+
+
+def test_split_goes_on_until_every_row_is_with_its_nearest_mean(spark):
+    angle = np.linspace(0, 1, 80) ** 3 * np.pi
+    sims, own, _ = parts_and_fit(spark, np.stack([np.cos(angle), np.sin(angle)], axis=1), 4)
+    assert (sims.max(axis=1) - sims[np.arange(len(own)), own]).max() < 1e-8
+
+
+def test_split_keeps_the_best_of_its_starts(spark):
+    rng = np.random.default_rng(3)
+    v = np.repeat(np.eye(6), 8, axis=0) * 5 + rng.normal(size=(48, 6)) * 0.3
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    single = [parts_and_fit(spark, v, 6, tries=1, seed=cl.SEED + s)[2] for s in range(3)]
+    best = parts_and_fit(spark, v, 6, tries=3)[2]
+    assert max(single) - min(single) > 1e-6 and best == pytest.approx(max(single), abs=1e-8)
+
+
 def test_oversize_bound(spark):
     s = spark.createDataFrame([(1,), (2,), (5,), (100,)], "size long")
     assert cl.oversize_bound(s, 4).first()["max_size"] == 6  # median 3.5, cut to 3, doubled
