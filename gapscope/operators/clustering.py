@@ -403,7 +403,7 @@ def approximate_top_k(
         "__unit", normalise(F.col(index.vector).cast("array<double>"))
     )
     featured = _featured(unit, "__unit")
-    model = fit_kmeans(featured, lists, tries=1, max_iter=20, seed=seed)
+    model = fit_kmeans(featured, lists, seed=seed)
     listed = model.transform(featured).withColumnRenamed("cluster_id", "__list").drop(FEATURES, "__unit")
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     centres = index.frame.sparkSession.createDataFrame(rows, "`__list` int, `__centre` array<double>")

@@ -375,13 +375,13 @@ def step_statistics(t: Tables):
 
 @query("clu_kmeans")
 def kmeans(t: Tables):
-    k = cl.kmeans(sides(t).drop("cluster_id"), "cluster_vec", 8, tries=2, max_iter=50)
+    k = cl.kmeans(sides(t).drop("cluster_id"), "cluster_vec", 8)
     return k.select("ticket_id", F.col("cluster_id").cast("long").alias("cluster_id"))
 
 
 @query("clu_sweep")
 def sweep(t: Tables):
-    return cl.choose_k(cl.sweep(sides(t), "cluster_vec", (5, 10, 20), tries=1, max_iter=20))
+    return cl.choose_k(cl.sweep(sides(t), "cluster_vec"))
 
 
 @query("clu_choose_k", """WITH sized AS (SELECT run_id, year(o_orderdate) AS y, service_type AS s, count(*) AS n FROM r_tickets JOIN orders USING (o_orderkey) GROUP BY ALL),

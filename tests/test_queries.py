@@ -7,6 +7,8 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_points
+from gapscope.config import Thresholds
+from gapscope.operators import clustering as cl
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = (
@@ -50,6 +52,21 @@ def test_query(spark, con, name):
     assert ordered(rows) == ordered(want)
 
 
+def test_fits_are_not_cut_short(spark, monkeypatch):
+    """Every fit of the registered queries has the operators' starts and rounds; the fits themselves are cut here."""
+    asked = []
+    real = cl.fit_kmeans
+
+    def fit(df, k, *, tries=15, max_iter=500, seed=cl.SEED):
+        asked.append((k, tries, max_iter))
+        return real(df, k, tries=1, max_iter=1, seed=seed)
+
+    monkeypatch.setattr(cl, "fit_kmeans", fit)
+    for name in ("clu_kmeans", "clu_sweep", "vec_approximate_top_k"):
+        QUERIES[name](spark, FOLDER)
+    assert asked == [(8, 15, 500), *[(k, 5, 300) for k in Thresholds.k_values], (10, 15, 500)]
+
+
 def test_flagship(spark):
     out = entry_points.entry(spark)
     assert out.count() > 0 and "coverage" in out.columns
