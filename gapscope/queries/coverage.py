@@ -459,8 +459,7 @@ def renumber(t: Tables):
 
 @query("clu_enough_tickets", "SELECT count(*) >= 20 AS enough FROM r_tv")
 def enough_tickets(t: Tables):
-    n = t.ticket_vectors().limit(Thresholds.min_cluster_tickets)
-    return n.agg((F.count("*") >= Thresholds.min_cluster_tickets).alias("enough"))
+    return t.ticket_vectors().agg((F.count("*") >= Thresholds.min_cluster_tickets).alias("enough"))
 
 
 # --- labels ------------------------------------------------------------------

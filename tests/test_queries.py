@@ -67,6 +67,11 @@ def test_fits_are_not_cut_short(spark, monkeypatch):
     assert asked == [(8, 15, 500), *[(k, 5, 300) for k in Thresholds.k_values], (10, 15, 500)]
 
 
+def test_enough_tickets_counts_all(spark):
+    plan = QUERIES["clu_enough_tickets"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan
+
+
 def test_flagship(spark):
     out = entry_points.entry(spark)
     assert out.count() > 0 and "coverage" in out.columns
