@@ -9,7 +9,8 @@ nothing depends on an order among ties; two languages at equal distance go to th
 Learning counts n-grams over all training rows (per task first, then per language); only the
 profiles, size x languages, come to the driver. A null text, or one without a letter, is
 ``und`` with score 0, and so is everything when nothing could be learned. The score is 1
-minus the distance as a share of the largest possible one. Rows with a null language or text
+minus the distance as a share of the largest possible one; where so many n-grams tie that none
+ranks below the profile size, it is ``und`` and 0. Rows with a null language or text
 teach nothing. Repeated rows count as often as they occur and are judged alike.
 """
 
@@ -153,6 +154,8 @@ class Detector:
         ranks = middle_ranks(counts)
         first = ranks < self.size
         distinct, ranks = distinct[first], ranks[first]
+        if not len(distinct):  # so many n-grams tie that none is among the first ones
+            return "und", 0.0
         at = np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)
         known = self.known[at] == distinct
         apart = np.abs(self.ranks[:, at[known]] - ranks[known])

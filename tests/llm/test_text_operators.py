@@ -175,6 +175,13 @@ def test_language_without_lessons(spark):
     assert documents(spark, ["text"]).select(langid.predict(F.col("text"), profiles).alias("p")).first().p.lang_pred == "und"
 
 
+def test_language_of_a_text_whose_ngrams_all_tie(spark):
+    profiles = {"en": {g: float(k) for k, g in enumerate(range(1, 20))}}
+    text = "".join(chr(0x4E00 + k) for k in range(160))
+    found = documents(spark, [text]).select(langid.predict(F.col("text"), profiles).alias("p")).first().p
+    assert (found.lang_pred, found.score) == ("und", 0.0)
+
+
 def base_counts(text):
     import re
 
