@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapscope.llm import bpe, htmltext, langid, linededup, ngramjoin, packing, quality, sharding, vectordedup, warc
+from gapscope.llm import bpe, htmltext, langid, linededup, linkrank, ngramjoin, packing, quality, sharding, vectordedup, warc
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -89,3 +89,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_line_dedup", linededup.SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.dedup(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op11_linkrank", linkrank.SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return linkrank.judge(table(spark, folder, "pages").select("page_id", "url", "html"), linkrank.rule_table(spark, linkrank.RULES))
