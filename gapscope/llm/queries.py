@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapscope.llm import bpe, htmltext, langid, linededup, linkrank, ngramjoin, packing, quality, sharding, vectordedup, warc
+from gapscope.llm import bpe, htmltext, langid, linededup, linkrank, ngramjoin, packing, quality, repair, sharding, vectordedup, warc
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -94,3 +94,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_linkrank", linkrank.SQL)
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return linkrank.judge(table(spark, folder, "pages").select("page_id", "url", "html"), linkrank.rule_table(spark, linkrank.RULES))
+
+
+@query("op12_repair")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.report(repair.damage(table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")))
