@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapscope.llm import bpe, htmltext, langid, linededup, linkrank, ngramjoin, packing, quality, repair, sharding, vectordedup, warc
+from gapscope.llm import bpe, collocations, htmltext, langid, linededup, linkrank, ngramjoin, packing, quality, repair, sharding, vectordedup, warc
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -99,3 +99,8 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_repair")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return repair.report(repair.damage(table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")))
+
+
+@query("op13_collocations", collocations.SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.ranked(table(spark, folder, "documents").select("lang", "text"))
