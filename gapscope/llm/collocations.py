@@ -40,7 +40,7 @@ LONGEST, LEAST, COVERED, MOST = 4, 30, 80, 2000
 SCALE = 2_000_000
 #: Frequent words, and frequent pairs, that are sent to all tasks take this many bytes at most.
 SENT_BYTES = 64 << 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Bytes that part words within a piece, and that end a piece.
 GAPS, ENDS = b" \t", b".,;:!?\n\x0b\x0c\r"
 
