@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapscope.llm.common import cut, drop_table
+from gapscope.llm.common import cut, drop_table, in_small_batches
 
 LONGEST, LEAST, COVERED, MOST = 4, 30, 80, 2000
 #: Scores are whole numbers: twice the count per sum of its parts' counts, in millionths.
@@ -295,9 +295,10 @@ def scored(found: DataFrame, phrases: DataFrame) -> DataFrame:
 def ranked(docs: DataFrame, least: int = LEAST, covered: int = COVERED, most: int = MOST, most_bytes: int = SENT_BYTES) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's ``most`` best phrases. ``docs`` has lang and text."""
     spark = docs.sparkSession
-    words_ = cut(word_counts(docs))
-    known = sent_pairs(docs, sent_words(words_, least, most_bytes), least, most_bytes)
-    grams = cut(longest_grams(docs, known))
+    with in_small_batches(spark):
+        words_ = cut(word_counts(docs))
+        known = sent_pairs(docs, sent_words(words_, least, most_bytes), least, most_bytes)
+        grams = cut(longest_grams(docs, known))
     phrases = counts(grams, least)
     runs = paths(phrases)
     top = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")

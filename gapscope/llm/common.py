@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from gapscope.operators.rounds import cut, drop_table, shared_folder
 
-__all__ = ["ASCII_SPACE", "crc32", "cut", "drop_table", "shared_folder", "small_batches", "text_key", "worker_store"]
+__all__ = ["ASCII_SPACE", "crc32", "cut", "drop_table", "in_small_batches", "shared_folder", "small_batches", "text_key", "worker_store"]
 
 ASCII_SPACE = "\t\n\x0b\x0c\r "
 
@@ -44,6 +45,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, BATCH_BYTES)
 
 
+@contextmanager
+def in_small_batches(spark: SparkSession) -> Iterator[None]:
+    """``small_batches`` for what runs inside; the session's own setting comes back afterwards."""
+    before = spark.conf.get(BATCH_SETTING)
+    small_batches(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
 def crc32(text):
     """CRC-32 of the UTF-8 text, unsigned; null counts as empty."""
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))

@@ -53,4 +53,4 @@ def test_run_and_empty_tables(spark, tmp_path):
 
 
 def test_every_operator_is_registered():
-    assert [f"op{n}_" for n in range(1, 11)] == sorted((k.split("_")[0] + "_" for k in PLANS), key=lambda k: int(k[2:-1]))
+    assert [f"op{n}_" for n in range(1, 14)] == sorted((k.split("_")[0] + "_" for k in PLANS), key=lambda k: int(k[2:-1]))
