@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -43,10 +44,18 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_by(df: DataFrame, *folders: str) -> DataFrame:
+    """``cut`` into a folder per value of some columns, so that a filter on them reads nothing else."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/gapscope-{uuid.uuid4().hex}"
+    df.write.partitionBy(*folders).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def drop_table(spark: SparkSession, *tables: DataFrame | None) -> None:
     """Delete tables that ``cut`` wrote, once nothing reads them any more."""
     for table in tables:
-        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()} if table is not None else ():
+        for folder in {re.sub(r"(/gapscope-[0-9a-f]{32})/.*", r"\1", f) for f in table.inputFiles()} if table is not None else ():
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

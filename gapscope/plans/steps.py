@@ -17,6 +17,7 @@ from gapscope.models import ChatFn, EmbedFn
 from gapscope.operators import clustering as cl
 from gapscope.operators import labelling as lb
 from gapscope.operators import merging as mg
+from gapscope.operators import minibatch as mb
 from gapscope.operators.rounds import cut, numbered
 from gapscope.operators.similarity import Side, full_matrix
 from gapscope.plans import coverage as cv
@@ -82,10 +83,10 @@ def clustering(
     if not cl.enough_tickets(held, t.min_cluster_tickets):
         return out
     if best_k is None:
-        swept = cut(cl.choose_k(cl.sweep(held, "cluster_vec", t.k_values, tries=tries)))
+        swept = cut(cl.choose_k(mb.sweep(held, "ticket_id", "cluster_vec", t.k_values, tries=tries)))
         out["cluster_sweep"] = sk.sweep_rows(swept.withColumn("run_id", F.lit(run_id)))
         best_k = swept.where("is_best_k").first()["k"]
-    first = cut(cl.kmeans(held, "cluster_vec", best_k, tries=final_tries).withColumn("cluster_id", F.col("cluster_id").cast("long")))
+    first = cut(mb.kmeans(held, "ticket_id", "cluster_vec", best_k, tries=final_tries).withColumn("cluster_id", F.col("cluster_id").cast("long")))
     grouped = cut(cl.split_oversize(first, "ticket_id", "cluster_vec", floor=t.split_floor, target=t.split_target))
     summary = cut(cv.cluster_summary(grouped, kb, ("cluster_id",), t.covered, t.partial))
 

@@ -8,6 +8,7 @@ from gapscope.config import Thresholds
 from gapscope.functions import vectors as vc
 from gapscope.models import text_pieces
 from gapscope.operators import clustering as cl
+from gapscope.operators import minibatch as mb
 from gapscope.operators import labelling as lb
 from gapscope.operators import similarity as sm
 from gapscope.plans import coverage as cv
@@ -384,6 +385,17 @@ def sweep(t: Tables):
     return cl.choose_k(cl.sweep(sides(t), "cluster_vec"))
 
 
+@query("clu_minibatch")
+def minibatch_kmeans(t: Tables):
+    k = mb.kmeans(sides(t).drop("cluster_id"), "ticket_id", "cluster_vec", 8)
+    return k.select("ticket_id", F.col("cluster_id").cast("long").alias("cluster_id"))
+
+
+@query("clu_minibatch_sweep")
+def minibatch_sweep(t: Tables):
+    return cl.choose_k(mb.sweep(sides(t), "ticket_id", "cluster_vec"))
+
+
 @query("clu_choose_k", """WITH sized AS (SELECT run_id, year(o_orderdate) AS y, service_type AS s, count(*) AS n FROM r_tickets JOIN orders USING (o_orderkey) GROUP BY ALL),
     swept AS (SELECT month(reported_date)::INTEGER AS k, run_id, avg(price) / 1000000 AS silhouette, count(*) / (sum(count(*)) OVER (PARTITION BY run_id)) AS max_share FROM r_tickets GROUP BY 1, 2),
     scored AS (SELECT *, round(silhouette - 2 * greatest(0, max_share - 0.10), 6) AS score FROM swept)
