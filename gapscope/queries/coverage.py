@@ -9,6 +9,7 @@ from gapscope.functions import vectors as vc
 from gapscope.models import text_pieces
 from gapscope.operators import clustering as cl
 from gapscope.operators import minibatch as mb
+from gapscope.operators import neighbours as nb
 from gapscope.operators import labelling as lb
 from gapscope.operators import similarity as sm
 from gapscope.plans import coverage as cv
@@ -270,10 +271,21 @@ def alignment(t: Tables):
 
 @query("vec_approximate_top_k")
 def approximate_top_k(t: Tables):
-    n = cl.approximate_top_k(ticket_side(t), kb_side(t), 5, lists=10, probes=4)
+    n = cl.approximate_top_k(ticket_side(t), kb_side(t), 5, lists=10, probes=8)
     return n.select("ticket_id", "rank", "kb_id", "sim")
 
 
+@query("vec_neighbour_graph")
+def neighbour_graph(t: Tables):
+    return nb.build(kb_side(t)).edges.select(F.col("node").alias("kb_id"), F.col("mate").alias("other_kb_id"), "sim")
+
+
+@query("vec_neighbour_search")
+def neighbour_search(t: Tables):
+    found = nb.search(ticket_side(t), nb.build(kb_side(t)), 5)
+    return found.select(F.col("query").alias("ticket_id"), "rank", F.col("node").alias("kb_id"), "sim")
+
+
 @query("vec_project_centroids")
 def project_centroids(t: Tables):
     c = cl.centroids(sides(t), "cluster_vec", ["cluster_id"])
