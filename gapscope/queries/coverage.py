@@ -10,6 +10,7 @@ from gapscope.models import text_pieces
 from gapscope.operators import clustering as cl
 from gapscope.operators import minibatch as mb
 from gapscope.operators import neighbours as nb
+from gapscope.operators.pruned import pruned_pairs_above
 from gapscope.operators import labelling as lb
 from gapscope.operators import similarity as sm
 from gapscope.plans import coverage as cv
@@ -202,11 +203,19 @@ def top_k(t: Tables):
     return n.select("ticket_id", F.col("rank").cast("long").alias("rank"), "kb_id", "sim")
 
 
-@query("vec_pairs_above", f"SELECT a.vec_id AS a, b.vec_id AS b, {q.cosine('a.vec', 'b.vec')} AS sim FROM r_vec a JOIN r_vec b ON a.vec_id < b.vec_id AND {q.cosine('a.vec', 'b.vec')} > 0.35")
+PAIRS_ABOVE = f"SELECT a.vec_id AS a, b.vec_id AS b, {q.cosine('a.vec', 'b.vec')} AS sim FROM r_vec a JOIN r_vec b ON a.vec_id < b.vec_id AND {q.cosine('a.vec', 'b.vec')} > "
+
+
+@query("vec_pairs_above", PAIRS_ABOVE + "0.35")
 def pairs_above(t: Tables):
     return sm.pairs_above(t.vectors(), "vec_id", "vec", 0.35).select("a", "b", "sim")
 
 
+@query("vec_pairs_pruned", PAIRS_ABOVE + "0.35")
+def pairs_pruned(t: Tables):
+    return pruned_pairs_above(t.vectors(), "vec_id", "vec", 0.35, cell_rows=256).select("a", "b", "sim")
+
+
 @query("vec_cluster_sides", f"SELECT ticket_id, {q.checksum('mixed')} AS mixed_sum, {q.checksum('answer')} AS answer_sum FROM r_sides")
 def cluster_sides(t: Tables):
     s = cv.working_vectors(t.ticket_vectors())
