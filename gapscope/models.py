@@ -2,7 +2,8 @@
 
 ``embed_fn(texts) -> vectors`` and ``chat_fn(prompt) -> reply`` run inside Spark
 tasks on Arrow batches. Rows whose input is null are not sent. Cap the number of
-parallel calls by coalescing the frame first.
+parallel calls by coalescing the frame first. A ``Ledger`` in place of such a
+function stores replies and asks for what is missing only.
 """
 
 from __future__ import annotations
@@ -12,15 +13,16 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EmbedFn = Callable[[Sequence[str]], Sequence[Sequence[float]]]
-ChatFn = Callable[[str], str]
+from gapscope.ledger import Ledger, Refused
+from gapscope.operators.rounds import cut
 
+__all__ = ["ChatFn", "EmbedFn", "Refused", "ask", "embed", "text_pieces", "with_reply", "with_vector"]
 
-class Refused(Exception):
-    """The model will not answer this prompt; a shorter one may pass."""
+EmbedFn = Callable[[Sequence[str]], Sequence[Sequence[float]]]
+ChatFn = Callable[[str], str]
 
 
 def text_pieces(text: Column, max_chars: int) -> Column:
@@ -77,6 +79,28 @@ def ask(prompts: Column, chat_fn: ChatFn, *, attempts: int = 3, pause: float = 0
     return run(prompts)
 
 
+def with_reply(df: DataFrame, prompts: Column, model, name: str = "reply") -> DataFrame:
+    """``df`` with the reply to each row's prompts: by a function inside the plan, or through a ledger."""
+    if isinstance(model, Ledger):
+        return model.replies(df, prompts, name)
+    return df.withColumn(name, ask(prompts, model))
+
+
+def with_vector(df: DataFrame, text: Column, model, name: str, *, max_chars: int = 8000) -> DataFrame:
+    """``df`` with the vector of each text: by a function inside the plan, or piece by piece through a ledger."""
+    if not isinstance(model, Ledger):
+        return df.withColumn(name, embed(text, model, max_chars=max_chars))
+    rows = cut(df.withColumn("__text", F.sha2(text.cast("binary"), 256)).withColumn("__pieces", text_pieces(text, max_chars)))
+    pieces = rows.where("__pieces is not null").groupBy("__text").agg(F.first("__pieces").alias("p")).select("__text", F.explode("p").alias("piece"))
+    found = model.replies(pieces, F.array("piece"), "vector")
+    # The mean by length, number by number; a text of which a piece failed has none.
+    parts = found.select("__text", F.length("piece").alias("n"), F.posexplode_outer("vector").alias("at", "x"), F.col("vector").isNull().alias("failed"))
+    sums = parts.groupBy("__text", "at").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"), F.max("failed").alias("failed"))
+    whole = sums.groupBy("__text").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias(name), F.max("failed").alias("failed")).where("not failed").drop("failed")
+    kept = rows.drop("__pieces", *([name] if name in rows.columns else []))
+    return kept.join(whole, "__text", "left").drop("__text")
+
+
 def _reply(prompts, chat_fn: ChatFn, attempts: int, pause: float) -> str | None:
     if prompts is None:
         return None

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gapscope.config import SEED, Thresholds
 from gapscope.functions.text import accept_label, gap_class, snippet, strip
 from gapscope.functions.vectors import cluster_vector, kb_side_vector
-from gapscope.models import ChatFn, ask
+from gapscope.models import ChatFn, with_reply
 from gapscope.operators.clustering import centroids, intra_similarity
 from gapscope.operators.labelling import sample_members
 from gapscope.operators.similarity import Side, classify, nearest
@@ -136,7 +136,7 @@ def label_prompts(clusters: DataFrame, samples: DataFrame) -> DataFrame:
 
 def model_labels(clusters: DataFrame, prompts: DataFrame, chat_fn: ChatFn) -> DataFrame:
     """``cluster_label`` from the model where it is usable, else the term label."""
-    return use_labels(clusters, prompts.select("cluster_id", ask(F.array("prompt"), chat_fn).alias("reply")))
+    return use_labels(clusters, with_reply(prompts, F.array("prompt"), chat_fn).select("cluster_id", "reply"))
 
 
 def use_labels(clusters: DataFrame, replies: DataFrame) -> DataFrame:

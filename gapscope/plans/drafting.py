@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gapscope.config import SEED, UNSTATED_SERVICES, Thresholds
 from gapscope.functions import article_rules as ar
 from gapscope.functions.text import has_resolution, snippet
-from gapscope.models import ChatFn, EmbedFn, ask, embed
+from gapscope.models import ChatFn, EmbedFn, with_reply, with_vector
 from gapscope.operators.labelling import draw
 from gapscope.operators.merging import duplicate_articles
 from gapscope.operators.rounds import numbered
@@ -160,7 +160,7 @@ def draft_prompts(gaps: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def draft(prompts: DataFrame, chat_fn: ChatFn) -> DataFrame:
     """Gaps with the drafted article's fields; a reply that does not parse gives no row."""
-    return parse_drafts(prompts.withColumn("reply", ask(F.col("prompts"), chat_fn)).drop("prompts"))
+    return parse_drafts(with_reply(prompts, F.col("prompts"), chat_fn).drop("prompts"))
 
 
 def parse_drafts(replies: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def assemble(drafted: DataFrame) -> DataFrame:
 
 
 def embed_articles(assembled: DataFrame, embed_fn: EmbedFn) -> DataFrame:
-    return assembled.withColumn("article_embedding", embed(F.col("embedding_text"), embed_fn)).drop("embedding_text")
+    return with_vector(assembled, F.col("embedding_text"), embed_fn, "article_embedding").drop("embedding_text")
 
 
 def list_order(articles: DataFrame) -> DataFrame:

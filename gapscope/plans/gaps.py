@@ -16,7 +16,7 @@ from gapscope.functions.text import (
     sanitise,
     snippet,
 )
-from gapscope.models import ChatFn, ask
+from gapscope.models import ChatFn, with_reply
 from gapscope.operators.labelling import sample_members
 from gapscope.operators.quantiles import similarity_percentile
 from gapscope.operators.rounds import cut
@@ -165,7 +165,7 @@ def pair_prompts(pairs: DataFrame, clusters: DataFrame, by: Sequence[str] = RUN)
 
 def accepted_pairs(prompts: DataFrame, chat_fn: ChatFn) -> DataFrame:
     """Pairs the model calls duplicates with HIGH confidence."""
-    return accept(prompts.withColumn("reply", ask(F.array("prompt"), chat_fn)).drop("prompt"))
+    return accept(with_reply(prompts, F.array("prompt"), chat_fn).drop("prompt"))
 
 
 def accept(replied: DataFrame) -> DataFrame:
@@ -267,4 +267,4 @@ def summary_prompts(clusters: DataFrame, samples: DataFrame, by: Sequence[str] =
 
 
 def summaries(prompts: DataFrame, chat_fn: ChatFn, by: Sequence[str] = RUN) -> DataFrame:
-    return prompts.select(*by, "cluster_id", ask(F.col("prompts"), chat_fn).alias("summary")).where("summary <> ''")
+    return with_reply(prompts, F.col("prompts"), chat_fn, "summary").select(*by, "cluster_id", "summary").where("summary <> ''")

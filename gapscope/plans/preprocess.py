@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gapscope.config import Thresholds
 from gapscope.functions import text as tx
 from gapscope.functions import vectors as vc
-from gapscope.models import EmbedFn, embed
+from gapscope.models import EmbedFn, with_vector
 
 
 def incident_features(incidents: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def clean_workorders(workorders: DataFrame, t: Thresholds = Thresholds()) -> Dat
 
 def embed_workorders(cleaned: DataFrame, embed_fn: EmbedFn) -> DataFrame:
     """Vector of the cleaned text as ``e_clean``; masked texts are not sent."""
-    return cleaned.withColumn("e_clean", embed(F.when(F.col("to_embed"), F.col("clean_text")), embed_fn))
+    return with_vector(cleaned, F.when(F.col("to_embed"), F.col("clean_text")), embed_fn, "e_clean")
 
 
 def workorder_features(cleaned: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapscope.functions.text import snippet, strip
-from gapscope.models import ChatFn, ask
+from gapscope.models import ChatFn, with_reply
 from gapscope.operators.similarity import Side, top_k
 
 RUN_CLUSTER = ("run_id", "cluster_id")
@@ -67,7 +67,7 @@ def candidate_prompts(clusters: DataFrame, found: DataFrame) -> DataFrame:
 
 def opinions(prompts: DataFrame, chat_fn: ChatFn) -> DataFrame:
     """Replies as columns; a reply that does not parse or lacks a key gives no row."""
-    return parse_opinions(prompts.withColumn("reply", ask(F.array("prompt"), chat_fn)))
+    return parse_opinions(with_reply(prompts, F.array("prompt"), chat_fn))
 
 
 def parse_opinions(replies: DataFrame) -> DataFrame:

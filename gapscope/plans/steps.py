@@ -232,15 +232,12 @@ def store(outputs: Frames, folder: str, run_id: str | None = None, step: str | N
     """Put every table of a step into its place.
 
     All are written beside their places before any is moved, so results may read the tables
-    they replace, and a step that fails while writing changes nothing. With ``run_id`` the
+    they replace, and a step that fails while writing or moving changes nothing. With ``run_id`` the
     run is replaced even where a table has no rows for it, and ``step`` names the step whose
     other tables of that run are dropped.
     """
     runs = None if run_id is None else [run_id]
     spark = next(iter(outputs.values())).sparkSession
     staged = {name: sk.stage(df, f"{folder}/{name}") for name, df in outputs.items()}
-    for name in FILLS.get(step, ()) if runs else ():
-        if name not in staged:
-            sk.put(spark, None, f"{folder}/{name}", runs)
-    for name, at in staged.items():
-        sk.put(spark, at, f"{folder}/{name}", runs)
+    emptied = [name for name in FILLS.get(step, ()) if name not in staged] if runs else []
+    sk.put_all(spark, [(None, f"{folder}/{name}", runs) for name in emptied] + [(at, f"{folder}/{name}", runs) for name, at in staged.items()])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gapscope.config import Thresholds
 from gapscope.functions import article_rules as ar
-from gapscope.models import ChatFn, ask
+from gapscope.models import ChatFn, with_reply
 from gapscope.operators.similarity import Side, alignment, novelty
 from gapscope.plans.drafting import RUN_CLUSTER, evidence_block
 
@@ -41,7 +41,7 @@ def critique_prompts(articles: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def critiques(prompts: DataFrame, chat_fn: ChatFn) -> DataFrame:
     """Replies with defaults for missing fields; no row where the call failed."""
-    asked = prompts.withColumn("reply", ask(F.array("prompt"), chat_fn))
+    asked = with_reply(prompts, F.array("prompt"), chat_fn)
     return normalise_critiques(asked.select("run_id", "article_id", "reply"))
 
 

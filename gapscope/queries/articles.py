@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gapscope import ledger as lg
 from gapscope.config import Thresholds
 from gapscope.functions import article_rules as ar
 from gapscope.operators import clustering as cl
@@ -380,3 +381,35 @@ def findings_sql() -> str:
 @query("audit_personal_findings", findings_sql())
 def personal_findings(t: Tables):
     return au.personal_findings(t.articles())
+
+
+# --- replies of models ---------------------------------------------------------
+
+CALLS = "SELECT doc_id, sha256('m' || chr(10) || text) AS call, text FROM documents WHERE text IS NOT NULL"
+LEDGER = f"""SELECT call, CASE WHEN toxic = 0 AND quality = 1 THEN 'good' END AS reply, CASE WHEN toxic = 1 THEN 'TimeoutError: late' WHEN quality = 0 THEN 'refused' END AS failure, doc_id AS stamp
+    FROM ({CALLS}) JOIN labels USING (doc_id)"""
+
+
+def ledger_tables(t: Tables):
+    """Documents play prompts; labels play what a ledger holds: replies, refusals and calls that failed."""
+    d = t.raw("documents").select("doc_id", F.col("text").alias("prompt"), lg.call_key("m", F.col("text")).alias("call")).where("prompt is not null")
+    reply = F.when((F.col("toxic") == 0) & (F.col("quality") == 1), "good")
+    failure = F.when(F.col("toxic") == 1, "TimeoutError: late").when(F.col("quality") == 0, lg.REFUSED)
+    held = d.join(t.raw("labels"), "doc_id").select("call", reply.alias("reply"), failure.alias("failure"), F.col("doc_id").cast("double").alias("stamp"))
+    return d, held
+
+
+@query("mdl_missing_calls", f"""SELECT call, length(min(text)) AS n_chars FROM ({CALLS})
+    WHERE call NOT IN (SELECT call FROM ({LEDGER}) WHERE reply IS NOT NULL OR failure = 'refused') GROUP BY call""")
+def missing_calls(t: Tables):
+    """What a run asks: prompts without a reply or a refusal, each once."""
+    prompts, held = ledger_tables(t)
+    return lg.missing(prompts, held).select("call", F.length("prompt").cast("long").alias("n_chars"))
+
+
+@query("mdl_settled_calls", f"""SELECT doc_id, s.reply AS reply, s.failure AS failure FROM ({CALLS}) LEFT JOIN (
+    SELECT call, arg_max(struct_pack(reply := reply, failure := failure), struct_pack(a := reply IS NOT NULL, b := coalesce(failure = 'refused', false), c := stamp)) AS s FROM ({LEDGER}) GROUP BY call) l USING (call)""")
+def settled_calls(t: Tables):
+    """Every prompt with what the ledger knows of it: its reply, or why there is none."""
+    prompts, held = ledger_tables(t)
+    return prompts.join(lg.settled(held), "call", "left").select("doc_id", "reply", "failure")

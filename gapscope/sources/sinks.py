@@ -2,7 +2,8 @@
 
 Each operator computes the new content of the touched runs; ``write_runs`` puts it
 in place. The new partitions are written under another name first and then moved, run
-by run, so a failed write leaves the table as it was; a run without rows is removed.
+by run, with the old ones set aside until all are in place, so a failed write or move leaves
+the table as it was; a run without rows is removed.
 Other runs are neither read nor rewritten.
 """
 
@@ -112,18 +113,61 @@ def stage(df: DataFrame, path: str) -> str:
     return staged
 
 
+class StuckMove(OSError):
+    """A partition that could not be moved back; its rows stay in the folder that the message names."""
+
+
+def _move(files, source, target) -> None:
+    """Rename, or say that the store did not: some stores return false and leave things as they were."""
+    if not files.rename(source, target):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
+def _undo(made: Sequence[tuple]) -> None:
+    for files, source, target in reversed(made):
+        try:
+            _move(files, target, source)
+        except Exception as error:
+            raise StuckMove(f"rows that belong to {source} are in {target}") from error
+
+
+def _delete(folders: Sequence[tuple]) -> None:
+    for files, folder in folders:
+        files.delete(folder, True)
+
+
 def put(spark: SparkSession, staged: str | None, path: str, runs: Sequence[str] | None = None) -> None:
     """Replace the partitions of ``runs`` (by default the staged ones) by what was staged."""
-    files, old = _folders(spark, path)
-    new = _folders(spark, staged)[1] if staged else {}
-    files.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(path))
-    for run in runs if runs is not None else new:
-        if run in old:
-            files.delete(old[run], True)
-        if run in new:
-            files.rename(new[run], spark._jvm.org.apache.hadoop.fs.Path(path, new[run].getName()))
-    if staged:
-        files.delete(spark._jvm.org.apache.hadoop.fs.Path(staged), True)
+    put_all(spark, [(staged, path, runs)])
+
+
+def put_all(spark: SparkSession, tables: Sequence[tuple[str | None, str, Sequence[str] | None]]) -> None:
+    """``put`` for several (staged, path, runs), all or none.
+
+    Old partitions are moved aside, new ones in; only when all are in place is anything deleted.
+    If a move fails, those made are undone, so every run has its old rows or its new ones.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    made, spare = [], [(_folders(spark, staged)[0], place(staged)) for staged, _, _ in tables if staged]
+    try:
+        for staged, path, runs in tables:
+            files, old = _folders(spark, path)
+            new = _folders(spark, staged)[1] if staged else {}
+            aside = f"{path.rstrip('/')}-old-{uuid.uuid4().hex}"
+            spare.append((files, place(aside)))
+            files.mkdirs(place(path))
+            for run in runs if runs is not None else new:
+                moves = [(old[run], place(aside, old[run].getName()))] if run in old else []
+                moves += [(new[run], place(path, new[run].getName()))] if run in new else []
+                for source, target in moves:
+                    files.mkdirs(target.getParent())
+                    _move(files, source, target)
+                    made.append((files, source, target))
+    except Exception:
+        _undo(made)  # where this fails too, nothing is deleted
+        _delete(spare)
+        raise
+    _delete(spare)
 
 
 def write_runs(df: DataFrame, path: str, runs: Sequence[str] | None = None) -> None:

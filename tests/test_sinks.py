@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from gapscope.plans import steps
 from gapscope.sources import sinks as sk
 from gapscope.sources import tables as tb
 
@@ -88,6 +89,62 @@ def test_failed_write_changes_nothing(spark, current, tmp_path):
     assert spark.read.parquet(path).count() == 3
 
 
+@pytest.mark.parametrize("fails_at", range(1, 6))
+def test_failed_move_changes_nothing(spark, current, tmp_path, monkeypatch, fails_at):
+    """A store whose rename returns false or raises at any of the moves leaves all tables of a step as they were."""
+    folder = str(tmp_path)
+    steps.store({"a": current, "b": current}, folder, "r1")
+    new = current.where("run_id = 'r1'").withColumn("cluster_label", F.lit("new"))
+    real, calls = sk._move, []
+
+    def move(files, source, target):
+        calls.append(source)
+        if len(calls) == fails_at:
+            if fails_at % 2:
+                raise RuntimeError("store is gone")
+            raise OSError("not moved")
+        real(files, source, target)
+
+    monkeypatch.setattr(sk, "_move", move)
+    read = lambda t: rows(spark.read.schema(current.schema).parquet(f"{folder}/{t}").select(*current.columns))
+    before = read("a"), read("b")
+    if fails_at < 5:  # two moves a table
+        with pytest.raises((RuntimeError, OSError)):
+            steps.store({"a": new, "b": new}, folder, "r1")
+        assert (read("a"), read("b")) == before
+    else:
+        steps.store({"a": new, "b": new}, folder, "r1")
+        assert {r[4] for r in read("a") if r[0] == "r1"} == {"new"}
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "b"]
+
+
+def test_rename_that_returns_false_is_an_error():
+    class Store:
+        def rename(self, source, target):
+            return False
+
+    with pytest.raises(OSError):
+        sk._move(Store(), "x", "y")
+
+
+def test_rows_that_cannot_be_moved_back_are_kept(spark, current, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    sk.write_runs(current, path)
+    real, calls = sk._move, []
+
+    def move(files, source, target):
+        calls.append(source)
+        if len(calls) > 1:
+            raise OSError("no")
+        real(files, source, target)
+
+    monkeypatch.setattr(sk, "_move", move)
+    with pytest.raises(sk.StuckMove):
+        sk.write_runs(current.where("run_id = 'r1'"), path)
+    kept = [p for p in tmp_path.iterdir() if p.name.startswith("t-old-")]
+    assert len(kept) == 1 and spark.read.parquet(str(kept[0])).count() == 2
+
+
 def test_kb_entries_once_per_article(spark):
     index = spark.createDataFrame(
         [("r1", "existing", "7", "old", None, [1.0, 0.0], False), ("r2", "existing", "7", "new", None, [0.0, 2.0], False), ("r2", "generated", "1", "g", None, [1.0, 1.0], True)],
