@@ -286,3 +286,42 @@ def test_lines_of_nothing(spark):
     assert linededup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     kept = linededup.dedup(spark.createDataFrame([(1, "w " * 60), (2, "w " * 60 + "\nnew")], "doc_id long, text string").select("doc_id", "text", F.lit(1).alias("other")))
     assert {r.doc_id: r.text for r in kept.collect()} == {1: "w " * 60, 2: "new"} and "other" in kept.columns
+
+
+def test_only_groups_on_a_border_are_cut(spark):
+    """At sf0.1 at most one group per border; on tiny inputs no more cuts than the best placement needs."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    spread = sharding.assign(docs).groupBy("text_crc32", "size").agg(F.count_distinct("shard").alias("n")).where("n > 1").count()
+    assert spread <= 15
+    rng = random.Random(6)
+    for _ in range(4):
+        sizes = [rng.randrange(1, 5) for _ in range(rng.randrange(2, 6))]
+        rows = [(100 * g + k, f"t{g}") for g, n in enumerate(sizes) for k in range(n)] + [(None, None)]
+        out = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()
+        counts = {}
+        for r in out:
+            counts.setdefault(r.shard, []).append(r)
+        full = sorted((len(rows) + k) // 3 for k in range(3))
+        assert sorted(len(counts.get(s, ())) for s in range(3)) == full
+        where = {}
+        for r in out:
+            where.setdefault(r.text_crc32, set()).add(r.shard)
+        assert sum(len(s) - 1 for s in where.values()) <= least_cuts(sizes + [1], full) + 2  # a border each at most
+
+
+def least_cuts(sizes, full):
+    """Fewest additional shards that groups need, over all ways to fill shards of the given sizes."""
+    from functools import lru_cache
+
+    @lru_cache(None)
+    def go(k, room):
+        if k == len(sizes):
+            return 0
+        best = 99
+        parts = [(a, b, sizes[k] - a - b) for a in range(sizes[k] + 1) for b in range(sizes[k] - a + 1)]
+        for p in parts:
+            if all(x <= y for x, y in zip(p, room)):
+                best = min(best, sum(x > 0 for x in p) - 1 + go(k + 1, tuple(y - x for x, y in zip(p, room))))
+        return best
+
+    return go(0, tuple(full))
