@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -12,11 +13,20 @@ from pyspark.sql import functions as F
 
 from gapscope.operators.rounds import cut, drop_table, shared_folder
 
-__all__ = ["ASCII_SPACE", "crc32", "cut", "drop_table", "in_small_batches", "shared_folder", "small_batches", "text_key", "worker_store"]
+__all__ = ["ASCII_SPACE", "crc32", "cut", "drop_table", "give_back", "in_small_batches", "shared_folder", "small_batches", "text_key", "worker_store"]
 
 ASCII_SPACE = "\t\n\x0b\x0c\r "
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system where the C library can; workers live on from task to task."""
+    try:
+        trim = ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return
+    trim(0)
+
+
 def worker_store(owner: str, name: str, make: Callable[[], object]) -> object:
     """An object that lives as long as the Python worker, so later tasks find it warm.
 
@@ -27,6 +37,7 @@ def worker_store(owner: str, name: str, make: Callable[[], object]) -> object:
     held = module.__dict__.setdefault("held", {})
     if module.__dict__.get("owner") != owner:
         held.clear()
+        give_back()
         module.owner = owner
     if name not in held:
         held[name] = make()

@@ -23,12 +23,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapscope.llm.common import worker_store
+from gapscope.llm.common import give_back, worker_store
 
 PROFILE_SIZE = 300
 LONGEST = 4
 #: Characters whose n-grams are held at once, and n-grams that a task sums before it hands them on.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 17
 MOST_GRAMS = 1 << 20
 EDGE = 1  # stands for the padding; no letter has this code
 
@@ -105,14 +105,24 @@ def gram_counts(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
                 yield pd.DataFrame({"lang": lang, "gram": gram, "n": n})
             sums.clear()
 
+        held: dict[str, list[np.ndarray]] = {}
+
+        def fold(lang: str) -> None:
+            new = counted(np.concatenate(held.pop(lang)))
+            old = sums.get(lang)
+            sums[lang] = new if old is None else counted(*(np.concatenate(pair) for pair in zip(old, new)))
+
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
                 for some in slices(list(texts)):
-                    new = counted(np.concatenate(grams(some, longest)))
-                    old = sums.get(lang)
-                    sums[lang] = new if old is None else counted(*(np.concatenate(pair) for pair in zip(old, new)))
+                    held.setdefault(lang, []).append(np.concatenate(grams(some, longest)))
+                    if sum(map(len, held[lang])) > MOST_GRAMS:
+                        fold(lang)
+            for lang in list(held):
+                fold(lang)
             if sum(len(g) for g, _ in sums.values()) > MOST_GRAMS:
                 yield from rows()
+            give_back()
         yield from rows()
 
     taught = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text")
@@ -155,7 +165,7 @@ class Detector:
         first = ranks < self.size
         distinct, ranks = distinct[first], ranks[first]
         if not len(distinct):  # so many n-grams tie that none is among the first ones
-            return "und", 0.0
+            return self.names[self.nearest_of(np.unique(found))], 0.0
         at = np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)
         known = self.known[at] == distinct
         apart = np.abs(self.ranks[:, at[known]] - ranks[known])
@@ -164,6 +174,12 @@ class Detector:
         return self.names[best], float(1 - costs[best] / (self.size * len(distinct)))
 
 
+    def nearest_of(self, distinct: np.ndarray) -> int:
+        """The language that ranks n-grams without an order of their own highest; the lowest name if none knows any."""
+        ranks = self.ranks[:, np.isin(self.known, distinct)]
+        return int(np.argmin(np.where(np.isnan(ranks), self.size, np.minimum(ranks, self.size)).sum(axis=1)))
+
+
 def predict(text: Column, profiles: dict[str, dict[int, float]], size: int = PROFILE_SIZE, longest: int = LONGEST) -> Column:
     """Per text a struct of lang_pred and score."""
     stamp = f"detector {hash(repr(sorted((k, sorted(v.items())) for k, v in profiles.items())))} {size} {longest}"
@@ -172,6 +188,7 @@ def predict(text: Column, profiles: dict[str, dict[int, float]], size: int = PRO
     def detect(texts: pd.Series) -> pd.DataFrame:
         found = worker_store("langid", stamp, lambda: Detector(profiles, size, longest))
         rows = [found.detect(g) for some in slices([t or "" for t in texts]) for g in grams(some, longest)]
+        give_back()
         return pd.DataFrame(rows, columns=["lang_pred", "score"])
 
     return detect(text)
