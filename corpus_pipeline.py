@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gapscope.llm import langid, linededup, ngramjoin, packing, quality
-from gapscope.llm.common import cut, small_batches
+from gapscope.llm.common import cut, small_batches, text_key
 from gapscope.llm.queries import vocabulary
+from gapscope.operators.rounds import numbered
 
 #: Below this score a text is out of place in every language that was learned.
 LEAST_SCORE = 0.1
@@ -44,18 +45,27 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.select(docs.columns)
 
 
+def members(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__member``: one number for each doc_id and text, in the order of doc_id; null without a doc_id."""
+    keyed = docs.withColumn("__text", text_key(F.col("text")))
+    names = numbered(keyed.where(F.col("doc_id").isNotNull()).select("doc_id", "__text").distinct(), ["doc_id", "__text"], "__member")
+    return keyed.join(names, ["doc_id", "__text"], "left").drop("__text")
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each group of near copies; of rows with one doc_id, one. Rows without a doc_id stay."""
-    groups = cut(ngramjoin.join(docs, SHINGLE_WORDS, SIMILAR_PERCENT))
-    ids = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
-    gone = cut(ids.where(F.col("component_id") < F.col("doc_id")).select("doc_id"))
-    several = cut(ids.where((F.col("component_id") == F.col("doc_id")) & (F.col("n") > 1)).select("doc_id"))
-    n_gone, n_several = gone.count(), several.count()
-    kept = docs.join(ngramjoin.sent(gone, n_gone), "doc_id", "left_anti")
-    if n_several:
-        first = Window.partitionBy("doc_id").orderBy(F.md5("text"))
-        ranked = kept.join(ngramjoin.sent(several, n_several), "doc_id", "left_semi").withColumn("__r", F.row_number().over(first))
-        kept = kept.join(ngramjoin.sent(several, n_several), "doc_id", "left_anti").unionByName(ranked.where("__r = 1").drop("__r"))
+    """The document with the smallest doc_id of each group of near copies. Rows without a doc_id stay.
+
+    Unlike texts that share a doc_id are documents of their own; of rows with one doc_id and text, one stays.
+    """
+    repeated = not docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty()
+    named = cut(members(docs)) if repeated else docs.withColumn("__member", F.col("doc_id"))
+    groups = ngramjoin.join(named.select(F.col("__member").alias("doc_id"), "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
+    gone = cut(groups.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("__member")).distinct())
+    kept = named.join(ngramjoin.sent(gone, gone.count()), "__member", "left_anti")
+    if repeated:
+        first = Window.partitionBy("__member").orderBy(F.md5(F.to_json(F.struct(*docs.columns))))
+        ranked = kept.where(F.col("__member").isNotNull()).withColumn("__r", F.row_number().over(first)).where("__r = 1")
+        kept = kept.where(F.col("__member").isNull()).unionByName(ranked.drop("__r"))
     return kept.select(docs.columns)
 
 
