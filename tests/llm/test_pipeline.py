@@ -38,10 +38,14 @@ def test_each_stage_is_its_operator(spark, tmp_path):
         assert docs.count() > 50
 
 
-def test_one_row_of_a_repeated_document(spark):
-    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (1, "other words here and there"), (None, "a b c d e f"), (None, None)], "doc_id long, text string")
-    out = corpus_pipeline.one_of_each(spark, docs, FOLDER).collect()
-    assert sorted(map(str, (r.doc_id for r in out))) == ["1", "None", "None"]
+def test_texts_that_share_a_doc_id_are_documents_of_their_own(spark):
+    """Equal rows stay once; an unlike text stays beside them, even where the other one is a copy of a smaller document."""
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (1, "other words here and there"), (2, "something else that is clean too"), (None, "a b c d e f"), (None, None), (3, None), (3, None)]
+    out = corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), FOLDER).collect()
+    want = [(1, "a b c d e f"), (1, "other words here and there"), (2, "something else that is clean too"), (3, None), (None, None), (None, "a b c d e f")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out))) == sorted(map(str, want))
+    single = spark.createDataFrame([(4, "a b c d e f"), (2, "a b c d e f"), (3, "x")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, single, FOLDER).collect()) == [2, 3]
 
 
 def test_run_and_empty_tables(spark, tmp_path):
