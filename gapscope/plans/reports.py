@@ -132,7 +132,11 @@ def source_mix_per_cluster(assignments: DataFrame, clusters: DataFrame) -> DataF
 
 def workorder_clusters(assignments: DataFrame) -> DataFrame:
     """Clusters of a run with work orders, and those where they are more than half."""
-    return source_counts(assignments).groupBy("run_id").agg(
+    return workorder_counts(source_counts(assignments))
+
+
+def workorder_counts(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("run_id").agg(
         F.count_if(F.col("wo_tickets") > 0).alias("clusters_with_wo"),
         F.count_if(F.col("wo_tickets") / (F.col("wo_tickets") + F.col("inc_tickets")) > 0.5).alias("wo_dominant"),
     )

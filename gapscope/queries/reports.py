@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gapscope.operators.clustering import choose_k
 from gapscope.plans import reports as rp
+from gapscope.plans import rollup as ru
 from gapscope.queries.roles import Tables
 from gapscope.queries import sql_roles as q
 from gapscope.queries.articles import VALIDATION, scored_articles, validated
@@ -219,6 +220,23 @@ def scatter(t: Tables):
     return rp.scatter(c)
 
 
+def rollup_sql() -> str:
+    sets = ", ".join(f"({', '.join(columns)})" for columns in ru.LEVELS.values())
+    bits = {name: sum(1 << (len(ru.DIMENSIONS) - 1 - i) for i, d in enumerate(ru.DIMENSIONS) if d not in columns) for name, columns in ru.LEVELS.items()}
+    names = " ".join(f"WHEN {b} THEN '{name}'" for name, b in bits.items())
+    return f"""SELECT run_id, CASE id {names} END AS level, cluster_id, source, service_type, gap_flag, tickets FROM (
+        SELECT run_id, cluster_id, source, service_type, gap_flag, sum(n)::BIGINT AS tickets, count(held) AS held, grouping({", ".join(ru.DIMENSIONS)}) AS id FROM (
+            SELECT run_id, cluster_id, source, service_type, gap_flag, CASE WHEN held THEN 1 ELSE 0 END AS n, held
+            FROM (SELECT *, true AS held FROM r_assign) a FULL JOIN (SELECT run_id, cluster_id, gap_flag FROM r_gaps) g USING (run_id, cluster_id))
+        GROUP BY GROUPING SETS ({sets}))
+    WHERE held > 0 OR id IN ({bits['cluster']}, {bits['flag']}, {bits['run']})"""
+
+
+@query("dash_rollup", rollup_sql())
+def rollup(t: Tables):
+    return ru.rollup(t.assignments(), t.gaps())
+
+
 # --- articles ----------------------------------------------------------------
 
 
