@@ -278,9 +278,10 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     drop_table(spark, whole)
 
     by_size = F.struct("n", "id")
-    # Tokens of the B-prefixes as numbers; linked sets share as many as their sizes demand, unless shortening has made two equal.
-    number = lambda i: F.conv(F.hex(F.substring(F.col("b"), i, F.lit(4))), 16, 10).cast("long")
-    marks = cut(sets.select("id", F.transform(F.sequence(F.lit(1), F.octet_length("b") - 3, F.lit(4)), number).alias("b"), (F.col("lost") == 0).alias("whole")))
+    # Tokens of the B-prefixes in 16 bits; linked sets share as many as their sizes demand, less those that shortening made equal.
+    number = lambda i: (F.conv(F.hex(F.substring(F.col("b"), i, F.lit(2))), 16, 10).cast("int") - 32768).cast("short")
+    short = sets.select("id", "lost", (F.octet_length("b") / 4).cast("int").alias("size"), F.array_distinct(F.transform(F.sequence(F.lit(1), F.octet_length("b") - 3, F.lit(4)), number)).alias("marks"))
+    marks = cut(short.select("id", "marks", (F.col("lost") + F.col("size") - F.size("marks")).alias("less")))
     tried = None
     labels = cut(ids.select(F.col("id").alias("node"), F.col("id").alias("component_id")))
     open_ = open_.withColumn("component", F.col("id"))
@@ -293,11 +294,11 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
         near, may_link = open_, F.lit(True)
         if tried is not None:  # a token that is still open is met by many unlike sets: they must share enough of order B to meet
             near = open_.join(marks, "id")
-            mine = marks.select(F.col("id").alias("hub_id"), F.col("b").alias("hub_b"), F.col("whole").alias("hub_whole"))
+            mine = marks.select(F.col("id").alias("hub_id"), F.col("marks").alias("hub_marks"), F.col("less").alias("hub_less"))
             heads = cut(heads.join(mine, F.col("hub.id") == F.col("hub_id")).drop("hub_id"))
             overlap = F.expr(f"({percent} * (n + hub.n) + {99 + percent}) div {100 + percent}")
             need = overlap + 1 - F.expr(f"({percent} * n + 99) div 100")  # the larger set's prefix is the one that demands less
-            may_link = ~(F.col("whole") & F.col("hub_whole")) | (F.size(F.array_intersect("b", "hub_b")) >= need)
+            may_link = F.size(F.array_intersect("marks", "hub_marks")) >= need - F.col("less") - F.col("hub_less")
         near = near.join(heads, "token").where(
             (by_size > F.col("hub")) & (100 * F.col("hub.n") >= percent * F.col("n")) & (F.col("component") != F.col("hub_component")) & may_link
         )
