@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapscope.config import SEED, Thresholds
-from gapscope.operators.rounds import cut_by, drop_table
+from gapscope.operators.rounds import cut, cut_by, drop_table
 
 CENTRE_BYTES = 512 << 20
 BATCH_ROWS, MOST_BATCHES = 4096, 256
@@ -294,7 +294,11 @@ def nearest_centre(centres: np.ndarray) -> Callable:
 
 
 def kmeans(df: DataFrame, key: str, vector: str, k: int, *, tries: int = 15, epochs: int = 500, batch_rows: int = BATCH_ROWS, seed: int = SEED) -> DataFrame:
-    """``df`` with a ``cluster_id`` per row, by the best of ``tries`` starts; ids follow the order of the centres."""
+    """``df`` with a ``cluster_id`` per row, by the best of ``tries`` starts; ids follow the order of the centres.
+
+    The rows are stored once, so that a computed vector is not computed again beside the Python function that places it.
+    """
+    df = cut(df)
     dealt = deal(df, key, vector, batch_rows, seed)
     if not dealt.total:
         return df.withColumn("cluster_id", F.lit(None).cast("int"))
