@@ -9,7 +9,10 @@ of its nodes, deeper ones less. Branches below a bound, on enough pages, are cut
 What the elements say of themselves is used as well, since a host may have a page or two only:
 menus, forms, scripts and the like, and elements classed as adverts, notices, side bars or
 reader comments, never hold main text; where a page has an article (or main) element, its main
-text is inside one. Plain text elements of an article are never cut for being alike.
+text is inside one. Plain text elements of an article are never cut for being alike. Classes
+that tell a state ("has-sidebar", "comments-open") name nothing, and where the words of classes and
+ids would take the page's only article, longer than what they leave, they do not apply to it and to
+what it lies in.
 
 Counts are summed per task, then per value, then per node, so a host with a third of all pages
 is no task's burden; the tables of cut branches are small beside the pages. A null or empty page
@@ -55,6 +58,8 @@ OUT_WORDS = frozenset(
     "discussion search copyright legal disclaimer".split()
 )
 IN_TAGS = frozenset(["article", "main"])
+#: A class with one of these tells a state of its element ("has-sidebar", "comments-open"), not what it is.
+STATES = frozenset("has have with without no not is are in open opened closed enabled disabled on off allowed".split())
 #: Elements below this depth share the node of the one at it; texts are kept at any depth.
 DEEPEST = 64
 
@@ -66,20 +71,31 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Element:
-    __slots__ = ("tag", "path", "out", "inside", "plain", "children", "text")
+    __slots__ = ("tag", "path", "out", "inside", "plain", "children", "text", "worded")
 
-    def __init__(self, tag: str, path: str, out: bool, inside: bool, plain: bool):
-        self.tag, self.path, self.out, self.inside, self.plain = tag, path, out, inside, plain
+    def __init__(self, tag: str, path: str, out: bool, inside: bool, plain: bool, worded: int = 0):
+        self.tag, self.path, self.out, self.inside, self.plain, self.worded = tag, path, out, inside, plain, worded
         self.children: list[str] = []
         self.text: list[str] = []
 
 
-def scan(html: str, low: frozenset[str] = frozenset(), seen: Counter | None = None) -> list[tuple[bool, str]]:
+def names_out(mark: str) -> bool:
+    """Whether a class or id names its element as one that never holds main text."""
+    words = {w.lower() for w in WORDS.findall(mark)}
+    return not words.isdisjoint(OUT_WORDS) and words.isdisjoint(STATES)
+
+
+def scan(
+    html: str, low: frozenset[str] = frozenset(), seen: Counter | None = None, held: list[set[int]] | None = None, spare: frozenset[int] = frozenset()
+) -> list[tuple[bool, str]]:
     """The kept blocks of a page in order, each with whether it is inside an article.
 
     ``low`` holds the paths to cut. ``seen`` gets (path, kind, value) of every element: kind 0
     for its children's names, 1 for its own text; 2 more where it is plain text of an article.
+    ``held`` gets, for every article or main element, the numbers of the elements around it and
+    itself that a class or id names as not main text; those in ``spare`` are not judged so.
     """
+    order = 0
     blocks: list[tuple[bool, str]] = []
     stack = [Element("", "", False, False, False)]
     buffer: list[str] = []
@@ -165,7 +181,10 @@ def scan(html: str, low: frozenset[str] = frozenset(), seen: Counter | None = No
         up = stack[-1]
         inside = up.inside or tag in IN_TAGS or role == "main"
         plain = not classes and inside and tag in TEXT_ELEMENTS | IN_TAGS
-        named = any(w.lower() in OUT_WORDS for m in marks for w in WORDS.findall(m)) and tag not in ("html", "body")
+        order += 1
+        named = order not in spare and tag not in ("html", "body") and any(map(names_out, marks))
+        if held is not None and (tag in IN_TAGS or role == "main"):
+            held.append({e.worded for e in stack if e.worded} | ({order} if named else set()))
         path = f"{up.path}/{'.'.join([tag, *classes])}" if len(stack) <= DEEPEST else up.path
         out = up.out or hidden or tag in OUT_TAGS or role in OUT_ROLES or named or (tag == "header" and not up.inside) or path in low
         up.children.append(tag)
@@ -177,7 +196,7 @@ def scan(html: str, low: frozenset[str] = frozenset(), seen: Counter | None = No
             continue
         if rest.rstrip().endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
-        stack.append(Element(tag, path, out, inside, plain))
+        stack.append(Element(tag, path, out, inside, plain, order if named else 0))
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(html, at)
             at = close.start() if close else end
@@ -188,11 +207,29 @@ def scan(html: str, low: frozenset[str] = frozenset(), seen: Counter | None = No
 
 
 def main_text(html: str | None, low: frozenset[str] = frozenset()) -> str:
-    blocks = scan(html or "", low) or (scan(html, frozenset()) if html and low else [])
+    blocks, spare = spared(html or "", low)
+    blocks = blocks or (scan(html, spare=spare) if html and low else [])
     inside = [t for within, t in blocks if within]
     return "\n\n".join(inside or [t for _, t in blocks])
 
 
+def spared(html: str, low: frozenset[str]) -> tuple[list[tuple[bool, str]], frozenset[int]]:
+    """The blocks of a page, and the elements not judged by class and id.
+
+    Where those words leave nothing of the page's one article, and it holds more text than the
+    rest of the page, they do not apply to it and to what it lies in.
+    """
+    held: list[set[int]] = []
+    blocks = scan(html, low, held=held)
+    if any(within for within, _ in blocks) or len(held) != 1 or not held[0]:
+        return blocks, frozenset()
+    spare = frozenset(held[0])
+    again = scan(html, low, spare=spare)
+    if sum(len(t) for within, t in again if within) > sum(len(t) for _, t in blocks):
+        return again, spare
+    return blocks, frozenset()
+
+
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 

@@ -266,6 +266,14 @@ def test_equal_articles_of_a_host_stay(spark):
         ("<div>" * 3000 + "deep", "deep"),
         ("<p title='a>b'>t</p><p class=\"cookie-bar\">n</p>", "t"),
         ("a < b & c", "a < b & c"),
+        ("<article class='post comments-open'><p>x</p></article>", "x"),
+        ("<main class='with-sidebar'><p>x</p><div class='sidebar'>s</div></main>", "x"),
+        ("<div class='layout has-sidebar'><article><p>x</p></article></div>", "x"),
+        ("<p>top</p><div class='layout sidebar-right'><article><p>the long story</p><div class='share'>s</div></article></div>", "the long story"),
+        ("<div class='menu'><main id='search'><p>x</p></main></div>", "x"),
+        ("<div><p>story</p></div><div class='comments'><article class='comment'>longer than the story</article><article>c</article></div>", "story"),
+        ("<article><p>x</p></article><div class='related'><article class='related'>a much longer teaser</article></div>", "x"),
+        ("<article class='notice'></article><p>y</p>", "y"),
     ],
 )
 def test_page_shapes(html, text):
