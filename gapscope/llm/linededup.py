@@ -1,41 +1,43 @@
-"""Line dedup by winnowing over line hashes; DataFrame functions only.
-
-A *run* is a stretch of lines of one text; lines without a word are skipped over. A run of at
-least ``min_words`` words that occurred before (in the order of doc_id, then text, then line)
-is a later repeat, and its lines are deleted. First occurrences stay.
-
-1. Windows. At every line ends the shortest stretch of at least ``min_words`` words, and at
-   every line begins one. Any repeated run holds such windows whole, and they cover it.
-2. Fingerprints. Each window selects the line of smallest hash (the last one on ties). Equal
-   windows select equal lines, so a repeated run is guaranteed to leave one fingerprint twice.
-   Only windows whose fingerprint occurs at two places or more go on.
-3. Matches. A selected line is extended both ways to its whole window; equal windows are
-   joined with their first place, and all later places are repeats.
-4. Overlapping repeats merge: every line inside one goes, the others are joined again.
-
-Hashes are 128 bits of a line without outer white space. Counts and first places are partial
-sums, so a line with a third of all places is no task's burden; joins on them can be split.
-
-A null or empty text has no lines and comes back as it is. Rows of equal doc_id and text are
+"""Dedup of repeated passages across lines by winnowing; DataFrame functions only.
+
+A *run* is a stretch of words of one text, over as many lines or parts of lines as it takes. A
+run of at least ``min_words`` words that occurred before (in the order of doc_id, then text, then
+word) is a later repeat, and its words are deleted. First occurrences stay, and what overlaps
+its own first occurrence is no repeat.
+
+1. Fingerprints. Every window of ``min_words`` words selects the place with the smallest hash
+   (the last one on ties) among those that leave a gram of ``gram`` words in the window. Equal
+   windows select equal grams, so a repeated run is guaranteed to leave one gram at two places.
+   Whole lines are too coarse a unit: a run that begins and ends within lines may hold none.
+2. Positions. Only places whose gram occurs at two or more are joined back to their texts.
+3. Matches. A place is extended both ways word by word, to the windows that selected it; equal
+   windows are joined with their first place, and all later places are repeats.
+4. Overlapping repeats merge, and their words go. Lines left without a word go with them; of a
+   line that is partly in a run the other words stay, with the white space before them.
+
+Windows are compared by 128 bits. Counts and first places are partial sums, so a passage with a
+third of all places is no task's burden; joins on them can be split.
+
+A null or empty text has no words and comes back as it is. Rows of equal doc_id and text are
 one document, and each gets its result; a null doc_id comes after all others. A text whose
-lines all go becomes the empty text.
+words all go becomes the empty text; one that ends in a repeat loses the white space at its end.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gapscope.functions.text import let
 from gapscope.llm.common import cut
 
-MIN_WORDS = 50
+MIN_WORDS, GRAM = 50, 12
 WORD = r"[^\x20\x09-\x0D]"
 GAP = r"[\x20\x09-\x0D]+"
 OUTER = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
-
-
-def split_lines(text: Column) -> Column:
-    return F.split(text, "\n", -1)
+#: A word with the white space before it; these and the white space at the end make up a text.
+TOKEN = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
+LOW = (1 << 31) - 1
 
 
 def document(doc_id: Column, text: Column) -> Column:
@@ -43,115 +45,152 @@ def document(doc_id: Column, text: Column) -> Column:
     return F.concat(F.unhex(F.md5(text.cast("binary"))), F.coalesce(doc_id.cast("string"), F.lit("-")).cast("binary"))
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """(doc, id, pos, words, upto, a, b): the lines of each distinct document.
-
-    ``upto`` counts the words up to and with the line; ``a`` and ``b`` are its hash.
-    """
-    texts = docs.where(F.col("text").isNotNull()).select(document(F.col("doc_id"), F.col("text")).alias("doc"), F.col("doc_id").alias("id"), "text")
-    lines = texts.select("doc", "id", F.posexplode(split_lines(F.col("text"))).alias("pos", "raw"))
-    bare = lines.select("doc", "id", "pos", F.regexp_replace("raw", OUTER, "").alias("line"))
-    words = F.when(F.col("line") == "", 0).otherwise(F.size(F.split("line", GAP, -1)))
-    hashed = bare.select("doc", "id", "pos", words.alias("words"), F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
-    return hashed.dropDuplicates(["doc", "pos"]).withColumn("upto", F.sum("words").over(Window.partitionBy("doc").orderBy("pos")))
-
-
-def windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """(doc, id, first, last, low, full): the windows of both kinds.
-
-    ``low`` is the selected line's hash, ``full`` stands for all lines of the window.
-    """
-    worded = lines.where(F.col("words") > 0).withColumn("begun", F.col("upto") - F.col("words"))
-    doc = Window.partitionBy("doc")
-    # A line's words and the up to min_words - 1 before its end, or after its start, in whole lines.
-    ending, starting = doc.orderBy("upto").rangeBetween(1 - min_words, 0), doc.orderBy("begun").rangeBetween(0, min_words - 1)
-
-    def seen(frame) -> Column:
-        return F.struct(
-            F.min("pos").over(frame).alias("first"),
-            F.max("pos").over(frame).alias("last"),
-            F.sum("words").over(frame).alias("n"),
-            F.min(F.struct("a", "b", (-F.col("pos")).alias("at"))).over(frame).alias("low"),
-            F.collect_list(F.struct("a", "b")).over(frame).alias("held"),
-        )
-
-    framed = worded.select("doc", "id", seen(ending).alias("x"), seen(starting).alias("y"))
-    each = framed.select("doc", "id", F.explode(F.array("x", "y")).alias("w")).where(F.col("w.n") >= min_words)
-    return each.select(
-        "doc", "id", "w.first", "w.last",
-        F.struct("w.low.a", "w.low.b").alias("low"),
-        F.struct(F.xxhash64("w.held").alias("a"), F.xxhash64(F.lit(1), "w.held").alias("b")).alias("full"),
-    )
+def word_hashes(text: Column) -> Column:
+    bare = F.regexp_replace(text, OUTER, "")
+    return let(bare, lambda t: F.when(t == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(t, GAP, -1), lambda w: F.xxhash64(w))))
+
+
+def narrowed(values: Column, span: int) -> Column:
+    """The smallest of each ``span`` values in a row, by doubling; later ones see fewer."""
+    def least(step: int):
+        return lambda v: F.transform(v, lambda x, i: F.least(x, F.get(v, i + step)))
+
+    reach = 1
+    while 2 * reach <= span:
+        values, reach = let(values, least(reach)), 2 * reach
+    return let(values, least(span - reach)) if span > reach else values
+
+
+def places(words: Column, min_words: int, gram: int) -> Column:
+    """The (first, last, print) of every selected place: the windows that select it, and its gram."""
+    ranked = F.transform(words, lambda h, i: F.shiftleft(F.shiftright(h, 32), 32).bitwiseOR((F.lit(LOW) - i).cast("long")))
+    chosen = let(narrowed(ranked, min_words - gram + 1), lambda m: F.slice(m, 1, F.size(m) - min_words + 1))
 
+    def entries(m: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: (i == 0) | (F.get(m, i) != F.get(m, i - 1)))
 
-def repeats(lines: DataFrame, min_words: int) -> DataFrame:
-    """(doc, pos): the lines to delete."""
-    every = cut(windows(lines, min_words))
-    # Fingerprints that two windows or more select; a window may come up twice, as either kind.
-    often = cut(every.groupBy("low").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("low"))
-    kept = cut(every.join(often, "low", "left_semi"))
-    place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "doc", "first")
-    firsts = cut(kept.groupBy("full").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n"))
-    later = kept.join(firsts, "full").where(place > F.col("origin"))
-    return later.select("doc", F.explode(F.sequence("first", "last")).alias("pos")).distinct()
-
-
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` without the lines of later repeated runs, and how many lines with a word each
-    text had (``n_lines``) and lost (``n_deleted``); other columns stay."""
-    lines = cut(line_table(docs))
-    gone = cut(repeats(lines, min_words).withColumn("dead", F.lit(True)))
-    # Of every document that loses lines, a flag for each line.
-    flags = (
-        lines.select("doc", "pos", "words").join(gone.select("doc").distinct(), "doc", "left_semi")
-        .join(gone, ["doc", "pos"], "left")
-        .groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", (F.coalesce("dead", F.lit(False)) & (F.col("words") > 0)).alias("dead")))).alias("__f"))
-        .select(F.col("doc").alias("__doc"), F.col("__f.dead").alias("__dead"))
+        def entry(s: Column, begun: Column, k: Column) -> Column:
+            at = F.lit(LOW) - F.get(m, s).bitwiseAND(F.lit(LOW)).cast("int")
+            last = F.coalesce(F.get(begun, k + 1), F.size(m)) - 1
+            return F.struct(s.alias("first"), last.alias("last"), F.xxhash64(F.slice(words, at + 1, gram)).alias("print"))
+
+        return let(begins, lambda b: F.transform(b, lambda s, k: entry(s, b, k)))
+
+    return let(chosen, entries)
+
+
+def fingerprints(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
+    """(doc, first, last, print): the selected places of all texts long enough."""
+    texts = docs.where(F.col("text").isNotNull()).select(document(F.col("doc_id"), F.col("text")).alias("doc"), "text")
+    found = let(word_hashes(F.col("text")), lambda w: F.when(F.size(w) >= min_words, places(w, min_words, gram)))
+    return texts.select("doc", F.explode(found).alias("p")).select("doc", "p.*")
+
+
+def repeats(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
+    """(doc, starts): for every document with later repeats, the sorted words at which windows of them begin."""
+    prints = cut(fingerprints(docs, min_words, gram))
+    place = F.xxhash64("doc", "first")
+    often = cut(prints.groupBy("print").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("print"))
+    kept = prints.join(often, "print", "left_semi").groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    texts = docs.where(F.col("text").isNotNull()).select(document(F.col("doc_id"), F.col("text")).alias("doc"), F.col("doc_id").alias("id"), "text").join(kept, "doc").dropDuplicates(["doc"])
+
+    def window(words: Column, i: Column) -> Column:
+        return let(F.slice(words, i + 1, min_words), lambda s: F.struct(i.alias("at"), F.xxhash64(s).alias("a"), F.xxhash64(F.lit(1), s).alias("b")))
+
+    matched = let(
+        word_hashes(F.col("text")),
+        lambda w: F.flatten(F.transform("ranges", lambda r: F.transform(F.sequence(r["first"], r["last"]), lambda i: window(w, i)))),
     )
-    split = split_lines(F.col("text"))
-    left = F.filter(split, lambda _, i: ~F.get("__dead", i))
-    n_lines = F.coalesce(F.size(F.filter(split, lambda x: x.rlike(WORD))), F.lit(0))
-    n_deleted = F.coalesce(F.size(F.filter("__dead", lambda x: x)), F.lit(0))
-    others = [c for c in docs.columns if c not in ("text", "n_lines", "n_deleted")]
-    counted = docs.join(flags, document(F.col("doc_id"), F.col("text")) == F.col("__doc"), "left").select(
-        *others, F.col("text"), "__dead", n_lines.cast("long").alias("n_lines"), n_deleted.cast("long").alias("n_deleted")
+    windows = cut(texts.select("doc", "id", F.explode(matched).alias("w")).select("doc", "id", "w.*"))
+    order = F.struct(F.col("id").isNull().alias("unnamed"), "id", "doc", "at")
+    firsts = windows.groupBy("a", "b").agg(F.min(order).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
+    apart = (F.col("doc") != F.col("origin.doc")) | (F.col("at") >= F.col("origin.at") + min_words)
+    later = windows.join(firsts, ["a", "b"]).where((order > F.col("origin")) & apart)
+    return later.groupBy("doc").agg(F.array_sort(F.collect_list("at")).alias("starts"))
+
+
+def rest(text: Column, starts: Column, min_words: int) -> Column:
+    """The text without the words of the windows that begin at ``starts``."""
+    begins = F.filter(starts, lambda s, k: (k == 0) | (F.get(starts, k - 1) + min_words < s))
+    ends = F.transform(F.filter(starts, lambda s, k: (k + 1 == F.size(starts)) | (F.get(starts, k + 1) > s + min_words)), lambda s: s + min_words)
+    gap = lambda token: F.regexp_extract(token, r"^[\x20\x09-\x0D]*", 0)
+
+    def joined(tokens: Column, b: Column, e: Column) -> Column:
+        def piece(end: Column, k: Column) -> Column:
+            """What stands between a repeat's end and the next one's begin."""
+            begin, until = F.get(b, k), F.coalesce(F.get(b, k + 1), F.size(tokens))
+            before, after = gap(F.get(tokens, begin)), gap(F.get(tokens, end))
+            over = F.exists(F.slice(tokens, begin + 2, end - begin - 1), lambda t: gap(t).contains("\n"))
+            space = F.when(begin == 0, "").when(after.contains("\n"), after).when(before.contains("\n"), before).when(over, "\n").otherwise(after)
+            return F.when(end < F.size(tokens), F.concat(space, F.regexp_replace(F.array_join(F.slice(tokens, end + 1, until - end), ""), r"^[\x20\x09-\x0D]+", ""))).otherwise("")
+
+        head = F.array_join(F.slice(tokens, 1, F.get(b, F.lit(0))), "")
+        tail = F.when(F.element_at(e, -1) < F.size(tokens), F.regexp_extract(text, r"[\x20\x09-\x0D]*\z", 0)).otherwise("")
+        return F.concat(head, F.array_join(F.transform(e, piece), ""), tail)
+
+    return let(F.regexp_extract_all(text, F.lit(f"({TOKEN})")), lambda t: let(begins, lambda b: let(ends, lambda e: joined(t, b, e))))
+
+
+def worded_lines(text: Column) -> Column:
+    return F.coalesce(F.size(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))), F.lit(0)).cast("long")
+
+
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
+    """``docs`` without the words of later repeated runs, how many lines with a word each text
+    had (``n_lines``) and lost whole (``n_deleted``), and whether it lost any word (``changed``);
+    other columns stay."""
+    gone = cut(repeats(docs, min_words, min(gram, min_words))).select(F.col("doc").alias("__doc"), F.col("starts").alias("__starts"))
+    others = [c for c in docs.columns if c not in ("text", "n_lines", "n_deleted", "changed")]
+    joined = docs.join(gone, document(F.col("doc_id"), F.col("text")) == F.col("__doc"), "left")
+    left = F.when(F.col("__starts").isNotNull(), rest(F.col("text"), F.col("__starts"), min_words))
+    both = joined.select(*others, F.col("text").alias("__all"), F.explode(F.array(left)).alias("__left"))
+    changed = F.col("__left").isNotNull()
+    lines = worded_lines(F.col("__all"))
+    return both.select(
+        *others, F.coalesce("__left", "__all").alias("text"), lines.alias("n_lines"),
+        F.when(changed, lines - worded_lines(F.col("__left"))).otherwise(F.lit(0)).cast("long").alias("n_deleted"), changed.alias("changed"),
     )
-    text = F.when(F.col("n_deleted") == 0, F.col("text")).when(F.col("n_deleted") == F.col("n_lines"), "").otherwise(F.array_join(left, "\n"))
-    return counted.select(*others, text.alias("text"), "n_lines", "n_deleted")
 
 
-#: The same by comparing the lines themselves.
+#: The same by comparing all windows of 50 words.
 SQL = r"""
 WITH texts AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
-raw AS (
-  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS pos FROM texts
+tokened AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, md5(text)) AS doc, doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS tokens FROM texts
+),
+bare AS (SELECT *, list_transform(tokens, lambda t: regexp_replace(t, '^[\x20\x09-\x0D]+', '')) AS words FROM tokened),
+windows AS (
+  SELECT doc, p, md5(array_to_string(words[p + 1 : p + 50], ' ')) AS held
+  FROM (SELECT doc, words, unnest(range(len(words) - 49)) AS p FROM bare WHERE len(words) >= 50)
 ),
-worded AS (
-  SELECT doc_id, text, pos, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line,
-    len(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')) AS words
-  FROM raw WHERE regexp_matches(raw, '[^\x20\x09-\x0D]')
+placed AS (SELECT doc, p, first_value(doc) OVER w AS d, first_value(p) OVER w AS a FROM windows WINDOW w AS (PARTITION BY held ORDER BY doc, p)),
+later AS (SELECT doc, p FROM placed WHERE doc <> d OR p >= a + 50),
+token AS (SELECT doc, unnest(tokens) AS t, unnest(words) AS word, unnest(range(len(words))) AS k FROM bare WHERE doc IN (SELECT doc FROM later)),
+spread AS (
+  SELECT t.doc, t.k, t.word, t.t[1 : length(t.t) - length(t.word)] AS gap,
+    max(l.p) OVER (PARTITION BY t.doc ORDER BY t.k ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS dead
+  FROM token t LEFT JOIN later l ON l.doc = t.doc AND l.p = t.k
 ),
-summed AS (SELECT *, CAST(sum(words) OVER (PARTITION BY doc_id, text ORDER BY pos) AS BIGINT) AS upto FROM worded),
-framed AS (
-  SELECT doc_id, text,
-    min(pos) OVER e AS e1, max(pos) OVER e AS e2, sum(words) OVER e AS en, list(line) OVER e AS el,
-    min(pos) OVER s AS s1, max(pos) OVER s AS s2, sum(words) OVER s AS sn, list(line) OVER s AS sl
-  FROM (SELECT *, upto - words AS begun FROM summed)
-  WINDOW e AS (PARTITION BY doc_id, text ORDER BY upto RANGE BETWEEN 49 PRECEDING AND CURRENT ROW),
-    s AS (PARTITION BY doc_id, text ORDER BY begun RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+before AS (SELECT *, max(CASE WHEN NOT dead THEN k END) OVER (PARTITION BY doc ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM spread),
+stretch AS (
+  SELECT doc, coalesce(prior, -1) AS prior, arg_min(gap, k) AS first_gap, bool_or(contains(gap, chr(10)) AND k > coalesce(prior, -1) + 1) AS broken
+  FROM before WHERE dead GROUP BY ALL
 ),
-windows AS (
-  SELECT doc_id, text, e1 AS w1, e2 AS w2, el AS held FROM framed WHERE en >= 50
-  UNION SELECT doc_id, text, s1, s2, sl FROM framed WHERE sn >= 50
+kept AS (
+  SELECT b.doc, string_agg(CASE
+      WHEN s.doc IS NULL THEN b.gap WHEN b.prior IS NULL THEN '' WHEN contains(b.gap, chr(10)) THEN b.gap
+      WHEN contains(s.first_gap, chr(10)) THEN s.first_gap WHEN s.broken THEN chr(10) ELSE b.gap END || b.word, '' ORDER BY b.k) AS kept, max(b.k) AS p
+  FROM before b LEFT JOIN stretch s ON s.doc = b.doc AND s.prior = coalesce(b.prior, -1) AND b.k > coalesce(b.prior, -1) + 1
+  WHERE NOT b.dead GROUP BY b.doc
+),
+changed AS (
+  SELECT b.doc_id, b.text, coalesce(k.kept, '') || CASE WHEN k.p = len(b.words) - 1 THEN regexp_extract(b.text, '[\x20\x09-\x0D]*$') ELSE '' END AS rest
+  FROM bare b LEFT JOIN kept k USING (doc) WHERE b.doc IN (SELECT doc FROM later)
 ),
-ordered AS (SELECT *, min((doc_id, md5(text), w1)) OVER (PARTITION BY held) AS origin FROM windows),
-gone AS (SELECT DISTINCT doc_id, text, unnest(range(w1, w2 + 1)) AS pos FROM ordered WHERE (doc_id, md5(text), w1) > origin),
 counted AS (
-  SELECT r.doc_id, r.text, count(*) FILTER (WHERE w.pos IS NOT NULL) AS n_lines, count(*) FILTER (WHERE w.pos IS NOT NULL AND g.pos IS NOT NULL) AS n_deleted,
-    string_agg(r.raw, chr(10) ORDER BY r.pos) FILTER (WHERE w.pos IS NULL OR g.pos IS NULL) AS rest
-  FROM raw r LEFT JOIN worded w USING (doc_id, text, pos) LEFT JOIN gone g USING (doc_id, text, pos) GROUP BY ALL
+  SELECT d.doc_id, d.text, c.rest, coalesce(len(list_filter(string_split(d.text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))), 0) AS n_lines,
+    len(list_filter(string_split(c.rest, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS n_left
+  FROM documents d LEFT JOIN changed c ON c.doc_id IS NOT DISTINCT FROM d.doc_id AND c.text = d.text
 )
-SELECT d.doc_id, CASE WHEN c.n_deleted = 0 OR c.n_deleted IS NULL THEN d.text WHEN c.n_deleted = c.n_lines THEN '' ELSE c.rest END AS text,
-  coalesce(c.n_lines, 0) AS n_lines, coalesce(c.n_deleted, 0) AS n_deleted
-FROM documents d LEFT JOIN counted c ON c.doc_id = d.doc_id AND c.text = d.text
+SELECT doc_id, coalesce(rest, text) AS text, n_lines, CASE WHEN rest IS NULL THEN 0 ELSE n_lines - n_left END AS n_deleted, rest IS NOT NULL AS changed FROM counted
 """

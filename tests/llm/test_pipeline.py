@@ -25,7 +25,7 @@ def test_each_stage_is_its_operator(spark, tmp_path):
         elif k == 1:
             expected = docs.withColumn("q", quality.judge(F.col("text"), quality.learn(docs, spark.read.parquet(f"{FOLDER}/labels.parquet")))).where("q.kept").drop("q")
         elif k == 2:
-            expected = linededup.dedup(docs).where("n_deleted = 0 or n_deleted < n_lines").withColumn("n_chars", F.expr("if(n_deleted > 0, length(text), n_chars)")).select(docs.columns)
+            expected = linededup.dedup(docs).where("n_deleted = 0 or n_deleted < n_lines").withColumn("n_chars", F.expr("if(changed, length(text), n_chars)")).select(docs.columns)
         elif k == 3:
             expected = docs.join(ngramjoin.join(docs, 5, 80).where("component_id = doc_id").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
         else:

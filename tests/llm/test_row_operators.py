@@ -240,46 +240,67 @@ def test_join_of_nothing(spark):
 # ------------------------------------------------------------------------------------ line dedup
 
 
-def brute_lines(rows, min_words):
-    """A line goes if some run around it, of enough words, began earlier elsewhere."""
+def brute_runs(rows, min_words):
+    """Word by word: a word goes if a window of enough words around it stood somewhere before."""
     order = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()))
-    lined = []
-    for i, t in order:
-        own = [(k, re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", x)) for k, x in enumerate(t.split("\n"))]
-        lined.append([(k, x, len(re.findall(r"[^\x20\x09-\x0D]+", x))) for k, x in own if x])
-    seen, gone = {}, {}
-    for d, own in enumerate(lined):
-        for i in range(len(own)):
-            words = 0
-            for j in range(i, len(own)):
-                words += own[j][2]
-                if words >= min_words:
-                    seen.setdefault(tuple(x for _, x, _ in own[i : j + 1]), (d, i))
-    for d, own in enumerate(lined):
-        for i in range(len(own)):
-            words = 0
-            for j in range(i, len(own)):
-                words += own[j][2]
-                if words >= min_words and seen[tuple(x for _, x, _ in own[i : j + 1])] < (d, i):
-                    gone.setdefault(order[d], set()).update(k for k, _, _ in own[i : j + 1])
-    return {
-        r: "" if len(gone.get(r, ())) == len(lined[d]) and gone.get(r) else "\n".join(x for k, x in enumerate(r[1].split("\n")) if k not in gone.get(r, ())) for d, r in enumerate(order)
-    }
-
-
-@pytest.mark.parametrize("seed", range(3))
-def test_lines_against_brute_force(spark, seed):
+    seen, out = {}, {}
+    for d, r in enumerate(order):
+        tokens = re.findall(r"([\x20\x09-\x0D]*)([^\x20\x09-\x0D]+)", r[1])
+        words = [w for _, w in tokens]
+        dead = set()
+        for i in range(len(words) - min_words + 1):
+            window = tuple(words[i : i + min_words])
+            first = seen.setdefault(window, (d, i))
+            if first[0] != d or first[1] + min_words <= i:
+                dead.update(range(i, i + min_words))
+        text, gone = "", []
+        for k, (gap, word) in enumerate(tokens):
+            if k in dead:
+                gone.append(gap)
+                continue
+            if gone:
+                # Words of different lines stay on different lines.
+                broken = [g for g in (gap, gone[0]) if "\n" in g] or ["\n" for g in gone[1:] if "\n" in g] or [gap]
+                gap = broken[0] if k > len(gone) else ""
+            gone = []
+            text += gap + word
+        if dead and tokens and len(tokens) - 1 not in dead:
+            text += re.search(r"[\x20\x09-\x0D]*\Z", r[1])[0]
+        out[r] = text if dead else r[1]
+    return out
+
+
+def worded(text):
+    return sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (text or "").split("\n"))
+
+
+@pytest.mark.parametrize("seed,gram", [(0, 3), (1, 7), (2, 12), (3, 1)])
+def test_lines_against_brute_force(spark, seed, gram):
     rng = random.Random(seed)
     lines = [" ".join(f"{c}{k}" for k in range(rng.randint(1, 6))) for c in "abcdefghij"] + ["", "  ", "x"]
     rows = [(k, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 14)))) for k in range(25)]
     rows += [(30, rows[0][1]), (31, None), (32, ""), (33, "\n\n"), (None, rows[1][1]), (34, " a0  \n" + lines[0]), (0, rows[0][1]), (35, "x\n" * 50), (2, rows[4][1])]
+    # Passages that begin and end within lines, on lines of other lengths, and at the ends of a text.
+    passage = [f"p{k}" for k in range(9)]
+    rows += [(40, "own words " + " ".join(passage) + " \t the end\t"), (41, "A " + "\n".join(passage) + " B\n"), (42, "\n" + "  ".join(passage[:8]) + "\n\n rest\n"), (43, "new\n\x0b" + "\r\n".join(passage) + "  ")]
+    rows += [(44 + k, " ".join(rng.choice(["p1", "q", "q", "é"]) for _ in range(40))) for k in range(6)]
+    rows += [(None, "z " + rows[-5][1].replace(" ", "\n", 5)), (60, "one\x1ctwo " * 9)]
     df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, n_lines string")
-    out = linededup.dedup(df, 7).collect()
-    expected = brute_lines(rows, 7)
-    assert len(out) == len(rows)
+    out = linededup.dedup(df, 7, gram).collect()
+    expected = brute_runs(rows, 7)
     assert sorted(map(str, ((r.doc_id, r.text) for r in out))) == sorted(str((i, None if t is None else expected[i, t])) for i, t in rows)
-    for r in out:
-        assert r.n_deleted <= r.n_lines
+    assert sorted(map(str, ((r.doc_id, r.n_lines, r.n_deleted, r.changed) for r in out))) == sorted(
+        str((i, worded(t), worded(t) - worded(t and expected[i, t]), t is not None and expected[i, t] != t)) for i, t in rows
+    )
+
+
+def test_no_run_of_given_documents_comes_twice(spark):
+    """At sf0.1 no document keeps 50 words in a row that an earlier one kept as well; all else stays."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    found = {(r.doc_id, r.text) for r in linededup.dedup(docs).collect()}
+    rows = [tuple(r) for r in docs.collect()]
+    expected = brute_runs(rows, 50)
+    assert found == {(i, t and expected[i, t]) for i, t in rows}
 
 
 def test_lines_of_nothing(spark):
