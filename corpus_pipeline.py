@@ -38,10 +38,10 @@ def good_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of lines that occurred before; those that lose every line go."""
+    """Documents without the passages that occurred before; those that lose every word go."""
     left = linededup.dedup(docs).where((F.col("n_deleted") == 0) | (F.col("n_deleted") < F.col("n_lines")))
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        left = left.withColumn("n_chars", F.when(F.col("changed"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return left.select(docs.columns)
 
 
