@@ -64,17 +64,23 @@ def narrowed(values: Column, span: int) -> Column:
 def places(words: Column, min_words: int, gram: int) -> Column:
     """The (first, last, print) of every selected place: the windows that select it, and its gram."""
     ranked = F.transform(words, lambda h, i: F.shiftleft(F.shiftright(h, 32), 32).bitwiseOR((F.lit(LOW) - i).cast("long")))
-    chosen = let(narrowed(ranked, min_words - gram + 1), lambda m: F.slice(m, 1, F.size(m) - min_words + 1))
+    chosen = let(narrowed(ranked, min_words - gram + 1), lambda m: F.array_distinct(F.slice(m, 1, F.size(m) - min_words + 1)))
 
-    def entries(m: Column) -> Column:
-        begins = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: (i == 0) | (F.get(m, i) != F.get(m, i - 1)))
+    reach = min_words - gram
 
-        def entry(s: Column, begun: Column, k: Column) -> Column:
-            at = F.lit(LOW) - F.get(m, s).bitwiseAND(F.lit(LOW)).cast("int")
-            last = F.coalesce(F.get(begun, k + 1), F.size(m)) - 1
-            return F.struct(s.alias("first"), last.alias("last"), F.xxhash64(F.slice(words, at + 1, gram)).alias("print"))
+    def place(c: Column) -> Column:
+        return F.lit(LOW) - c.bitwiseAND(F.lit(LOW)).cast("int")
 
-        return let(begins, lambda b: F.transform(b, lambda s, k: entry(s, b, k)))
+    def begin(v: Column, k: Column) -> Column:
+        """The first window that selects the k-th place: the one before left, or this smaller one came in."""
+        return F.when(k == 0, 0).when(F.get(v, k) < F.get(v, k - 1), place(F.get(v, k)) - reach).otherwise(place(F.get(v, k - 1)) + 1)
+
+    def entries(v: Column) -> Column:
+        def entry(c: Column, k: Column) -> Column:
+            last = F.when(k + 1 < F.size(v), begin(v, k + 1)).otherwise(F.size(words) - min_words + 1) - 1
+            return F.struct(begin(v, k).alias("first"), last.alias("last"), F.xxhash64(F.slice(words, place(c) + 1, gram)).alias("print"))
+
+        return F.transform(v, entry)
 
     return let(chosen, entries)
 
