@@ -9,13 +9,15 @@ its own first occurrence is no repeat.
    (the last one on ties) among those that leave a gram of ``gram`` words in the window. Equal
    windows select equal grams, so a repeated run is guaranteed to leave one gram at two places.
    Whole lines are too coarse a unit: a run that begins and ends within lines may hold none.
-2. Positions. Only places whose gram occurs at two or more are joined back to their texts.
-3. Matches. A place is extended both ways word by word, to the windows that selected it; equal
-   windows are joined with their first place, and all later places are repeats.
+2. Positions. A place reaches over all windows that selected it. Only places whose gram occurs
+   at two or more go on; those of equal reach are joined, and all but the first are repeats whole.
+3. Matches. Where places of one gram differ in reach, the first of each kind is extended both
+   ways word by word: its windows are joined with their first place, and later ones are repeats.
 4. Overlapping repeats merge, and their words go. Lines left without a word go with them; of a
    line that is partly in a run the other words stay, with the white space before them.
 
-Windows are compared by 128 bits. Counts and first places are partial sums, so a passage with a
+Windows are compared by 128 bits, reaches by 64 beside those of their gram, unlike texts of one
+doc_id told apart by 60. Counts and first places are partial sums, so a passage with a
 third of all places is no task's burden; joins on them can be split.
 
 A null or empty text has no words and comes back as it is. Rows of equal doc_id and text are
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from gapscope.functions.text import let
 from gapscope.llm.common import cut
 
-MIN_WORDS, GRAM = 50, 12
+MIN_WORDS, GRAM = 50, 8
 WORD = r"[^\x20\x09-\x0D]"
 GAP = r"[\x20\x09-\x0D]+"
 OUTER = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
@@ -40,9 +42,9 @@ TOKEN = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 LOW = (1 << 31) - 1
 
 
-def document(doc_id: Column, text: Column) -> Column:
-    """Key of a document, as short as can be: 16 bytes of the text's digest, then the id; null for a null text."""
-    return F.concat(F.unhex(F.md5(text.cast("binary"))), F.coalesce(doc_id.cast("string"), F.lit("-")).cast("binary"))
+def digest(text: Column) -> Column:
+    """60 bits that stand for a text, in the order of its MD5; null for a null text."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def word_hashes(text: Column) -> Column:
@@ -62,7 +64,7 @@ def narrowed(values: Column, span: int) -> Column:
 
 
 def places(words: Column, min_words: int, gram: int) -> Column:
-    """The (first, last, print) of every selected place: the windows that select it, and its gram."""
+    """Every selected place: first and last of the windows that select it, its gram (print) and all its words (whole)."""
     ranked = F.transform(words, lambda h, i: F.shiftleft(F.shiftright(h, 32), 32).bitwiseOR((F.lit(LOW) - i).cast("long")))
     chosen = let(narrowed(ranked, min_words - gram + 1), lambda m: F.array_distinct(F.slice(m, 1, F.size(m) - min_words + 1)))
 
@@ -78,47 +80,70 @@ def places(words: Column, min_words: int, gram: int) -> Column:
     def entries(v: Column) -> Column:
         def entry(c: Column, k: Column) -> Column:
             last = F.when(k + 1 < F.size(v), begin(v, k + 1)).otherwise(F.size(words) - min_words + 1) - 1
-            return F.struct(begin(v, k).alias("first"), last.alias("last"), F.xxhash64(F.slice(words, place(c) + 1, gram)).alias("print"))
+            ends = F.struct(begin(v, k).alias("first"), last.alias("last"))
+            whole = let(ends, lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), F.xxhash64(F.slice(words, r["first"] + 1, r["last"] - r["first"] + min_words)).alias("whole")))
+            return let(whole, lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), r["whole"].alias("whole"), F.xxhash64(F.slice(words, place(c) + 1, gram)).alias("print")))
 
         return F.transform(v, entry)
 
     return let(chosen, entries)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), digest(F.col("text")).alias("d"), "text")
+
+
 def fingerprints(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
-    """(doc, first, last, print): the selected places of all texts long enough."""
-    texts = docs.where(F.col("text").isNotNull()).select(document(F.col("doc_id"), F.col("text")).alias("doc"), "text")
+    """(id, d, first, last, whole, print): the selected places of all texts long enough."""
     found = let(word_hashes(F.col("text")), lambda w: F.when(F.size(w) >= min_words, places(w, min_words, gram)))
-    return texts.select("doc", F.explode(found).alias("p")).select("doc", "p.*")
+    return keyed(docs).select("id", "d", F.explode(found).alias("p")).select("id", "d", "p.*")
+
+
+def same_document(table: DataFrame, key: DataFrame) -> Column:
+    return table["id"].eqNullSafe(key["__id"]) & (table["d"] == key["__d"])
 
 
 def repeats(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
-    """(doc, starts): for every document with later repeats, the sorted words at which windows of them begin."""
+    """(__id, __d, __runs): for every document with later repeats, the sorted (first, last) of windows of them."""
     prints = cut(fingerprints(docs, min_words, gram))
-    place = F.xxhash64("doc", "first")
-    often = cut(prints.groupBy("print").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("print"))
-    kept = prints.join(often, "print", "left_semi").groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
-    texts = docs.where(F.col("text").isNotNull()).select(document(F.col("doc_id"), F.col("text")).alias("doc"), F.col("doc_id").alias("id"), "text").join(kept, "doc").dropDuplicates(["doc"])
+    spot = F.xxhash64("id", "d", "first")
+    often = cut(prints.groupBy("print").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("print"))
+    kept = cut(prints.join(often, "print", "left_semi"))
+
+    def order(at: str) -> Column:
+        return F.struct(F.col("id").isNull().alias("unnamed"), "id", "d", F.col(at).alias("at"))
+
+    def near(at: str) -> Column:
+        """Whether a place is its origin or overlaps it."""
+        return F.col("id").eqNullSafe(F.col("origin.id")) & (F.col("d") == F.col("origin.d")) & (F.col(at) < F.col("origin.at") + min_words)
+
+    classes = cut(kept.groupBy("print", "whole").agg(F.min(order("first")).alias("origin")))
+    mixed = classes.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
+    members = cut(kept.join(classes, ["print", "whole"]).select("id", "d", "first", "last", "print", near("first").alias("near")))
+    tested = members.where("near").join(mixed, "print", "left_semi").groupBy(F.col("id").alias("__id"), F.col("d").alias("__d")).agg(F.collect_set(F.struct("first", "last")).alias("__ranges"))
+    texts = keyed(docs)
+    texts = texts.join(tested, same_document(texts, tested)).dropDuplicates(["id", "d"])
 
     def window(words: Column, i: Column) -> Column:
         return let(F.slice(words, i + 1, min_words), lambda s: F.struct(i.alias("at"), F.xxhash64(s).alias("a"), F.xxhash64(F.lit(1), s).alias("b")))
 
     matched = let(
         word_hashes(F.col("text")),
-        lambda w: F.flatten(F.transform("ranges", lambda r: F.transform(F.sequence(r["first"], r["last"]), lambda i: window(w, i)))),
+        lambda w: F.flatten(F.transform("__ranges", lambda r: F.transform(F.sequence(r["first"], r["last"]), lambda i: window(w, i)))),
+    )
+    windows = cut(texts.select("id", "d", F.explode(matched).alias("w")).select("id", "d", "w.*"))
+    firsts = windows.groupBy("a", "b").agg(F.min(order("at")).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = windows.join(firsts, ["a", "b"]).where(~near("at")).select("id", "d", F.col("at").alias("first"), F.col("at").alias("last"))
+    runs = members.where("not near").select("id", "d", "first", "last").unionByName(later)
+    return runs.groupBy(F.col("id").alias("__id"), F.col("d").alias("__d")).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("__runs"))
+
+
+def rest(text: Column, runs: Column, min_words: int) -> Column:
+    """The text without the words of the windows that begin in ``runs``, which are sorted and apart."""
+    begins = F.transform(F.filter(runs, lambda r, k: (k == 0) | (F.get(runs, k - 1)["last"] + min_words < r["first"])), lambda r: r["first"])
+    ends = F.transform(
+        F.filter(runs, lambda r, k: (k + 1 == F.size(runs)) | (F.get(runs, k + 1)["first"] > r["last"] + min_words)), lambda r: r["last"] + min_words
     )
-    windows = cut(texts.select("doc", "id", F.explode(matched).alias("w")).select("doc", "id", "w.*"))
-    order = F.struct(F.col("id").isNull().alias("unnamed"), "id", "doc", "at")
-    firsts = windows.groupBy("a", "b").agg(F.min(order).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
-    apart = (F.col("doc") != F.col("origin.doc")) | (F.col("at") >= F.col("origin.at") + min_words)
-    later = windows.join(firsts, ["a", "b"]).where((order > F.col("origin")) & apart)
-    return later.groupBy("doc").agg(F.array_sort(F.collect_list("at")).alias("starts"))
-
-
-def rest(text: Column, starts: Column, min_words: int) -> Column:
-    """The text without the words of the windows that begin at ``starts``."""
-    begins = F.filter(starts, lambda s, k: (k == 0) | (F.get(starts, k - 1) + min_words < s))
-    ends = F.transform(F.filter(starts, lambda s, k: (k + 1 == F.size(starts)) | (F.get(starts, k + 1) > s + min_words)), lambda s: s + min_words)
     gap = lambda token: F.regexp_extract(token, r"^[\x20\x09-\x0D]*", 0)
 
     def joined(tokens: Column, b: Column, e: Column) -> Column:
@@ -145,10 +170,10 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> Data
     """``docs`` without the words of later repeated runs, how many lines with a word each text
     had (``n_lines``) and lost whole (``n_deleted``), and whether it lost any word (``changed``);
     other columns stay."""
-    gone = cut(repeats(docs, min_words, min(gram, min_words))).select(F.col("doc").alias("__doc"), F.col("starts").alias("__starts"))
+    gone = cut(repeats(docs, min_words, min(gram, min_words)))
     others = [c for c in docs.columns if c not in ("text", "n_lines", "n_deleted", "changed")]
-    joined = docs.join(gone, document(F.col("doc_id"), F.col("text")) == F.col("__doc"), "left")
-    left = F.when(F.col("__starts").isNotNull(), rest(F.col("text"), F.col("__starts"), min_words))
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (digest(docs["text"]) == gone["__d"]), "left")
+    left = F.when(F.col("__runs").isNotNull(), rest(F.col("text"), F.col("__runs"), min_words))
     both = joined.select(*others, F.col("text").alias("__all"), F.explode(F.array(left)).alias("__left"))
     changed = F.col("__left").isNotNull()
     lines = worded_lines(F.col("__all"))
