@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -17,6 +16,7 @@ from pyspark.sql import types as T
 
 from gapscope.config import SEED, SIM_DIGITS, Thresholds
 from gapscope.functions.vectors import dot, normalise
+from gapscope.operators.axes import principal_axes, project
 from gapscope.operators.rounds import cut, drop_table, numbered
 from gapscope.operators.similarity import AT, MATE, SIM, Cell, Side, compare, nearest, top_k
 
@@ -372,16 +372,9 @@ def sampled_silhouette(df: DataFrame, key: str, vector: str, rows: int, **layout
 
 
 def project_2d(table: DataFrame, vector: str = "centroid") -> DataFrame:
-    """First two principal axes of the unit centroids as ``pca_x`` and ``pca_y``."""
-    featured = _featured(table.withColumn("__unit", normalise(F.col(vector))), "__unit").drop("__unit")
-    centred = StandardScaler(
-        withMean=True, withStd=False, inputCol=FEATURES, outputCol="__centred"
-    ).fit(featured).transform(featured)
-    flat = PCA(k=2, inputCol="__centred", outputCol="__flat").fit(centred).transform(centred)
-    xy = vector_to_array("__flat")
-    return (
-        flat.withColumn("pca_x", xy[0]).withColumn("pca_y", xy[1]).drop(FEATURES, "__centred", "__flat")
-    )
+    """Places of the unit centroids along their first two principal axes, ``pca_x`` and ``pca_y``."""
+    unit = table.withColumn("__unit", normalise(F.col(vector)))
+    return project(unit, "__unit", principal_axes(unit, "__unit"), ("pca_x", "pca_y")).drop("__unit")
 
 
 def approximate_top_k(

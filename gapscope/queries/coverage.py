@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gapscope.config import Thresholds
 from gapscope.functions import vectors as vc
 from gapscope.models import text_pieces
+from gapscope.operators import axes as ax
 from gapscope.operators import clustering as cl
 from gapscope.operators import minibatch as mb
 from gapscope.operators import neighbours as nb
@@ -295,12 +296,34 @@ def neighbour_search(t: Tables):
     return found.select(F.col("query").alias("ticket_id"), "rank", F.col("node").alias("kb_id"), "sim")
 
 
-@query("vec_project_centroids")
+UNIT_CENTROIDS = f"SELECT cluster_id, {q.unit('mixed')} AS vec FROM ({CENTROIDS})"
+
+
+def along(k: int) -> str:
+    return f"round(list_dot_product(list_transform(list_zip(vec, m), lambda z: z[1] - z[2]), p_axis{k}.axis), 6)"
+
+
+@query("vec_project_centroids", f"WITH {q.principal(UNIT_CENTROIDS)} SELECT cluster_id, {along(1)} AS pca_x, {along(2)} AS pca_y FROM p_rows, p_mean, p_axis1, p_axis2")
 def project_centroids(t: Tables):
     c = cl.centroids(sides(t), "cluster_vec", ["cluster_id"])
     return cl.project_2d(c).select("cluster_id", F.round("pca_x", 6).alias("pca_x"), F.round("pca_y", 6).alias("pca_y"))
 
 
+def axis_row(k: int) -> str:
+    return (f"SELECT {k} AS axis, round(variance, 6) AS variance, round(variance / list_sum(list_transform(range(1, 65), lambda i: s[i][i])), 6) AS share, "
+            f"{q.checksum('axis')} AS axis_sum FROM p_axis{k}, p_left1")
+
+
+@query("vec_principal_axes", f"WITH {q.principal(f'SELECT mixed AS vec FROM ({UNIT_SIDES})', 3)} {axis_row(1)} UNION ALL {axis_row(2)} UNION ALL {axis_row(3)}")
+def principal_axes(t: Tables):
+    """How much of the spread of all ticket vectors lies along their first three axes."""
+    rows = sides(t)
+    found = ax.principal_axes(rows, "cluster_vec", 3)
+    listed = [(k + 1, float(v), float(v) / found.whole if found.whole else 0.0, a.tolist()) for k, (a, v) in enumerate(zip(found.axes, found.variances))]
+    table = rows.sparkSession.createDataFrame(listed, "axis int, variance double, share double, a array<double>")
+    return table.select("axis", F.round("variance", 6).alias("variance"), F.round("share", 6).alias("share"), checksum("a").alias("axis_sum"))
+
+
 @query("vec_text_pieces", r"""SELECT text_id, i AS piece, md5(substr(text, i * 1000 + 1, 1000)) AS piece_md5 FROM (
     SELECT *, unnest(range(CAST(ceil(length(text) / 1000) AS BIGINT))) AS i FROM r_texts WHERE trim(translate(text, chr(9) || chr(10) || chr(13), '   ')) <> '')""")
 def embedded_pieces(t: Tables):

@@ -52,6 +52,28 @@ def checksum(v: str) -> str:
     return f"round(list_sum(list_transform({v}, lambda x, i: x * i)), 6)"
 
 
+def principal(rows: str, n: int = 2, width: int = 64) -> str:
+    """CTEs over ``rows`` (vec): ``p_mean`` (m) and, per axis, ``p_axis1`` .. (axis, variance) by squared powers of the covariance."""
+    at = f"range(1, {width + 1})"
+    scaled = f"list_transform(s, lambda a: list_transform(a, lambda x: x / list_sum(list_transform({at}, lambda i: s[i][i]))))"
+    out = f"""RECURSIVE p_rows AS MATERIALIZED ({rows}),
+    p_mean AS MATERIALIZED (SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(vec[i]) AS m FROM p_rows, {at} g(i) GROUP BY i)),
+    p_flat AS MATERIALIZED (SELECT list_transform({at}, lambda i: vec[i] - m[i]) AS c FROM p_rows, p_mean),
+    p_left1 AS MATERIALIZED (SELECT list(r ORDER BY i) AS s FROM (SELECT i, list(x ORDER BY j) AS r FROM (
+        SELECT i, j, avg(c[i] * c[j]) AS x FROM p_flat, {at} a(i), {at} b(j) GROUP BY i, j) GROUP BY i))"""
+    for k in range(1, n + 1):
+        out += f""",
+    p_power{k}(n, p) AS (SELECT 0, {scaled} FROM p_left{k} UNION ALL SELECT n + 1, {scaled} FROM (
+        SELECT n, list_transform(p, lambda a: list_transform(p, lambda b: list_dot_product(a, b))) AS s FROM p_power{k} WHERE n < 40)),
+    p_line{k} AS (SELECT list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM (
+        SELECT p[list_position(d, list_max(d))] AS v FROM (SELECT p, list_transform({at}, lambda i: p[i][i]) AS d FROM p_power{k} WHERE n = 40))),
+    p_sure{k} AS (SELECT list_transform(v, lambda x: x * sign(v[list_position(z, list_max(z))])) AS axis FROM (
+        SELECT v, list_transform(v, lambda x: round(abs(x), 9)) AS z FROM p_line{k})),
+    p_axis{k} AS MATERIALIZED (SELECT axis, list_dot_product(axis, list_transform(s, lambda a: list_dot_product(a, axis))) AS variance FROM p_sure{k}, p_left{k}),
+    p_left{k + 1} AS MATERIALIZED (SELECT list_transform({at}, lambda i: list_transform({at}, lambda j: s[i][j] - variance * axis[i] * axis[j])) AS s FROM p_left{k}, p_axis{k})"""
+    return out
+
+
 def gap_class(c: str, covered: float, partial: float, below: str = "CRITICAL") -> str:
     return f"CASE WHEN {c} >= {covered} THEN 'COVERED' WHEN {c} >= {partial} THEN 'PARTIAL' ELSE '{below}' END"
 
