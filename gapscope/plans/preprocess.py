@@ -9,6 +9,7 @@ from gapscope.config import Thresholds
 from gapscope.functions import text as tx
 from gapscope.functions import vectors as vc
 from gapscope.models import EmbedFn, with_vector
+from gapscope.plans import counts
 
 
 def incident_features(incidents: DataFrame) -> DataFrame:
@@ -87,16 +88,7 @@ def judge_workorders(
 
 def drop_funnel(judged: DataFrame) -> DataFrame:
     """Rows per first failing rule, and those that pass, in one row."""
-    hit = lambda name: F.count_if(F.col("drop_reason") == name)
-    return judged.agg(
-        F.count("*").alias("total"),
-        F.count_if("quality_pass").alias("usable"),
-        hit("no-vector").alias("no_vector"),
-        hit("short").alias("short"),
-        hit("no-detail").alias("no_detail"),
-        hit("boilerplate").alias("boilerplate"),
-        hit("email").alias("email"),
-    )
+    return counts.row(judged, counts.funnel())
 
 
 def embeddings_table(judged: DataFrame, source: str, run_id: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gapscope.functions.text import snippet, strip
 from gapscope.models import ChatFn, with_reply
 from gapscope.operators.similarity import Side, top_k
+from gapscope.plans import counts
 
 RUN_CLUSTER = ("run_id", "cluster_id")
 REPLY_KEYS = ("match_found", "matched_kb_id", "matched_kb_title", "confidence", "reasoning")
@@ -110,17 +111,11 @@ def override_flags(table: DataFrame, found: DataFrame) -> DataFrame:
     return joined.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in table.columns])
 
 
+def asked(critical: DataFrame, found: DataFrame) -> DataFrame:
+    """A row per cluster asked about, with its opinion where there is one (``answered``)."""
+    return critical.select(*RUN_CLUSTER).join(found.withColumn("answered", F.lit(True)), list(RUN_CLUSTER), "left")
+
+
 def review_counts(critical: DataFrame, found: DataFrame) -> DataFrame:
     """Clusters asked about, matches by confidence, no match, overrides, failed calls."""
-    asked = critical.select(*RUN_CLUSTER).join(found, list(RUN_CLUSTER), "left")
-    match, level = F.col("match_found"), F.upper("confidence")
-    return asked.agg(
-        F.count("*").alias("asked"),
-        F.count("match_found").alias("validated"),
-        F.count_if(match & (level == "HIGH")).alias("matches_high"),
-        F.count_if(match & (level == "MEDIUM")).alias("matches_medium"),
-        F.count_if(match & (level == "LOW")).alias("matches_low"),
-        F.count_if(~match).alias("no_match"),
-        F.count_if(is_override(match, F.col("confidence"), F.col("matched_kb_title"))).alias("overrides"),
-        F.count_if(match.isNull()).alias("failed"),
-    )
+    return counts.row(asked(critical, found), counts.opinions())

@@ -20,6 +20,7 @@ from gapscope.operators import merging as mg
 from gapscope.operators import minibatch as mb
 from gapscope.operators.rounds import cut, numbered
 from gapscope.operators.similarity import Side, full_matrix
+from gapscope.plans import counts
 from gapscope.plans import coverage as cv
 from gapscope.plans import drafting as dr
 from gapscope.plans import gaps as gp
@@ -168,11 +169,16 @@ def gap_analysis(
     }
 
 
-def review(tables: Frames, run_id: str, chat_fn: ChatFn) -> dict[str, DataFrame]:
+def review(tables: Frames, run_id: str, chat_fn: ChatFn, counted: dict[str, dict[str, int]] | None = None) -> dict[str, DataFrame]:
+    """``counted`` takes the counters of the opinions, under that name."""
     clusters = tb.of_run(tables["clusters"], run_id)
     critical = tb.critical_with_summary(clusters)
     found = rv.candidates(critical, articles_of(tables))
-    opinions = cut(rv.opinions(rv.candidate_prompts(critical, found), chat_fn))
+    answers, seen = counts.watched(rv.asked(critical, rv.opinions(rv.candidate_prompts(critical, found), chat_fn)), counts.opinions())
+    answers = cut(answers)
+    if counted is not None:
+        counted["opinions"] = seen.get
+    opinions = answers.where("answered").drop("answered")
     return {
         "clusters": rv.override_flags(rv.store_opinions(clusters, opinions), opinions),
         "gap_analysis": rv.override_flags(tb.of_run(tables["gap_analysis"], run_id), opinions),
@@ -228,8 +234,8 @@ def validation(
     }
 
 
-def store(outputs: Frames, folder: str, run_id: str | None = None, step: str | None = None) -> None:
-    """Put every table of a step into its place.
+def store(outputs: Frames, folder: str, run_id: str | None = None, step: str | None = None) -> dict[str, dict[str, int]]:
+    """Put every table of a step into its place; gives back the counters of those that have some.
 
     All are written beside their places before any is moved, so results may read the tables
     they replace, and a step that fails while writing or moving changes nothing. With ``run_id`` the
@@ -238,6 +244,11 @@ def store(outputs: Frames, folder: str, run_id: str | None = None, step: str | N
     """
     runs = None if run_id is None else [run_id]
     spark = next(iter(outputs.values())).sparkSession
-    staged = {name: sk.stage(df, f"{folder}/{name}") for name, df in outputs.items()}
+    staged, seen = {}, {}
+    for name, df in outputs.items():
+        if counters := counts.of_table(name):
+            df, seen[name] = counts.watched(df, counters)
+        staged[name] = sk.stage(df, f"{folder}/{name}")
     emptied = [name for name in FILLS.get(step, ()) if name not in staged] if runs else []
     sk.put_all(spark, [(None, f"{folder}/{name}", runs) for name in emptied] + [(at, f"{folder}/{name}", runs) for name, at in staged.items()])
+    return {name: counters.get for name, counters in seen.items()}
