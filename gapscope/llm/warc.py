@@ -30,7 +30,7 @@ from typing import BinaryIO
 from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapscope.llm.common import cut, shared_folder
@@ -40,6 +40,8 @@ CRLF = b"\r\n"
 STAMP = "2000-01-01T00:00:00Z"
 PAGE = "urn:x-page:"
 URI_SAFE = "%:/?#[]@!$&'()*+,;=~"
+#: Archive bytes that one reading task takes, stretch after stretch.
+TASK_BYTES = 256 << 20
 #: Fixed values of the ZIP format: signatures and the marks of a field kept in a ZIP64 record.
 END, END64, LOCATOR64, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 FULL16, FULL32, EXTRA64 = 0xFFFF, 0xFFFFFFFF, 1
@@ -265,8 +267,12 @@ def index(files: DataFrame, stretch: int = 8 << 20) -> DataFrame:
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, uri string, payload binary"
 
 
-def read_records(located: DataFrame, keep_payload: bool = False) -> DataFrame:
-    """Read each stretch of records by one range, inflate and parse them."""
+def read_records(located: DataFrame, keep_payload: bool = False, tasks: int | None = None) -> DataFrame:
+    """Read each stretch of records by one range, inflate and parse them.
+
+    Index rows are a few bytes and name a stretch of archive each, so their own size says nothing
+    about the work; ``tasks`` sets how many tasks share the stretches (see ``reading_tasks``).
+    """
 
     def number(name: str | None) -> int | None:
         tail = (name or "-").strip("<>").removeprefix(PAGE)
@@ -290,13 +296,21 @@ def read_records(located: DataFrame, keep_payload: bool = False) -> DataFrame:
         columns = dict(zip((c.split()[0] for c in RECORD.split(", ")), zip(*rows)))
         return pd.DataFrame({k: pd.array(v, "Int64") if k in ("page_id", "refers_to") else list(v) for k, v in columns.items()})
 
-    return located.groupBy("path", "part").applyInPandas(read, RECORD)
+    dealt = located.repartition(tasks, "path", "part") if tasks else located
+    return dealt.groupBy("path", "part").applyInPandas(read, RECORD)
+
+
+def reading_tasks(spark: SparkSession, archive_bytes: int) -> int:
+    """A task for each ``TASK_BYTES`` of archives, and no fewer than can run at once."""
+    return max(spark.sparkContext.defaultParallelism, -(-archive_bytes // TASK_BYTES))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to: what the written archives say."""
     folder = f"{shared_folder(pages.sparkSession)}/packages-{uuid.uuid4().hex}"
     files = write_packages(with_first(pages), folder)
+    written = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
     # One file per task: the list is short, and each file's index is read by ranges.
-    spread = files.repartition(max(1, files.count()), "path")
-    return read_records(index(spread)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    spread = files.repartition(max(1, written["files"]), "path")
+    tasks = reading_tasks(pages.sparkSession, written["size"])
+    return read_records(index(spread), tasks=tasks).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -47,10 +47,18 @@ def test_payloads_and_packages(spark, tmp_path):
     assert files.count() > 3
     got = {r.page_id: r for r in warc.read_records(warc.index(files, stretch=900), keep_payload=True).collect()}
     assert len(got) == 40 and bytes(got[2].payload).decode() == "<p>2é" and got[5].record_type == "revisit" and got[5].refers_to == 2
+    dealt = warc.read_records(warc.index(files, stretch=900), tasks=6)
+    assert sorted(r.page_id for r in dealt.collect()) == list(range(40)) and dealt.rdd.getNumPartitions() == 6  # however small the index is
+    assert dealt._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") == 1
     with zipfile.ZipFile(files.first().path) as z:
         assert z.testzip() is None and {i.compress_type for i in z.infolist()} == {zipfile.ZIP_STORED} and warc.ARCHIVE in z.namelist()
 
 
+def test_reading_tasks_follow_the_archives(spark):
+    few = spark.sparkContext.defaultParallelism
+    assert warc.reading_tasks(spark, 0) == few and warc.reading_tasks(spark, 1 << 40) == 4096 and warc.reading_tasks(spark, (1 << 40) + 1) == 4097
+
+
 def test_least_payload_of_a_revisit(spark):
     df = spark.createDataFrame([(1, "a", "xy"), (2, "b", "xy"), (3, "c", ""), (4, "d", "")], "page_id long, url string, html string")
     assert {r.page_id: r["first"] for r in warc.with_first(df, least=1).collect()} == {1: 1, 2: 1, 3: None, 4: None}
