@@ -36,7 +36,7 @@ from gapscope.llm.common import cut
 MIN_WORDS, GRAM = 50, 8
 WORD = r"[^\x20\x09-\x0D]"
 GAP = r"[\x20\x09-\x0D]+"
-OUTER = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+SPACES = " \t\n\x0b\x0c\r"
 #: A word with the white space before it; these and the white space at the end make up a text.
 TOKEN = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 LOW = (1 << 31) - 1
@@ -48,7 +48,7 @@ def digest(text: Column) -> Column:
 
 
 def word_hashes(text: Column) -> Column:
-    bare = F.regexp_replace(text, OUTER, "")
+    bare = F.btrim(text, F.lit(SPACES))
     return let(bare, lambda t: F.when(t == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(t, GAP, -1), lambda w: F.xxhash64(w))))
 
 
