@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gapscope.operators import clustering as cl
 from gapscope.operators import merging as mg
 from gapscope.operators import similarity as sm
-from gapscope.operators.quantiles import similarity_percentile
+from gapscope.operators.quantiles import pairs_above_percentile, similarity_percentile
 from gapscope.operators.rounds import cut
 from gapscope.plans import coverage as cv
 from gapscope.plans import gaps as gp
@@ -77,11 +77,10 @@ def coverage_scores(t: Tables):
 @query("gap_coverage_scores_one_run", f"""SELECT cluster_id, kb_count, above FROM (WITH m AS (SELECT v.cluster_id, k.kb_id, {q.cosine('v.answer', 'k.kb_vec')} AS sim FROM r_sides v, r_kb k)
     SELECT cluster_id, count(*) AS kb_count, count(*) FILTER (sim > (SELECT quantile_cont(sim, 0.75) FROM m)) AS above FROM m GROUP BY cluster_id)""")
 def coverage_scores_one_run(t: Tables):
-    """Percentile of one large matrix: every ticket against every article."""
+    """Percentile of one large matrix: every ticket against every article. Its entries are counted, never stored."""
     left = sm.Side(cv.working_vectors(t.ticket_vectors()), "kb_side_vec", ["ticket_id", "cluster_id"])
-    m = cut(sm.full_matrix(left, sm.Side(t.kb(), "kb_vec", ["kb_id"])))
-    marked = gp._join_bound(m, similarity_percentile(m, "sim", 0.75, (), "p75"), ())
-    return marked.groupBy("cluster_id").agg(F.count("*").alias("kb_count"), F.count_if(F.col("sim") > F.col("p75")).alias("above"))
+    counted = pairs_above_percentile(left, sm.Side(t.kb(), "kb_vec", ["kb_id"]), "cluster_id", 0.75)
+    return counted.select("cluster_id", F.col("pairs").alias("kb_count"), "above")
 
 
 TIER = "CASE coalesce(evidence_tier, 4) WHEN 1 THEN 3.0 WHEN 2 THEN 1.5 WHEN 3 THEN 0.5 ELSE 0.0 END"

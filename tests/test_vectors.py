@@ -3,10 +3,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from gapscope.functions import vectors as vc
+from gapscope.operators import quantiles, rounds
 from gapscope.operators import similarity as sm
-from gapscope.operators.quantiles import similarity_percentile
+from gapscope.operators.quantiles import pairs_above_percentile, similarity_percentile
 from gapscope.plans import coverage as cv
 from gapscope.plans import review as rv
+from gapscope.queries import gaps
+from gapscope.queries.roles import Tables
 
 LAYOUTS = (
     {}, {"block_rows": 7}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "block_rows": 7}, {"broadcast_bytes": 0, "block_rows": 7, "chunk_bytes": 0},
@@ -154,3 +157,33 @@ def test_percentile_is_exact(spark, q):
         assert got[g] == pytest.approx(np.percentile([v for k, v in rows if k == g], q * 100), abs=1e-9)
     whole = similarity_percentile(df, "v", q, (), "p").first()["p"]
     assert whole == pytest.approx(np.percentile([v for _, v in rows], q * 100), abs=1e-9)
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+@pytest.mark.parametrize("q", [0.0, 0.5, 0.75, 1.0])
+def test_pairs_above_percentile_equals_brute_force(sets, layout, q):
+    left, right, sim = sets
+    got = {r["g"]: (r["pairs"], r["above"]) for r in pairs_above_percentile(sm.Side(left, "v", ["t", "g"]), sm.Side(right, "v", ["k"]), "g", q, **layout).collect()}
+    own, met = [i for i in range(60) if i != 9], [j for j in range(41) if j != 4]
+    bound = np.quantile(sim[np.ix_(own, met)], q)
+    want = {}
+    for g in "xy":
+        rows = sim[np.ix_([i for i in own if ("x" if i % 3 else "y") == g], met)]
+        want[g] = (rows.size, int((rows > bound).sum()))
+    assert got == want
+    assert pairs_above_percentile(sm.Side(left, "v", ["t", "g"]), sm.Side(right.limit(0), "v", ["k"]), "g", q, **layout).count() == 0
+
+
+def test_percentile_of_every_pair_stores_no_pairs(spark, monkeypatch):
+    t = Tables(spark, "/root/testdata/sf0.01")
+    pairs, stored, cut = t.ticket_vectors().count() * t.kb().count(), [], rounds.cut
+
+    def counted(df):
+        out = cut(df)
+        stored.append(out.count())
+        return out
+
+    for module in (quantiles, gaps):
+        monkeypatch.setattr(module, "cut", counted, raising=False)
+    assert gaps.coverage_scores_one_run(t).agg(F.sum("kb_count")).first()[0] == pairs
+    assert sum(stored) < 0.5 * pairs
