@@ -1,21 +1,21 @@
 """Approximate search over a neighbour graph: an edge table built by joins of neighbours' neighbours, and a beam search.
 
 *Building.* Every row starts with its nearest rows inside two hashed tiles. In a round the neighbours
-of a row, forwards and backwards, are candidates for each other if one of the two edges is new;
-their cosines are taken once per pair, every row keeps its ``degree`` best, and rounds end when
-hardly any edge is new. A neighbourhood has ``2 * degree`` rows at most (of those that point to a
+of a row, forwards and backwards, are candidates for each other if one of the two edges is new.
+Their vectors are sent to the neighbourhood and multiplied there; what leaves it are the pairs that
+have room in a row's list. Every row keeps its ``degree`` best, and rounds end when hardly any edge
+is new. A neighbourhood has ``2 * degree`` rows at most (of those that point to a
 popular row a hashed choice counts), so no group grows with the table.
 
-*Searching.* All queries go side by side. What a query has met is rows of a table; a round takes
-its best ``width`` rows that are among its ``beam`` best and not followed yet, follows their edges,
-and compares the query with the rows that it has not met. It ends when no query has a row to
-follow. Cosines are taken in tasks over joined pairs; neither the graph nor the index is collected.
+*Searching.* All queries go side by side. The best ``beam`` rows a query has met are rows of a table;
+a round takes the best ``width`` of them that are not followed yet and sends the query to these
+nodes, where it is multiplied with the vectors of their mates. It ends when no query has a row to
+follow. Neither the graph nor the index is collected.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gapscope.config import SIM_DIGITS
 from gapscope.functions.vectors import normalise
@@ -31,6 +32,8 @@ from gapscope.operators.rounds import cut, drop_table
 from gapscope.operators.similarity import Side, top_k
 
 TILE_ROWS, LEAST_NEW = 64, 0.01
+#: Rows with a vector in a group of neighbourhoods, and queries of one node compared at a time.
+GROUP_ROWS, TURN_ROWS = 4096, 2048
 #: Rows that searches begin from, in square roots of the table: groups that no edge joins are met there.
 PIVOTS = 4
 
@@ -47,17 +50,54 @@ class Graph:
         drop_table(self.nodes.sparkSession, self.nodes, self.edges)
 
 
-def with_cosine(pairs: DataFrame, left: str = "unit", right: str = "mate_unit") -> DataFrame:
-    """``pairs`` with the cosine of two unit vectors of each row in their place."""
-    kept = [f for f in pairs.schema if f.name not in (left, right)]
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                sim = np.round(np.einsum("ij,ij->i", matrix(batch.column(left)), matrix(batch.column(right))), SIM_DIGITS) + 0.0
-                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(sim)], [*(f.name for f in kept), "sim"])
-
-    return pairs.mapInArrow(compare, T.StructType([*kept, T.StructField("sim", T.DoubleType())]))
+def beside(hood: DataFrame, nodes: DataFrame, known: DataFrame, degree: int) -> DataFrame:
+    """(node, mate, sim): of the rows of each neighbourhood, each other's ``degree`` best that may enter their lists.
+
+    ``hood`` (node, mate, new) names the rows beside a node, ``known`` (node, least) the cosine a full list ends with.
+    One of a pair is new. Vectors go to the neighbourhoods, some of which are one task's group; pairs that
+    no list has room for do not leave it.
+    """
+    live = hood.where("new").select("node").distinct()
+    members = hood.join(live, "node", "left_semi").join(known.withColumnRenamed("node", "mate"), "mate", "left")
+    members = members.join(nodes.select(F.col("node").alias("mate"), "unit"), "mate")
+    grouped = members.select(F.pmod(F.xxhash64("node"), F.lit(groups_of(hood))).alias("part"), "node", "mate", "new", F.coalesce("least", F.lit(-2.0)).alias("least"), "unit")
+    kind = hood.schema["mate"].dataType
+    out = T.StructType([T.StructField("node", kind), T.StructField("mate", kind), T.StructField("sim", T.DoubleType())])
+    arrow = to_arrow_schema(out)
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("node", "ascending"), ("mate", "ascending")]).combine_chunks()
+        unit, new, least = matrix(table["unit"]), table["new"].to_numpy(), table["least"].to_numpy()
+        owners = table["node"].combine_chunks().dictionary_encode().indices.to_numpy()
+        starts = np.flatnonzero(np.diff(owners, prepend=-1))
+        one, two, sims = [], [], []
+        for low, high in zip(starts, [*starts[1:], len(owners)]):
+            fresh = new[low:high]
+            sim = cosines(unit[low:high], unit[low:high])
+            fit = (fresh[:, None] | fresh) & (sim >= least[low:high, None])
+            np.fill_diagonal(fit, False)
+            shown = np.where(fit, sim, -np.inf)
+            # Equal cosines go to the lower mate, as members are sorted.
+            place = np.argsort(-shown, axis=1, kind="stable")[:, :degree]
+            row = np.repeat(np.arange(high - low), place.shape[1])
+            keep = fit[row, place.ravel()]
+            one.append(row[keep] + low)
+            two.append(place.ravel()[keep] + low)
+            sims.append(sim[one[-1] - low, two[-1] - low])
+        mates = table["mate"].combine_chunks()
+        return pa.table([mates.take(pa.array(np.concatenate(one))), mates.take(pa.array(np.concatenate(two))), pa.array(np.concatenate(sims))], schema=arrow)
+
+    found = grouped.groupBy("part").applyInArrow(compare, out)
+    return found.groupBy("node", "mate").agg(F.max("sim").alias("sim"))
+
+
+def cosines(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return np.round(one @ two.T, SIM_DIGITS) + 0.0
+
+
+def groups_of(rows: DataFrame) -> int:
+    """So many groups by hash that one holds about ``GROUP_ROWS`` rows."""
+    return max(1, rows.count() // GROUP_ROWS)
 
 
 def units(side: Side, name: str) -> DataFrame:
@@ -88,17 +128,11 @@ def build(index: Side, degree: int = 16, tile_rows: int = TILE_ROWS, least_new:
     while edges.where("new").count() > least_new * total * degree:
         back = first_of(edges.select(F.col("mate").alias("node"), F.col("node").alias("mate"), "new"), "node", [F.desc("new"), F.xxhash64("mate", "node")], degree)
         hood = cut(edges.select("node", "mate", "new").unionByName(back).groupBy("node", "mate").agg(F.max("new").alias("new")))
-        one = hood.select("node", F.col("mate").alias("a"), F.col("new").alias("a_new"))
-        two = hood.select("node", F.col("mate").alias("b"), F.col("new").alias("b_new"))
-        pairs = one.join(two, "node").where("a < b and (a_new or b_new)").select("a", "b").distinct()
-        known = edges.select(F.least("node", "mate").alias("a"), F.greatest("node", "mate").alias("b")).distinct()
-        pairs = pairs.join(known, ["a", "b"], "left_anti")
-        vectors = lambda name, unit: nodes.select(F.col("node").alias(name), F.col("unit").alias(unit))
-        found = cut(with_cosine(pairs.join(vectors("a", "unit"), "a").join(vectors("b", "mate_unit"), "b")))
-        both = found.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("mate")), F.struct(F.col("b").alias("node"), F.col("a").alias("mate")))).alias("e"), "sim")
+        full = F.when(F.count("*") >= degree, F.min("sim")).alias("least")
+        found = cut(beside(hood, nodes, edges.groupBy("node").agg(full), degree))
         # A pair that is known from one end is offered to the other end too.
         turned = edges.select(F.col("mate").alias("node"), F.col("node").alias("mate"), "sim", F.lit(True).alias("new"))
-        merged = edges.withColumn("new", F.lit(False)).unionByName(turned).unionByName(both.select("e.node", "e.mate", "sim", F.lit(True).alias("new")))
+        merged = edges.withColumn("new", F.lit(False)).unionByName(turned).unionByName(found.withColumn("new", F.lit(True)))
         merged = merged.groupBy("node", "mate").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
         after = cut(first_of(merged, "node", best, degree))
         drop_table(spark, edges, hood, found)
@@ -106,9 +140,50 @@ def build(index: Side, degree: int = 16, tile_rows: int = TILE_ROWS, least_new:
     return Graph(nodes, edges, degree)
 
 
-def met(queries: Side, graph: Graph, beam: int = 32, width: int = 8, entries: int = 8) -> DataFrame:
-    """(query, node, sim) of all rows that the search compared with each query."""
-    spark = graph.nodes.sparkSession
+def beside_queries(follow: DataFrame, asked: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(query, node, sim): the mates of the nodes each query follows that reach ``least``, the end of its list.
+
+    ``follow`` has node, query, least. The queries at a node meet the vectors of its mates in one group's product.
+    """
+    groups = groups_of(follow)
+    part = F.pmod(F.xxhash64("at"), F.lit(groups)).alias("part")
+    live = follow.select(F.col("node").alias("at")).distinct()
+    ahead = links.withColumnRenamed("node", "at").join(live, "at", "left_semi").join(nodes.select(F.col("node").alias("mate"), "unit"), "mate").select(part, "at", "mate", "unit")
+    come = follow.withColumnRenamed("node", "at").join(asked, "query").select(part, "at", "query", "least", "unit")
+    out = T.StructType([asked.schema["query"], T.StructField("node", nodes.schema["node"].dataType), T.StructField("sim", T.DoubleType())])
+    arrow = to_arrow_schema(out)
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return arrow.empty_table()
+        left, right = left.sort_by("at").combine_chunks(), right.sort_by("at").combine_chunks()
+        names = pa.concat_arrays([left["at"].combine_chunks(), right["at"].combine_chunks()]).dictionary_encode().indices.to_numpy()
+        own, other = names[: left.num_rows], names[left.num_rows :]
+        starts = np.flatnonzero(np.diff(other, prepend=-1))
+        stretch = {int(other[low]): (low, high) for low, high in zip(starts, [*starts[1:], len(other)])}
+        one, two, least = matrix(left["unit"]), matrix(right["unit"]), left["least"].to_numpy()
+        lefts, rights, sims = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        starts = np.flatnonzero(np.diff(own, prepend=-1))
+        for low, high in zip(starts, [*starts[1:], len(own)]):
+            if (at := stretch.get(int(own[low]))) is None:
+                continue
+            for i in range(low, high, TURN_ROWS):
+                sim = cosines(one[i : min(high, i + TURN_ROWS)], two[at[0] : at[1]])
+                li, ri = np.nonzero(sim >= least[i : min(high, i + TURN_ROWS), None])
+                lefts.append(li + i)
+                rights.append(ri + at[0])
+                sims.append(sim[li, ri])
+        return pa.table([left["query"].take(pa.array(np.concatenate(lefts))), right["mate"].take(pa.array(np.concatenate(rights))), pa.array(np.concatenate(sims))], schema=arrow)
+
+    return come.groupBy("part").cogroup(ahead.groupBy("part")).applyInArrow(compare, out)
+
+
+def met(queries: Side, graph: Graph, beam: int = 32, width: int = 8, entries: int = 8, keep: int | None = None) -> DataFrame:
+    """(query, node, sim): the ``keep`` best rows, ``beam`` at least, of those each query was compared with.
+
+    A row that is not among them can neither be followed later nor come back, so nothing else is stored.
+    """
+    spark, keep = graph.nodes.sparkSession, max(beam, keep or 0)
     asked = cut(units(queries, "query"))
     total = graph.nodes.count()
     pivots = graph.nodes.orderBy(F.xxhash64("node"), "node").limit(max(entries, PIVOTS * math.isqrt(total)))
@@ -119,13 +194,14 @@ def met(queries: Side, graph: Graph, beam: int = 32, width: int = 8, entries: in
     best = [F.desc("sim"), F.col("node")]
     while True:
         near = first_of(seen, "query", best, beam).where("not done")
-        follow = cut(first_of(near, "query", best, width).select("query", "node"))
+        full = seen.groupBy("query").agg(F.when(F.count("*") >= keep, F.min("sim")).otherwise(-2.0).alias("least"))
+        follow = cut(first_of(near, "query", best, width).select("query", "node").join(full, "query"))
         if follow.isEmpty():
             break
-        fresh = follow.join(links, "node").select("query", F.col("mate").alias("node")).distinct().join(seen, ["query", "node"], "left_anti")
-        scored = with_cosine(fresh.join(asked, "query").join(graph.nodes.select("node", F.col("unit").alias("mate_unit")), "node"))
-        marked = seen.join(follow.withColumn("__now", F.lit(True)), ["query", "node"], "left")
-        after = cut(marked.select("query", "node", "sim", (F.col("done") | F.col("__now").isNotNull()).alias("done")).unionByName(scored.select("query", "node", "sim", F.lit(False).alias("done"))))
+        scored = beside_queries(follow, asked, links, graph.nodes).withColumn("done", F.lit(False))
+        now = follow.select("query", "node", F.lit(-2.0).alias("sim"), F.lit(True).alias("done"))
+        merged = seen.unionByName(now).unionByName(scored).groupBy("query", "node").agg(F.max("sim").alias("sim"), F.max("done").alias("done"))
+        after = cut(first_of(merged, "query", best, keep))
         drop_table(spark, seen, follow)
         seen = after
     drop_table(spark, asked, links)
@@ -135,4 +211,4 @@ def met(queries: Side, graph: Graph, beam: int = 32, width: int = 8, entries: in
 def search(queries: Side, graph: Graph, k: int, *, beam: int = 32, width: int = 8, entries: int = 8) -> DataFrame:
     """query, node, sim, rank: the ``k`` best rows found per query, ties to the lower node."""
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "node"))
-    return met(queries, graph, beam, width, entries).withColumn("rank", place).where(F.col("rank") <= k)
+    return met(queries, graph, beam, width, entries, k).withColumn("rank", place).where(F.col("rank") <= k)

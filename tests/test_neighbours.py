@@ -53,3 +53,22 @@ def test_odd_inputs(spark):
     assert nb.search(side, empty, 2).count() == 0
     one = nb.build(sm.Side(df.limit(1), "v", ["id"]))
     assert nb.search(side, one, 2).count() == 4 and nb.search(sm.Side(df.limit(0), "v", ["id"]), one, 2).count() == 0
+
+
+def test_what_is_stored_grows_with_rows_not_with_comparisons(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    df = cut(spark.createDataFrame([(k, [float(x) for x in rng.normal(size=32)]) for k in range(1200)], "id long, v array<double>").repartition(4))
+    side, stored = sm.Side(df, "v", ["id"]), []
+
+    def counted(table):
+        out = cut(table)
+        stored.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(nb, "cut", counted)
+    graph = nb.build(side, degree=8)
+    pairs = [n for columns, n in stored if columns == ["node", "mate", "sim"]]
+    assert max(pairs[1:]) < 1200 * 8 * 4  # a row has room for 8
+    found = nb.met(side, graph, beam=16)
+    assert found.groupBy("query").count().agg(F.max("count")).first()[0] == 16
+    assert max(n for columns, n in stored if columns == ["query", "node", "sim", "done"]) <= 1200 * 16
