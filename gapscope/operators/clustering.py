@@ -289,7 +289,7 @@ def intra_similarity(
 def euclidean_silhouette(df: DataFrame, key: str, vector: str, **layout) -> DataFrame:
     """Silhouette of every row from mean Euclidean distances between unit vectors.
 
-    Blocks return one sum per (row, cluster); distances never become rows.
+    Tasks return one sum per (row, cluster); distances never become rows.
     """
     left = Side(df.select(F.col(key), F.col("cluster_id"), vector), vector, [key, "cluster_id"])
     right = Side(
@@ -318,8 +318,13 @@ def euclidean_silhouette(df: DataFrame, key: str, vector: str, **layout) -> Data
             T.StructField("members", T.LongType()),
         ]
     )
+
+    def fold(table: pa.Table) -> pa.Table:
+        added = table.group_by([key, "cluster_id", "other"], use_threads=False).aggregate([("total", "sum"), ("members", "sum"), (AT, "min"), (MATE, "min")])
+        return added.rename_columns([c.removesuffix("_sum").removesuffix("_min") for c in added.column_names]).select(table.column_names)
+
     sums = (
-        compare(left, right, kernel, values, per_left=True, **layout)
+        compare(left, right, kernel, values, per_left=True, fold=fold, **layout)
         .rows.groupBy(key, "cluster_id", "other")
         .agg(F.sum("total").alias("total"), F.sum("members").alias("members"))
     )

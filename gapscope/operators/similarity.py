@@ -7,9 +7,9 @@ what the caller's kernel keeps. Two layouts, chosen by a measured size:
 * the right side fits the broadcast bound: every task streams its left batches
   past the broadcast blocks, with no shuffle of the left side;
 * it does not: both sides are cut into hashed tiles and each (left tile, right tile)
-  cell is one co-grouped task input. Right tiles are as large as a task may hold, since
-  every left row is sent once per right tile; left tiles are blocks. Large ``by`` groups
-  become more tiles, so a hot group spreads over the cluster.
+  cell is one co-grouped task input. A row is sent once per tile of the other side, so
+  tiles are as large as a task may hold, but a group is at least ``SPREAD`` of them if it
+  has the blocks: no task gets a large share of a group, and a hot group spreads over the cluster.
 """
 
 from __future__ import annotations
@@ -29,9 +29,10 @@ from gapscope.config import SIM_DIGITS, Thresholds
 from gapscope.functions.text import gap_class
 from gapscope.functions.vectors import dot, normalise
 
-BLOCK_ROWS = 2048
-BROADCAST_BYTES = 64 << 20
-CHUNK_BYTES = 128 << 20
+BLOCK_ROWS = 1024
+BROADCAST_BYTES = 16 << 20
+CHUNK_BYTES = 16 << 20
+SPREAD = 16
 VECTOR = "__vec"
 
 
@@ -79,12 +80,15 @@ def _unit_rows(table: pa.Table) -> np.ndarray:
     flat = table[VECTOR].combine_chunks()
     flat = flat.flatten() if isinstance(flat, pa.ListArray) else pa.concat_arrays(flat.chunks).flatten()
     m = flat.to_numpy(zero_copy_only=False).reshape(n, -1)
-    length = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    length = np.concatenate([np.sqrt((r * r).sum(axis=1, keepdims=True)) for r in np.array_split(m, 1 + n // BLOCK_ROWS)])
     return m / np.where(length > 0, length, 1.0)
 
 
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.round(a @ b.T, SIM_DIGITS) + 0.0
+    sim = a @ b.T
+    np.round(sim, SIM_DIGITS, out=sim)
+    sim += 0.0
+    return sim
 
 
 AT, MATE = "__at", "__mate"
@@ -138,8 +142,8 @@ def compare(
 
     Only rows with equal ``by`` values meet. The result holds ``by``, the left
     columns, the right columns (unless ``per_left``) and ``values``. A left row
-    comes out once per right block it met; ``fold`` merges those inside the task
-    where it saw them all, otherwise the caller folds in Spark.
+    comes out once per right block it met; ``fold`` merges those inside a task. Where
+    that did not see them all, the caller folds in Spark.
     With ``symmetric`` both sides are the same set and each pair of tiles is
     visited once; the kernel sees ``diagonal`` when both tiles are the same.
     """
@@ -165,6 +169,7 @@ def compare(
             whole = held.value
             matrix = _unit_rows(whole)
             groups = _group_rows(whole, by)
+            whole = whole.drop_columns([VECTOR])
             for batch in batches:
                 rows = pa.Table.from_batches([batch])
                 for key, at in _group_rows(rows, by).items():
@@ -187,9 +192,9 @@ def compare(
 
         return Comparison(lf.mapInArrow(stream, out), fold is not None)
 
-    chunk_rows = max(block_rows, chunk_bytes // max(1, row_bytes))
-    n_left = _tile_counts(lf, by, chunk_rows if symmetric else block_rows, "__lt_n")
-    n_right = _tile_counts(rf, by, chunk_rows, "__rt_n")
+    l_bytes = row_bytes if symmetric else _bytes_of(lf)[1]
+    n_left = _tile_counts(lf, by, chunk_bytes, l_bytes, block_rows, SPREAD, "__lt_n")
+    n_right = _tile_counts(rf, by, chunk_bytes, row_bytes, block_rows, SPREAD if symmetric else 1, "__rt_n")
     tiles_l = _tiles(lf, n_left, by, l_lead, "__lt_n", "__lt")
     tiles_r = _tiles(rf, n_right, by, lead, "__rt_n", "__rt")
     first_rt = F.col("__lt") if symmetric else F.lit(0)
@@ -210,11 +215,14 @@ def compare(
             l_rows = l_rows.sort_by(l_lead)
         r_rows = r_rows.sort_by(lead)
         l_unit, r_unit, parts = _unit_rows(l_rows), _unit_rows(r_rows), []
+        l_rows, r_rows = l_rows.drop_columns([VECTOR]), r_rows.drop_columns([VECTOR])
         for i in range(0, l_rows.num_rows, block_rows):
+            met = []
             for j in range(i if same else 0, r_rows.num_rows, block_rows):
                 sim = _cosines(l_unit[i : i + block_rows], r_unit[j : j + block_rows])
                 cell = Cell(l_rows.slice(i, block_rows), r_rows.slice(j, block_rows), sim, same and i == j)
-                parts.append(_emit(cell, kernel, left_cols, right_cols, arrow))
+                met.append(_emit(cell, kernel, left_cols, right_cols, arrow, None if fold is None else j))
+            parts += met if fold is None else [fold(pa.concat_tables(met)).drop_columns([AT, MATE]).cast(arrow)]
         return pa.concat_tables(parts)
 
     # New column identities: both sides may stem from one table.
@@ -235,9 +243,13 @@ def _bytes_of(df: DataFrame) -> tuple[int, int]:
     return size, size // max(1, row["n"])
 
 
-def _tile_counts(df: DataFrame, by: Sequence[str], block_rows: int, name: str) -> DataFrame | int:
+def _tile_counts(
+    df: DataFrame, by: Sequence[str], chunk_bytes: int, row_bytes: int, block_rows: int, spread: int, name: str
+) -> DataFrame | int:
     """Tiles of each group: a frame, or a number when there are no groups."""
-    counts = df.groupBy(*by).agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
+    rows = max(block_rows, chunk_bytes // max(1, row_bytes))
+    tiles = F.greatest(F.ceil(F.count("*") / rows), F.least(F.lit(spread), F.ceil(F.count("*") / block_rows)))
+    counts = df.groupBy(*by).agg(tiles.cast("int").alias(name))
     return counts if by else counts.first()[0]
 
 
