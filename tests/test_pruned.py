@@ -53,3 +53,20 @@ def test_below_zero_and_empty(spark):
     assert triples(pruned.pruned_pairs_above(df, "id", "v", -0.2)) == triples(pairs_above(df, "id", "v", -0.2))
     assert pruned.pruned_pairs_above(df.limit(0), "id", "v", 0.5).count() == 0
     assert pruned.pruned_pairs_above(df.limit(0), "id", "v", 0.5, by=["g"]).count() == 0
+
+
+def shuffled_rows(spark):
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = store.stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), jvm.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_a_row_is_sent_once_per_tile_not_per_cell(spark, monkeypatch):
+    monkeypatch.setattr(pruned, "SPREAD", 2, raising=False)
+    rng = np.random.default_rng(9)
+    df = cut(spark.createDataFrame([(k, [float(x) for x in rng.normal(size=32)]) for k in range(2000)], "id long, v array<double>").repartition(4))
+    before = shuffled_rows(spark)
+    found = pruned.pruned_pairs_above(df, "id", "v", 0.4, cell_rows=32)
+    placing, before = shuffled_rows(spark) - before, shuffled_rows(spark)
+    assert found.count() > 0
+    assert shuffled_rows(spark) - before < 2000 * 16 and placing > 0  # nearly all of 60 cells are near
