@@ -6,8 +6,6 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -16,6 +14,7 @@ from pyspark.sql import types as T
 
 from gapscope.config import SEED, SIM_DIGITS, Thresholds
 from gapscope.functions.vectors import dot, normalise
+from gapscope.operators import minibatch as mb
 from gapscope.operators.axes import principal_axes, project
 from gapscope.operators.rounds import cut, drop_table, numbered
 from gapscope.operators.similarity import AT, MATE, SIM, Cell, Side, compare, nearest, top_k
@@ -24,6 +23,9 @@ FEATURES = "__features"
 CENTRE_BYTES = 512 << 20
 # A fit that rises by no more than the digits similarities are rounded to stands still.
 LEAST_RISE = 10.0**-SIM_DIGITS
+# A k-means fit ends when no centre moves farther.
+LEAST_MOVE = 1e-4
+ROUND_ROWS, ROUND_FILES = 4096, 64
 SWEEP_SCHEMA = T.StructType(
     [
         T.StructField("k", T.IntegerType()),
@@ -38,39 +40,60 @@ def _featured(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn(FEATURES, array_to_vector(F.col(vector).cast("array<double>")))
 
 
-def _check_centres(k: int, df: DataFrame) -> None:
+def _check_centres(k: int, width: int) -> None:
     """Centres live on the driver and in every task, so their size is checked."""
-    row = df.select(F.size(vector_to_array(FEATURES)).alias("d")).first()
-    if row and k * row["d"] * 8 > CENTRE_BYTES:
-        raise ValueError(f"{k} centres of {row['d']} numbers are too many; raise the split target")
+    if k * width * 8 > CENTRE_BYTES:
+        raise ValueError(f"{k} centres of {width} numbers are too many; raise the split target")
 
 
-def fit_kmeans(df: DataFrame, k: int, *, tries: int = 15, max_iter: int = 500, seed: int = SEED) -> KMeansModel:
-    """Best of ``tries`` fits by training cost, on a frame with a feature column."""
-    _check_centres(k, df)
-    best = None
-    for attempt in range(tries):
-        model = KMeans(k=k, seed=seed + attempt, maxIter=max_iter, featuresCol=FEATURES,
-                       predictionCol="cluster_id").fit(df)
-        # The last digits of a cost depend on the order of additions; they must not decide.
-        if best is None or model.summary.trainingCost < best.summary.trainingCost * (1 - 1e-9):
-            best = model
-    return best
+def dealt_rows(df: DataFrame, vector: str) -> mb.Dealt:
+    """The vectors of a table, written once in files that tasks share evenly; a round of a fit reads them all."""
+    vec = F.col(vector).cast("array<double>")
+    slim = cut(df.where(F.col(vector).isNotNull()).select(F.xxhash64(vec).alias("__key"), vec.alias("vec")))
+    seen = slim.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("width")).first()
+    rows = cut(slim.repartition(min(ROUND_FILES, max(1, -(-seen["n"] // ROUND_ROWS)))))
+    drop_table(df.sparkSession, slim)
+    return mb.Dealt(rows, seen["n"], 1, seen["width"] or 0)
+
+
+def fit_kmeans(dealt: mb.Dealt, k: int, *, tries: int = 15, max_iter: int = 500, seed: int = SEED) -> mb.Fit:
+    """Best of ``tries`` fits by cost over all rows.
+
+    The starts are fitted side by side: a round is one reading of the rows for all that still move, and
+    gives each centre the mean of its rows. Start centres are drawn from a bounded sample, far from each other.
+    """
+    _check_centres(tries * k, dealt.width)
+    k = min(k, dealt.total)
+    sample = dealt.first_rows(dealt.rows, max(3 * mb.BATCH_ROWS, 3 * k), seed + 1)
+    models = [mb.Model(k, start, mb.far_apart(sample, k, np.random.default_rng([seed, k, start]))) for start in range(tries)]
+    for _ in range(max_iter):
+        live = [m for m in models if m.live]
+        if not live:
+            break
+        n, _, _, total = mb.sums(dealt.rows, [m.centres for m in live])
+        for i, model in enumerate(live):
+            mine = slice(i * k, (i + 1) * k)
+            fed = n[mine] > 0
+            before, model.centres = model.centres, model.centres.copy()
+            model.centres[fed] = total[mine][fed] / n[mine][fed, None]
+            model.live = np.sqrt(((model.centres - before) ** 2).sum(axis=1).max()) > LEAST_MOVE
+    return mb.best_fits(dealt, models)[0]
 
 
 def kmeans(df: DataFrame, vector: str, k: int, **fit) -> DataFrame:
     """``df`` with a ``cluster_id`` per row.
 
     Ids follow the order of the centres, so that they do not hang on the order in which
-    the fit happened to find them.
+    the fit happened to find them. The rows are stored once, so that a computed vector is
+    not computed again beside the Python function that places it.
     """
-    featured = _featured(df, vector)
-    model = fit_kmeans(featured, k, **fit)
-    centres = [tuple(np.round(c, 6)) for c in model.clusterCenters()]
-    place = {old: new for new, old in enumerate(sorted(range(len(centres)), key=centres.__getitem__))}
-    ids = F.array(*[F.lit(place[i]) for i in range(len(centres))])
-    placed = model.transform(featured).drop(FEATURES)
-    return placed.withColumn("cluster_id", F.get(ids, F.col("cluster_id")))
+    df = cut(df)
+    dealt = dealt_rows(df, vector)
+    if not dealt.total:
+        return df.withColumn("cluster_id", F.lit(None).cast("int"))
+    best = fit_kmeans(dealt, k, **fit)
+    drop_table(df.sparkSession, dealt.rows)
+    return df.withColumn("cluster_id", mb.nearest_centre(best.centres)(F.col(vector).cast("array<double>")))
 
 
 def sweep(
@@ -82,19 +105,13 @@ def sweep(
     max_iter: int = 300,
 ) -> DataFrame:
     """Inertia, silhouette and largest share of every K; K at or above the row count is void."""
-    featured = _featured(cut(df.select(F.col(vector).cast("array<double>").alias(vector))), vector).select(FEATURES)
-    total = featured.count()
-    rows = []
-    for k in k_values:
-        if k >= total:
-            rows.append((k, float("inf"), -1.0, 1.0))
-            continue
-        model = fit_kmeans(featured, k, tries=tries, max_iter=max_iter)
-        sizes = model.summary.clusterSizes
-        score = ClusteringEvaluator(
-            featuresCol=FEATURES, predictionCol="cluster_id", distanceMeasure="squaredEuclidean"
-        ).evaluate(model.transform(featured)) if sum(n > 0 for n in sizes) > 1 else -1.0
-        rows.append((k, float(model.summary.trainingCost), float(score), max(sizes) / total))
+    dealt = dealt_rows(df, vector)
+    found = [fit_kmeans(dealt, k, tries=tries, max_iter=max_iter) for k in k_values if k < dealt.total]
+    fits = {f.k: f for f in mb.best_fits(dealt, [mb.Model(f.k, 0, f.centres) for f in found], True)} if found else {}
+    drop_table(df.sparkSession, dealt.rows)
+    rows = [
+        (k, fits[k].inertia, fits[k].silhouette, float(fits[k].sizes.max() / dealt.total)) if k in fits else (k, float("inf"), -1.0, 1.0) for k in k_values
+    ]
     return df.sparkSession.createDataFrame(rows, SWEEP_SCHEMA)
 
 
@@ -397,13 +414,16 @@ def approximate_top_k(
     Lists are k-means cells of the index. A query visits its nearest lists only;
     long lists are cut into tiles by ``compare``, so a hot list is no hot task.
     """
-    unit = index.frame.where(F.col(index.vector).isNotNull()).withColumn(
+    unit = cut(index.frame.where(F.col(index.vector).isNotNull()).withColumn(
         "__unit", normalise(F.col(index.vector).cast("array<double>"))
-    )
-    featured = _featured(unit, "__unit")
-    model = fit_kmeans(featured, lists, seed=seed)
-    listed = model.transform(featured).withColumnRenamed("cluster_id", "__list").drop(FEATURES, "__unit")
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+    ))
+    dealt = dealt_rows(unit, "__unit")
+    if not dealt.total:
+        return top_k(queries, index, k)
+    found = fit_kmeans(dealt, lists, seed=seed).centres
+    drop_table(unit.sparkSession, dealt.rows)
+    listed = unit.withColumn("__list", mb.nearest_centre(found)(F.col("__unit"))).drop("__unit")
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(mb.in_order(found))]
     centres = index.frame.sparkSession.createDataFrame(rows, "`__list` int, `__centre` array<double>")
     near = top_k(
         Side(queries.frame, queries.vector, list(queries.columns)),

@@ -274,10 +274,14 @@ def best_fits(dealt: Dealt, models: Sequence[Model], with_silhouette: bool = Fal
     return fits
 
 
+def in_order(centres: np.ndarray) -> np.ndarray:
+    rounded = [tuple(np.round(c, 6)) for c in centres]
+    return centres[sorted(range(len(centres)), key=rounded.__getitem__)]
+
+
 def nearest_centre(centres: np.ndarray) -> Callable:
     """A column function: the number of a vector's nearest centre, in the order of the centres; null of a null vector."""
-    rounded = [tuple(np.round(c, 6)) for c in centres]
-    ordered = centres[sorted(range(len(centres)), key=rounded.__getitem__)]
+    ordered = in_order(centres)
     length = (ordered * ordered).sum(axis=1)
 
     @F.pandas_udf("int")

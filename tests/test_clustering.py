@@ -170,3 +170,15 @@ def test_distinct_terms(spark):
     df = spark.createDataFrame([(["a b", "a", "b c", "c", "d"],)], "t array<string>")
     assert df.select(lb.distinct_terms(F.col("t")).alias("k")).first()["k"] == ["a b", "b c", "d"]
     assert df.select(lb.distinct_terms(F.col("t"), 2).alias("k")).first()["k"] == ["a b", "b c"]
+
+
+def test_starts_are_fitted_side_by_side(spark, blobs):
+    context = spark.sparkContext
+
+    def jobs(tries):
+        context.setJobGroup(f"starts-{tries}", "")
+        cl.kmeans(blobs, "v", 3, tries=tries, max_iter=2).count()
+        context.setLocalProperty("spark.jobGroup.id", None)
+        return len(context.statusTracker().getJobIdsForGroup(f"starts-{tries}"))
+
+    assert jobs(6) <= jobs(1) + 4
