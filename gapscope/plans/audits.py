@@ -58,7 +58,8 @@ def bias_statistic(assignments: DataFrame, gaps: DataFrame) -> DataFrame:
     return joined.groupBy("run_id").agg(
         (F.max("n") * (F.sum(F.col("o") * F.col("o") / (F.col("row") * F.col("col"))) - 1)).alias("statistic"),
         ((F.max("r") - 1) * (F.max("c") - 1)).alias("degrees_of_freedom"),
-        F.max_by("service_type", F.struct(F.round(critical, 6), F.col("service_type"))).alias("most_affected"),
+        # Only CRITICAL cells take part; a run without any has no most affected service.
+        F.max_by("service_type", F.when(F.col("gap_flag") == "CRITICAL", F.struct(F.round(critical, 6), F.col("service_type")))).alias("most_affected"),
     )
 
 

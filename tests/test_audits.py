@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from gapscope.plans.audits import chi_square_tail
+from gapscope.plans.audits import bias_statistic, chi_square_tail
 
 
 def tail(x, d):
@@ -22,3 +22,11 @@ def test_chi_square_tail(spark):
     for x, d in cases:
         assert got[x, d] == pytest.approx(tail(x, d), abs=1e-9)
     assert got[0.0, 3] == 1.0 and got[5.0, 0] == 1.0 and got[1e7, 4] == 0.0
+
+
+def test_a_run_without_critical_cells_has_no_most_affected_service(spark):
+    rows = [(run, k % 4, "ab"[k % 3 % 2]) for run in ("r1", "r2") for k in range(24)]
+    assignments = spark.createDataFrame(rows, "run_id string, cluster_id long, service_type string")
+    gaps = spark.createDataFrame([(run, c, "COVERED" if c % 2 else flag) for run, flag in (("r1", "PARTIAL"), ("r2", "CRITICAL")) for c in range(4)], "run_id string, cluster_id long, gap_flag string")
+    got = {r.run_id: r.most_affected for r in bias_statistic(assignments, gaps).collect()}
+    assert got["r1"] is None and got["r2"] in "ab"
