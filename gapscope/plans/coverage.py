@@ -97,16 +97,17 @@ def cluster_summary(
     )
 
 
-def label_samples(members: DataFrame, n: int = 5, chars: int = 200, seed: int = SEED) -> DataFrame:
+def label_samples(members: DataFrame, n: int = 5, chars: int = 200, seed: int = SEED, tickets: DataFrame | None = None) -> DataFrame:
     """Numbered sample block of up to ``n`` members per cluster.
 
-    ``members`` has cluster_id, source, source_id, problem_text and resolution_text.
+    ``members`` has cluster_id, source, source_id; problem_text and resolution_text are its own or those
+    of ``tickets``, by source and source_id.
     """
     flat = lambda c: strip(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" ")))
     half = chars // 2
     ids = members.select("cluster_id", "source", "source_id")
     picked = sample_members(ids, ["cluster_id"], ["source", "source_id"], n, seed)
-    texts = members.select(
+    texts = (members if tickets is None else tickets).select(
         "source", "source_id",
         snippet(flat(F.col("problem_text")), half).alias("p"),
         snippet(flat(F.col("resolution_text")), half).alias("r"),
@@ -116,7 +117,8 @@ def label_samples(members: DataFrame, n: int = 5, chars: int = 200, seed: int =
         F.when(F.col("p") != "", F.concat(F.lit("Problem: "), "p")),
         F.when(F.col("r") != "", F.concat(F.lit("Resolution: "), "r")),
     )
-    rows = picked.join(texts, ["source", "source_id"]).withColumn("b", block).where("b <> ''")
+    # The ``n`` ids of a cluster go to the texts; joined by a shuffle, every text would move.
+    rows = texts.join(F.broadcast(picked), ["source", "source_id"]).withColumn("b", block).where("b <> ''")
     parts = F.transform(
         F.array_sort(F.collect_list(F.struct("pick", "b"))),
         lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["b"]),

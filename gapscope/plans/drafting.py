@@ -101,7 +101,8 @@ def cluster_evidence(
     )
     w = Window.partitionBy(*RUN_CLUSTER).orderBy("tier", "draw", *key)
     picked = ids.withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= n).drop("draw")
-    return picked.join(tickets.select(*key, "problem_text", "resolution_text"), key)
+    # The ``n`` ids of a cluster go to the texts; joined by a shuffle, every text would move.
+    return tickets.select(*key, "problem_text", "resolution_text").join(F.broadcast(picked), key).select(*picked.columns, "problem_text", "resolution_text")
 
 
 def evidence_scores(gaps: DataFrame, evidence: DataFrame) -> DataFrame:

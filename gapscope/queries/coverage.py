@@ -80,8 +80,10 @@ def kb_entries(t: Tables):
 
 @query("src_run_tickets", "SELECT r.run_id, u.source, u.source_id, u.ticket_number, md5(u.problem_text) AS problem_md5, md5(u.resolution_text) AS resolution_md5 FROM r_rows r JOIN r_unified u USING (source, source_id) WHERE r.quality_pass")
 def run_tickets(t: Tables):
-    u = tb.run_tickets(t.ticket_rows(), tb.unified_tickets(t.incidents(), t.workorders()))
-    return u.select("run_id", "source", "source_id", "ticket_number", F.md5("problem_text").alias("problem_md5"), F.md5("resolution_text").alias("resolution_md5"))
+    """Digests are taken before tickets meet their runs, so texts are not moved for that."""
+    u = tb.unified_tickets(t.incidents(), t.workorders())
+    u = u.withColumn("problem_text", F.md5("problem_text")).withColumn("resolution_text", F.md5("resolution_text"))
+    return tb.run_tickets(t.ticket_rows(), u).select("run_id", "source", "source_id", "ticket_number", F.col("problem_text").alias("problem_md5"), F.col("resolution_text").alias("resolution_md5"))
 
 
 @query("src_live_articles", "SELECT article_id, title FROM r_articles WHERE toxic = 0 AND article_embedding IS NOT NULL")
@@ -584,6 +586,12 @@ def cluster_labels(t: Tables):
     return lb.labels(lb.cluster_terms(label_weights(t), label_docs(t)), label_docs(t))
 
 
+def samples(t: Tables):
+    u = tb.unified_tickets(t.incidents(), t.workorders())
+    ids = t.assignments().join(u.select("source", "source_id"), ["source", "source_id"], "left_semi")
+    return cv.label_samples(ids, tickets=u)
+
+
 def members(t: Tables):
     return t.assignments().select("run_id", "source", "source_id", "cluster_id").join(
         tb.unified_tickets(t.incidents(), t.workorders()), ["source", "source_id"]
@@ -603,7 +611,7 @@ SAMPLES = f"""SELECT cluster_id, string_agg(n || '. ' || b, chr(10) ORDER BY n)
 
 @query("lbl_samples", f"SELECT cluster_id, md5(samples) AS samples_md5 FROM ({SAMPLES})")
 def label_samples(t: Tables):
-    s = cv.label_samples(members(t))
+    s = samples(t)
     return s.select("cluster_id", F.md5("samples").alias("samples_md5"))
 
 
@@ -620,7 +628,7 @@ NAMED = """SELECT cluster_id, min(cluster_label) AS cluster_label, sum(size)::BI
     || coalesce(top_terms, '') || chr(10) || 'Samples:' || chr(10) || samples || chr(10) || chr(10) || {q.lit('Reply with JSON: {"label": "..."}')}) AS prompt_md5
     FROM ({NAMED}) JOIN ({SAMPLES}) USING (cluster_id)""")
 def label_prompts(t: Tables):
-    return cv.label_prompts(named_clusters(t), cv.label_samples(members(t))).select("cluster_id", F.md5("prompt").alias("prompt_md5"))
+    return cv.label_prompts(named_clusters(t), samples(t)).select("cluster_id", F.md5("prompt").alias("prompt_md5"))
 
 
 @query("lbl_replies", f"""SELECT cluster_id, CASE WHEN cluster_id % 3 = 0 THEN 'About ' || cluster_label ELSE cluster_label END AS cluster_label, size FROM ({NAMED})""")

@@ -95,10 +95,12 @@ DETAIL = """SELECT a.run_id, a.cluster_id, a.source, a.ticket_number, a.service_
 
 
 def detail(t: Tables, clusters=None):
-    d = rp.tickets_of(t.assignments(), tb.unified_tickets(t.incidents(), t.workorders()), clusters)
-    return d.select(
+    """Digests are taken before tickets meet their clusters, so texts are not moved for that."""
+    u = tb.unified_tickets(t.incidents(), t.workorders())
+    u = u.withColumn("problem_text", F.md5("problem_text")).withColumn("resolution_text", F.md5(F.coalesce("resolution_text", F.lit(""))))
+    return rp.tickets_of(t.assignments(), u, clusters).select(
         "run_id", "cluster_id", "source", "ticket_number", "service_type", "assigned_group",
-        F.md5("problem_text").alias("problem_md5"), F.md5("resolution_text").alias("resolution_md5"),
+        F.col("problem_text").alias("problem_md5"), F.col("resolution_text").alias("resolution_md5"),
     )
 
 

@@ -75,3 +75,20 @@ def test_enough_tickets_counts_all(spark):
 def test_flagship(spark):
     out = entry_points.entry(spark)
     assert out.count() > 0 and "coverage" in out.columns
+
+
+def upper_plan(spark, name):
+    """The optimised plan down to its first join, that join included."""
+    lines = QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    return lines[: next(i for i, line in enumerate(lines) if "Join " in line) + 1]
+
+
+@pytest.mark.parametrize("name", ["dash_tickets", "dash_tickets_of_clusters", "src_run_tickets"])
+def test_texts_are_digested_before_they_are_moved(spark, name):
+    assert not any("md5" in line.replace("_md5", "") for line in upper_plan(spark, name))
+
+
+@pytest.mark.parametrize("name", ["art_evidence", "lbl_samples", "lbl_prompts"])
+def test_picked_ids_are_sent_to_the_texts(spark, name):
+    lines = QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("Join " in line and "strategy=broadcast" in line for line in lines)
