@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from test_pruned import shuffled_rows
 
 from gapscope.functions import vectors as vc
 from gapscope.operators import quantiles, rounds
@@ -187,3 +188,12 @@ def test_percentile_of_every_pair_stores_no_pairs(spark, monkeypatch):
         monkeypatch.setattr(module, "cut", counted, raising=False)
     assert gaps.coverage_scores_one_run(t).agg(F.sum("kb_count")).first()[0] == pairs
     assert sum(stored) < 0.5 * pairs
+
+
+def test_a_row_is_sent_once_per_tile_not_per_block(spark):
+    rng = np.random.default_rng(6)
+    df = rounds.cut(spark.createDataFrame([(k, [float(x) for x in rng.normal(size=8)]) for k in range(3000)], "id long, v array<double>"))
+    before = shuffled_rows(spark)
+    best = sm.nearest(sm.Side(df, "v", ["id"]), sm.Side(df.withColumnRenamed("id", "mate"), "v", ["mate"]), broadcast_bytes=0, block_rows=16)
+    assert best.where("id = mate").count() == 3000
+    assert shuffled_rows(spark) - before < 3000 * 40  # 188 blocks
