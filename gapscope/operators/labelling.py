@@ -32,7 +32,7 @@ def with_pairs(unigrams: Column) -> Column:
     pairs = F.zip_with(
         F.slice(unigrams, F.lit(1), n - 1),
         F.slice(unigrams, F.lit(2), n - 1),
-        lambda a, b: F.concat_ws(" ", a, b),
+        lambda a, b: F.concat(a, F.lit(" "), b),
     )
     return F.when(n >= 2, F.concat(unigrams, pairs)).otherwise(unigrams)
 
@@ -48,26 +48,29 @@ def term_counts(
 ) -> DataFrame:
     """``(key, carry.., term, tf)``, a stored table; ``docs`` has one row per document.
 
-    Terms are counted inside the row, so nothing is shuffled and no repeated token leaves it.
+    Terms are counted inside the row, so nothing is shuffled and no repeated token leaves it. The row
+    gives its sorted terms and where their runs begin; rows per run are made of them in compiled code.
     """
     text = F.col(problem) if resolution is None else join_texts(F.col(problem), F.col(resolution))
     counted = let(tokens(text, stop_words, terms), lambda t: let(with_pairs(t), term_runs))
     # An inner explode would make Spark test the array's size first and take the tokens twice.
-    rows = docs.select(key, *carry, F.explode_outer(counted).alias("__t")).select(key, *carry, "__t.term", "__t.tf")
-    return cut(rows.where(F.col("term").isNotNull()))
+    runs = docs.select(key, *carry, F.explode_outer(F.array(counted)).alias("__r"))
+    begins = runs.select(key, *carry, "__r", F.posexplode("__r.begins").alias("__k", "__at"))
+    until = F.coalesce(F.get("__r.begins", F.col("__k") + 1), F.size("__r.terms"))
+    return cut(begins.select(key, *carry, F.get("__r.terms", F.col("__at")).alias("term"), (until - F.col("__at")).cast("long").alias("tf")))
 
 
 def term_runs(terms: Column) -> Column:
-    """(term, tf) of an array: sorted, then one entry per run of equal terms."""
+    """(terms, begins) of an array: sorted, and where each run of equal terms begins; null without terms.
+
+    ``sort_array`` compares texts itself; ``array_sort`` would interpret a comparator for every two of them.
+    """
 
     def runs(s: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        return let(at, lambda starts: F.transform(
-            starts,
-            lambda x, k: F.struct(F.get(s, x).alias("term"), (F.coalesce(F.get(starts, k + 1), F.size(s)) - x).cast("long").alias("tf")),
-        ))
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.coalesce(F.get(s, i) != F.get(s, i - 1), F.lit(True)))
+        return F.struct(s.alias("terms"), begins.alias("begins"))
 
-    return F.when(F.size(terms) > 0, let(F.array_sort(terms), runs))
+    return F.when(F.size(terms) > 0, let(F.sort_array(terms), runs))
 
 
 def vocabulary(
