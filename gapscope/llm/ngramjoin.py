@@ -30,7 +30,7 @@ and no links. Rows with one doc_id are one member of a component, with all their
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,6 +43,10 @@ from gapscope.llm.components import components
 
 HOT_TOKENS = HOT_WORDS = 1 << 16
 BLOCK_TOKENS = 1 << 21
+#: Texts are taken together until they have so many words, which numpy then works on at once.
+GROUP_WORDS = 1 << 16
+#: Known numbers are looked up by so many of their first bits.
+LOOK_BITS = 20
 LEAST_TOKENS, LEAST_WORDS = 4, 32
 #: Hubs of a token in the first round, in the second, and how many times as many in each later one.
 FIRST_HUBS, MORE_HUBS, HUB_GROWTH = 1, 32, 8
@@ -74,9 +78,40 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted values, each once."""
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
 def shingles(text: str | None, width: int) -> np.ndarray:
     """Sorted tokens of the set."""
-    return np.unique(windows(word_hashes(text), width))
+    return distinct(windows(word_hashes(text), width))
+
+
+def in_groups(texts: Iterable[str | None]) -> Iterator[list[np.ndarray]]:
+    """Word hashes of the texts, in lists of about ``GROUP_WORDS`` words."""
+    group, held = [], 0
+    for text in texts:
+        group.append(word_hashes(text))
+        held += len(group[-1])
+        if held >= GROUP_WORDS:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
+def apart(group: list[np.ndarray], width: int, make: Callable[[np.ndarray], tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """What ``make`` gives for the words of each text: a value for every window. Texts with a whole window are made as one."""
+    long = [h for h in group if len(h) >= width]
+    made, start = make(np.concatenate(long)) if long else (), 0
+    for hashes in group:
+        if len(hashes) < width:
+            yield make(hashes)
+        else:
+            yield tuple(m[start : start + len(hashes) - width + 1] for m in made)
+            start += len(hashes)
 
 
 def least_overlap(percent: int, both: int) -> int:
@@ -89,6 +124,22 @@ def prefix_sizes(n: int, percent: int) -> tuple[int, int]:
     return n + 1 - -(-percent * n // 100), n + 1 - least_overlap(percent, 2 * n)
 
 
+class Known:
+    """Values of known 64-bit hashes; 0 for all others."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        at = np.argsort(keys)
+        self.keys, self.values = np.r_[keys[at], np.uint64(2**64 - 1)], np.r_[values[at], values.dtype.type(0)]
+        held = np.bincount((keys >> np.uint64(64 - LOOK_BITS)).astype(np.int64), minlength=1 << LOOK_BITS)
+        self.first, self.steps = (np.cumsum(held) - held).astype(np.int32), int(held.max())
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        at = self.first[hashes >> np.uint64(64 - LOOK_BITS)]
+        for _ in range(self.steps):
+            at += self.keys[at] < hashes
+        return np.where(self.keys[at] == hashes, self.values[at], self.values.dtype.type(0))
+
+
 class Orders:
     """Global orders of tokens: a class by how often words and tokens were reported, then a hash.
 
@@ -96,23 +147,17 @@ class Orders:
     """
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: np.ndarray):
-        at = np.argsort(words)
-        self.words, self.counts, self.tokens = words[at], counts[at], np.sort(tokens)
-
-    def classes(self, hashes: np.ndarray, found: np.ndarray, width: int) -> np.ndarray:
-        """Class of the token at each window of a text's words."""
-        level = np.zeros(len(hashes), np.uint64)
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            level = np.where(self.words[at] == hashes, np.ceil(np.log2(self.counts[at])) + 1, 0).astype(np.uint64)
-        n = len(found)
+        self.levels = Known(words, (np.ceil(np.log2(counts)) + 1).astype(np.uint8))
+        self.often = Known(tokens, np.ones(len(tokens), np.uint8))
+
+    def classes(self, hashes: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Class of the token at each window of the words."""
+        level, n = self.levels(hashes), len(found)
         out = level[:n].copy()
         for k in range(1, len(hashes) - n + 1):
             np.minimum(out, level[k : n + k], out=out)
-        if len(self.tokens):
-            at = np.minimum(np.searchsorted(self.tokens, found), len(self.tokens) - 1)
-            out[self.tokens[at] == found] = 255
-        return out
+        out[self.often(found) == 1] = 255
+        return out.astype(np.uint64)
 
 
 def places(tokens: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
@@ -141,14 +186,14 @@ def scan(docs: DataFrame, width: int) -> DataFrame:
 
         for batch in batches:
             sizes, names = [], []
-            for text in batch["text"]:
-                hashes = word_hashes(text)
-                tokens = np.unique(windows(hashes, width))
-                sizes.append(len(tokens))
-                names.append(class_name(tokens))
-                blocks["word"].append(hashes)
-                blocks["token"].append(tokens)
-                if len(names) % 512 == 0 and sum(map(len, blocks["token"])) > BLOCK_TOKENS:
+            for group in in_groups(batch["text"]):
+                for hashes, (found,) in zip(group, apart(group, width, lambda h: (windows(h, width),))):
+                    tokens = distinct(found)
+                    sizes.append(len(tokens))
+                    names.append(class_name(tokens))
+                    blocks["word"].append(hashes)
+                    blocks["token"].append(tokens)
+                if sum(map(len, blocks["token"])) > BLOCK_TOKENS:
                     yield from report()
             # Ids come as text: beside nulls they would become floats.
             ids = pd.array([None if x is None else int(x) for x in batch["doc_id"]], "Int64")
@@ -172,23 +217,28 @@ def often_met(read: DataFrame, kind: str, most: int) -> tuple[np.ndarray, np.nda
 def prefixes(docs: DataFrame, width: int, percent: int, often: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Column:
     """Per text a struct: the prefix of order A, 8 bytes a token (its first n_index are the index part), and those of B and C, 4 bytes a token."""
     known = docs.sparkSession.sparkContext.broadcast(often)
+    made: list[Orders] = []  # once in a task
+
+    def placed(hashes: np.ndarray) -> tuple[np.ndarray, ...]:
+        found = windows(hashes, width)
+        kinds = made[0].classes(hashes, found)
+        return found, *(places(found, kinds, k) for k in (1, 2, 3))
 
     @F.pandas_udf("class string, n int, n_index int, a binary, b binary, c binary, lost int")
     def find(texts: pd.Series) -> pd.DataFrame:
-        order, rows = Orders(*known.value), []
-        for text in texts:
-            hashes = word_hashes(text)
-            tokens, at = np.unique(found := windows(hashes, width), return_index=True)
-            if not len(tokens):
+        made[:] = made or [Orders(*known.value)]
+        rows = []
+        for found, *orders in (x for group in in_groups(texts) for x in apart(group, width, placed)):
+            if not len(found):
                 rows.append((None, 0, 0, b"", b"", b"", 0))
                 continue
-            kinds = order.classes(hashes, found, width)[at]
+            tokens, at = np.unique(found, return_index=True)
             size, n_index = prefix_sizes(len(tokens), percent)
-            short = [np.unique(smallest(places(tokens, kinds, k), size).astype("<u4")) for k in (2, 3)]
+            first, *short = (smallest(o[at], size) for o in orders)
+            short = [distinct(s.astype("<u4")) for s in short]
             # Shortening may make tokens equal; how many are lost is allowed for later.
             lost = size - min(map(len, short))
-            first = np.sort(smallest(places(tokens, kinds, 1), size)).astype("<u8")
-            rows.append((class_name(tokens), len(tokens), n_index, first.tobytes(), *(s.tobytes() for s in short), lost))
+            rows.append((class_name(tokens), len(tokens), n_index, np.sort(first).astype("<u8").tobytes(), *(s.tobytes() for s in short), lost))
         return pd.DataFrame(rows, columns=["class", "n", "n_index", "a", "b", "c", "lost"])
 
     return find(F.col("text"))
@@ -263,9 +313,11 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     often = (*often_met(read, "word", HOT_WORDS), often_met(read, "token", HOT_TOKENS)[0])
 
     found = prefixes(docs, width, percent, often)
-    whole = cut(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), found.alias("p")).select("id", "p.*").where(F.col("n") > 0))
-    sets = cut(whole.join(classes, (whole["id"] == classes["rep"]) & (whole["class"] == classes["class"]), "left_semi"))
-    drop_table(spark, whole)
+    whole = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), found.alias("p")).select("id", "p.*").where(F.col("n") > 0)
+    # Only copies need not go on, and they are the fewer: they are looked up, so that no prefix is moved.
+    copies = cut(members.join(classes, "class").where(F.col("doc_id") > F.col("rep")).select(F.col("doc_id").alias("id"), "class").distinct())
+    sets = cut(whole.join(sent(copies, copies.count()), ["id", "class"], "left_anti"))
+    drop_table(spark, copies)
 
     tokens = F.transform(F.sequence(F.lit(1), F.octet_length("a") - 7, F.lit(8)), lambda i: F.substring(F.col("a"), i, F.lit(8)))
     postings = sets.select("id", "n", "n_index", F.posexplode(tokens).alias("at", "token")).select("token", "n", "id", (F.col("at") < F.col("n_index")).alias("index"))
