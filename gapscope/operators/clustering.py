@@ -17,7 +17,7 @@ from gapscope.functions.vectors import dot, normalise
 from gapscope.operators import minibatch as mb
 from gapscope.operators.axes import principal_axes, project
 from gapscope.operators.rounds import cut, drop_table, numbered
-from gapscope.operators.similarity import AT, MATE, SIM, Cell, Side, compare, nearest, top_k
+from gapscope.operators.similarity import AT, BROADCAST_BYTES, MATE, SIM, Cell, Side, bytes_of, compare, nearest, top_k
 
 FEATURES = "__features"
 CENTRE_BYTES = 512 << 20
@@ -26,6 +26,8 @@ LEAST_RISE = 10.0**-SIM_DIGITS
 # A k-means fit ends when no centre moves farther.
 LEAST_MOVE = 1e-4
 ROUND_ROWS, ROUND_FILES = 4096, 64
+# Centres of a split that pass the driver in all its rounds together; any others are shuffled to the rows.
+SENT_BYTES = 256 << 20
 SWEEP_SCHEMA = T.StructType(
     [
         T.StructField("k", T.IntegerType()),
@@ -189,7 +191,8 @@ def split_oversize(
     rows of a table keyed by cluster and start, and each round is one nearest-centre pass
     within clusters and one grouped mean. A start takes part until its own fit stops rising,
     ``max_iter`` rounds at most; the start of best fit splits the cluster. Neither the number
-    of parts nor a cluster holding most rows reaches the driver or a single task. The first
+    of parts nor a cluster holding most rows reaches the driver or a single task: centres are
+    broadcast while those of all rounds stay within ``SENT_BYTES``, then shuffled. The first
     part keeps the id, the others follow past the last id, then ids are renumbered.
     """
     sizes = cluster_sizes(df)
@@ -222,11 +225,16 @@ def split_oversize(
     state = cut(rows.join(drawn, ["cluster_id", key]).select(
         *one, "__part", F.col("__unit").alias("__centre"), F.lit(float("-inf")).alias("__fit"), F.lit(True).alias("__live")
     ))
+    layout, sent = dict(layout), 0
+    most = layout.pop("broadcast_bytes", BROADCAST_BYTES)
     for _ in range(max_iter):
         live = state.where("__live")
         if live.isEmpty():
             break
-        placed = _best_of_starts(Side(rows, "__unit", [key]), Side(live, "__centre", ["__part", "__start"]), **layout)
+        centres = Side(live, "__centre", ["__part", "__start"])
+        size, bound = bytes_of(centres.slim(["cluster_id"]))[0], min(most, SENT_BYTES - sent)
+        sent += size if size <= bound else 0
+        placed = _best_of_starts(Side(rows, "__unit", [key]), centres, broadcast_bytes=bound, **layout)
         moved = cut(
             _featured(rows.join(placed, ["cluster_id", key]), "__unit").groupBy(*one, "__part").agg(
                 vector_to_array(Summarizer.mean(F.col(FEATURES))).alias("__centre"), F.sum("sim").alias("__sum"), F.count("*").alias("__n")
@@ -245,7 +253,7 @@ def split_oversize(
     centres = cut(state.join(best, one).select("cluster_id", "__part", "__centre"))
     drop_table(df.sparkSession, state)
     placed = cut(
-        nearest(Side(rows, "__unit", [key]), Side(centres, "__centre", ["__part"]), by=["cluster_id"], **layout)
+        nearest(Side(rows, "__unit", [key]), Side(centres, "__centre", ["__part"]), by=["cluster_id"], broadcast_bytes=min(most, SENT_BYTES - sent), **layout)
     )
     split = df.join(placed.select("cluster_id", key, "__part"), ["cluster_id", key], "left").withColumn(
         "__part", F.coalesce("__part", F.lit(0))

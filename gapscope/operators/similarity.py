@@ -160,7 +160,7 @@ def compare(
     by = list(by)
     l_lead, lead = left.columns[0], right.columns[0]
 
-    size, row_bytes = _bytes_of(rf)
+    size, row_bytes = bytes_of(rf)
     if not symmetric and size <= broadcast_bytes:
         table = rf.toArrow().sort_by([(c, "ascending") for c in dict.fromkeys([*by, lead])])
         held = rf.sparkSession.sparkContext.broadcast(table)
@@ -192,7 +192,7 @@ def compare(
 
         return Comparison(lf.mapInArrow(stream, out), fold is not None)
 
-    l_bytes = row_bytes if symmetric else _bytes_of(lf)[1]
+    l_bytes = row_bytes if symmetric else bytes_of(lf)[1]
     n_left = _tile_counts(lf, by, chunk_bytes, l_bytes, block_rows, SPREAD, "__lt_n")
     n_right = _tile_counts(rf, by, chunk_bytes, row_bytes, block_rows, SPREAD if symmetric else 1, "__rt_n")
     tiles_l = _tiles(lf, n_left, by, l_lead, "__lt_n", "__lt")
@@ -231,7 +231,7 @@ def compare(
     return Comparison(cells.applyInArrow(cell_rows, out), False)
 
 
-def _bytes_of(df: DataFrame) -> tuple[int, int]:
+def bytes_of(df: DataFrame) -> tuple[int, int]:
     """Bytes of a side and of its average row; texts count by their length."""
     texts = [c for c, kind in df.dtypes if kind == "string"]
     row = df.agg(
