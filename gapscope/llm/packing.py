@@ -32,8 +32,8 @@ from gapscope.llm.common import cut, small_batches
 PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 
 
-#: Chunks of text whose ids a worker remembers.
-MEMO_CHUNKS = 400_000
+#: Chunks of text whose ids a worker remembers. Frequent ones are soon known again after a new start.
+MEMO_CHUNKS = 100_000
 
 
 class LibraryBpe(WordBpe):
