@@ -229,10 +229,10 @@ def split_oversize(
     most = layout.pop("broadcast_bytes", BROADCAST_BYTES)
     for _ in range(max_iter):
         live = state.where("__live")
-        if live.isEmpty():
-            break
         centres = Side(live, "__centre", ["__part", "__start"])
         size, bound = bytes_of(centres.slim(["cluster_id"]))[0], min(most, SENT_BYTES - sent)
+        if not size:
+            break
         sent += size if size <= bound else 0
         placed = _best_of_starts(Side(rows, "__unit", [key]), centres, broadcast_bytes=bound, **layout)
         moved = cut(
