@@ -117,10 +117,13 @@ class WordBpe:
             return self.known_word(chunk.lower())
         if self.split_special and "<" in chunk and len(pieces := self.split_special.split(chunk)) > 1:
             return [i for p in pieces for i in ([self.special[p]] if p in self.special else self.chunk(p) if p else [])]
+        return [i for word in self.words(self.normal(chunk)) for i in self.known_word(word)]
+
+    def normal(self, chunk: str) -> str:
+        """NFC and lower case."""
         plain = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)
         # Lower case goes letter by letter, so a final sigma is an ordinary one.
-        plain = "".join(c.lower() for c in plain) if "\u03a3" in plain else plain.lower()
-        return [i for word in self.words(plain) for i in self.known_word(word)]
+        return "".join(c.lower() for c in plain) if "\u03a3" in plain else plain.lower()
 
     def known_word(self, word: str) -> list[int]:
         ids = self.known.get(word)

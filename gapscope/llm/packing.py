@@ -17,7 +17,9 @@ ids and repeated rows are packed like any others. An empty table gives no rows.
 
 from __future__ import annotations
 
+import string
 import struct
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 
@@ -26,14 +28,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapscope.llm.bpe import WordBpe, byte_characters, encoder, memo
-from gapscope.llm.common import cut, small_batches
+from gapscope.llm.bpe import Memo, WordBpe, byte_characters, encoder
+from gapscope.llm.common import cut, small_batches, worker_store
 
 PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 
 
-#: Chunks of text whose ids a worker remembers. Frequent ones are soon known again after a new start.
-MEMO_CHUNKS = 100_000
+#: Chunks of text and words whose ids a worker remembers, as bytes. Most new chunks are known words in another case or before other marks.
+MEMO_CHUNKS, MEMO_WORDS = 50_000, 300_000
+#: Letters below this one are Latin.
+PAST_LATIN = "\u0250"
+MARKS = string.punctuation
 
 
 class LibraryBpe(WordBpe):
@@ -44,11 +49,31 @@ class LibraryBpe(WordBpe):
 
         super().__init__(path)
         self.model, self.letters = Tokenizer.from_file(path).model, byte_characters()
+        self.packed_words = Memo(self.packed_word, MEMO_WORDS)
+        latin = "".join(c for c in map(chr, range(ord(PAST_LATIN))) if c.isalpha())
+        #: Whether the pattern takes Latin letters as one word, and the marks after them as another.
+        self.plain_split = self.words(latin + MARKS) == [latin, MARKS]
 
     def word(self, word: str) -> list[int]:
         plain = word if word.isascii() and word.isprintable() else "".join(self.letters[b] for b in word.encode())
         return [t.id for t in self.model.tokenize(plain)]
 
+    def packed_word(self, word: str) -> bytes:
+        ids = self.word(word)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def packed(self, chunk: str) -> bytes:
+        """The ids of a chunk as little-endian numbers of 32 bits."""
+        known = self.packed_words
+        if self.plain_split and "<" not in chunk:
+            low = chunk.lower()
+            body = low if low.isalpha() else low.rstrip(MARKS)
+            if body.isalpha() and (body.isascii() or (max(body) < PAST_LATIN and unicodedata.is_normalized("NFC", chunk))):
+                return known[body] if len(body) == len(low) else known[body] + known[low[len(body) :]]
+        if self.split_special and "<" in chunk and len(pieces := self.split_special.split(chunk)) > 1:
+            return b"".join(struct.pack("<I", self.special[p]) if p in self.special else self.packed(p) for p in pieces if p)
+        return b"".join(map(known.__getitem__, self.words(self.normal(chunk))))
+
 
 def pieces(text: Column, path: str, capacity: int, separator: int) -> Column:
     """Per text the pieces of its ids and the separator id after them."""
@@ -57,7 +82,7 @@ def pieces(text: Column, path: str, capacity: int, separator: int) -> Column:
     @F.pandas_udf(PIECES)
     def encode(texts: pd.Series) -> pd.Series:
         bpe = encoder(path, LibraryBpe)
-        known = memo(path, "bytes", lambda _, ids: struct.pack(f"<{len(ids)}I", *ids), LibraryBpe, MEMO_CHUNKS)
+        known = worker_store("bpe", f"packed {path}", lambda: Memo(bpe.packed, MEMO_CHUNKS))
         out = []
         for t in texts:
             data = b"".join(map(known.__getitem__, bpe.split(t or ""))) + ending
