@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gapscope.operators.rounds import cut, drop_table, shared_folder
 
-__all__ = ["ASCII_SPACE", "crc32", "cut", "drop_table", "give_back", "in_small_batches", "shared_folder", "small_batches", "text_key", "worker_store"]
+__all__ = ["ASCII_SPACE", "claim", "crc32", "cut", "drop_table", "give_back", "in_small_batches", "shared_folder", "small_batches", "text_key", "worker_store"]
 
 ASCII_SPACE = "\t\n\x0b\x0c\r "
 
@@ -33,15 +33,21 @@ def worker_store(owner: str, name: str, make: Callable[[], object]) -> object:
     Objects of one owner are kept at a time: a worker that goes on with another operator
     drops what the former one remembered.
     """
+    held = claim(owner)
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
+def claim(owner: str) -> dict[str, object]:
+    """What this worker remembers for ``owner``; anything held for another one is dropped."""
     module = sys.modules.setdefault("_task_local_store", types.ModuleType("_task_local_store"))
     held = module.__dict__.setdefault("held", {})
     if module.__dict__.get("owner") != owner:
         held.clear()
         give_back()
         module.owner = owner
-    if name not in held:
-        held[name] = make()
-    return held[name]
+    return held
 
 
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapscope.llm.common import cut, drop_table, small_batches
+from gapscope.llm.common import claim, cut, drop_table, give_back, small_batches
 from gapscope.llm.components import components
 
 HOT_TOKENS = HOT_WORDS = 1 << 16
@@ -53,6 +53,8 @@ FIRST_HUBS, MORE_HUBS, HUB_GROWTH = 1, 32, 8
 #: Ids that are sent to all tasks at most; above it the join is left to be a shuffle.
 SENT_IDS = 2_000_000
 ODD = 0x9E3779B97F4A7C15
+#: Under this name workers drop what other operators remembered.
+OWNER = "ngramjoin"
 
 
 def mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -175,6 +177,7 @@ def scan(docs: DataFrame, width: int) -> DataFrame:
     """One pass over the texts: a row per document with its set's size and class, and rows of often met words and tokens."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim(OWNER)
         blocks: dict[str, list[np.ndarray]] = {"word": [], "token": []}
 
         def report() -> Iterator[pd.DataFrame]:
@@ -199,6 +202,7 @@ def scan(docs: DataFrame, width: int) -> DataFrame:
             ids = pd.array([None if x is None else int(x) for x in batch["doc_id"]], "Int64")
             yield pd.DataFrame({"doc_id": ids, "n_shingles": sizes, "class": names, "kind": None, "item": None, "seen": None})
         yield from report()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(read, SCAN)
 
@@ -226,6 +230,7 @@ def prefixes(docs: DataFrame, width: int, percent: int, often: tuple[np.ndarray,
 
     @F.pandas_udf("class string, n int, n_index int, a binary, b binary, c binary, lost int")
     def find(texts: pd.Series) -> pd.DataFrame:
+        claim(OWNER)
         made[:] = made or [Orders(*known.value)]
         rows = []
         for found, *orders in (x for group in in_groups(texts) for x in apart(group, width, placed)):
@@ -241,7 +246,8 @@ def prefixes(docs: DataFrame, width: int, percent: int, often: tuple[np.ndarray,
             rows.append((class_name(tokens), len(tokens), n_index, np.sort(first).astype("<u8").tobytes(), *(s.tobytes() for s in short), lost))
         return pd.DataFrame(rows, columns=["class", "n", "n_index", "a", "b", "c", "lost"])
 
-    return find(F.col("text"))
+    # Else a filter on its result is a second run of it, in a worker of its own.
+    return find.asNondeterministic()(F.col("text"))
 
 
 def sent(df: DataFrame, rows: int) -> DataFrame:
@@ -256,6 +262,7 @@ def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def share(nx: pd.Series, ny: pd.Series, lost: pd.Series, bx: pd.Series, by: pd.Series, cx: pd.Series, cy: pd.Series) -> pd.Series:
+        claim(OWNER)
         out = []
         for m, n, less, *pairs in zip(nx, ny, lost, zip(bx, by), zip(cx, cy)):
             overlap = least_overlap(percent, m + n)
@@ -271,11 +278,12 @@ def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(share("nx", "ny", "lost", "bx", "by", "cx", "cy")).select("x", "y").distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (x, y) that are links by their words."""
+def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (x, y) that are links by their words, as a table. Texts are taken from ``docs`` for these pairs only and not kept."""
 
     @F.pandas_udf("boolean")
     def linked(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        claim(OWNER)
         out, last, mine = [], None, None
         for x, y in zip(xs, ys):
             if mine is None or x != last:
@@ -286,11 +294,16 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
         return pd.Series(out, dtype=bool)
 
     rows = pairs.count()
+    if not rows:
+        return pairs
+    ids = cut(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct())
+    texts = cut(docs.select(F.col("doc_id").alias("id"), "text").join(sent(ids, ids.count()), "id", "left_semi"))
     with_y = sent(pairs, rows).join(texts.select(F.col("id").alias("y"), F.col("text").alias("ty")), "y")
     # Only the texts that the pairs name are moved.
     needed = texts.select(F.col("id").alias("x"), F.col("text").alias("tx")).join(sent(pairs.select("x").distinct(), rows), "x", "left_semi")
-    both = with_y.join(needed, "x")
-    return both.where(linked("tx", "ty")).select("x", "y")
+    links = cut(with_y.join(needed, "x").where(linked("tx", "ty")).select("x", "y"))
+    drop_table(docs.sparkSession, ids, texts)
+    return links
 
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -325,9 +338,8 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     open_ = cut(postings.join(shared, "token", "left_semi"))
     ids = cut(open_.select("id").distinct())
     n_ids = ids.count()
-    texts = cut(docs.select(F.col("doc_id").alias("id"), "text").join(sent(ids, n_ids), "id", "left_semi"))
     whole, sets = sets, cut(sets.drop("a").join(sent(ids, n_ids), "id", "left_semi"))
-    drop_table(spark, whole)
+    drop_table(spark, whole, shared)
 
     by_size = F.struct("n", "id")
     # Tokens of the B-prefixes in 16 bits; linked sets share as many as their sizes demand, less those that shortening made equal.
@@ -347,7 +359,8 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
         if tried is not None:  # a token that is still open is met by many unlike sets: they must share enough of order B to meet
             near = open_.join(marks, "id")
             mine = marks.select(F.col("id").alias("hub_id"), F.col("marks").alias("hub_marks"), F.col("less").alias("hub_less"))
-            heads = cut(heads.join(mine, F.col("hub.id") == F.col("hub_id")).drop("hub_id"))
+            bare, heads = heads, cut(heads.join(mine, F.col("hub.id") == F.col("hub_id")).drop("hub_id"))
+            drop_table(spark, bare)
             overlap = F.expr(f"({percent} * (n + hub.n) + {99 + percent}) div {100 + percent}")
             need = overlap + 1 - F.expr(f"({percent} * n + 99) div 100")  # the larger set's prefix is the one that demands less
             may_link = F.size(F.array_intersect("marks", "hub_marks")) >= need - F.col("less") - F.col("hub_less")
@@ -358,16 +371,21 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
         if tried is not None:
             pairs = pairs.join(tried, ["x", "y"], "left_anti")
         pairs = cut(pairs)
-        found = cut(verified(cut(likely(pairs, sets, percent)), texts, width, percent))
-        labels = joined(labels, found)
+        maybe = cut(likely(pairs, sets, percent))
+        found = verified(maybe, docs, width, percent)
+        before, labels = labels, joined(labels, found)
         # Whatever has been a hub is decided; the rest of a token goes on unless it is one component.
         last = heads.groupBy("token").agg(F.max("hub").alias("last"))
         rest = open_.select("token", "n", "id", "index").join(last, "token").where(by_size > F.col("last")).drop("last")
         rest = cut(rest.join(labels, F.col("id") == F.col("node")).select("token", "n", "id", "index", F.col("component_id").alias("component")))
         still = rest.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("index").alias("index"))
-        open_ = cut(rest.join(cut(still.where((F.col("low") < F.col("high")) & F.col("index")).select("token")), "token", "left_semi"))
-        drop_table(spark, rest)
-        tried = pairs if tried is None else cut(tried.union(pairs))
+        going = cut(still.where((F.col("low") < F.col("high")) & F.col("index")).select("token"))
+        done = open_, heads, maybe, found, before, rest, going
+        open_ = cut(rest.join(going, "token", "left_semi"))
+        # What a round made goes with it, so that only one round's tables are there at a time.
+        drop_table(spark, *done)
+        tried, done = (pairs, ()) if tried is None else (cut(tried.union(pairs)), (tried, pairs))
+        drop_table(spark, *done)
         hubs = MORE_HUBS if hubs == FIRST_HUBS else HUB_GROWTH * hubs
 
     grouped = cut(classes.join(labels, F.col("rep") == F.col("node"), "left").select("class", F.coalesce("component_id", "rep").alias("component_id")))

@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
+from gapscope.llm import common
 from gapscope.llm import ngramjoin as nj
+from gapscope.operators import rounds
 
 
 @pytest.mark.parametrize("words", [1, 7, 1 << 16])
@@ -34,3 +36,26 @@ def test_classes_are_the_rarest_words_unless_the_token_is_often_met():
     a, b, c, d = hashes[:4]
     order = nj.Orders(np.array([b, c, d]), np.array([64, 40, 32]), found[1:2])
     assert order.classes(hashes, found).tolist() == [0, 255, 6, 6, 255]
+
+
+def test_prefixes_are_made_once_for_each_text(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, None)], "doc_id long, text string")
+    nothing = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    found = docs.select("doc_id", nj.prefixes(docs, 3, 90, nothing).alias("p")).select("doc_id", "p.*").where("n > 0")
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [(r["doc_id"], r["n"]) for r in found.collect()] == [(1, 2)]
+
+
+def test_no_texts_are_kept(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rounds, "shared_folder", lambda _: str(tmp_path))
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(k, " ".join([f"x{k}", *words])) for k in range(8)], "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["component_id"]) for r in nj.join(docs).collect()}
+    kept = [spark.read.parquet(str(p)).columns for p in tmp_path.iterdir()]
+    assert got == {(k, 0) for k in range(8)}
+    assert kept and not any({"text", "a", "hub"} & set(c) for c in kept)
+
+
+def test_another_operators_memory_is_dropped():
+    common.worker_store("an operator", "memo", lambda: [1])
+    assert common.claim(nj.OWNER) == {}
