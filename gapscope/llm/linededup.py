@@ -13,12 +13,15 @@ its own first occurrence is no repeat.
    at two or more go on; those of equal reach are joined, and all but the first are repeats whole.
 3. Matches. Where places of one gram differ in reach, the first of each kind is extended both
    ways word by word: its windows are joined with their first place, and later ones are repeats.
+   A window holds half of its other words left of the gram or more than half right of it; only
+   windows whose half is met in two kinds are compared.
 4. Overlapping repeats merge, and their words go. Lines left without a word go with them; of a
    line that is partly in a run the other words stay, with the white space before them.
 
 Windows are compared by 128 bits, reaches by 64 beside those of their gram, unlike texts of one
-doc_id told apart by 60. Counts and first places are partial sums, so a passage with a
-third of all places is no task's burden; joins on them can be split.
+doc_id told apart by 60; halves by 32, as a chance match only adds windows to compare. Up to 2^32
+documents with such windows are numbered. Counts and first places are partial sums, so a passage
+with a third of all places is no task's burden; joins on them can be split.
 
 A null or empty text has no words and comes back as it is. Rows of equal doc_id and text are
 one document, and each gets its result; a null doc_id comes after all others. A text whose
@@ -32,6 +35,7 @@ from pyspark.sql import functions as F
 
 from gapscope.functions.text import let
 from gapscope.llm.common import cut
+from gapscope.operators.rounds import numbered
 
 MIN_WORDS, GRAM = 50, 8
 WORD = r"[^\x20\x09-\x0D]"
@@ -53,40 +57,49 @@ def word_hashes(text: Column) -> Column:
 
 
 def narrowed(values: Column, span: int) -> Column:
-    """The smallest of each ``span`` values in a row, by doubling; later ones see fewer."""
-    def least(step: int):
-        return lambda v: F.transform(v, lambda x, i: F.least(x, F.get(v, i + step)))
+    """The smallest of each ``span`` values in a row, up to four times as many a step; later ones see fewer."""
+    def least(offsets: list[int]):
+        return lambda v: F.transform(v, lambda x, i: F.least(x, *[F.get(v, i + k) for k in offsets]))
 
     reach = 1
-    while 2 * reach <= span:
-        values, reach = let(values, least(reach)), 2 * reach
-    return let(values, least(span - reach)) if span > reach else values
+    while reach < span:
+        offsets = sorted({min(k * reach, span - reach) for k in (1, 2, 3)})
+        values, reach = let(values, least(offsets)), min(4 * reach, span)
+    return values
 
 
-def places(words: Column, min_words: int, gram: int) -> Column:
-    """Every selected place: first and last of the windows that select it, its gram (print) and all its words (whole)."""
-    ranked = F.transform(words, lambda h, i: F.shiftleft(F.shiftright(h, 32), 32).bitwiseOR((F.lit(LOW) - i).cast("long")))
-    chosen = let(narrowed(ranked, min_words - gram + 1), lambda m: F.array_distinct(F.slice(m, 1, F.size(m) - min_words + 1)))
+def places(texts: DataFrame, min_words: int, gram: int) -> DataFrame:
+    """Every selected place of ``texts`` (id, d, words): first and last of the windows that select it, its
+    gram (print), all its words (whole), and the halves that ``repeats`` asks for.
 
+    Places become rows before they are hashed: Spark compiles what is done to columns, not what
+    lambdas do to the items of an array.
+    """
     reach = min_words - gram
+    ranked = F.transform("words", lambda h, i: h.bitwiseOR(F.lit(LOW)) - i)
+    long_enough = F.size("words") >= min_words
+    smallest = texts.select("*", F.when(long_enough, narrowed(ranked, reach + 1)).alias("m"))
+    chosen = smallest.select("*", F.when(long_enough, F.array_distinct(F.slice("m", F.lit(1), F.size("words") - min_words + 1))).alias("v")).drop("m")
+    # The outer form: for the other one the optimiser adds a filter that makes the array a second time.
+    rows = chosen.select("*", F.posexplode_outer("v").alias("k", "own")).where("own is not null")
+    before, after = F.get("v", F.col("k") - 1), F.get("v", F.col("k") + 1)
 
     def place(c: Column) -> Column:
         return F.lit(LOW) - c.bitwiseAND(F.lit(LOW)).cast("int")
 
-    def begin(v: Column, k: Column) -> Column:
-        """The first window that selects the k-th place: the one before left, or this smaller one came in."""
-        return F.when(k == 0, 0).when(F.get(v, k) < F.get(v, k - 1), place(F.get(v, k)) - reach).otherwise(place(F.get(v, k - 1)) + 1)
-
-    def entries(v: Column) -> Column:
-        def entry(c: Column, k: Column) -> Column:
-            last = F.when(k + 1 < F.size(v), begin(v, k + 1)).otherwise(F.size(words) - min_words + 1) - 1
-            ends = F.struct(begin(v, k).alias("first"), last.alias("last"))
-            whole = let(ends, lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), F.xxhash64(F.slice(words, r["first"] + 1, r["last"] - r["first"] + min_words)).alias("whole")))
-            return let(whole, lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), r["whole"].alias("whole"), F.xxhash64(F.slice(words, place(c) + 1, gram)).alias("print")))
-
-        return F.transform(v, entry)
-
-    return let(chosen, entries)
+    # A place's windows begin where the one before left, or where this smaller one came in, and end likewise.
+    first = F.when(F.col("k") == 0, 0).when(F.col("own") < before, place(F.col("own")) - reach).otherwise(place(before) + 1)
+    last = F.when(after.isNull(), F.size("words") - min_words).when(after < F.col("own"), place(after) - reach - 1).otherwise(place(F.col("own")))
+    ends = rows.select("id", "d", "words", place(F.col("own")).alias("p"), first.alias("first"), last.alias("last"))
+    half = reach // 2
+    ends = ends.select("*", (F.col("p") - half).alias("middle"))
+    return ends.select(
+        "id", "d", "first", "last", "middle",
+        F.xxhash64(F.slice("words", F.col("first") + 1, F.col("last") - F.col("first") + min_words)).alias("whole"),
+        F.xxhash64(F.slice("words", F.col("p") + 1, F.lit(gram))).alias("print"),
+        F.when(F.col("first") <= F.col("middle"), F.hash(F.slice("words", F.col("middle") + 1, F.lit(half + gram)))).alias("left"),
+        F.when(F.col("last") > F.col("middle"), F.hash(F.slice("words", F.col("p") + 1, F.lit(min_words - half + 1)))).alias("right"),
+    )
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -95,8 +108,12 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
     """(id, d, first, last, whole, print): the selected places of all texts long enough."""
-    found = let(word_hashes(F.col("text")), lambda w: F.when(F.size(w) >= min_words, places(w, min_words, gram)))
-    return keyed(docs).select("id", "d", F.explode(found).alias("p")).select("id", "d", "p.*")
+    return places(keyed(docs).select("id", "d", word_hashes(F.col("text")).alias("words")), min_words, gram)
+
+
+def hashed(table: DataFrame) -> DataFrame:
+    """``table`` as the side of a join that is hashed, part by part, so that the longer side is not sorted."""
+    return table.hint("shuffle_hash")
 
 
 def same_document(table: DataFrame, key: DataFrame) -> Column:
@@ -108,7 +125,7 @@ def repeats(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
     prints = cut(fingerprints(docs, min_words, gram))
     spot = F.xxhash64("id", "d", "first")
     often = cut(prints.groupBy("print").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("print"))
-    kept = cut(prints.join(often, "print", "left_semi"))
+    kept = cut(prints.join(hashed(often), "print", "left_semi"))
 
     def order(at: str) -> Column:
         return F.struct(F.col("id").isNull().alias("unnamed"), "id", "d", F.col(at).alias("at"))
@@ -117,25 +134,36 @@ def repeats(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
         """Whether a place is its origin or overlaps it."""
         return F.col("id").eqNullSafe(F.col("origin.id")) & (F.col("d") == F.col("origin.d")) & (F.col(at) < F.col("origin.at") + min_words)
 
-    classes = cut(kept.groupBy("print", "whole").agg(F.min(order("first")).alias("origin")))
-    mixed = classes.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
-    members = cut(kept.join(classes, ["print", "whole"]).select("id", "d", "first", "last", "print", near("first").alias("near")))
-    tested = members.where("near").join(mixed, "print", "left_semi").groupBy(F.col("id").alias("__id"), F.col("d").alias("__d")).agg(F.collect_set(F.struct("first", "last")).alias("__ranges"))
+    classes = cut(kept.groupBy("print", "whole").agg(F.min(order("first")).alias("origin"), F.min("left").alias("left"), F.min("right").alias("right")))
+    members = cut(kept.join(hashed(classes.select("print", "whole", "origin")), ["print", "whole"]).select("id", "d", "first", "last", "middle", "print", "left", "right", near("first").alias("near")))
+
+    def sides(table: DataFrame, *columns: str) -> DataFrame:
+        """The windows of a place that hold what stands left of its gram, and those that hold what stands right."""
+        both = F.array(*[F.struct(F.lit(k).alias("side"), F.col(k).alias("key")) for k in ("left", "right")])
+        return table.select(*columns, "print", F.explode(both).alias("s")).select(*columns, "print", "s.*").where("key is not null")
+
+    mixed = sides(classes).groupBy("print", "side", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    tried = sides(members.where("near"), "id", "d", "first", "last", "middle").join(mixed, ["print", "side", "key"], "left_semi")
+    begin = F.when(F.col("side") == "left", F.col("first")).otherwise(F.greatest("first", F.col("middle") + 1))
+    end = F.when(F.col("side") == "left", F.least("last", "middle")).otherwise(F.col("last"))
+    tested = tried.groupBy("id", "d").agg(F.collect_set(F.struct(begin.alias("first"), end.alias("last"))).alias("ranges"))
+    tested = cut(numbered(tested.withColumn("unnamed", F.col("id").isNull()), ["unnamed", "id", "d"], "n"))
+    tested = tested.select(F.col("id").alias("__id"), F.col("d").alias("__d"), "n", "ranges")
     texts = keyed(docs)
-    texts = texts.join(tested, same_document(texts, tested)).dropDuplicates(["id", "d"])
-
-    def window(words: Column, i: Column) -> Column:
-        return let(F.slice(words, i + 1, min_words), lambda s: F.struct(i.alias("at"), F.xxhash64(s).alias("a"), F.xxhash64(F.lit(1), s).alias("b")))
-
-    matched = let(
-        word_hashes(F.col("text")),
-        lambda w: F.flatten(F.transform("__ranges", lambda r: F.transform(F.sequence(r["first"], r["last"]), lambda i: window(w, i)))),
-    )
-    windows = cut(texts.select("id", "d", F.explode(matched).alias("w")).select("id", "d", "w.*"))
-    firsts = windows.groupBy("a", "b").agg(F.min(order("at")).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = windows.join(firsts, ["a", "b"]).where(~near("at")).select("id", "d", F.col("at").alias("first"), F.col("at").alias("last"))
-    runs = members.where("not near").select("id", "d", "first", "last").unionByName(later)
-    return runs.groupBy(F.col("id").alias("__id"), F.col("d").alias("__d")).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("__runs"))
+    texts = texts.join(hashed(tested), same_document(texts, tested)).dropDuplicates(["n"])
+
+    held = F.slice("words", F.col("at") + 1, F.lit(min_words))
+    ranges = texts.select("n", word_hashes(F.col("text")).alias("words"), "ranges").select("n", "words", F.explode_outer("ranges").alias("r"))
+    starts = ranges.select("n", "words", F.explode_outer(F.sequence("r.first", "r.last")).alias("at"))
+    # One number orders windows by document, then place.
+    windows = cut(starts.select(F.shiftleft(F.col("n").cast("long"), 31).bitwiseOR(F.col("at").cast("long")).alias("spot"), F.xxhash64(held).alias("a"), F.xxhash64(F.lit(1), held).alias("b")))
+    firsts = windows.groupBy("a", "b").agg(F.min("spot").alias("origin"), F.max("spot").alias("final")).where(F.col("final") >= F.col("origin") + min_words).drop("final")
+    later = windows.join(hashed(firsts), ["a", "b"]).where(F.col("spot") >= F.col("origin") + min_words)
+    at = F.col("spot").bitwiseAND(F.lit(LOW)).cast("int")
+    later = later.groupBy(F.shiftright("spot", 31).alias("n")).agg(F.collect_set(F.struct(at.alias("first"), at.alias("last"))).alias("runs"))
+    later = later.join(tested.select("__id", "__d", "n"), "n").select("__id", "__d", "runs")
+    runs = members.where("not near").groupBy(F.col("id").alias("__id"), F.col("d").alias("__d")).agg(F.collect_set(F.struct("first", "last")).alias("runs")).unionByName(later)
+    return runs.groupBy("__id", "__d").agg(F.array_sort(F.flatten(F.collect_list("runs"))).alias("__runs"))
 
 
 def rest(text: Column, runs: Column, min_words: int) -> Column:
@@ -172,7 +200,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> Data
     other columns stay."""
     gone = cut(repeats(docs, min_words, min(gram, min_words)))
     others = [c for c in docs.columns if c not in ("text", "n_lines", "n_deleted", "changed")]
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (digest(docs["text"]) == gone["__d"]), "left")
+    joined = docs.join(hashed(gone), docs["doc_id"].eqNullSafe(gone["__id"]) & (digest(docs["text"]) == gone["__d"]), "left")
     left = F.when(F.col("__runs").isNotNull(), rest(F.col("text"), F.col("__runs"), min_words))
     both = joined.select(*others, F.col("text").alias("__all"), F.explode(F.array(left)).alias("__left"))
     changed = F.col("__left").isNotNull()

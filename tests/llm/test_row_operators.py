@@ -317,6 +317,26 @@ def test_lines_of_nothing(spark):
     assert {r.doc_id: r.text for r in kept.collect()} == {1: "w " * 60, 2: "new"} and "other" in kept.columns
 
 
+def test_texts_that_share_a_gram_only_are_not_compared(spark, monkeypatch):
+    """Windows meet where a half of what surrounds a gram is shared, and then that half only."""
+    made, write = [], linededup.cut
+    monkeypatch.setattr(linededup, "cut", lambda df: made.append(write(df)) or made[-1])
+
+    def compared(rows):
+        made.clear()
+        out = linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        expected = brute_runs(rows, 50)
+        assert {(r.doc_id, r.text) for r in out} == {(i, expected[i, t]) for i, t in rows}
+        return sum(t.count() for t in made if {"a", "b"} <= set(t.columns) and "print" not in t.columns)
+
+    own = lambda doc, side: " ".join(f"{doc}{side}{k}" for k in range(60))
+    common = " ".join(f"same{k}" for k in range(20))
+    assert compared([(k, f"{own(k, 'a')} {common} {own(k, 'b')}") for k in range(30)]) == 0
+    words = [f"w{k}" for k in range(400)]
+    near = " ".join([*words[:200], "other", *words[201:]])
+    assert 0 < compared([(1, " ".join(words)), (2, near)]) <= 100
+
+
 def test_only_groups_on_a_border_are_cut(spark):
     """At sf0.1 at most one group per border; on tiny inputs no more cuts than the best placement needs."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
