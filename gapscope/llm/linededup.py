@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapscope.functions.text import let
-from gapscope.llm.common import cut
+from gapscope.llm.common import cut, drop_table
 from gapscope.operators.rounds import numbered
 
 MIN_WORDS, GRAM = 50, 8
@@ -126,6 +126,7 @@ def repeats(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
     spot = F.xxhash64("id", "d", "first")
     often = cut(prints.groupBy("print").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("print"))
     kept = cut(prints.join(hashed(often), "print", "left_semi"))
+    drop_table(docs.sparkSession, prints, often)
 
     def order(at: str) -> Column:
         return F.struct(F.col("id").isNull().alias("unnamed"), "id", "d", F.col(at).alias("at"))
@@ -136,6 +137,7 @@ def repeats(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
 
     classes = cut(kept.groupBy("print", "whole").agg(F.min(order("first")).alias("origin"), F.min("left").alias("left"), F.min("right").alias("right")))
     members = cut(kept.join(hashed(classes.select("print", "whole", "origin")), ["print", "whole"]).select("id", "d", "first", "last", "middle", "print", "left", "right", near("first").alias("near")))
+    drop_table(docs.sparkSession, kept)
 
     def sides(table: DataFrame, *columns: str) -> DataFrame:
         """The windows of a place that hold what stands left of its gram, and those that hold what stands right."""
@@ -148,6 +150,7 @@ def repeats(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
     end = F.when(F.col("side") == "left", F.least("last", "middle")).otherwise(F.col("last"))
     tested = tried.groupBy("id", "d").agg(F.collect_set(F.struct(begin.alias("first"), end.alias("last"))).alias("ranges"))
     tested = cut(numbered(tested.withColumn("unnamed", F.col("id").isNull()), ["unnamed", "id", "d"], "n"))
+    drop_table(docs.sparkSession, classes)
     tested = tested.select(F.col("id").alias("__id"), F.col("d").alias("__d"), "n", "ranges")
     texts = keyed(docs)
     texts = texts.join(hashed(tested), same_document(texts, tested)).dropDuplicates(["n"])
