@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import threading
+from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, inheritable_thread_target
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -17,6 +21,7 @@ from gapscope.functions.vectors import dot, normalise
 from gapscope.operators import minibatch as mb
 from gapscope.operators.axes import principal_axes, project
 from gapscope.operators.rounds import cut, drop_table, numbered
+from gapscope.operators.settling import settle
 from gapscope.operators.similarity import AT, BROADCAST_BYTES, MATE, SIM, Cell, Side, bytes_of, compare, nearest, top_k
 
 FEATURES = "__features"
@@ -26,6 +31,8 @@ LEAST_RISE = 10.0**-SIM_DIGITS
 # A k-means fit ends when no centre moves farther.
 LEAST_MOVE = 1e-4
 ROUND_ROWS, ROUND_FILES = 4096, 64
+# Vectors of a fit up to this size are sent whole to the tasks, one for each start.
+HELD_BYTES = 64 << 20
 # Centres of a split that pass the driver in all its rounds together; any others are shuffled to the rows.
 SENT_BYTES = 256 << 20
 SWEEP_SCHEMA = T.StructType(
@@ -48,26 +55,56 @@ def _check_centres(k: int, width: int) -> None:
         raise ValueError(f"{k} centres of {width} numbers are too many; raise the split target")
 
 
-def dealt_rows(df: DataFrame, vector: str) -> mb.Dealt:
-    """The vectors of a table, written once in files that tasks share evenly; a round of a fit reads them all."""
+@dataclass
+class Rows(mb.Dealt):
+    """All vectors of a table for full fits; ``held`` has them too where they are few enough to be sent whole."""
+
+    held: Broadcast | None = None
+    begun: threading.Event | None = None
+
+
+def dealt_rows(df: DataFrame, vector: str) -> Rows:
+    """The vectors of a table, written once in files that tasks share evenly."""
     vec = F.col(vector).cast("array<double>")
     slim = cut(df.where(F.col(vector).isNotNull()).select(F.xxhash64(vec).alias("__key"), vec.alias("vec")))
     seen = slim.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("width")).first()
     rows = cut(slim.repartition(min(ROUND_FILES, max(1, -(-seen["n"] // ROUND_ROWS)))))
     drop_table(df.sparkSession, slim)
-    return mb.Dealt(rows, seen["n"], 1, seen["width"] or 0)
+    dealt = Rows(rows, seen["n"], 1, seen["width"] or 0)
+    if 0 < dealt.total * dealt.width * 8 <= HELD_BYTES:
+        dealt.held = df.sparkSession.sparkContext.broadcast(mb.matrix(rows.select("vec").toArrow()["vec"]))
+    return dealt
 
 
-def fit_kmeans(dealt: mb.Dealt, k: int, *, tries: int = 15, max_iter: int = 500, seed: int = SEED) -> mb.Fit:
-    """Best of ``tries`` fits by cost over all rows.
+def drop_rows(dealt: Rows) -> None:
+    drop_table(dealt.rows.sparkSession, dealt.rows)
+    if dealt.held is not None:
+        dealt.held.destroy()
 
-    The starts are fitted side by side: a round is one reading of the rows for all that still move, and
-    gives each centre the mean of its rows. Start centres are drawn from a bounded sample, far from each other.
-    """
-    _check_centres(tries * k, dealt.width)
-    k = min(k, dealt.total)
-    sample = dealt.first_rows(dealt.rows, max(3 * mb.BATCH_ROWS, 3 * k), seed + 1)
-    models = [mb.Model(k, start, mb.far_apart(sample, k, np.random.default_rng([seed, k, start]))) for start in range(tries)]
+
+def _start(sample: np.ndarray, k: int, start: int, seed: int) -> np.ndarray:
+    return mb.far_apart(sample, k, np.random.default_rng([seed, k, start]))
+
+
+def _held_fits(dealt: Rows, sample: np.ndarray, k: int, tries: int, max_iter: int, seed: int) -> list[mb.Model]:
+    """A task for each start, which goes through all its rounds over the rows it was sent."""
+    spark = dealt.rows.sparkSession
+    held, drawn = dealt.held, spark.sparkContext.broadcast(sample)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in batch.column("id").to_pylist():
+                centres = settle(held.value, _start(drawn.value, k, start, seed), max_iter, LEAST_MOVE)
+                yield pa.RecordBatch.from_pydict({"start": [start], "centres": [centres.ravel()]})
+
+    found = spark.range(0, tries, 1, tries).mapInArrow(fit, "start long, centres array<double>").toArrow().sort_by("start")
+    drawn.destroy()
+    return [mb.Model(k, start, centres) for start, centres in enumerate(mb.matrix(found["centres"]).reshape(tries, k, -1).copy())]
+
+
+def _shared_fits(dealt: Rows, sample: np.ndarray, k: int, tries: int, max_iter: int, seed: int) -> list[mb.Model]:
+    """The starts are fitted side by side: a round is one reading of the rows for all that still move."""
+    models = [mb.Model(k, start, _start(sample, k, start, seed)) for start in range(tries)]
     for _ in range(max_iter):
         live = [m for m in models if m.live]
         if not live:
@@ -79,7 +116,23 @@ def fit_kmeans(dealt: mb.Dealt, k: int, *, tries: int = 15, max_iter: int = 500,
             before, model.centres = model.centres, model.centres.copy()
             model.centres[fed] = total[mine][fed] / n[mine][fed, None]
             model.live = np.sqrt(((model.centres - before) ** 2).sum(axis=1).max()) > LEAST_MOVE
-    return mb.best_fits(dealt, models)[0]
+    return models
+
+
+def fit_kmeans(dealt: Rows, k: int, *, tries: int = 15, max_iter: int = 500, seed: int = SEED) -> mb.Fit:
+    """Best of ``tries`` fits by cost over all rows.
+
+    A round gives each centre the mean of its rows. Start centres are drawn from a bounded sample, far from
+    each other. Rows that fit ``HELD_BYTES`` are sent to a task for each start, which makes all its rounds;
+    others are read in every round, by all starts together.
+    """
+    _check_centres(tries * k, dealt.width)
+    k = min(k, dealt.total)
+    sample = dealt.first_rows(dealt.rows, max(3 * mb.BATCH_ROWS, 3 * k), seed + 1)
+    if dealt.begun is not None:
+        dealt.begun.set()
+    fits = _held_fits if dealt.held is not None else _shared_fits
+    return mb.best_fits(dealt, fits(dealt, sample, k, tries, max_iter, seed))[0]
 
 
 def kmeans(df: DataFrame, vector: str, k: int, **fit) -> DataFrame:
@@ -94,7 +147,7 @@ def kmeans(df: DataFrame, vector: str, k: int, **fit) -> DataFrame:
     if not dealt.total:
         return df.withColumn("cluster_id", F.lit(None).cast("int"))
     best = fit_kmeans(dealt, k, **fit)
-    drop_table(df.sparkSession, dealt.rows)
+    drop_rows(dealt)
     return df.withColumn("cluster_id", mb.nearest_centre(best.centres)(F.col(vector).cast("array<double>")))
 
 
@@ -106,11 +159,23 @@ def sweep(
     tries: int = 5,
     max_iter: int = 300,
 ) -> DataFrame:
-    """Inertia, silhouette and largest share of every K; K at or above the row count is void."""
+    """Inertia, silhouette and largest share of every K; K at or above the row count is void.
+
+    The fits run at the same time, each begun once the one before has drawn its sample.
+    """
     dealt = dealt_rows(df, vector)
-    found = [fit_kmeans(dealt, k, tries=tries, max_iter=max_iter) for k in k_values if k < dealt.total]
+    asked, running = [k for k in k_values if k < dealt.total], []
+    inherit = inheritable_thread_target(df.sparkSession)  # no wrapper where threads are not tied to the JVM's
+    fit = inherit(fit_kmeans) if callable(inherit) else fit_kmeans
+    with ThreadPoolExecutor(max(1, len(asked))) as pool:
+        for k in asked:
+            own = replace(dealt, begun=threading.Event())
+            running.append(pool.submit(fit, own, k, tries=tries, max_iter=max_iter))
+            running[-1].add_done_callback(lambda _, begun=own.begun: begun.set())
+            own.begun.wait()
+    found = [r.result() for r in running]
     fits = {f.k: f for f in mb.best_fits(dealt, [mb.Model(f.k, 0, f.centres) for f in found], True)} if found else {}
-    drop_table(df.sparkSession, dealt.rows)
+    drop_rows(dealt)
     rows = [
         (k, fits[k].inertia, fits[k].silhouette, float(fits[k].sizes.max() / dealt.total)) if k in fits else (k, float("inf"), -1.0, 1.0) for k in k_values
     ]
@@ -429,7 +494,7 @@ def approximate_top_k(
     if not dealt.total:
         return top_k(queries, index, k)
     found = fit_kmeans(dealt, lists, seed=seed).centres
-    drop_table(unit.sparkSession, dealt.rows)
+    drop_rows(dealt)
     listed = unit.withColumn("__list", mb.nearest_centre(found)(F.col("__unit"))).drop("__unit")
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(mb.in_order(found))]
     centres = index.frame.sparkSession.createDataFrame(rows, "`__list` int, `__centre` array<double>")
